@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, jaccard_join, line_templates, mixing, quality, substring_dedup, topk, toxicity
+from corpusmill.llm import decontaminate, jaccard_join, license_scan, line_templates, mixing, quality, substring_dedup, suffix_tree_lm, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_ngram_jaccard_join": jaccard_join.op3,
     "op4_source_mixing": mixing.op4,
     "op5_benchmark_decontamination": decontaminate.op5,
+    "op6_lm_scoring": suffix_tree_lm.op6,
     "op7_line_dedup": line_templates.op7,
+    "op8_license_scan": license_scan.op8,
     "op9_exact_topk": topk.op9,
     "op10_toxicity": toxicity.op10,
 }
