@@ -88,7 +88,7 @@ def _word(text: Column, language: Column, switched: Column, tag: Column) -> Colu
     return F.struct(
         F.when(broken, "<nsn>").when(text == "<eh>", "<spn>").otherwise(text).alias("word"),
         F.when(~(broken | noise), language).alias("language"),
-        switched.alias("code_switched"), tag.alias("tag"), ~(broken | noise).alias("is_word"),
+        switched.alias("code_switched"), tag.alias("tag"), (~(broken | noise)).alias("is_word"),
     )
 
 
@@ -104,11 +104,11 @@ def parse(text: Column, main_language: Column, kind: str = "council") -> Column:
     def inside(raw: Column) -> Column:
         b = read(raw)
         own = F.transform(_items(b["text"]), lambda w: _word(w, F.when(~b["error"], b["language"]), b["code_switched"], b["tag"]))
-        return F.when(F.size(own) > 0, own).otherwise(F.array(F.struct(noise_word(b["tag"]).alias("word"), none.alias("language"), no.alias("code_switched"), b["tag"].alias("tag"), no.alias("is_word"))))
+        return F.when(F.size(own) > 0, own).otherwise(F.array(_word(noise_word(b["tag"]), none, no, b["tag"])))
 
     outside = lambda p: F.transform(_items(p), lambda w: _word(w, main_language, no, none))
     # n brackets part the text into n + 1 pieces: each piece is followed by its bracket
-    both = F.transform(pieces, lambda p, i: F.concat(outside(p), F.when(i < F.size(found), inside(F.try_element_at(found, i + 1))).otherwise(F.array())))
+    both = F.transform(pieces, lambda p, i: F.concat(outside(p), F.coalesce(F.when(i < F.size(found), inside(F.try_element_at(found, i + 1))), F.slice(outside(p), 1, 0))))
     return F.struct(F.transform(found, read).alias("brackets"), F.flatten(both).alias("words"), bracket_error(text).alias("error"))
 
 

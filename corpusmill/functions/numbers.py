@@ -71,11 +71,10 @@ def spoken(text: str | None, language: str | None, space: str = " ") -> str | No
     return f"{said['minus']} {out}" if minus else out
 
 
-@F.pandas_udf("string")
 def _spoken(text: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([spoken(t, x) for t, x in zip(text, language, strict=True)], dtype=object)
 
 
 def number_words(text: Column, language: Column) -> Column:
     """The number in ``text`` in words, in the language of each row (Dutch or Frisian); null where it can't be read."""
-    return _spoken(text.cast("string"), language)
+    return F.pandas_udf(_spoken, "string")(text.cast("string"), language)

@@ -19,14 +19,13 @@ def _indel_ratio(a: str, b: str) -> float:
     return 2 * last[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def ratio(a: Column, b: Column) -> Column:
     """2 LCS / (m + n): 1 for equal strings; a substitution costs as much as a deletion and an insertion."""
-    return _ratio(a, b)
+    return F.pandas_udf(_ratio, "double")(a, b)
 
 
 def levenshtein(a: Column, b: Column) -> Column:
@@ -43,7 +42,6 @@ def _coded(items: Column, vocabulary: Column) -> Column:
     return F.array_join(F.transform(items, lambda w: F.substr(F.lit(_ALPHABET), F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
 
 
-@F.pandas_udf("long")
 def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         last = list(range(len(y) + 1))
@@ -69,4 +67,4 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
 
 def word_edits_any(reference: Column, hypothesis: Column) -> Column:
     """The same for any number of distinct words, in Python."""
-    return _word_distance(reference, hypothesis)
+    return F.pandas_udf(_word_distance, "long")(reference, hypothesis)

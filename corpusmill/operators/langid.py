@@ -17,8 +17,12 @@ def prepared(text: Column) -> Column:
 
 def grams(text: Column, low: int = 2, high: int = 5) -> Column:
     """All character n-grams of the prepared text, repeats included."""
-    t = prepared(text)
-    each = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i, n=n: F.substr(t, i, F.lit(n)))).otherwise(F.array()) for n in range(low, high + 1)]
+    # on an array of characters: a substring of a long text would be sought from its start each time
+    return F.flatten(F.transform(F.array(F.split(prepared(text), "")), lambda c: _windows(c, low, high)))
+
+
+def _windows(chars: Column, low: int, high: int) -> Column:
+    each = [F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i, n=n: F.array_join(F.slice(chars, i, F.lit(n)), ""))).otherwise(F.slice(chars, 1, 0)) for n in range(low, high + 1)]
     return F.flatten(F.array(*each))
 
 

@@ -140,10 +140,7 @@ def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, reach, mode="reflect") if len(x) > reach else np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-@F.pandas_udf("array<boolean>")
-def zero_crossing_activity(waves: pd.Series) -> pd.Series:
-    """Whether each frame (512 samples, hop 128) is speech: smoothed zero-crossing rate below its mean."""
-
+def _zero_crossing(waves: pd.Series) -> pd.Series:
     def one(wave):
         x = np.asarray(wave, np.float64)
         crossed = np.abs(np.diff(np.signbit(x).astype(np.int8), prepend=0))
@@ -154,10 +151,12 @@ def zero_crossing_activity(waves: pd.Series) -> pd.Series:
     return pd.Series([None if w is None or len(w) == 0 else one(w) for w in waves])
 
 
-@F.pandas_udf("array<struct<start:long,end:long>>")
-def sound_spans(waves: pd.Series, rates: pd.Series) -> pd.Series:
-    """Sample spans louder than 30 dB below the peak, apart by 0.2 s of silence or more."""
+def zero_crossing_activity(wave: Column) -> Column:
+    """Whether each frame (512 samples, hop 128) is speech: smoothed zero-crossing rate below its mean."""
+    return F.pandas_udf(_zero_crossing, "array<boolean>")(wave)
 
+
+def _sound_spans(waves: pd.Series, rates: pd.Series) -> pd.Series:
     def one(wave, rate):
         x, hop = np.asarray(wave, np.float64), 512
         power = np.array([np.mean(x[i : i + 2 * hop] ** 2) for i in range(0, len(x), hop)])
@@ -174,6 +173,11 @@ def sound_spans(waves: pd.Series, rates: pd.Series) -> pd.Series:
     return pd.Series([None if w is None or len(w) == 0 or not np.any(w) else one(w, r) for w, r in zip(waves, rates, strict=True)])
 
 
+def sound_spans(wave: Column, rate: Column) -> Column:
+    """Sample spans louder than 30 dB below the peak, apart by 0.2 s of silence or more."""
+    return F.pandas_udf(_sound_spans, "array<struct<start:long,end:long>>")(wave, rate)
+
+
 def silence_reference(wave: Column) -> Column:
     """Five standard deviations of the samples."""
     n = F.size(wave)

@@ -1,6 +1,7 @@
-"""The library's queries over the driver's tables, and the SQL that must give the same rows."""
+"""All queries of the library and the SQL that must give the same rows; queries without SQL are held to tests."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from corpusmill.plans.corpus_queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
