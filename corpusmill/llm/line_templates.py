@@ -3,7 +3,8 @@ r"""Line deduplication by a log-template tree, with DataFrame functions only.
 Each line falls through a tree of fixed depth: first by its number of tokens, then by its leading ``LEAD`` tokens, where
 tokens with a digit count as a wildcard. In a leaf that occurs in ``MIN_TEXTS`` different texts or more, the template is
 the most frequent token at each place (tokens with a digit as a wildcard); places where lines differ are its variable
-fields. A line that agrees with its leaf's template in ``ALIKE`` of 10 places or more is an instance. Where instances recur
+fields. A template with more wildcards than words is none: rows of figures are data. A line that agrees with its leaf's
+template in ``ALIKE`` of 10 places or more is an instance. Where instances recur
 in ``MIN_TEXTS`` different texts, they are dropped, but for those of the document with the smallest id, which keeps the
 wording in the corpus once. Exact copies of a text count once: copies of documents are another operator's matter.
 
@@ -53,6 +54,7 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = AL
     places = inside.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").count()
     best = places.groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
     templates = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("template"))
+    templates = templates.filter(2 * F.size(F.filter("template", lambda x: x != "<*>")) >= F.size("template"))
     agrees = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
     instances = inside.join(common.maybe_broadcast(common.durable(templates)), "leaf").filter(10 * agrees >= alike * F.size("tokens")).select("leaf", "doc_id", "mark", "line_no")
     kept = instances.groupBy("leaf", "mark").agg(F.min("doc_id").alias("first")).groupBy("leaf").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
@@ -62,23 +64,24 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = AL
 
 
 def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE) -> DataFrame:
-    """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped besides."""
+    """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped besides (columns so named give way)."""
     dropped = common.durable(recurring_lines(docs, min_texts, alike))
     few = common.small(dropped)
     gone = dropped.groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_set("line_no").alias("cut_lines"))
     # by text as well as id: rows that share an id and differ in text are told apart
-    meets = F.col("doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(F.col("text")) == F.col("cut_mark"))
-    rows = docs.join(F.broadcast(gone) if few else gone, meets, "left")
-    lines = F.split(F.col("text"), "\n")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # one column: no name can clash
+    meets = F.col("row.doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(F.col("row.text")) == F.col("cut_mark"))
+    rows = rows.join(F.broadcast(gone) if few else gone, meets, "left")
+    lines = F.split(F.col("row.text"), "\n")
     stays = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("cut_lines", i), x)), lambda x: x.isNotNull())
-    text = F.when(F.col("cut_lines").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    kept = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*kept, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("cut_lines"), F.lit(0)).cast("long").alias("n_dropped"))
+    text = F.when(F.col("cut_lines").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
+    kept = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*kept, F.greatest(F.coalesce(F.size(lines), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("cut_lines"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest("n_dropped", F.lit(0)).alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 OP7_SQL = r"""
@@ -90,7 +93,7 @@ i AS (SELECT n.* FROM n JOIN c USING (leaf)),
 p AS (SELECT leaf, generate_subscripts(tokens, 1) AS place, unnest(tokens) AS token FROM i),
 q AS (SELECT leaf, place, token, count(*) AS n FROM p GROUP BY ALL),
 b AS (SELECT leaf, place, token FROM q QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1),
-t AS (SELECT leaf, list(token ORDER BY place) AS template FROM b GROUP BY leaf),
+t AS (SELECT leaf, list(token ORDER BY place) AS template FROM b GROUP BY leaf HAVING 2 * count(*) FILTER (WHERE token <> '<*>') >= count(*)),
 m AS (SELECT i.leaf, i.doc_id, i.mark, i.line_no FROM i JOIN t USING (leaf)
   WHERE 10 * len(list_filter(list_zip(i.tokens, t.template), lambda x: x[1] = x[2])) >= 7 * len(i.tokens)),
 f AS (SELECT leaf, min(doc_id) AS first FROM m GROUP BY leaf HAVING count(DISTINCT mark) >= 10),

@@ -81,17 +81,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
 
 
 def emitted(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with copy numbers from 1 in ``copy``.
+    """The rows of ``docs`` as often as the mix takes them, with copy numbers from 1 in ``copy`` (a column so named gives way).
 
     Rows and decisions meet by id and text; rows that repeat in both are paired in order.
     """
     key = Window.partitionBy("doc_id", "mark").orderBy("copies")
-    taken = mix(docs, **settings).filter("copies > 0 or true").select("doc_id", "mark", "copies").withColumn("nth", F.row_number().over(key))
-    taken = taken.filter("copies > 0").withColumnsRenamed({"doc_id": "mix_id", "mark": "mix_mark", "nth": "mix_nth", "copies": "mix_copies"})
-    mark, again = F.xxhash64(F.col("text")), Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64(F.col("text"))).orderBy(F.col("doc_id"))
-    rows = docs.withColumn("mix_row", F.row_number().over(again))
-    met = F.col("doc_id").cast("long").eqNullSafe(F.col("mix_id")) & mark.eqNullSafe(F.col("mix_mark")) & (F.col("mix_row") == F.col("mix_nth"))
-    return rows.join(taken, met).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns], "copy")
+    taken = mix(docs, **settings).select("doc_id", "mark", "copies").withColumn("nth", F.row_number().over(key))
+    taken = taken.filter("copies > 0").withColumnsRenamed({"doc_id": "mix_id", "mark": "mix_mark"})
+    again = Window.partitionBy("id", "its_mark").orderBy("id")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # one column: no name can clash
+    rows = rows.withColumn("id", F.col("row.doc_id").cast("long")).withColumn("its_mark", F.xxhash64(F.col("row.text"))).withColumn("row_no", F.row_number().over(again))
+    met = F.col("id").eqNullSafe(F.col("mix_id")) & F.col("its_mark").eqNullSafe(F.col("mix_mark")) & (F.col("row_no") == F.col("nth"))
+    rows = rows.join(taken, met).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "copy"], "copy")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
