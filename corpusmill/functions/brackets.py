@@ -41,7 +41,7 @@ def bracket_texts(text: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """What stands between brackets, trimmed; empty pieces are dropped."""
-    return F.filter(F.transform(F.split(text, r"\[[^\[\]]*\]"), F.btrim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"\[[^\[\]]*\]"), lambda x: F.btrim(x)), lambda x: x != "")
 
 
 def _items(text: Column) -> Column:
@@ -159,7 +159,7 @@ def any_bracket(brackets: Column, what: str = "error") -> Column:
 
 def tier(label: Column) -> Column:
     """``spk1/female/fr`` as struct: kind (ok, background, rejected), speaker, gender, language."""
-    parts = F.transform(F.split(label, "/"), F.btrim)
+    parts = F.transform(F.split(label, "/"), lambda x: F.btrim(x))
     one = lambda test: F.try_element_at(F.filter(parts, test), F.lit(1))
     speaker, gender, language = one(lambda p: p.startswith("spk")), one(lambda p: p.isin("male", "female")), one(lambda p: p.isin("fr", "nl"))
     known = F.forall(parts, lambda p: p.startswith("spk") | p.isin("male", "female", "fr", "nl"))

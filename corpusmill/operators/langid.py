@@ -22,8 +22,11 @@ def grams(text: Column, low: int = 2, high: int = 5) -> Column:
 
 
 def _windows(chars: Column, low: int, high: int) -> Column:
-    each = [F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i, n=n: F.array_join(F.slice(chars, i, F.lit(n)), ""))).otherwise(F.slice(chars, 1, 0)) for n in range(low, high + 1)]
-    return F.flatten(F.array(*each))
+    def of_size(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+        return F.when(F.size(chars) >= n, every).otherwise(F.slice(chars, 1, 0))
+
+    return F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)]))
 
 
 def gram_counts(df: DataFrame, text: Column, label: str, low: int = 2, high: int = 5) -> DataFrame:
