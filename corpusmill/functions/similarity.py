@@ -61,8 +61,9 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
     Words become single characters of a private alphabet, so that the built-in character distance counts words. Pairs with
     more distinct words than the alphabet has are left to ``word_edits_any``.
     """
-    vocabulary = F.array_union(reference, hypothesis)
-    return F.when(F.size(vocabulary) <= len(_ALPHABET), F.levenshtein(_coded(reference, vocabulary), _coded(hypothesis, vocabulary)).cast("long"))
+    one = F.array(F.struct(reference.alias("r"), hypothesis.alias("h"), F.array_union(reference, hypothesis).alias("v")))  # built once a row
+    edits = lambda x: F.when(F.size(x["v"]) <= len(_ALPHABET), F.levenshtein(_coded(x["r"], x["v"]), _coded(x["h"], x["v"])).cast("long"))
+    return F.element_at(F.transform(one, edits), 1)
 
 
 def word_edits_any(reference: Column, hypothesis: Column) -> Column:

@@ -17,16 +17,8 @@ def prepared(text: Column) -> Column:
 
 def grams(text: Column, low: int = 2, high: int = 5) -> Column:
     """All character n-grams of the prepared text, repeats included."""
-    # on an array of characters: a substring of a long text would be sought from its start each time
-    return F.flatten(F.transform(F.array(F.split(prepared(text), "")), lambda c: _windows(c, low, high)))
-
-
-def _windows(chars: Column, low: int, high: int) -> Column:
-    def of_size(n: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-        return F.when(F.size(chars) >= n, every).otherwise(F.slice(chars, 1, 0))
-
-    return F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)]))
+    # a look-ahead matches at every place: one pass over the text for each n, where slices of an array would copy it
+    return F.flatten(F.array(*[F.regexp_extract_all(prepared(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(low, high + 1)]))
 
 
 def gram_counts(df: DataFrame, text: Column, label: str, low: int = 2, high: int = 5) -> DataFrame:

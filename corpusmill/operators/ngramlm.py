@@ -12,8 +12,9 @@ GRID = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45)
 def bigrams(df: DataFrame, words: Column) -> DataFrame:
     """first and second of each pair in a text, sentence marks included; repeats included."""
     w = F.concat(F.array(F.lit("<s>")), F.filter(words, lambda x: x != ""), F.array(F.lit("</s>")))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.struct(F.element_at(w, i).alias("first"), F.element_at(w, i + 1).alias("second")))
-    return df.select(F.explode(pairs).alias("p")).select("p.*")
+    rows = df.select(w.alias("w"))  # a column of its own, so that it is built once a row
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    return rows.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def model(df: DataFrame, words: Column) -> tuple[DataFrame, DataFrame]:

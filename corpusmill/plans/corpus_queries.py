@@ -611,9 +611,10 @@ def number_words(spark: SparkSession, d: str) -> DataFrame:
 # Models
 
 
-@query("""WITH t AS (SELECT doc_id, lang, lower(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM documents),
-c AS (SELECT lang, string_split(t, '') AS t FROM t), g AS (SELECT lang, array_to_string(t[i:i + n - 1], '') AS gram FROM (SELECT lang, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS n)))
-SELECT gram, lang, count(*) AS n FROM g GROUP BY ALL""".replace("\\\\", "\\"))
+@query(r"""WITH t AS (SELECT doc_id, lang, string_split(lower(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '') AS t FROM documents),
+c AS (SELECT doc_id, lang, unnest(t) AS ch, generate_subscripts(t, 1) AS i FROM t),
+w AS (SELECT lang, ch || lead(ch, 1) OVER p AS g2, ch || lead(ch, 1) OVER p || lead(ch, 2) OVER p AS g3 FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY i))
+SELECT gram, lang, count(*) AS n FROM (SELECT lang, g2 AS gram FROM w UNION ALL SELECT lang, g3 FROM w) WHERE gram IS NOT NULL GROUP BY ALL""")
 def nb_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     return langid.gram_counts(_documents(spark, d, "lang", "text"), F.col("text"), "lang", 2, 3)
 

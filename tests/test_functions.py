@@ -18,7 +18,7 @@ def value(spark, make, *inputs):
     (tx.normalise, "Één, twa-3: ‘Fûgel’!", "een twa fûgel"),
     (tx.strip_punctuation, "a.b,c?d!e:f;g-h", "abcdefg-h"),
     (tx.plain_circumflex, "âîôûê", "aiouê"),
-    (tx.fix_nbsp, "a b", "a b"),
+    (tx.fix_nbsp, "a\u00a0b", "a b"),
     (tx.split_number_compounds, "2013-2301 en 01-02-2013", "2013 2301 en 01 02 2013"),
     (tx.drop_abbreviations, "b.v.d and end.", "and end."),
     (lambda c: tx.drop_short_lines(c), "abc\nabcd", "abcd"),
