@@ -10,9 +10,10 @@ Groups of copies never meet pair by pair:
 
 * documents with equal sets form a class at once;
 * shingles with the same list of documents are merged into one weighted list;
-* in a list every document meets the list's smallest one only. If both (hub, a) and (hub, b) link, a and b are in one
-  component whatever their own similarity. Only where such a link fails does the document meet the other members of that
-  list, and there only those of another component and of fitting size. No link between components is lost.
+* in a list every document meets the list's smallest one, its hub; of its hubs first the one it shares most with, then
+  those that the links so far have not put into its component. Two members in the hub's component need no test of their
+  own. Only members outside it meet the other members of the list, and there only those of another component and of
+  fitting size, with enough shared prefix shingles to reach the threshold. No link between components is lost.
 
 Pairs are verified on the shingles themselves, as words.
 
@@ -34,10 +35,11 @@ from corpusmill.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
-#: Shingles in the broadcast table of frequencies; it sets the order alone and never what links.
-COMMON = 200_000
+#: Bound of the broadcast table of frequencies; it sets the order alone and never what links.
+COMMON = 1_000_000
 MAX_SHARED = 8
-_CHUNK_WORDS = 2_000_000
+_WEIGHT = (1 << 20) - 1
+_CHUNK_WORDS = 4_000_000
 
 
 def shingles(text: bytes | None, n: int) -> np.ndarray:
@@ -59,7 +61,7 @@ def _survey(n: int):
     def run(it):
         def out(parts):
             key, count = np.unique(np.concatenate(parts), return_counts=True)
-            often = count >= 3
+            often = count >= 2
             return pa.RecordBatch.from_arrays([pa.array(common.signed(key[often])), pa.array(count[often].astype(np.int64))], names=["shingle", "n"])
 
         parts, size = [], 0
@@ -153,7 +155,8 @@ class _Join:
 
     def run(self) -> DataFrame:
         counted = self.docs.select("text").mapInArrow(_survey(self.n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        rows = counted.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+        counted = common.durable(counted)
+        rows = counted.filter(F.col("n") >= self.least_count(counted)).toArrow()
         key, count = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
         order = np.argsort(key)
         shared = self.spark.sparkContext.broadcast((key[order], count[order]))
@@ -169,34 +172,71 @@ class _Join:
         sums = [F.sum(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 31))).alias(f"s{k}") for k in (1, 2)]
         lists = entries.groupBy("token").agg(F.min(F.struct("doc_id", "size", "need")).alias("hub"), F.count("*").alias("n"), *sums)
         lists = lists.groupBy("hub", "n", "s1", "s2").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
-        lists = entries.join(lists.select("token", "hub", "weight"), "token").filter("doc_id != hub.doc_id or size != hub.size")
+        lists = entries.join(lists.select("token", "hub", "weight"), "token")
         lists = common.durable(lists.select("token", "weight", "doc_id", "size", "need", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.need").alias("hub_need")))
 
         stars = lists.filter("doc_id != hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "size", "hub_size", "need", "hub_need").agg(F.sum("weight").alias("shared"))
-        likely = stars.filter(self.fits("size", "hub_size") & (F.col("shared") >= F.least("need", "hub_need"))).select("a", "b").distinct()
-        found = common.durable(self.links(common.durable(likely)))
-        edges = edges.unionByName(found)
-        more = self.rest(lists, found, components(edges))
-        if not more.isEmpty():
-            edges = edges.unionByName(common.durable(self.links(more)))
-        group = components(edges)
+        stars = common.durable(stars.filter(self.fits("size", "hub_size") & (F.col("shared") >= F.least("need", "hub_need"))).groupBy("a", "b").agg(F.max("shared").alias("shared")))
+        nearest = common.durable(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+        group = components(edges.unionByName(self.links(nearest)))
+        apart = common.durable(self.apart(stars.select("a", "b"), group).join(nearest, ["a", "b"], "left_anti"))
+        group = self.grown(group, apart)
+        group = self.grown(group, common.durable(self.rest(lists, group).join(nearest.unionByName(apart), ["a", "b"], "left_anti")))
         return own.select("doc_id", F.col("size").cast("long").alias("n_shingles")).join(group, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
-    def rest(self, lists: DataFrame, found: DataFrame, group: DataFrame) -> DataFrame:
-        """Pairs inside lists that no hub has settled: one of them at least failed to link with the list's hub."""
-        ok = found.select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.lit(True).alias("ok"))
-        members = lists.join(ok, ["hub", "doc_id"], "left").join(group, F.col("doc_id") == F.col("node"), "left")
-        members = members.select("token", "weight", "doc_id", "size", "need", F.coalesce("component", "doc_id").alias("component"), F.col("ok").isNull().alias("open"))
+    def least_count(self, counted: DataFrame) -> int:
+        """The least frequency that keeps the table of frequencies within COMMON."""
+        many = counted.groupBy("n").agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).toLocalIterator()  # a row a frequency
+        total, least = 0, 2
+        for row in many:
+            total += row["shingles"]
+            if total > COMMON:
+                return row["n"] + 1
+            least = row["n"]
+        return least
+
+    def apart(self, pairs: DataFrame, group: DataFrame) -> DataFrame:
+        """The pairs that are not yet in one component."""
+        for side in ("a", "b"):
+            own = group.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+            pairs = pairs.join(own, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+        return pairs.filter("of_a != of_b").select("a", "b")
+
+    def grown(self, group: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the links among ``pairs``."""
+        if pairs.isEmpty():
+            return group
+        return components(group.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(self.links(pairs)))
+
+    def rest(self, lists: DataFrame, group: DataFrame) -> DataFrame:
+        """Pairs inside lists that no hub has settled: one of them at least is not in the component of the list's hub."""
+        own = group.select(F.col("node").alias("doc_id"), "component")
+        hubs = group.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+        members = lists.join(own, "doc_id", "left").join(hubs, "hub", "left")
+        members = members.select("token", "weight", "doc_id", "size", "need", F.coalesce("component", "doc_id").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component"))
+        members = members.withColumn("open", F.col("component") != F.col("hub_component"))
         # a list with an open member and one component in all is settled
         spread = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("open").alias("any")).filter("any and lo != hi").select("token")
-        members = common.durable(members.join(spread, "token"))
+        # a list as one number, its weight in the low bits; weights beyond them count as enough for any pair
+        key = F.col("token").bitwiseAND(F.lit(~_WEIGHT)).bitwiseOR(F.least("weight", F.lit(_WEIGHT)))
+        members = common.durable(members.join(spread, "token").withColumn("key", key))
+        # sets of different components share open lists alone, so these are all that two documents can share
+        own = members.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        members = common.durable(members.drop("weight", "hub_component").join(own, "doc_id"))
         x, y = members.alias("x"), members.alias("y")
+        # what two sets share is at most what their prefixes share and what is left of the one whose prefix ends first
+        beyond = lambda k: F.ceil(F.col(f"{k}.size") * self.percent / 100) - F.col(f"{k}.need")
+        overlap = F.ceil((F.col("x.size") + F.col("y.size")) * self.percent / (100 + self.percent))
+        need = F.greatest(F.least("x.need", "y.need").cast("long"), overlap - F.greatest(beyond("x"), beyond("y")))
+        both = F.array_intersect("x.keys", "y.keys")
+        shared = F.aggregate(both, F.lit(0).cast("long"), lambda a, k: a + k.bitwiseAND(F.lit(_WEIGHT)))
+        # a pair comes up once, in the first list that both are in, and only with enough in common
         meets = (
             (F.col("x.token") == F.col("y.token")) & F.col("x.open") & (F.col("x.component") != F.col("y.component"))
             & (~F.col("y.open") | (F.col("x.doc_id") < F.col("y.doc_id"))) & self.fits("x.size", "y.size")
+            & (F.try_element_at(both, F.lit(1)) == F.col("x.key")) & (shared >= F.least(need, F.lit(_WEIGHT)))
         )
-        pairs = x.join(y, meets).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.least("x.need", "y.need").alias("need"), F.col("x.weight").alias("weight"))
-        return common.durable(pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b"))
+        return x.join(y, meets).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
