@@ -1,10 +1,9 @@
 """Exact top-k by inner product, by aggregation without random access over sorted lists.
 
 The candidates lie in blocks of ``BLOCK`` vectors. In a block each dimension is a list of vectors sorted by coordinate. A
-query reads all lists from the end that suits its sign, in rounds, and keeps for each vector a lower and an upper bound of
-its score: what was read, plus for each dimension not yet read the list's last or current value. Vectors whose upper bound
-lies under the k-th lower bound are given up; reading stops once no other vector can qualify, or once few enough are left
-that reading on costs more than their sums. The final scores of those left are then resolved in whole numbers. Each block
+query reads all lists from the end that suits its sign, in two rounds (a quarter, then half of each list), and keeps for each
+vector a lower and an upper bound of its score: what was read, plus for each dimension not yet read the list's last or
+current value. Vectors whose upper bound lies under the k-th lower bound cannot qualify and are given up. The final scores of those left are then resolved in whole numbers. Each block
 gives at most k rows a query, and the best k of all blocks are the answer.
 
 Queries are broadcast in blocks of at most ``QUERIES`` rows, whatever their number; every block meets all candidates.
@@ -46,29 +45,32 @@ class Block:
         np.put_along_axis(self.rank, self.order, np.broadcast_to(np.arange(n), self.order.shape), axis=1)
         self.rank = self.rank.T.copy()
 
-    def best(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best for query ``q``; rows with its id are left out."""
-        n = len(self.ids)
-        live = np.flatnonzero(self.ids != own)
-        if len(live) > k:
-            used = np.flatnonzero(q)
-            up = q[used] > 0
-            # a list's worst contribution, for dimensions not yet read
-            last = np.where(up, self.value[used, 0], self.value[used, -1]) * q[used]
-            depth = max(1, n // 64)
-            while depth < n and len(live) > 4 * k:
-                edge = np.where(up, self.value[used, n - depth], self.value[used, depth - 1]) * q[used]
-                rank = self.rank[live][:, used]
-                read = np.where(up, rank >= n - depth, rank < depth)
-                part = self.x[live][:, used] * q[used]
-                low = np.where(read, part, last).sum(axis=1)
-                high = np.where(read, part, edge).sum(axis=1)
-                bar = np.partition(low, len(low) - k)[len(low) - k]
-                live = live[high >= bar]
-                depth *= 4
-        score = self.x[live] @ q
-        o = np.lexsort((self.ids[live], -score))[:k]
-        return self.ids[live][o], score[o]
+    def search(self, owns: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and scores of the k best for each query; rows with its own id are left out.
+
+        The bounds of all vectors and many queries after a round are a few matrix products: what was read, and for what was
+        not the list's worst value (lower bound) or the value reached (upper bound).
+        """
+        n, out = len(self.ids), []
+        exact = float(np.abs(self.x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * self.dims < 2.0**53
+        for begin in range(0, len(owns), 256):
+            own, q = owns[begin : begin + 256], queries[begin : begin + 256]
+            live = self.ids[:, None] != own[None, :]
+            for depth in (n // 4, n // 2) if exact and n > 8 * k else ():
+                up, down = (self.rank >= n - depth).astype(np.float64), (self.rank < depth).astype(np.float64)
+                pos, neg = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+                read = (up * self.x) @ pos.T + (down * self.x) @ neg.T
+                bounds = []
+                for a, b in ((self.value[:, 0], self.value[:, -1]), (self.value[:, n - depth], self.value[:, depth - 1])):
+                    bounds.append(read + (pos * a + neg * b).sum(axis=1) - up @ (pos * a).T - down @ (neg * b).T)
+                low = np.where(live, bounds[0], -np.inf)
+                live &= bounds[1] >= np.partition(low, n - k, axis=0)[n - k]
+            for j in range(len(own)):
+                left = np.flatnonzero(live[:, j])
+                score = self.x[left] @ q[j]
+                o = np.lexsort((self.ids[left], -score))[:k]
+                out.append((self.ids[left][o], score[o]))
+        return out
 
 
 def whole(vectors: list, scale: int) -> list[np.ndarray | None]:
@@ -97,10 +99,9 @@ def _searched(shared, k: int, scale: int):
             for dims, (own, x) in _matrices(ids, vectors, scale).items():
                 if dims not in shared.value:
                     continue
-                block, found = Block(own, x), []
-                for q, vector in zip(*shared.value[dims], strict=True):
-                    near, score = block.best(q, vector, k)
-                    found.append((np.full(len(near), q), near, score))
+                asked, wanted = shared.value[dims]
+                best = Block(own, x).search(asked, wanted, k)
+                found = [(np.full(len(near), q), near, score) for q, (near, score) in zip(asked, best, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], schema=schema)
 
         ids, vectors = [], []
