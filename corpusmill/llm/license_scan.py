@@ -2,9 +2,11 @@ r"""License scans by conditional compression.
 
 A candidate block is a run of lines with a cue word, gaps of ``GAP`` lines included. Each block is compressed by zstandard
 alone and with each template as a raw dictionary; the templates are ranked by how much smaller the block becomes. The
-``RANKED`` best are then confirmed by the exact differences in wording: a template is found where its words, in order and
-with case and punctuation put aside, stand in the block with at most ``ALLOWED`` percent of them missing. All confirmed
-templates of a block are reported, but for one whose words all belong to a longer confirmed one at the same place.
+``RANKED`` best are then confirmed by the exact differences in wording, in the block and the lines around it, since lines
+of a license need not have a cue: a template is found where its words, case and punctuation put aside, stand in order with
+at most ``ALLOWED`` percent of them missing, its version number never. Confirmed words are taken out of the block and what
+is left is ranked again, until nothing more is confirmed, so that a block may hold any number of licenses. Of licenses
+confirmed at places that overlap, the one with the most words in common is reported, ties to fewer differences.
 
 Edge cases (tested): null and empty texts have no block; a block without a confirmed template gives no row, unless
 ``unconfirmed`` asks for it (license null); rows that repeat are each scanned; ties in rank go to the template's name; very
@@ -14,6 +16,7 @@ long lines are compared whole; an empty table gives an empty result; further col
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm import common
 
 GAP = 1
+#: Longer runs of lines are parted; the lines around a block cover what lies across the cut.
+BLOCK_LINES = 64
 RANKED = 4
 ALLOWED = 10
 CUES = r"(?i)licen[sc]|copyright|copyleft|all rights reserved|permission|redistribut|warrant|public domain|creative commons|\bcc[ -](?:by|0)|spdx|\bgpl\b|\bmit\b|\bbsd\b"
@@ -54,28 +59,45 @@ _SCHEMA = pa.schema([
 _OUT = "doc_id long, first_line int, last_line int, license string, rank int, saved double, n_missing int, n_other int, missing array<string>, other array<string>"
 
 
+_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_NUMBER = re.compile(r"\d+(\.\d+)*")
+
+
 def wording(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+    return _WORD.findall(text.lower())
 
 
-def blocks(text: str, cue: re.Pattern) -> list[tuple[int, int]]:
+def blocks(lines: list[str], cue: re.Pattern) -> list[tuple[int, int]]:
     """First and last line of each candidate block."""
-    lines = text.split("\n")
-    hits = [i for i, line in enumerate(lines) if cue.search(line)]
     out: list[list[int]] = []
-    for i in hits:
-        if out and i - out[-1][1] <= GAP + 1:
-            out[-1][1] = i
-        else:
-            out.append([i, i])
+    for i, line in enumerate(lines):
+        if cue.search(line):
+            if out and i - out[-1][1] <= GAP + 1 and i - out[-1][0] < BLOCK_LINES:
+                out[-1][1] = i
+            else:
+                out.append([i, i])
     return [(a, b) for a, b in out]
 
 
-def difference(template: list[str], block: list[str]) -> tuple[list[str], int, int]:
-    """Template words not in the block in order, and the part of the block (first word, end) that the others span."""
-    same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+def difference(template: list[str], matcher: SequenceMatcher) -> tuple[list[int], list[int]]:
+    """Places of the template's words that are missing, and those of the words (``matcher``'s second sequence) that agree.
+
+    The longest run in common fixes the place; all else is compared in a window little longer than the template, so that
+    a word far off never stands in for one that was changed.
+    """
+    matcher.set_seq1(template)
+    run = matcher.find_longest_match()
+    slack = 2 * ALLOWED * len(template) // 100
+    begin = max(0, run.b - run.a - slack)
+    near = matcher.b[begin : run.b - run.a + len(template) + slack]
+    same = SequenceMatcher(None, template, near, autojunk=False).get_matching_blocks() if run.size else []
     held = {m.a + k for m in same for k in range(m.size)}
-    return [w for i, w in enumerate(template) if i not in held], same[0].b if same else 0, same[-1].b + same[-1].size if same else 0
+    return [i for i in range(len(template)) if i not in held], [begin + m.b + k for m in same for k in range(m.size)]
+
+
+def _version(template: list[str], i: int) -> bool:
+    """Whether a word of the template is the license's version."""
+    return bool(_NUMBER.fullmatch(template[i])) and ("." in template[i] or (i > 0 and template[i - 1] == "version"))
 
 
 class Scanner:
@@ -83,37 +105,75 @@ class Scanner:
         self.cue = re.compile(CUES)
         self.names = sorted(templates)
         self.words = {n: wording(templates[n]) for n in self.names}
+        self.around = 2 * max(map(len, templates.values()))
         plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.alone = plain.compress
         self.given = {n: zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress for n in self.names}
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
         """(share of the compressed size saved, name), best first."""
-        data = block.encode()
+        data = block.encode(errors="replace")
         size = len(self.alone(data))
         return sorted(((1 - len(self.given[n](data)) / size, n) for n in self.names), key=lambda x: (-x[0], x[1]))
 
+    def confirmed(self, text: str, begin: int, end: int) -> list[dict]:
+        """Licenses in the block ``text[begin:end]``, with the characters that each spans."""
+        shift, out = max(0, begin - self.around), []
+        found = [(m.start() + shift, m.end() + shift, m[0].lower()) for m in _WORD.finditer(text[shift : end + self.around])]
+        pieces = [(begin, end)]
+        while pieces:
+            matcher = SequenceMatcher(None, [], [w for _, _, w in found], autojunk=False)
+            news = []
+            for rank, (saved, name) in enumerate(self.ranked("\n".join(text[a:b] for a, b in pieces))[:RANKED], 1):
+                template = self.words[name]
+                missing, held = difference(template, matcher)
+                if 100 * len(missing) > ALLOWED * len(template) or any(_version(template, i) for i in missing):
+                    continue
+                first, last, places = held[0], held[-1], set(held)
+                other = [found[i][2] for i in range(first, last + 1) if i not in places]
+                if len(held) + len(other) <= len(template) * (100 + 2 * ALLOWED) / 100:
+                    news.append({"license": name, "rank": rank, "saved": saved, "span": (found[first][0], found[last][1]), "held": len(held), "missing": [template[i] for i in missing], "other": other})
+            if not news:
+                return out
+            news = best(news)
+            out += news
+            for start, stop in (n["span"] for n in news):
+                found = [(a, b, w) if b <= start or a >= stop else (a, b, "") for a, b, w in found]  # a place without a word parts its neighbours
+                pieces = [p for a, b in pieces for p in ((a, min(b, start)), (max(a, stop), b)) if p[0] < p[1]]
+        return out
+
     def scan(self, text: str) -> list[dict]:
         lines, out = text.split("\n"), []
-        for a, b in blocks(text, self.cue):
-            block = "\n".join(lines[a : b + 1])
-            words, found = wording(block), []
-            for rank, (saved, name) in enumerate(self.ranked(block)[:RANKED], 1):
-                template = self.words[name]
-                missing, start, end = difference(template, words)
-                # words in between are differences as well: the place found must be little longer than the template
-                if 100 * len(missing) <= ALLOWED * len(template) and end - start <= len(template) * (100 + 2 * ALLOWED) / 100:
-                    held = end - start
-                    found.append((start, end, held, name, rank, saved, missing))
-            for start, end, held, name, rank, saved, missing in found:
-                if not any(s <= start and end <= e and h > held for s, e, h, *_ in found):
-                    other = words[:start] + words[end:]
-                    out.append({"first_line": a, "last_line": b, "license": name, "rank": rank, "saved": saved, "n_missing": len(missing), "n_other": len(other), "missing": missing, "other": other})
-            if not found:
-                out.append({"first_line": a, "last_line": b, "license": None, "rank": None, "saved": None, "n_missing": None, "n_other": len(words), "missing": None, "other": words})
+        starts = [0]
+        for line in lines:
+            starts.append(starts[-1] + len(line) + 1)
+        found, empty = [], []
+        for a, b in blocks(lines, self.cue):
+            here = self.confirmed(text, starts[a], starts[b + 1] - 1)
+            found += here
+            if not here:
+                empty.append((a, b))
+        for f in best(found):
+            a, b = (bisect(starts, x) - 1 for x in (f["span"][0], f["span"][1] - 1))
+            out.append({k: f[k] for k in ("license", "rank", "saved", "missing", "other")} | {"first_line": a, "last_line": b, "n_missing": len(f["missing"]), "n_other": len(f["other"])})
+        for a, b in empty:
+            words = wording("\n".join(lines[a : b + 1]))
+            out.append({"first_line": a, "last_line": b, "license": None, "rank": None, "saved": None, "n_missing": None, "n_other": len(words), "missing": None, "other": words})
         return out
 
 
+def best(found: list[dict]) -> list[dict]:
+    """Of licenses at places that overlap the one with the most words in common, in order of place."""
+    spans: list[tuple[int, int]] = []
+    out = []
+    for f in sorted(found, key=lambda f: (-f["held"], len(f["missing"]) + len(f["other"]), f["rank"], f["license"], f["span"])):
+        at = bisect(spans, f["span"])
+        if (at == 0 or spans[at - 1][1] <= f["span"][0]) and (at == len(spans) or spans[at][0] >= f["span"][1]):
+            spans.insert(at, f["span"])
+            out.append(f)
+    return sorted(out, key=lambda f: f["span"])
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, unconfirmed: bool = False) -> DataFrame:
     """One row for each license confirmed in a block: lines, license, rank, share saved, and the words that differ."""
     templates = templates or TEMPLATES
