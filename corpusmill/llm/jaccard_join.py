@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from corpusmill.llm import common
 from corpusmill.llm.components import components
 
-SHINGLE = 4
-PERCENT = 85
+SHINGLE = 5
+PERCENT = 80
 #: Bound of the broadcast table of frequencies; it sets the order alone and never what links.
 COMMON = 1_000_000
 MAX_SHARED = 8
@@ -245,4 +245,4 @@ def join_components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
