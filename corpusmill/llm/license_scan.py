@@ -1,9 +1,10 @@
 r"""License scans by conditional compression.
 
 A candidate block is a run of lines with a cue word, gaps of ``GAP`` lines included. Each block is compressed by zstandard
-alone and with each template as a raw dictionary; the templates are ranked by how much smaller the block becomes. The
-``RANKED`` best are then confirmed by the exact differences in wording, in the block and the lines around it, since lines
-of a license need not have a cue: a template is found where its words, case and punctuation put aside, stand in order with
+alone and with each template as a raw dictionary; the templates are ranked by how much smaller the block becomes. In this
+order all are then confirmed by the exact differences in wording, in the block and the lines around it, since lines of a
+license need not have a cue; only those with too few of their words anywhere in that text are passed over, as they can't be
+confirmed. A template is found where its words, case and punctuation put aside, stand in order with
 at most ``ALLOWED`` percent of them missing, its version number never. Confirmed words are taken out of the block and what
 is left is ranked again, until nothing more is confirmed, so that a block may hold any number of licenses. Of licenses
 confirmed at places that overlap, the one with the most words in common is reported, ties to fewer differences.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -29,7 +31,6 @@ from corpusmill.llm import common
 GAP = 1
 #: Longer runs of lines are parted; the lines around a block cover what lies across the cut.
 BLOCK_LINES = 64
-RANKED = 4
 ALLOWED = 10
 CUES = r"(?i)licen[sc]|copyright|copyleft|all rights reserved|permission|redistribut|warrant|public domain|creative commons|\bcc[ -](?:by|0)|spdx|\bgpl\b|\bmit\b|\bbsd\b"
 
@@ -105,6 +106,7 @@ class Scanner:
         self.cue = re.compile(CUES)
         self.names = sorted(templates)
         self.words = {n: wording(templates[n]) for n in self.names}
+        self.counts = {n: Counter(w) for n, w in self.words.items()}
         self.around = 2 * max(map(len, templates.values()))
         plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.alone = plain.compress
@@ -116,15 +118,21 @@ class Scanner:
         size = len(self.alone(data))
         return sorted(((1 - len(self.given[n](data)) / size, n) for n in self.names), key=lambda x: (-x[0], x[1]))
 
+    def possible(self, words: Counter) -> set[str]:
+        """Templates of whose words enough are there, in whatever order; no other can be confirmed."""
+        return {n for n in self.names if 100 * sum((self.counts[n] - words).values()) <= ALLOWED * len(self.words[n])}
+
     def confirmed(self, text: str, begin: int, end: int) -> list[dict]:
         """Licenses in the block ``text[begin:end]``, with the characters that each spans."""
         shift, out = max(0, begin - self.around), []
         found = [(m.start() + shift, m.end() + shift, m[0].lower()) for m in _WORD.finditer(text[shift : end + self.around])]
         pieces = [(begin, end)]
-        while pieces:
+        while pieces and (possible := self.possible(Counter(w for _, _, w in found))):
             matcher = SequenceMatcher(None, [], [w for _, _, w in found], autojunk=False)
             news = []
-            for rank, (saved, name) in enumerate(self.ranked("\n".join(text[a:b] for a, b in pieces))[:RANKED], 1):
+            for rank, (saved, name) in enumerate(self.ranked("\n".join(text[a:b] for a, b in pieces)), 1):
+                if name not in possible:
+                    continue
                 template = self.words[name]
                 missing, held = difference(template, matcher)
                 if 100 * len(missing) > ALLOWED * len(template) or any(_version(template, i) for i in missing):
