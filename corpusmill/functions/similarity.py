@@ -42,17 +42,39 @@ def _coded(items: Column, vocabulary: Column) -> Column:
     return F.array_join(F.transform(items, lambda w: F.substr(F.lit(_ALPHABET), F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
 
 
+def _edits(x: list[str], y: list[str]) -> int:
+    """Edit distance, exact and in linear memory: a column of the table is two integers of a bit a word (Myers, Hyyrö)."""
+    begin, end = 0, 0
+    while begin < min(len(x), len(y)) and x[begin] == y[begin]:
+        begin += 1
+    while end < min(len(x), len(y)) - begin and x[-1 - end] == y[-1 - end]:
+        end += 1
+    x, y = x[begin : len(x) - end], y[begin : len(y) - end]
+    if not x or not y:
+        return len(x) + len(y)
+    places: dict[str, int] = {}
+    for i, w in enumerate(x):
+        places[w] = places.get(w, 0) | 1 << i
+    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, distance = full, 0, len(x)
+    for w in y:
+        same = places.get(w, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        distance += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        same |= down
+        up, down = less | (full & ~(same | more)), more & same
+    return distance
+
+
 def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    def one(x, y):
-        last = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            row = [i]
-            for j, q in enumerate(y, 1):
-                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (p != q)))
-            last = row
-        return last[-1]
+    return pd.Series([None if x is None or y is None else _edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
 
-    return pd.Series([None if x is None or y is None else one(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
+def _text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    words = lambda s: [w for w in s.split(" ") if w]
+    return pd.Series([None if x is None or y is None else _edits(words(x), words(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
@@ -69,3 +91,8 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
 def word_edits_any(reference: Column, hypothesis: Column) -> Column:
     """The same for any number of distinct words, in Python."""
     return F.pandas_udf(_word_distance, "long")(reference, hypothesis)
+
+
+def text_edits(reference: Column, hypothesis: Column) -> Column:
+    """Edit distance in words of two texts of any length, whose words spaces part."""
+    return F.pandas_udf(_text_distance, "long")(reference, hypothesis)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.similarity import word_edits, word_edits_any
+from corpusmill.functions.similarity import text_edits
 
 
 def word_counts(df: DataFrame, words: Column, *by: str) -> DataFrame:
@@ -119,8 +119,8 @@ def error_totals(df: DataFrame, group: str) -> DataFrame:
 
 def corpus_wer(df: DataFrame, reference: Column, hypothesis: Column) -> DataFrame:
     """Edits and reference words over all pairs, and their quotient."""
-    a, b = (F.filter(F.split(x, " +"), lambda w: w != "") for x in (reference, hypothesis))
-    few = df.select(F.size(a).alias("n"), F.coalesce(word_edits(a, b), word_edits_any(a, b)).alias("e"))
+    words = F.filter(F.split(reference, " +"), lambda w: w != "")
+    few = df.select(F.size(words).alias("n"), text_edits(reference, hypothesis).alias("e"))
     return few.agg(F.sum("e").alias("edits"), F.sum("n").alias("n_ref")).withColumn("wer", F.col("edits") / F.col("n_ref"))
 
 

@@ -284,7 +284,7 @@ def word_edit_distance(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def corpus_word_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """Edits over reference words of the corpus, for texts against their own normalised form."""
-    return ag.corpus_wer(_documents(spark, d, "text"), F.substring("text", 1, 400), tx.normalise(F.substring("text", 1, 400)))
+    return ag.corpus_wer(_documents(spark, d, "text"), F.col("text"), tx.normalise(F.col("text")))
 
 
 @query()
