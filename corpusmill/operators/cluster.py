@@ -7,14 +7,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A group is clustered by one task with a distance matrix; larger ones are subdivided by the caller (see threshold_buckets).
+#: Up to this many rows a group's distances are held as a matrix; larger groups take linear memory, to the same end.
 MOST_ROWS = 4000
 
 
+def squares(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all pairs."""
+    return np.array([((x - row) ** 2).sum(axis=1) for row in x]).reshape(len(x), len(x))
+
+
 def ward(x: np.ndarray) -> list[tuple[int, int]]:
     """Merges in order, by the Lance-Williams update of squared distances; of equal distances the first pair."""
     n = len(x)
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    d = squares(x)
     np.fill_diagonal(d, np.inf)
     size, merges = np.ones(n), []
     for _ in range(n - 1):
@@ -31,6 +36,37 @@ def ward(x: np.ndarray) -> list[tuple[int, int]]:
     return merges
 
 
+def ward_chain(x: np.ndarray) -> list[tuple[int, int]]:
+    """The merges of ``ward`` for any number of rows, by chains of nearest neighbours: linear memory, quadratic time.
+
+    The distance of two clusters follows from their sizes and centroids; merges are put in order of distance at the end.
+    """
+    names, centre, size, height = np.arange(len(x)), x.copy(), np.ones(len(x)), np.zeros(len(x))
+    live, merges, chain = np.ones(len(x), bool), [], []
+    for left in range(len(x), 1, -1):
+        if not chain and 2 * left < len(live):  # clusters merged away are left behind
+            names, centre, size, height, live = names[live], centre[live], size[live], height[live], live[live]
+        if not chain:
+            chain.append(int(np.argmax(live)))
+        while True:
+            i = chain[-1]
+            d = 2 * size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(axis=1)
+            d[i], d[~live] = np.inf, np.inf
+            j = int(np.argmin(d))
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        high = max(d[j], height[i], height[j])
+        i, j = (i, j) if names[i] < names[j] else (j, i)
+        merges.append((high, int(names[i]), int(names[j])))
+        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        height[i], live[j] = high, False
+    return [(i, j) for _, i, j in sorted(merges, key=lambda m: m[0])]
+
+
 def labels_at(merges: list[tuple[int, int]], n: int, k: int) -> np.ndarray:
     """Cluster numbers by first appearance when k are left."""
     parent = list(range(n))
@@ -48,9 +84,25 @@ def labels_at(merges: list[tuple[int, int]], n: int, k: int) -> np.ndarray:
 
 def silhouette(dist: np.ndarray, labels: np.ndarray) -> float:
     """Mean of (b - a) / max(a, b) with Euclidean distances; 0 for a cluster of one."""
-    k = labels.max() + 1
-    sums = np.stack([dist[:, labels == c].sum(axis=1) for c in range(k)], axis=1)
-    sizes = np.bincount(labels, minlength=k)
+    return _silhouette(np.stack([dist[:, labels == c].sum(axis=1) for c in range(labels.max() + 1)], axis=1), labels)
+
+
+def silhouettes(x: np.ndarray, tried: list[np.ndarray], rows: int = 256) -> list[float]:
+    """The silhouette of each labelling, without the matrix of distances."""
+    x = x - x.mean(axis=0)
+    norm, member = (x**2).sum(axis=1), [np.eye(t.max() + 1)[t] for t in tried]
+    sums = [np.empty(m.shape) for m in member]
+    for begin in range(0, len(x), rows):
+        part = slice(begin, min(begin + rows, len(x)))
+        dist = np.sqrt(np.maximum(norm[part, None] + norm - 2 * x[part] @ x.T, 0))
+        dist[np.arange(part.stop - begin), np.arange(begin, part.stop)] = 0
+        for s, m in zip(sums, member, strict=True):
+            s[part] = dist @ m
+    return [_silhouette(s, t) for s, t in zip(sums, tried, strict=True)]
+
+
+def _silhouette(sums: np.ndarray, labels: np.ndarray) -> float:
+    sizes = np.bincount(labels)
     own = sizes[labels]
     a = sums[np.arange(len(labels)), labels] / np.maximum(own - 1, 1)
     means = sums / sizes
@@ -65,24 +117,27 @@ def speakers(x: np.ndarray, kmax: int = 10) -> np.ndarray:
     n = len(x)
     if n <= 2:
         return np.zeros(n, int)
-    merges = ward(x)
+    large = n > MOST_ROWS
+    merges = ward_chain(x) if large else ward(x)
     if kmax == 2:
         return labels_at(merges, n, 2)
-    dist = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-    tried = [(labels_at(merges, n, k), k) for k in range(2, max(3, min(n, kmax)))]
-    return max(((silhouette(dist, t), -k, i) for i, (t, k) in enumerate(tried)))[2:] and tried[max(range(len(tried)), key=lambda i: (silhouette(dist, tried[i][0]), -tried[i][1]))][0]
+    tried = [labels_at(merges, n, k) for k in range(2, max(3, min(n, kmax)))]
+    if large:
+        found = silhouettes(x, tried)
+    else:
+        dist = np.sqrt(squares(x))
+        found = [silhouette(dist, t) for t in tried]
+    return tried[int(np.argmax(found))]
 
 
 def cluster_groups(df: DataFrame, group: str, key: str, vector: str, kmax: int = 10) -> DataFrame:
-    """group, key, cluster. Groups over MOST_ROWS rows are dealt into equal parts first, each clustered by itself."""
-    # parts by hash of the key: a group of any size never sits in one task
-    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / MOST_ROWS).cast("int").alias("_parts"))
-    rows = df.join(sizes, F.col(group) == F.col("_g")).withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")))
+    """group, key, part, cluster. One task clusters the whole of a group, whatever its size; ``part`` is always 0."""
+    rows = df.filter(F.col(group).isNotNull())
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         found = speakers(np.stack(pdf[vector].to_numpy()).astype(np.float64), min(kmax, len(pdf)) if len(pdf) < 10 else kmax)
-        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "part": pdf["_part"].to_numpy(), "cluster": found})
+        return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "part": 0, "cluster": found})
 
     kinds = dict(df.dtypes)
-    return rows.select(group, key, vector, "_part").groupBy(group, "_part").applyInPandas(one, f"{group} {kinds[group]}, {key} {kinds[key]}, part long, cluster long")
+    return rows.select(group, key, vector).groupBy(group).applyInPandas(one, f"{group} {kinds[group]}, {key} {kinds[key]}, part long, cluster long")
