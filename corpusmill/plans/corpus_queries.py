@@ -623,8 +623,8 @@ def nb_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
 def nb_predict(spark: SparkSession, d: str) -> DataFrame:
     """Language of the held-out third; a small fixture is held against a plain naive Bayes."""
     rows = splits.hash_split(_documents(spark, d, "doc_id", "lang", "text"), "doc_id")
-    model = langid.train(rows.filter("split = 'train'"), F.col("text"), "lang", 2, 3)
-    return langid.predict(rows.filter("split = 'test'").select("doc_id", "text"), "doc_id", F.col("text"), model, "lang", 2, 3).select("doc_id", "lang", F.round("score", 6).alias("score"))
+    model = langid.train(rows.filter("split = 'train'"), F.col("text"), "lang", 2, 5)
+    return langid.predict(rows.filter("split = 'test'").select("doc_id", "text"), "doc_id", F.col("text"), model, "lang", 2, 5).select("doc_id", "lang", F.round("score", 6).alias("score"))
 
 
 @query()
