@@ -1,15 +1,17 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The tree's states are contexts of one or two words. A context enters the tree if it makes up ``P_MIN`` of all training
-tokens at least, and stays if its next-symbol distribution diverges from that of its suffix: the gain in log-likelihood,
-sum over next symbols of count * ln(P(symbol | context) / P(symbol | suffix)), must reach ``GAIN``. Suffixes of states stay
-too. Symbols that follow a state in ``P_NEXT`` of all tokens or more hold their own probability, less ``DISCOUNT``; what is
-left of the mass goes to the suffix's distribution, down to the root, where every word has (c + 0.5) / (N + 0.5 (V + 1)).
-So each state's distribution sums to one. A text is scored in one walk, at each token from the longest suffix that is a
-state.
-
-Sizes: at most 1 / P_MIN contexts and 1 / P_NEXT followers a length, whatever the input, are broadcast. Counts of all words
-are a table that grows with the input; words too rare to be broadcast are joined to it.
+The tree's states are contexts of one or two words. A context that occurs twice or more enters the tree, and stays if its
+next-symbol distribution diverges from that of its suffix: the gain in log-likelihood, sum over next symbols of
+count * ln(P(symbol | context) / P(symbol | suffix)), must reach ``GAIN``. Suffixes of states stay too. Symbols that follow
+a state twice or more hold their own probability, less ``DISCOUNT``; what is left of the mass goes to the suffix's
+distribution, down to the root, where every word has (c + 0.5) / (N + 0.5 (V + 1)). So each state's distribution sums to
+one. A text is scored at each token from the longest suffix that is a state.
+
+Sizes: the tree is a table that grows with the input, a row a word, follower or state. Nothing of it is broadcast. Grams of
+one to three words are counted in buckets by hash, dealt packed, a gram once a chunk of texts; chunks then ask the buckets
+for the rows of their grams and get those that the tree has. ``score_texts`` works so; ``learn`` and ``walk`` are the same
+tree in memory, for small data. ``p_min`` and ``p_next`` raise the least counts of contexts and followers to shares of all
+tokens.
 
 Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lowered, then one end. Edge cases (tested): a null text is an empty one, its
 only token is the end; a null id is scored and not learnt from; rows that repeat are each scored; without training
@@ -18,22 +20,31 @@ documents every token has probability 1; an empty table gives an empty result; f
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import common
 
-P_MIN = 1e-5
-P_NEXT = 1e-6
+#: Contexts and followers of states occur at least this often.
+LEAST = 2
+P_MIN = 0.0
+P_NEXT = 0.0
 GAIN = 10.0
 DISCOUNT = 0.75
 CHUNK_WORDS = 2_000_000
-#: Tokens that are scored at a time.
-WALK_WORDS = 400_000
+#: Tokens of a chunk that asks for its grams.
+WALK_WORDS = 1_000_000
+#: Words of the longest gram: a context and its follower.
+LONGEST = 3
+#: Characters of text for each bucket of grams.
+BUCKET_CHARS = 5_000_000
 #: The end of a text as a symbol; no word hash is looked up under it, as hashes of words are shifted by one bit.
 END = np.uint64(1)
 
@@ -143,7 +154,7 @@ def learn(docs: DataFrame, p_min: float = P_MIN, p_next: float = P_NEXT, gain: f
     words = common.durable(_summed(docs, np.concatenate))
     total, vocabulary = words.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
-    many = lambda share: max(2, int(np.ceil(share * total)))
+    many = lambda share: max(LEAST, int(np.ceil(share * total)))
     keys, counts = _bounded(words, many(p_next))
     order = np.argsort(keys.view(np.uint64))
     tree = Tree(total, vocabulary, keys.view(np.uint64)[order], counts[order])
@@ -235,20 +246,236 @@ def walk(tree: Tree, parts: list[np.ndarray]):
     return sizes, total(known.astype(np.int64)), total(roots), total(logs), all_symbols[rare], edges
 
 
-def _walked(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("tree", pa.float64()), ("rare", pa.list_(pa.int64()))])
+def _grams(symbols: np.ndarray):
+    """For each order: keys of the grams that begin at each place, and whether the gram lies within a text."""
+    key, inside = symbols, np.ones(len(symbols), bool)
+    out = [(key, inside)]
+    for order in range(2, LONGEST + 1):
+        inside = inside[:-1] & (symbols[order - 2 : len(symbols) - 1] != END)
+        key = common.mixed(key[:-1] * np.uint64(common.BASE) + key[1:])
+        out.append((key, inside))
+    return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """An array as planes of bytes, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def _steps(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.diff(sorted_keys, prepend=np.uint64(0))
+
+
+def _cuts(sorted_keys: np.ndarray, buckets: int):
+    """(bucket, begin, end) of the keys of each bucket, a range of keys, that has any."""
+    of = ((sorted_keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    begins = np.flatnonzero(np.diff(of, prepend=np.uint64(buckets)))
+    return zip(of[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(of)], strict=True)
+
+
+def _text_chunks(it, words: int):
+    """(ids, symbols of each text) of chunks of texts."""
+    ids, parts, size = [], [], 0
+    for some, texts in common.column_batches(it, "doc_id", "text"):
+        for i, text in zip(some.to_pylist(), common.raw(texts), strict=True):
+            ids.append(i)
+            parts.append(tokens(text))
+            size += len(parts[-1])
+            if size >= words:
+                yield ids, parts
+                ids, parts, size = [], [], 0
+    if parts:
+        yield ids, parts
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_COUNTED = pa.schema([("bucket", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary()), ("suffix", pa.binary()), ("n", pa.binary())])
+_GRAMS = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
+
+
+def _counting(buckets: int):
+    """Grams of chunks with their counts: the grams without their last and first word, which give the gram's key."""
 
     def run(it):
-        for ids, texts in common.column_batches(it, "doc_id", "text"):
-            held, parts, begin, size = common.raw(texts), [], 0, 0
-            for i, text in enumerate(held, 1):
-                parts.append(tokens(text))
-                size += len(parts[-1])
-                if size >= WALK_WORDS or i == len(held):
-                    sizes, known, base, tree, rare, edges = walk(shared.value, parts)
-                    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(rare.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(begin, i - begin), pa.array(sizes, pa.int64()), pa.array(known), pa.array(base), pa.array(tree), lists], schema=schema)
-                    parts, begin, size = [], i, 0
+        for _, parts in _text_chunks(it, CHUNK_WORDS):
+            all_grams = _grams(np.concatenate(parts))
+            for order, (keys, inside) in enumerate(all_grams, 1):
+                at = np.flatnonzero(inside)
+                found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
+                at = at[first]
+                shorter = all_grams[max(order - 2, 0)][0]
+                prefix, suffix, n = shorter[at], shorter[at + (order > 1)], n.astype(np.uint32)
+                rows = [(k, order, _packed(prefix[a:b]), _packed(suffix[a:b]), _packed(n[a:b])) for k, a, b in _cuts(found, buckets)]
+                if rows:
+                    yield _batch(_COUNTED, *zip(*rows, strict=True))
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Sums over chunks; of grams of several words those that occur ``LEAST`` times."""
+    rows, out = table.to_pylist(), []
+    for order in range(1, LONGEST + 1):
+        mine = [r for r in rows if r["size"] == order]
+        if not mine:
+            continue
+        prefix, suffix = (np.concatenate([_unpacked(r[c], np.uint64) for r in mine]) for c in ("prefix", "suffix"))
+        n = np.concatenate([_unpacked(r["n"], np.uint32) for r in mine]).astype(np.int64)
+        keys = prefix if order == 1 else common.mixed(prefix * np.uint64(common.BASE) + suffix)
+        by = np.argsort(keys, kind="stable")
+        begins = np.flatnonzero(np.r_[True, keys[by][1:] != keys[by][:-1]])
+        n, first = np.add.reduceat(n[by], begins), by[begins]
+        first, n = (first, n) if order == 1 else (first[n >= LEAST], n[n >= LEAST])
+        out.append(_batch(_GRAMS, np.full(len(n), order), *(x[first].view(np.int64) for x in (keys, prefix, suffix)), n))
+    return pa.Table.from_batches(out, _GRAMS)
+
+
+def _judged(followers: DataFrame, gain: float) -> tuple[DataFrame, DataFrame]:
+    """(state, left, stays) of the states, and their followers (key, suffix, mass, p); p is that from the state if it stays.
+
+    ``followers`` has key, state, suffix, n, whole (the state's count) and shorter (the probability from the suffix).
+    """
+    rows = followers.withColumn("mass", (F.col("n") - DISCOUNT) / F.col("whole"))
+    sums = rows.groupBy("state").agg((1 - F.sum("mass")).alias("left"), (F.first("whole") - F.sum("n")).alias("others"))
+    rows = common.durable(rows.join(sums, "state"))
+    each = F.col("n") * F.log((F.col("mass") + F.col("left") * F.col("shorter")) / F.col("shorter"))
+    judged = rows.groupBy("state").agg(F.first("left").alias("left"), (F.sum(each) + F.first("others") * F.log(F.first("left")) >= gain).alias("stays"))
+    judged = common.durable(judged)
+    p = F.when(F.col("stays"), F.col("mass") + F.col("left") * F.col("shorter")).otherwise(F.col("shorter"))
+    return judged, common.durable(rows.drop("left").join(judged, "state").select("key", "state", "suffix", "mass", "n", p.alias("p")))
+
+
+def tree_table(docs: DataFrame, buckets: int, p_min: float = P_MIN, p_next: float = P_NEXT, gain: float = GAIN) -> tuple[DataFrame, int, int]:
+    """(key, value, left) of the tree, with all tokens and distinct words.
+
+    A word's value is its count, a follower's its mass; left is the share that a state leaves to its suffix, 1 if none.
+    """
+    dealt = docs.mapInArrow(_counting(buckets), "bucket long, size int, prefix binary, suffix binary, n binary")
+    grams = common.durable(dealt.groupBy("bucket").applyInArrow(_counted, "size int, key long, prefix long, suffix long, n long"))
+    words = grams.filter("size = 1").select("key", "n")
+    total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    many = lambda share: max(LEAST, int(np.ceil(share * total)))
+    counts, shorter = words, words.select("key", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).alias("shorter"))
+    states, followers = [], []
+    for order in range(2, LONGEST + 1):
+        now = grams.filter((F.col("size") == order) & (F.col("n") >= many(p_next))).select("key", F.col("prefix").alias("state"), "suffix", "n")
+        whole = counts.filter(F.col("n") >= many(p_min)).select(F.col("key").alias("state"), F.col("n").alias("whole"))
+        judged, rows = _judged(now.join(whole, "state").join(shorter.withColumnRenamed("key", "suffix"), "suffix"), gain)
+        states.append(judged)
+        followers.append(rows)
+        counts, shorter = rows.select("key", "n"), rows.select("key", F.col("p").alias("shorter"))
+    # suffixes of states stay, from the longest down
+    kept, below = [], None
+    for i in reversed(range(len(states))):
+        stays = states[i].filter("stays").select("state", "left")
+        if below is not None:
+            stays = stays.unionByName(states[i].join(below, "state", "left_semi").filter("not stays").select("state", "left"))
+        kept.insert(0, common.durable(stays))
+        if i:
+            below = followers[i - 1].join(kept[0].select(F.col("state").alias("key")), "key", "left_semi").select(F.col("suffix").alias("state")).distinct()
+    tree = None
+    for i in range(LONGEST):
+        values = words.select("key", F.col("n").cast("double").alias("value")) if i == 0 else followers[i - 1].join(kept[i - 1].select("state"), "state", "left_semi").select("key", F.col("mass").alias("value"))
+        if i < len(kept):
+            values = values.join(kept[i].withColumnRenamed("state", "key"), "key", "full" if i else "left").select("key", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("left", F.lit(1.0)).alias("left"))
+        else:
+            values = values.withColumn("left", F.lit(1.0))
+        tree = values if tree is None else tree.unionByName(values)
+    return tree, total, vocabulary
+
+
+_DEALT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("value", pa.binary()), ("left", pa.binary())])
+_DEALT_SQL = "bucket long, chunk long, keys binary, value binary, left binary"
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+#: Chunk numbers that mark rows of the tree.
+TREE = -1
+
+
+def _rows_dealt(buckets: int):
+    """The tree's rows to their buckets."""
+
+    def run(it):
+        for keys, values, lefts in common.column_batches(it, "key", "value", "left"):
+            key = keys.to_numpy().view(np.uint64)
+            by = np.argsort(key)
+            key, value, left = key[by], values.to_numpy()[by], lefts.to_numpy()[by]
+            rows = [(k, TREE, _packed(key[a:b]), _packed(value[a:b]), _packed(left[a:b])) for k, a, b in _cuts(key, buckets)]
+            yield _batch(_DEALT, *zip(*rows, strict=True))
+
+    return run
+
+
+def _asking(buckets: int):
+    """Each chunk's distinct grams to the buckets, and the chunk itself (ids, sizes, symbols) by way of one of them."""
+
+    def run(it):
+        part = TaskContext.get().partitionId() << 32
+        for no, (ids, parts) in enumerate(_text_chunks(it, WALK_WORDS)):
+            chunk, symbols = part + no, np.concatenate(parts)
+            every, number = np.unique(symbols, return_inverse=True)
+            asked = np.unique(np.concatenate([every, *(k[inside] for k, inside in _grams(symbols)[1:])]))
+            rows = [(k, chunk, _packed(_steps(asked[a:b])), None, None) for k, a, b in _cuts(asked, buckets)]
+            held = pickle.dumps((ids, [len(p) for p in parts], _packed(every), _packed(number.astype(np.uint32))))
+            rows.append((rows[0][0], chunk, None, held, None))
+            yield _batch(_DEALT, *zip(*rows, strict=True))
+
+    return run
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """A bucket's answers: of each chunk's grams those that are in the tree."""
+    rows, out = table.to_pylist(), []
+    mine = [r for r in rows if r["chunk"] == TREE]
+    keys, value, left = (np.concatenate([_unpacked(r[c], t) for r in mine]) if mine else np.zeros(0, t) for c, t in (("keys", np.uint64), ("value", np.float64), ("left", np.float64)))
+    by = np.argsort(keys)
+    keys, value, left = keys[by], value[by], left[by]
+    for r in rows:
+        if r["chunk"] == TREE:
+            continue
+        if r["keys"] is None:
+            out.append((r["bucket"], r["chunk"], None, r["value"], None))
+            continue
+        asked = np.cumsum(_unpacked(r["keys"], np.uint64))
+        at = _find(keys, asked)
+        at = at[at >= 0]
+        if len(at):
+            out.append((r["bucket"], r["chunk"], _packed(_steps(keys[at])), _packed(value[at]), _packed(left[at])))
+    return pa.Table.from_batches([_batch(_DEALT, *zip(*out, strict=True))] if out else [], _DEALT)
+
+
+def _scored(scale: float):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        ids, sizes, every, number = pickle.loads(next(r["value"] for r in rows if r["keys"] is None))
+        symbols = _unpacked(every, np.uint64)[_unpacked(number, np.uint32)]
+        mine = [r for r in rows if r["keys"] is not None]
+        keys = np.concatenate([np.cumsum(_unpacked(r["keys"], np.uint64)) for r in mine] or [np.zeros(0, np.uint64)])
+        value, left = (np.concatenate([_unpacked(r[c], np.float64) for r in mine] or [np.zeros(0)]) for c in ("value", "left"))
+        by = np.argsort(keys)
+        keys, value, left = keys[by], np.r_[value[by], 0.0], np.r_[left[by], 1.0]  # the last, under -1, for what is not there
+        p = shares = root = known = None
+        for order, (gram, inside) in enumerate(_grams(symbols), 1):
+            at = np.where(inside, _find(keys, gram), -1)
+            if order == 1:
+                known = at >= 0
+                p = root = (value[at] + 0.5) / scale
+            else:
+                # the gram that begins at i ends at i + order - 1; the state before its last word begins at i, too
+                p = p.copy()
+                p[order - 1 :] = value[at] + np.where(inside, shares[:-1], 1.0) * p[order - 1 :]
+            shares = left[at]
+        begins = np.cumsum(sizes) - sizes
+        total = lambda x: np.add.reduceat(x, begins)
+        return pa.Table.from_batches([_batch(_SCORED, ids, sizes, total(known.astype(np.int64)), total(np.log10(root)), total(np.log10(p)))])
 
     return run
 
@@ -256,22 +483,20 @@ def _walked(shared):
 def score_texts(docs: DataFrame, folds: int = 5, held_out: int = 1, p_min: float = P_MIN, p_next: float = P_NEXT, gain: float = GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from ids outside the fold."""
     rows = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    tree, words = learn(rows.filter(common.crc_remainder("doc_id", folds) != held_out), p_min, p_next, gain)
-    walked = rows.mapInArrow(_walked(docs.sparkSession.sparkContext.broadcast(tree)), "doc_id long, n_tokens long, n_known long, base double, tree double, rare array<long>")
-    walked = common.durable(walked.withColumn("row", F.monotonically_increasing_id()))
-    # rare words: the same probability at the root for both scores, from the table of all counts
-    met = walked.select("row", F.explode("rare").alias("key")).join(words, "key", "left")
-    p = (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(tree.scale)
-    rest = met.groupBy("row").agg(F.sum(F.log10(p)).alias("rest"), F.count("n").alias("known"))
-    none = F.lit(0)
-    return walked.join(rest, "row", "left").select(
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(common.partitions(docs.sparkSession), chars // BUCKET_CHARS)
+    tree, total, vocabulary = tree_table(rows.filter(common.crc_remainder("doc_id", folds) != held_out), buckets, p_min, p_next, gain)
+    dealt = tree.mapInArrow(_rows_dealt(buckets), _DEALT_SQL).unionByName(rows.mapInArrow(_asking(buckets), _DEALT_SQL))
+    answers = dealt.groupBy("bucket").applyInArrow(_answered, _DEALT_SQL)
+    found = answers.groupBy("chunk").applyInArrow(_scored(total + 0.5 * (vocabulary + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return found.select(
         "doc_id",
         F.coalesce(common.crc_remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce("known", none)).alias("n_known"),
-        F.lit(int(tree.total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", none)).alias("base_score"),
-        (F.col("tree") + F.coalesce("rest", none)).alias("score"),
+        "n_known",
+        F.lit(int(total)).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
     )
 
 
