@@ -3,9 +3,9 @@
 Every window of ``window`` consecutive words gets a 64-bit fingerprint. Fingerprints are dealt to buckets by the
 window's *minimizer* (the least hash of its ``window // 2``-word parts): equal windows meet in one bucket, and
 neighbouring windows mostly share a bucket, so that places travel as short runs. A bucket of the index is a list of
-sorted immutable runs of historical fingerprints, each with the place of its first occurrence. A new batch comes as
-further sorted runs, one from each map task, already reduced to one entry a fingerprint. They are merge-joined with the
-history, the matches are verified word for word against the text of the first occurrence, and the batch's new
+immutable runs of historical fingerprints in order of place, each with the place of its first occurrence. A new batch comes
+as further runs, one from each map task, already reduced to one entry a fingerprint. History and batch of a bucket are
+sorted together to be joined, the matches are verified word for word against the text of the first occurrence, and the batch's new
 fingerprints become a run of the index. ``FingerprintIndex.compact`` merges runs once there are more than ``fanout``.
 
 Edge cases (all tested): a null or empty text has no words; a null ``doc_id`` counts as larger than any other; rows that
@@ -312,7 +312,8 @@ class FingerprintIndex:
     """Runs of window fingerprints in a folder that all executors share.
 
     ``add`` deduplicates a batch against the history and inside itself, then appends a run; ids of one document must not
-    come in two batches. Texts of the history are read for verification from ``history`` (doc_id, text). A generation of
+    come in two batches. Texts of the history are read for verification from ``history`` (doc_id, text),
+    without which an index that has runs takes no batch. Every generation holds all runs again. A generation of
     the index is a Parquet table (run, bucket, fingerprints, places); its highest numbered complete folder is current, so
     a job that dies midway leaves the older one in force.
     """
@@ -342,6 +343,8 @@ class FingerprintIndex:
 
     def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
         old = self.runs()
+        if old is not None and history is None:
+            raise ValueError("the index has runs: their texts are needed as history, as repeats are verified against them")
         found = common.durable(_matches(batch, self.window, self.buckets, old, True))
         fresh = found.filter(F.col("kind") == OLD).select("bucket", "fingerprints", "places")
         top = old.agg(F.max("run")).first()[0] if old is not None else None
