@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15 | 2
 #: Bound, in rows of a few dozen bytes, under which a side of a join may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows of one key from which a join deals them into parts.
+HOT_ROWS = 1_000
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,17 +45,53 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Actions inside give up their shuffle files as they end: what they wrote is all that is read again."""
+    before = spark.conf.get(_RELEASE, "false")
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
-    Cuts the lineage without tying rows to an executor: any lost executor can be replaced. The table goes when the
-    driver ends.
+    Cuts the lineage without tying rows to an executor: any lost executor can be replaced. The table goes by ``release``,
+    or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_released(spark):
+        df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote and nobody reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.scratch)
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """Inner join where a key may hold a large share of the rows of ``many``, a written table; ``few`` has a key once or so.
+
+    Keys with more than ``HOT_ROWS`` rows, or one in 100,000 of all if that is more, are dealt by hash of the column
+    ``spread`` into parts of about that size, and ``few`` is repeated for each part. There are at most 100,000 such keys,
+    so that their list may be broadcast.
+    """
+    least = max(HOT_ROWS, many.count() // 100_000)
+    hot = many.groupBy(*on).count().filter(F.col("count") > least).select(*on, F.ceil(F.col("count") / least).cast("int").alias("parts_"))
+    parts = F.coalesce("parts_", F.lit(1))
+    hot = durable(hot)
+    many = many.join(F.broadcast(hot), on, "left").withColumn("part_", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts_")
+    few = few.join(F.broadcast(hot), on, "left").withColumn("part_", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts_")
+    return many.join(few, [*on, "part_"]).drop("part_")
 
 
 def _forget(spark: SparkSession, path: str) -> None:

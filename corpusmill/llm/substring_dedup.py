@@ -2,11 +2,14 @@
 
 Every window of ``window`` consecutive words gets a 64-bit fingerprint. Fingerprints are dealt to buckets by the
 window's *minimizer* (the least hash of its ``window // 2``-word parts): equal windows meet in one bucket, and
-neighbouring windows mostly share a bucket, so that places travel as short runs. A bucket of the index is a list of
-immutable runs of historical fingerprints in order of place, each with the place of its first occurrence. A new batch comes
-as further runs, one from each map task, already reduced to one entry a fingerprint. History and batch of a bucket are
-sorted together to be joined, the matches are verified word for word against the text of the first occurrence, and the batch's new
-fingerprints become a run of the index. ``FingerprintIndex.compact`` merges runs once there are more than ``fanout``.
+neighbouring windows mostly share a bucket, so that places travel as short runs. The index is a folder of immutable runs,
+one a batch; in each bucket a run is the sorted list of its fingerprints and the place of each one's first occurrence.
+
+A batch comes as one sorted list from each chunk of a map task, one entry a fingerprint. In each bucket these lists are
+merged, the sorted list is joined with the sorted list of every run of the history, and the fingerprints that none of them has
+become the batch's own run. Runs are bucketed tables, so that the history is read where it lies: a batch shuffles and
+writes its own fingerprints alone. Every ``fanout`` runs of a level are compacted into one of the next. Matches are
+verified against the text of the first occurrence, by 128-bit digests of the words.
 
 Edge cases (all tested): a null or empty text has no words; a null ``doc_id`` counts as larger than any other; rows that
 share a ``doc_id`` are versions of one document, and neither is earlier than the other at the same start; an empty table
@@ -16,6 +19,7 @@ gives an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +33,21 @@ from corpusmill.llm import common
 
 WINDOW = 20
 #: Words that a map task gathers before it sorts and sends them on.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 750_000
+#: Bytes of text for a bucket of an index that is made for one table.
+BUCKET_BYTES = 4_000_000
+#: Files of a run, at most; an index may have more buckets, which then share files.
+FILES = 20_000
+#: Ranges of doc_id that ``dedup_substrings`` gives to the index one after the other.
+BATCHES = 4
 NO_ID = np.iinfo(np.int64).max
 
-_RUNS = "bucket int, kind int, fingerprints binary, places binary"
-_FOUND = "kind int, bucket int, doc_id long, start int, windows int, ref_doc long, ref_start int, fingerprints binary, places binary"
-_FOUND_SCHEMA = pa.schema([
-    ("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()),
-    ("ref_doc", pa.int64()), ("ref_start", pa.int32()), ("fingerprints", pa.binary()), ("places", pa.binary()),
-])
-#: Kinds of rows that go to a bucket: fingerprints of the batch, fingerprints of the index, repeats settled in the map task.
-NEW, OLD, SETTLED = 0, 1, 2
+_RUNS = "bucket int, kind int, fingerprints binary, spots binary, places binary"
+_RUNS_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("fingerprints", pa.binary()), ("spots", pa.binary()), ("places", pa.binary())])
+_PIECES = "doc_id long, start int, windows int, ref_doc long, ref_start int"
+_PIECES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())])
+#: Kinds of rows: sorted fingerprints with their places, and repeats (place, place of the first occurrence, number of windows).
+RUN, FOUND = 0, 1
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -132,17 +140,34 @@ class _Chunk:
         again, ref = later[same], ref[same]
         doc, start, ref_doc, ref_start, length = _coalesce(ids[owner[again]], at[again], ids[ref], first[again] - begins[ref])
         if len(doc):
-            yield {"bucket": int(doc[0] % self.buckets), "kind": SETTLED, "fingerprints": b"", "places": _pack(doc, start, ref_doc, ref_start, length)}
+            yield int(doc[0] % self.buckets), FOUND, None, None, _pack(doc, start, ref_doc, ref_start, length)
         sent = first == place
         sent[later[~same]] = True
         keep = np.flatnonzero(sent)
-        bucket = (common.mixed(least[keep]) % np.uint64(self.buckets)).astype(np.int64)
+        bucket = (common.mixed(least[keep]) % np.uint64(self.buckets)).astype(np.int32)
         o = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[o], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            if edges[b] < edges[b + 1]:
-                i = keep[o[edges[b] : edges[b + 1]]]
-                yield {"bucket": b, "kind": NEW, "fingerprints": f[i].tobytes(), "places": _runs_of(ids[owner[i]], at[i])}
+        edges = np.flatnonzero(np.diff(bucket[o], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            i = keep[o[a:b]]
+            yield int(bucket[o[a]]), RUN, *_run(f[i], ids[owner[i]], at[i])
+
+
+def _run(f: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A run's lists: sorted fingerprints, the spot of each among the places, and the places, which are in order."""
+    o = np.argsort(f, kind="stable")
+    return _pack(f[o].view(np.int64)), _planes(o.astype(np.uint32)), _runs_of(doc, start)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _spots(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _fingerprints(blob: bytes) -> np.ndarray:
+    return _unpack(blob, 1)[0].view(np.uint64)
 
 
 def _runs_of(doc: np.ndarray, start: np.ndarray) -> bytes:
@@ -152,95 +177,94 @@ def _runs_of(doc: np.ndarray, start: np.ndarray) -> bytes:
     return _pack(doc[first], start[first], np.diff(np.r_[first, len(doc)]))
 
 
-def _places_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _places_of(blob: bytes, spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, start) of some places of a run."""
     doc, start, length = _unpack(blob, 3)
-    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    return np.repeat(doc, length), np.repeat(start, length) + step
+    ends = np.cumsum(length)
+    at = np.searchsorted(ends, spots, "right")
+    return doc[at], start[at] + spots - (ends - length)[at]
 
 
-def _fingerprint(window: int, buckets: int):
-    names = [x.split()[0] for x in _RUNS.split(", ")]
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("fingerprints", pa.binary()), ("places", pa.binary())])
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_RUNS_SCHEMA)], schema=_RUNS_SCHEMA)
 
-    def run(it):
-        def out(chunk):
-            for row in chunk.runs():
-                yield pa.RecordBatch.from_arrays([pa.array([row[n]], schema.field(n).type) for n in names], schema=schema)
 
+def _fingerprint(window: int, buckets: int):
+    def run(it):
         chunk = _Chunk(window, buckets)
         for ids, texts in common.column_batches(it, "doc_id", "text"):
             for doc_id, text in zip(ids.to_pylist(), common.raw(texts), strict=True):
                 chunk.add(doc_id, text)
                 if chunk.words >= CHUNK_WORDS:
-                    yield from out(chunk)
+                    yield _rows(list(chunk.runs()))
                     chunk = _Chunk(window, buckets)
-        yield from out(chunk)
+        yield _rows(list(chunk.runs()))
 
     return run
 
 
-def _merge(keep_run: bool):
-    """Merge-join a bucket's runs: each fingerprint's earliest place stays, every other place of the batch is a repeat."""
-
-    def found(kind, bucket, doc, start, windows, ref_doc, ref_start):
-        n = len(doc)
-        empty = pa.nulls(n, pa.binary())
-        return [pa.array(np.full(n, kind), pa.int32()), pa.array(np.full(n, bucket), pa.int32()), pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)), pa.array(ref_doc, pa.int64()), pa.array(ref_start.astype(np.int32)), empty, empty]
-
-    def run(key, table):
-        bucket = key[0].as_py()
-        parts = []
-        rows = list(zip(table["kind"].to_pylist(), table["fingerprints"].to_pylist(), table["places"].to_pylist(), strict=True))
-        fs, docs, starts, olds = [], [], [], []
-        for kind, prints, places in rows:
-            if kind == SETTLED:
-                doc, start, ref_doc, ref_start, length = _unpack(places, 5)
-                parts.append(found(SETTLED, bucket, doc, start, length, ref_doc, ref_start))
-                continue
-            doc, start = _places_of(places)
-            fs.append(np.frombuffer(prints, np.uint64))
-            docs.append(doc)
-            starts.append(start)
-            olds.append(np.full(len(doc), kind == OLD))
-        if fs:
-            f, doc, start, old = (np.concatenate(x) for x in (fs, docs, starts, olds))
-            o = np.argsort(f)
-            f, doc, start, old = f[o], doc[o], start[o], old[o]
-            twin = np.zeros(len(f), bool)
-            twin[1:] = f[1:] == f[:-1]
-            twin[:-1] |= twin[1:]
-            i = np.flatnonzero(twin)
-            # history comes before the batch, whatever the ids
-            i = i[np.lexsort((start[i], doc[i], ~old[i], f[i]))]
-            head = np.ones(len(i), bool)
-            head[1:] = f[i[1:]] != f[i[:-1]]
-            of = i[np.flatnonzero(head)][np.cumsum(head) - 1] if len(i) else i
-            later = ~old[i] & ((doc[i] != doc[of]) | (start[i] != start[of]) | (old[of] & (i != of)))
-            j, r = i[later], of[later]
-            d, s, rd, rs, n = _coalesce(doc[j], start[j], doc[r], start[r])
-            parts.append(found(NEW, bucket, d, s, n, rd, rs))
-            if keep_run:
-                fresh = ~old
-                fresh[i[~head]] = False
-                k = np.flatnonzero(fresh)
-                k = k[np.lexsort((start[k], doc[k]))]
-                one = lambda x, t: pa.array([x], t)
-                none = lambda t: pa.nulls(1, t)
-                parts.append([one(OLD, pa.int32()), one(bucket, pa.int32()), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int32()), one(f[k].tobytes(), pa.binary()), one(_runs_of(doc[k], start[k]), pa.binary())])
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays(p, schema=_FOUND_SCHEMA) for p in parts], schema=_FOUND_SCHEMA)
+def _merge(key, new, old=None):
+    """Merge a bucket's lists of a batch and join them with the runs of the history: the batch's run, and its repeats.
 
-    return run
+    A fingerprint that the history has is a repeat at all its places, any other at all but the earliest.
+    """
+    bucket, out = key[0].as_py(), []
+    lists = []
+    for kind, prints, spots, places in zip(*(new[c].to_pylist() for c in ("kind", "fingerprints", "spots", "places")), strict=True):
+        if kind == FOUND:
+            out.append((bucket, FOUND, None, None, places))
+        else:
+            lists.append((_fingerprints(prints), *_places_of(places, _spots(spots))))
+    if lists:
+        f, doc, start = (np.concatenate(x) for x in zip(*lists, strict=True))
+        o = np.argsort(f, kind="stable")  # merges lists that are sorted already
+        f, doc, start = f[o], doc[o], start[o]
+        new_print = np.r_[True, f[1:] != f[:-1]]
+        heads, group = np.flatnonzero(new_print), np.cumsum(new_print) - 1
+        # the earliest place of each fingerprint
+        first = heads.copy()
+        several = np.diff(np.r_[heads, len(f)]) > 1
+        i = np.flatnonzero(several[group])
+        i = i[np.lexsort((start[i], doc[i], group[i]))]
+        first[several] = i[np.diff(group[i], prepend=-1) > 0]
+        known = np.zeros(len(heads), bool)
+        ref_doc, ref_start = doc[first], start[first]
+        for prints, spots, places in zip(*(old[c].to_pylist() for c in ("fingerprints", "spots", "places")), strict=True) if old is not None else ():
+            theirs = _fingerprints(prints)
+            at = np.minimum(np.searchsorted(theirs, f[heads]), len(theirs) - 1)  # both are sorted
+            both = np.flatnonzero((theirs[at] == f[heads]) & ~known)
+            known[both] = True
+            ref_doc[both], ref_start[both] = _places_of(places, _spots(spots)[at[both]])
+        later = known[group] | (doc != ref_doc[group]) | (start != ref_start[group])
+        j, g = np.flatnonzero(later), group[later]
+        if len(j):
+            d, s, rd, rs, n = _coalesce(doc[j], start[j], ref_doc[g], ref_start[g])
+            out.append((bucket, FOUND, None, None, _pack(d, s, rd, rs, n)))
+        fresh = first[~known]
+        if len(fresh):
+            fresh = fresh[np.lexsort((start[fresh], doc[fresh]))]
+            out.append((bucket, RUN, *_run(f[fresh], doc[fresh], start[fresh])))
+    return pa.Table.from_batches([_rows(out)], _RUNS_SCHEMA)
 
 
 def _compact(key, table):
-    places = [_places_of(x) for x in table["places"].to_pylist()]
-    f = np.concatenate([np.frombuffer(x, np.uint64) for x in table["fingerprints"].to_pylist()])
-    doc, start = np.concatenate([p[0] for p in places]), np.concatenate([p[1] for p in places])
-    rank = np.repeat(table["run"].to_numpy(), [len(p[0]) for p in places])  # an older run's place wins
-    o = np.lexsort((start, doc, rank, f))
-    o = o[np.r_[True, f[o][1:] != f[o][:-1]]] if len(o) else o
+    """A bucket's lists of several runs as one; of a fingerprint in two of them the older run's place stays."""
+    lists = []
+    for _, prints, spots, places in sorted(zip(*(table[c].to_pylist() for c in ("run", "fingerprints", "spots", "places")), strict=True)):
+        lists.append((_fingerprints(prints), *_places_of(places, _spots(spots))))
+    f, doc, start = (np.concatenate(x) for x in zip(*lists, strict=True))
+    o = np.argsort(f, kind="stable")
+    o = o[np.r_[True, f[o][1:] != f[o][:-1]]]
     o = o[np.lexsort((start[o], doc[o]))]
-    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "fingerprints": pa.array([f[o].tobytes()], pa.binary()), "places": pa.array([_runs_of(doc[o], start[o])], pa.binary())})
+    return pa.Table.from_batches([_rows([(key[0].as_py(), RUN, *_run(f[o], doc[o], start[o]))])], _RUNS_SCHEMA)
+
+
+def _spread(it):
+    """Repeats as rows of their own."""
+    for (blobs,) in common.column_batches(it, "places"):
+        for blob in blobs.to_pylist():
+            doc, start, ref_doc, ref_start, length = _unpack(blob, 5)
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(f.type) for x, f in zip((doc, start, length, ref_doc, ref_start), _PIECES_SCHEMA, strict=True)], schema=_PIECES_SCHEMA)
 
 
 def _words(packed: bytes | None) -> list[bytes]:
@@ -253,13 +277,12 @@ def _seal(words: list[bytes]) -> bytes:
 
 def _joined(it):
     """Pieces of one document that follow on from each other, as one."""
-    schema = pa.schema([(n, t) for n, t in zip(("doc_id", "start", "windows", "ref_doc", "ref_start"), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()), strict=True)])
     for ids, pieces in common.column_batches(it, "doc_id", "pieces"):
         flat = pieces.flatten()
         doc = np.repeat(ids.to_numpy(), np.diff(pieces.offsets.to_numpy()))
         col = lambda n: flat.field(n).to_numpy().astype(np.int64)  # noqa: E731, B023
         d, s, rd, rs, n = _coalesce(doc, col("start"), col("ref_doc"), col("ref_start"), col("windows"))
-        yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip((d, s, n, rd, rs), schema.types, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(x).cast(t) for x, t in zip((d, s, n, rd, rs), _PIECES_SCHEMA.types, strict=True)], schema=_PIECES_SCHEMA)
 
 
 def _sealed(window: int):
@@ -311,97 +334,155 @@ _OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed arr
 class FingerprintIndex:
     """Runs of window fingerprints in a folder that all executors share.
 
-    ``add`` deduplicates a batch against the history and inside itself, then appends a run; ids of one document must not
-    come in two batches. Texts of the history are read for verification from ``history`` (doc_id, text),
-    without which an index that has runs takes no batch. Every generation holds all runs again. A generation of
-    the index is a Parquet table (run, bucket, fingerprints, places); its highest numbered complete folder is current, so
-    a job that dies midway leaves the older one in force.
+    ``add`` deduplicates a batch against the history and inside itself, and keeps its fingerprints as a run; ids of one
+    document must not come in two batches. Texts of the history are read for verification from ``history`` (doc_id,
+    text), without which an index that has runs takes no batch.
+
+    ``key`` names a batch. A batch whose job died, before or after its run was complete, is given again under its key: the newest
+    batch replaces its own run and is matched with the batches before it alone. An older key is refused.
+
+    A run is the folder ``run=<first>-<last>`` of the batches that it covers, bucketed Parquet that is never written again.
+    It counts once its _SUCCESS is there; of runs that cover the same batch the widest counts, so that a compaction that
+    dies midway changes nothing. Only batches before the newest are compacted, as the next one comes in.
     """
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, buckets: int = 256, fanout: int = 4):
-        self.spark, self.path, self.window, self.buckets, self.fanout = spark, path.rstrip("/"), window, buckets, fanout
-
-    def _generations(self) -> list[int]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return []
-        found = [(m, s) for s in fs.listStatus(where) if (m := re.fullmatch(r"generation=(\d+)", s.getPath().getName()))]
-        done = [int(m[1]) for m, s in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(done)
-
-    def runs(self) -> DataFrame | None:
-        """The index as it stands: run, bucket, fingerprints, places."""
-        found = self._generations()
-        return self.spark.read.parquet(f"{self.path}/generation={found[-1]}") if found else None
-
-    def _write(self, df: DataFrame) -> None:
-        found = self._generations()
-        df.write.mode("overwrite").parquet(f"{self.path}/generation={found[-1] + 1 if found else 0}")
-        for old in found:
-            common.remove(self.spark, f"{self.path}/generation={old}")
-
-    def add(self, batch: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        old = self.runs()
-        if old is not None and history is None:
+        self.spark, self.window, self.buckets, self.fanout = spark, window, buckets, fanout
+        self.path = path.rstrip("/")
+        self.base, self.files = f"{self.path}/window={window},buckets={buckets}", min(buckets, FILES)
+        others = [n for n in self._names(self.path) if n.startswith("window=") and n != self.base.rpartition("/")[2]]
+        if others:
+            raise ValueError(f"the index in {path} has {others[0]}")
+
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        where, fs = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def runs(self) -> list[tuple[int, int, str]]:
+        """(first, last, folder) of the runs that count, oldest first."""
+        found = []
+        for name in self._names(self.base):
+            m = re.fullmatch(r"run=(\d+)-(\d+).*", name)
+            if m and "_SUCCESS" in self._names(f"{self.base}/{name}"):
+                found.append((int(m[1]), int(m[2]), name))
+        out = []
+        for run in sorted(found, key=lambda r: (r[0], -r[1])):
+            if not out or run[0] > out[-1][1]:
+                out.append(run)
+        return out
+
+    def table(self, runs: list[tuple[int, int, str]]):
+        """Lists of some runs, as a bucketed table; and a function that lets go of it, to call when it has been read."""
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({_RUNS}, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.base}'")
+        self.spark.catalog.recoverPartitions(name)
+        chosen = self.spark.table(name).filter(F.col("run").isin([r[2].removeprefix("run=") for r in runs]) & (F.col("kind") == RUN))
+        return chosen, lambda: self.spark.sql(f"DROP TABLE {name}")
+
+    def _write(self, df: DataFrame, folder: str) -> None:
+        name = f"fingerprints_{uuid.uuid4().hex}"
+        common.remove(self.spark, f"{self.base}/{folder}")
+        with common.shuffles_released(self.spark):
+            df.write.bucketBy(self.files, "bucket").option("path", f"{self.base}/{folder}").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+
+    def match(self, batch: DataFrame, key: str) -> DataFrame:
+        """Keep a batch's run; give its repeats (doc_id, start, windows, ref_doc, ref_start), not verified yet."""
+        mark = xxhash.xxh3_64_hexdigest(key.encode())
+        runs = self.runs()
+        if runs and runs[-1][2].endswith(f"-{mark}"):
+            runs = runs[:-1]
+        elif mark in self._names(f"{self.path}/keys"):
+            raise ValueError(f"batch {key!r} is in the index, and later ones are, too")
+        else:
+            runs = self._compacted(runs)
+        no = runs[-1][1] + 1 if runs else 0
+        rows = common.plain(batch, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_fingerprint(self.window, self.buckets), _RUNS)
+        folder = f"run={no:06d}-{no:06d}-{mark}"
+        if runs:
+            history, drop = self.table(runs)
+            self._write(rows.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_merge, _RUNS), folder)
+            drop()
+        else:
+            self._write(rows.groupBy("bucket").applyInArrow(lambda k, t: _merge(k, t), _RUNS), folder)
+        where, fs = self._fs(f"{self.path}/keys/{mark}")
+        fs.mkdirs(where)
+        found = self.spark.read.schema(_RUNS).parquet(f"{self.base}/{folder}").filter(F.col("kind") == FOUND).select("places").mapInArrow(_spread, _PIECES)
+        # a document's repeats that follow on from each other are one
+        return common.durable(
+            found.groupBy("doc_id")
+            .agg(F.collect_list(F.struct("start", "windows", "ref_doc", "ref_start")).alias("pieces"))
+            .mapInArrow(_joined, _PIECES)
+        )
+
+    def add(self, batch: DataFrame, key: str, history: DataFrame | None = None) -> DataFrame:
+        """``batch`` without the words that repeat; see ``dedup_substrings`` for the columns."""
+        mark = xxhash.xxh3_64_hexdigest(key.encode())
+        if history is None and [r for r in self.runs() if not r[2].endswith(f"-{mark}")]:
             raise ValueError("the index has runs: their texts are needed as history, as repeats are verified against them")
-        found = common.durable(_matches(batch, self.window, self.buckets, old, True))
-        fresh = found.filter(F.col("kind") == OLD).select("bucket", "fingerprints", "places")
-        top = old.agg(F.max("run")).first()[0] if old is not None else None
-        fresh = fresh.withColumn("run", F.lit(0 if top is None else top + 1))
-        self._write(fresh if old is None else old.select(*fresh.columns).unionByName(fresh))
-        if (self.runs().select("run").distinct().count()) > self.fanout:
-            self.compact()
-        return _apply(batch, found.filter(F.col("kind") != OLD), self.window, history)
-
-    def compact(self) -> None:
-        merged = self.runs().groupBy("bucket").applyInArrow(_compact, "bucket int, fingerprints binary, places binary")
-        self._write(merged.withColumn("run", F.lit(0)))
-
-
-def _matches(docs: DataFrame, window: int, buckets: int, old: DataFrame | None, keep_run: bool) -> DataFrame:
-    runs = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_fingerprint(window, buckets), _RUNS)
-    if old is not None:
-        runs = runs.unionByName(old.select("bucket", F.lit(OLD).alias("kind"), "fingerprints", "places"))
-    return runs.groupBy("bucket").applyInArrow(_merge(keep_run), _FOUND)
-
-
-def _apply(docs: DataFrame, found: DataFrame, window: int, history: DataFrame | None) -> DataFrame:
+        return _apply(batch, self.match(batch, key), self.window, history)
+
+    def _compacted(self, runs: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+        """Make one run of each ``fanout`` neighbours of equal width."""
+        while alike := [i for i in range(len(runs) - self.fanout + 1) if len({b - a for a, b, _ in runs[i : i + self.fanout]}) == 1]:
+            old = runs[alike[0] : alike[0] + self.fanout]
+            lists, drop = self.table(old)
+            self._write(lists.groupBy("bucket").applyInArrow(_compact, _RUNS), f"run={old[0][0]:06d}-{old[-1][1]:06d}")
+            drop()
+            for _, _, name in old:
+                common.remove(self.spark, f"{self.base}/{name}")
+            runs = self.runs()
+        return runs
+
+
+def _apply(docs: DataFrame, pieces: DataFrame, window: int, history: DataFrame | None) -> DataFrame:
     def packed(df):
         return common.plain(df, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).mapInArrow(common.squeezed, "doc_id long, packed binary")
 
     own = packed(docs)
     known = own if history is None else own.unionByName(packed(history))
-    pieces = common.durable(
-        found.groupBy("doc_id")
-        .agg(F.collect_list(F.struct("start", "windows", "ref_doc", "ref_start")).alias("pieces"))
-        .mapInArrow(_joined, "doc_id long, start int, windows int, ref_doc long, ref_start int")
-    )
     asked = pieces.select("ref_doc", "ref_start", "windows").distinct().groupBy("ref_doc").agg(F.collect_list(F.struct("ref_start", "windows")).alias("pieces"))
-    seals = (
+    seals = common.durable(
         known.join(asked, known["doc_id"] == asked["ref_doc"])
         .select("doc_id", "packed", "pieces")
         .mapInArrow(_sealed(window), "ref_doc long, ref_start int, windows int, seal binary")
     )
     checked = (
-        pieces.join(seals, ["ref_doc", "ref_start", "windows"])
+        common.salted_join(pieces, seals, ["ref_doc", "ref_start", "windows"], "doc_id")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("start", "windows", "seal")).alias("pieces"))
     )
     return own.join(checked, "doc_id", "left").select("doc_id", "packed", "pieces").mapInArrow(_cut(window), _OUT)
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, buckets: int | None = None, batches: int = BATCHES, fanout: int = 3) -> DataFrame:
     """Remove each word covered by a window whose words also start earlier (smaller doc_id, or earlier in the document).
 
-    One batch on an empty index that nobody keeps. Returns doc_id, n_words, n_removed, kept_text (kept words joined by
-    one space) and removed (spans of word positions). See the module's text for nulls, ties and repeated rows.
+    The table goes through an index of its own in ``batches`` ranges of doc_id, the smallest first. Returns doc_id,
+    n_words, n_removed, kept_text (kept words joined by one space) and removed (spans of word positions). See the
+    module's text for nulls, ties and repeated rows.
     """
-    buckets = buckets or 4 * common.partitions(docs.sparkSession)
-    return _apply(docs, common.durable(_matches(docs, window, buckets, None, False)), window, None)
+    spark = docs.sparkSession
+    rows = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    cuts = F.percentile_approx("doc_id", [(i + 1) / batches for i in range(batches - 1)] or [0.5], 1000)
+    size, cuts = rows.agg(F.sum(F.octet_length("text")), cuts).first()
+    buckets = buckets or max(common.partitions(spark), (size or 0) // BUCKET_BYTES)
+    edges = [None, *sorted(set(cuts or []))[: batches - 1], None]
+    path = f"{common.shared_dir(spark)}/scratch/{uuid.uuid4().hex}"
+    index, pieces = FingerprintIndex(spark, path, window, buckets, fanout), None
+    for no, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        batch = rows if a is None else rows.filter((F.col("doc_id") > a) | F.col("doc_id").isNull()) if b is None else rows.filter(F.col("doc_id") > a)
+        batch = batch if b is None else batch.filter(F.col("doc_id") <= b)
+        found = index.match(batch, str(no))
+        pieces = found if pieces is None else pieces.unionByName(found)
+    common.remove(spark, path)
+    return _apply(rows, pieces, window, None)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
-

@@ -93,9 +93,9 @@ def test_fingerprint_index_in_batches(spark, rows, tmp_path):
     for k, part in enumerate(parts):
         batch = spark.createDataFrame(made(part), SCHEMA)
         before = spark.createDataFrame(made([r for p in parts[:k] for r in p]), SCHEMA) if k else None
-        got += [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in index.add(batch, before).collect()]
+        got += [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in index.add(batch, f"part {k}", before).collect()]
     assert sorted(got, key=repr) == expected_dedup(known, 8)
-    assert index.runs().select("run").distinct().count() <= 2
+    assert [r[:2] for r in index.runs()] == [(0, 1), (2, 2), (3, 3)] and len(parts) == 4
 
 
 def expected_components(rows, n, percent):
