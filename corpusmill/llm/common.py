@@ -45,6 +45,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, on any file system that Spark can read; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
 @contextmanager
 def shuffles_released(spark: SparkSession) -> Iterator[None]:
     """Actions inside give up their shuffle files as they end: what they wrote is all that is read again."""
@@ -78,6 +85,41 @@ def release(*tables: DataFrame) -> None:
         remove(table.sparkSession, table.scratch)
 
 
+class Buckets:
+    """A folder of tables that are bucketed by one column: rows of a key, of whatever tables, meet in a task without a shuffle.
+
+    A table is a folder of its own, ``part=<name>``, that is written once and counts once its _SUCCESS is there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, files: int):
+        self.spark, self.path, self.schema, self.key, self.files = spark, path.rstrip("/"), schema, key, files
+
+    def names(self) -> list[str]:
+        """The tables that are complete."""
+        return [n.removeprefix("part=") for n in listed(self.spark, self.path) if n.startswith("part=") and "_SUCCESS" in listed(self.spark, f"{self.path}/{n}")]
+
+    def folder(self, part: str) -> str:
+        return f"{self.path}/part={part}"
+
+    def write(self, df: DataFrame, part: str) -> None:
+        name = f"bucketed_{uuid.uuid4().hex}"
+        remove(self.spark, self.folder(part))
+        with shuffles_released(self.spark):
+            df.write.bucketBy(self.files, self.key).option("path", self.folder(part)).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the files stay
+
+    @contextmanager
+    def read(self, parts: list[str]) -> Iterator[DataFrame]:
+        """The rows of some tables, with the table's name as ``part``; to be read inside the block."""
+        name = f"bucketed_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({self.schema}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY ({self.key}) INTO {self.files} BUCKETS LOCATION '{self.path}'")
+        self.spark.catalog.recoverPartitions(name)
+        try:
+            yield self.spark.table(name).filter(F.col("part").isin(parts))
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+
+
 def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
     """Inner join where a key may hold a large share of the rows of ``many``, a written table; ``few`` has a key once or so.
 

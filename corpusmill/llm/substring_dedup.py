@@ -18,7 +18,6 @@ gives an empty result; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -250,7 +249,7 @@ def _merge(key, new, old=None):
 def _compact(key, table):
     """A bucket's lists of several runs as one; of a fingerprint in two of them the older run's place stays."""
     lists = []
-    for _, prints, spots, places in sorted(zip(*(table[c].to_pylist() for c in ("run", "fingerprints", "spots", "places")), strict=True)):
+    for _, prints, spots, places in sorted(zip(*(table[c].to_pylist() for c in ("part", "fingerprints", "spots", "places")), strict=True)):
         lists.append((_fingerprints(prints), *_places_of(places, _spots(spots))))
     f, doc, start = (np.concatenate(x) for x in zip(*lists, strict=True))
     o = np.argsort(f, kind="stable")
@@ -341,77 +340,50 @@ class FingerprintIndex:
     ``key`` names a batch. A batch whose job died, before or after its run was complete, is given again under its key: the newest
     batch replaces its own run and is matched with the batches before it alone. An older key is refused.
 
-    A run is the folder ``run=<first>-<last>`` of the batches that it covers, bucketed Parquet that is never written again.
-    It counts once its _SUCCESS is there; of runs that cover the same batch the widest counts, so that a compaction that
-    dies midway changes nothing. Only batches before the newest are compacted, as the next one comes in.
+    A run is a table of ``common.Buckets``, named after the first and last batch that it covers, that is never written again.
+    Of runs that cover the same batch the widest counts, so that a compaction that dies midway changes nothing. Only
+    batches before the newest are compacted, as the next one comes in.
     """
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, buckets: int = 256, fanout: int = 4):
-        self.spark, self.window, self.buckets, self.fanout = spark, window, buckets, fanout
-        self.path = path.rstrip("/")
-        self.base, self.files = f"{self.path}/window={window},buckets={buckets}", min(buckets, FILES)
-        others = [n for n in self._names(self.path) if n.startswith("window=") and n != self.base.rpartition("/")[2]]
+        self.spark, self.window, self.buckets, self.fanout, self.path = spark, window, buckets, fanout, path.rstrip("/")
+        own = f"window={window},buckets={buckets}"
+        self.store = common.Buckets(spark, f"{self.path}/{own}", _RUNS, "bucket", min(buckets, FILES))
+        others = [n for n in common.listed(spark, self.path) if n.startswith("window=") and n != own]
         if others:
             raise ValueError(f"the index in {path} has {others[0]}")
 
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, path: str) -> list[str]:
-        where, fs = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
-
     def runs(self) -> list[tuple[int, int, str]]:
-        """(first, last, folder) of the runs that count, oldest first."""
-        found = []
-        for name in self._names(self.base):
-            m = re.fullmatch(r"run=(\d+)-(\d+).*", name)
-            if m and "_SUCCESS" in self._names(f"{self.base}/{name}"):
-                found.append((int(m[1]), int(m[2]), name))
+        """(first, last, name) of the runs that count, oldest first."""
+        found = [(*map(int, n.split("-")[:2]), n) for n in self.store.names()]
         out = []
         for run in sorted(found, key=lambda r: (r[0], -r[1])):
             if not out or run[0] > out[-1][1]:
                 out.append(run)
         return out
 
-    def table(self, runs: list[tuple[int, int, str]]):
-        """Lists of some runs, as a bucketed table; and a function that lets go of it, to call when it has been read."""
-        name = f"fingerprints_{uuid.uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {name} ({_RUNS}, run STRING) USING parquet PARTITIONED BY (run) CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.base}'")
-        self.spark.catalog.recoverPartitions(name)
-        chosen = self.spark.table(name).filter(F.col("run").isin([r[2].removeprefix("run=") for r in runs]) & (F.col("kind") == RUN))
-        return chosen, lambda: self.spark.sql(f"DROP TABLE {name}")
-
-    def _write(self, df: DataFrame, folder: str) -> None:
-        name = f"fingerprints_{uuid.uuid4().hex}"
-        common.remove(self.spark, f"{self.base}/{folder}")
-        with common.shuffles_released(self.spark):
-            df.write.bucketBy(self.files, "bucket").option("path", f"{self.base}/{folder}").saveAsTable(name)
-        self.spark.sql(f"DROP TABLE {name}")  # the files stay
-
     def match(self, batch: DataFrame, key: str) -> DataFrame:
         """Keep a batch's run; give its repeats (doc_id, start, windows, ref_doc, ref_start), not verified yet."""
         mark = xxhash.xxh3_64_hexdigest(key.encode())
         runs = self.runs()
         if runs and runs[-1][2].endswith(f"-{mark}"):
             runs = runs[:-1]
-        elif mark in self._names(f"{self.path}/keys"):
+        elif mark in common.listed(self.spark, f"{self.path}/keys"):
             raise ValueError(f"batch {key!r} is in the index, and later ones are, too")
         else:
             runs = self._compacted(runs)
         no = runs[-1][1] + 1 if runs else 0
         rows = common.plain(batch, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(_fingerprint(self.window, self.buckets), _RUNS)
-        folder = f"run={no:06d}-{no:06d}-{mark}"
+        name = f"{no:06d}-{no:06d}-{mark}"
         if runs:
-            history, drop = self.table(runs)
-            self._write(rows.groupBy("bucket").cogroup(history.groupBy("bucket")).applyInArrow(_merge, _RUNS), folder)
-            drop()
+            with self.store.read([r[2] for r in runs]) as history:
+                history = history.filter(F.col("kind") == RUN).groupBy("bucket")
+                self.store.write(rows.groupBy("bucket").cogroup(history).applyInArrow(_merge, _RUNS), name)
         else:
-            self._write(rows.groupBy("bucket").applyInArrow(lambda k, t: _merge(k, t), _RUNS), folder)
-        where, fs = self._fs(f"{self.path}/keys/{mark}")
-        fs.mkdirs(where)
-        found = self.spark.read.schema(_RUNS).parquet(f"{self.base}/{folder}").filter(F.col("kind") == FOUND).select("places").mapInArrow(_spread, _PIECES)
+            self.store.write(rows.groupBy("bucket").applyInArrow(lambda k, t: _merge(k, t), _RUNS), name)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/keys/{mark}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(where)
+        found = self.spark.read.schema(_RUNS).parquet(self.store.folder(name)).filter(F.col("kind") == FOUND).select("places").mapInArrow(_spread, _PIECES)
         # a document's repeats that follow on from each other are one
         return common.durable(
             found.groupBy("doc_id")
@@ -430,11 +402,10 @@ class FingerprintIndex:
         """Make one run of each ``fanout`` neighbours of equal width."""
         while alike := [i for i in range(len(runs) - self.fanout + 1) if len({b - a for a, b, _ in runs[i : i + self.fanout]}) == 1]:
             old = runs[alike[0] : alike[0] + self.fanout]
-            lists, drop = self.table(old)
-            self._write(lists.groupBy("bucket").applyInArrow(_compact, _RUNS), f"run={old[0][0]:06d}-{old[-1][1]:06d}")
-            drop()
+            with self.store.read([r[2] for r in old]) as lists:
+                self.store.write(lists.filter(F.col("kind") == RUN).groupBy("bucket").applyInArrow(_compact, _RUNS), f"{old[0][0]:06d}-{old[-1][1]:06d}")
             for _, _, name in old:
-                common.remove(self.spark, f"{self.base}/{name}")
+                common.remove(self.spark, self.store.folder(name))
             runs = self.runs()
         return runs
 

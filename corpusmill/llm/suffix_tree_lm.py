@@ -1,17 +1,19 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-The tree's states are contexts of one or two words. A context that occurs twice or more enters the tree, and stays if its
-next-symbol distribution diverges from that of its suffix: the gain in log-likelihood, sum over next symbols of
-count * ln(P(symbol | context) / P(symbol | suffix)), must reach ``GAIN``. Suffixes of states stay too. Symbols that follow
-a state twice or more hold their own probability, less ``DISCOUNT``; what is left of the mass goes to the suffix's
-distribution, down to the root, where every word has (c + 0.5) / (N + 0.5 (V + 1)). So each state's distribution sums to
-one. A text is scored at each token from the longest suffix that is a state.
-
-Sizes: the tree is a table that grows with the input, a row a word, follower or state. Nothing of it is broadcast. Grams of
-one to three words are counted in buckets by hash, dealt packed, a gram once a chunk of texts; chunks then ask the buckets
-for the rows of their grams and get those that the tree has. ``score_texts`` works so; ``learn`` and ``walk`` are the same
-tree in memory, for small data. ``p_min`` and ``p_next`` raise the least counts of contexts and followers to shares of all
-tokens.
+The tree's states are contexts of up to ``depth`` words. It grows from the root: a context that occurs ``LEAST`` times, and
+whose suffix without the first word is a state, is a state itself if its next-symbol distribution diverges from that of
+the suffix: sum of count * ln(P(symbol | context) / P(symbol | suffix)) over the symbols that follow it ``LEAST`` times, and
+of what the other followers lose, must reach ``GAIN``. So each branch ends where the corpus ends it. Followers of a state
+hold their own probability, less ``DISCOUNT`` of a count; what is left of the mass goes to the suffix's distribution, down
+to the root, where every word has (c + 0.5) / (N + 0.5 (V + 1)). So each state's distribution sums to one. A text is scored
+at each token from the longest suffix that is a state.
+
+Sizes: the tree grows with the input, and none of it is broadcast or gathered. Texts are cut into chunks of symbols, which
+are written once. For each length of context a chunk asks the buckets, ranges of the contexts' hashes, about its distinct
+contexts and what follows them, with its own counts; a bucket sums the counts of all chunks, tests its contexts, and answers
+each chunk. Chunks and answers are bucketed alike, so that they meet without a shuffle. A context asks for as many parts as
+it holds ``SPLIT`` occurrences, followers dealt by hash, and no bucket gets a frequent word as a whole: the test is a sum
+over parts.
 
 Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lowered, then one end. Edge cases (tested): a null text is an empty one, its
 only token is the end; a null id is scored and not learnt from; rows that repeat are each scored; without training
@@ -21,7 +23,8 @@ documents every token has probability 1; an empty table gives an empty result; f
 from __future__ import annotations
 
 import pickle
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +37,28 @@ from corpusmill.llm import common
 
 #: Contexts and followers of states occur at least this often.
 LEAST = 2
-P_MIN = 0.0
-P_NEXT = 0.0
 GAIN = 10.0
 DISCOUNT = 0.75
-CHUNK_WORDS = 2_000_000
-#: Tokens of a chunk that asks for its grams.
-WALK_WORDS = 1_000_000
-#: Words of the longest gram: a context and its follower.
-LONGEST = 3
-#: Characters of text for each bucket of grams.
-BUCKET_CHARS = 5_000_000
-#: The end of a text as a symbol; no word hash is looked up under it, as hashes of words are shifted by one bit.
+#: Words of the longest context that is tried.
+DEPTH = 3
+#: Tokens of a chunk.
+CHUNK_WORDS = 700_000
+#: Bytes of text for each bucket of contexts.
+BUCKET_BYTES = 5_000_000
+#: Occurrences of a context for each part that it is dealt to.
+SPLIT = 1_000_000
+#: The end of a text as a symbol; no word has it, as hashes of words are shifted by one bit.
 END = np.uint64(1)
+#: Probabilities travel as logarithms in these steps.
+_STEP = 1024
+_FOLLOWER = np.uint64(40)
+
+_ROWS = "chunk long, kind int, bucket long, data binary"
+_ROWS_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary())])
+#: Kinds of rows: a chunk's symbols, its words, and from 1 up contexts of so many words; sums over a bucket's words.
+TEXT, WORDS, TOTAL, DISTINCT = -1, 0, -2, -3
+#: Files of a table of chunks, at most, and bytes of text for each.
+FILES, FILE_BYTES = 20_000, 32_000_000
 
 
 def tokens(text: bytes | None) -> np.ndarray:
@@ -58,437 +70,278 @@ def tokens(text: bytes | None) -> np.ndarray:
     return out
 
 
-@dataclass
-class Tree:
-    """Symbols that are broadcast (sorted, with counts), contexts and followers as sorted arrays."""
-
-    total: int
-    vocabulary: int
-    symbols: np.ndarray
-    counts: np.ndarray
-    #: Number among the symbols that may stand in contexts, or -1.
-    contexts: int = 0
-    near: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    #: Share of the mass that goes to the suffix, by symbol number; 1 where the symbol is no state.
-    left: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    pair_mass: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Two-word states: keys of the pair, mass left, and followers as (number of state, symbol).
-    deep: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    deep_left: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    triples: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    triple_mass: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    @property
-    def scale(self) -> float:
-        return self.total + 0.5 * (self.vocabulary + 1)
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / self.scale
-
-    def numbers(self, symbols: np.ndarray) -> np.ndarray:
-        return _find(self.symbols, symbols)
-
-    def pair_keys(self, number: np.ndarray) -> np.ndarray:
-        """Key of each (symbol, next) where both are known; -1 elsewhere."""
-        a, b = number[:-1], number[1:]
-        context = np.where(a >= 0, self.near[a], -1) if len(self.symbols) else np.full(len(a), -1)
-        return np.where((context >= 0) & (b >= 0), context * len(self.symbols) + b, -1)
-
-
-def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Place of each x among sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(x), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at, -1)
-
-
-def _chunks(it, each):
-    """Symbols of the texts, many texts at a time; ``each`` turns a list of arrays into keys to count."""
-    parts, size = [], 0
-
-    def counted():
-        keys, n = np.unique(each(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    for (texts,) in common.column_batches(it, "text"):
-        for text in common.raw(texts):
-            parts.append(tokens(text))
-            size += len(parts[-1])
-            if size >= CHUNK_WORDS:
-                yield counted()
-                parts, size = [], 0
-    if parts:
-        yield counted()
-
-
-def _summed(docs: DataFrame, each) -> DataFrame:
-    counted = docs.select("text").mapInArrow(lambda it: _chunks(it, each), "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _bounded(df: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with a count of ``least`` or more; there are at most (all tokens) / least of them."""
-    got = df.filter(F.col("n") >= least).toArrow()
-    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as planes of bytes, compressed; planes of zeros take no room."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pickle.dumps([(x.dtype.str, pack(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())) for x in arrays])
 
 
-def _state(counts: np.ndarray, whole: np.ndarray, suffix: np.ndarray, owner: np.ndarray):
-    """Mass of each follower, mass left in each state, and the state's gain in log-likelihood over its suffix.
-
-    ``counts``, ``suffix`` and ``owner`` (number of the state) are by follower, ``whole`` is by state.
-    """
-    mass = np.maximum(counts - DISCOUNT, 0) / whole[owner]
-    left = 1 - np.bincount(owner, mass, len(whole))
-    gained = np.bincount(owner, counts * np.log((mass + left[owner] * suffix) / suffix), len(whole))
-    others = whole - np.bincount(owner, counts, len(whole))  # followers without a probability of their own
-    return mass, left, gained + others * np.log(left)
-
-
-def learn(docs: DataFrame, p_min: float = P_MIN, p_next: float = P_NEXT, gain: float = GAIN) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of all word counts (key, n)."""
-    spark = docs.sparkSession
-    words = common.durable(_summed(docs, np.concatenate))
-    total, vocabulary = words.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    many = lambda share: max(LEAST, int(np.ceil(share * total)))
-    keys, counts = _bounded(words, many(p_next))
-    order = np.argsort(keys.view(np.uint64))
-    tree = Tree(total, vocabulary, keys.view(np.uint64)[order], counts[order])
-    often = (tree.counts >= many(p_min)) & (tree.symbols != END)
-    tree.near = np.where(often, np.cumsum(often) - 1, -1)
-    tree.contexts, size = int(often.sum()), len(tree.symbols)
-    tree.left, tree.deep_left = np.ones(size), np.zeros(0)
-    if not tree.contexts:
-        return tree, words
-
-    shared = spark.sparkContext.broadcast(tree)
-
-    def pairs(parts):
-        t = shared.value
-        key = t.pair_keys(t.numbers(np.concatenate(parts)))  # a text's end is no context, so none spans two texts
-        return key[key >= 0]
-
-    key, n = _bounded(_summed(docs, pairs), many(p_next))
-    context, follower = key // size, key % size
-    of = np.flatnonzero(often)
-    mass, left, gained = _state(n, tree.counts[of], tree.root(tree.counts[follower]), context)
-    stays = gained >= gain
-    # two-word contexts: pairs of context words that are frequent themselves
-    deep = key[(n >= many(p_min)) & (tree.near[follower] >= 0)]
-    deep_n = n[(n >= many(p_min)) & (tree.near[follower] >= 0)]
-    if len(deep):
-        tree.deep = deep
-        shared = spark.sparkContext.broadcast(tree)
-
-        def triples(parts):
-            t = shared.value
-            number = t.numbers(np.concatenate(parts))
-            state = _find(t.deep, t.pair_keys(number))[:-1]
-            ok = (state >= 0) & (number[2:] >= 0)
-            return state[ok] * len(t.symbols) + number[2:][ok]
-
-        key3, n3 = _bounded(_summed(docs, triples), many(p_next))
-        state, symbol = key3 // size, key3 % size
-        last = tree.near[deep[state] % size]  # the context's own suffix
-        pair = _find(key, last * size + symbol)
-        suffix = np.where(pair >= 0, mass[pair], 0) * stays[last] + np.where(stays[last], left[last], 1.0) * tree.root(tree.counts[symbol])
-        mass3, left3, gained3 = _state(n3, deep_n, suffix, state)
-        keep = gained3 >= gain
-        stays[tree.near[deep[keep] % size]] = True
-        renumbered = np.cumsum(keep) - 1
-        inside = keep[state]
-        tree.deep, tree.deep_left = deep[keep], left3[keep]
-        tree.triples, tree.triple_mass = renumbered[state[inside]] * size + symbol[inside], mass3[inside]
-    inside = stays[context]
-    tree.pairs, tree.pair_mass = key[inside], mass[inside]
-    tree.left[of[stays]] = left[stays]
-    return tree, words
-
-
-def walk(tree: Tree, parts: list[np.ndarray]):
-    """For each text: tokens, known tokens and log10 sums (root, tree) over broadcast symbols; and the other symbols."""
-    sizes = np.array([len(p) for p in parts])
-    all_symbols = np.concatenate(parts)
-    number = tree.numbers(all_symbols)
-    n, begins = len(number), np.cumsum(sizes) - sizes
-    known = number >= 0
-    root = tree.root(tree.counts[number]) if len(tree.counts) else np.ones(n)
-    first = np.zeros(n, bool)
-    first[begins] = True
-    # one-word state before each token
-    before = np.full(n, -1, np.int64)
-    before[1:] = number[:-1]
-    before[first] = -1
-    left = np.where(before >= 0, tree.left[before], 1.0) if len(tree.left) else np.ones(n)
-    key = np.full(n, -1, np.int64)
-    if n > 1:
-        key[1:] = tree.pair_keys(number)
-    key[first] = -1
-    at = _find(tree.pairs, key)
-    mass = np.where(at >= 0, tree.pair_mass[at], 0.0) if len(tree.pairs) else np.zeros(n)
-    p = np.where(known, mass + left * root, left)
-    # two-word state before each token: the pair that ends just before it
-    state = np.full(n, -1, np.int64)
-    state[1:] = _find(tree.deep, key[:-1])
-    state[first] = -1
-    if len(tree.deep):
-        deep_left = np.where(state >= 0, tree.deep_left[state], 1.0)
-        at = _find(tree.triples, np.where((state >= 0) & known, state * len(tree.symbols) + number, -1))
-        p = np.where(at >= 0, tree.triple_mass[at], 0.0) * known + deep_left * p if len(tree.triples) else deep_left * p
-    logs, roots = np.log10(p), np.where(known, np.log10(root), 0.0)
-    rare = ~known
-    total = lambda x: np.add.reduceat(x, begins)
-    edges = np.r_[0, np.cumsum(total(rare.astype(np.int64)))]
-    return sizes, total(known.astype(np.int64)), total(roots), total(logs), all_symbols[rare], edges
-
-
-def _grams(symbols: np.ndarray):
-    """For each order: keys of the grams that begin at each place, and whether the gram lies within a text."""
-    key, inside = symbols, np.ones(len(symbols), bool)
-    out = [(key, inside)]
-    for order in range(2, LONGEST + 1):
-        inside = inside[:-1] & (symbols[order - 2 : len(symbols) - 1] != END)
-        key = common.mixed(key[:-1] * np.uint64(common.BASE) + key[1:])
-        out.append((key, inside))
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, planes in pickle.loads(data):
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
     return out
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """An array as planes of bytes, compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
-
-
-def _unpacked(data: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-
-
 def _steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
-def _cuts(sorted_keys: np.ndarray, buckets: int):
+def _cuts(sorted_keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of the keys of each bucket, a range of keys, that has any."""
+    if not len(sorted_keys):
+        return []
     of = ((sorted_keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     begins = np.flatnonzero(np.diff(of, prepend=np.uint64(buckets)))
-    return zip(of[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(of)], strict=True)
+    return list(zip(of[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(of)], strict=True))
 
 
-def _text_chunks(it, words: int):
-    """(ids, symbols of each text) of chunks of texts."""
-    ids, parts, size = [], [], 0
-    for some, texts in common.column_batches(it, "doc_id", "text"):
-        for i, text in zip(some.to_pylist(), common.raw(texts), strict=True):
-            ids.append(i)
-            parts.append(tokens(text))
-            size += len(parts[-1])
-            if size >= words:
-                yield ids, parts
-                ids, parts, size = [], [], 0
-    if parts:
-        yield ids, parts
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROWS_SCHEMA)], schema=_ROWS_SCHEMA)
 
 
-def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def _chunked(it):
+    """(doc_id, text, train) as rows of chunks."""
+    part, no = TaskContext.get().partitionId() << 32, 0
 
+    def out(ids, train, parts):
+        every, number = np.unique(np.concatenate(parts), return_inverse=True)
+        sizes = np.array([len(p) for p in parts], np.int64)
+        return _batch([(part + no, TEXT, 0, pickle.dumps((ids, _packed(np.array(train, bool), sizes, _steps(every), number.astype(np.uint32)))))])
 
-_COUNTED = pa.schema([("bucket", pa.int64()), ("size", pa.int32()), ("prefix", pa.binary()), ("suffix", pa.binary()), ("n", pa.binary())])
-_GRAMS = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("n", pa.int64())])
+    ids, train, parts, size = [], [], [], 0
+    for some, texts, flags in common.column_batches(it, "doc_id", "text", "train"):
+        for i, text, flag in zip(some.to_pylist(), common.raw(texts), flags.to_pylist(), strict=True):
+            ids.append(i)
+            train.append(flag)
+            parts.append(tokens(text))
+            size += len(parts[-1])
+            if size >= CHUNK_WORDS:
+                yield out(ids, train, parts)
+                ids, train, parts, size, no = [], [], [], 0, no + 1
+    if parts:
+        yield out(ids, train, parts)
 
 
-def _counting(buckets: int):
-    """Grams of chunks with their counts: the grams without their last and first word, which give the gram's key."""
+def _asked_words(buckets: int):
+    """Each chunk's words, with their counts in its training texts, to the buckets."""
 
     def run(it):
-        for _, parts in _text_chunks(it, CHUNK_WORDS):
-            all_grams = _grams(np.concatenate(parts))
-            for order, (keys, inside) in enumerate(all_grams, 1):
-                at = np.flatnonzero(inside)
-                found, first, n = np.unique(keys[at], return_index=True, return_counts=True)
-                at = at[first]
-                shorter = all_grams[max(order - 2, 0)][0]
-                prefix, suffix, n = shorter[at], shorter[at + (order > 1)], n.astype(np.uint32)
-                rows = [(k, order, _packed(prefix[a:b]), _packed(suffix[a:b]), _packed(n[a:b])) for k, a, b in _cuts(found, buckets)]
-                if rows:
-                    yield _batch(_COUNTED, *zip(*rows, strict=True))
+        for chunks, datas in common.column_batches(it, "chunk", "data"):
+            for chunk, data in zip(chunks.to_pylist(), datas.to_pylist(), strict=True):
+                train, sizes, every, number = _unpacked(pickle.loads(data)[1])
+                n = np.bincount(number[np.repeat(train, sizes)], minlength=len(every)).astype(np.uint64)
+                keys = np.cumsum(every)
+                yield _batch([(chunk, WORDS, b, _packed(_steps(keys[x:y]), n[x:y])) for b, x, y in _cuts(keys, buckets)])
 
     return run
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """Sums over chunks; of grams of several words those that occur ``LEAST`` times."""
-    rows, out = table.to_pylist(), []
-    for order in range(1, LONGEST + 1):
-        mine = [r for r in rows if r["size"] == order]
-        if not mine:
-            continue
-        prefix, suffix = (np.concatenate([_unpacked(r[c], np.uint64) for r in mine]) for c in ("prefix", "suffix"))
-        n = np.concatenate([_unpacked(r["n"], np.uint32) for r in mine]).astype(np.int64)
-        keys = prefix if order == 1 else common.mixed(prefix * np.uint64(common.BASE) + suffix)
-        by = np.argsort(keys, kind="stable")
-        begins = np.flatnonzero(np.r_[True, keys[by][1:] != keys[by][:-1]])
-        n, first = np.add.reduceat(n[by], begins), by[begins]
-        first, n = (first, n) if order == 1 else (first[n >= LEAST], n[n >= LEAST])
-        out.append(_batch(_GRAMS, np.full(len(n), order), *(x[first].view(np.int64) for x in (keys, prefix, suffix)), n))
-    return pa.Table.from_batches(out, _GRAMS)
-
-
-def _judged(followers: DataFrame, gain: float) -> tuple[DataFrame, DataFrame]:
-    """(state, left, stays) of the states, and their followers (key, suffix, mass, p); p is that from the state if it stays.
-
-    ``followers`` has key, state, suffix, n, whole (the state's count) and shorter (the probability from the suffix).
-    """
-    rows = followers.withColumn("mass", (F.col("n") - DISCOUNT) / F.col("whole"))
-    sums = rows.groupBy("state").agg((1 - F.sum("mass")).alias("left"), (F.first("whole") - F.sum("n")).alias("others"))
-    rows = common.durable(rows.join(sums, "state"))
-    each = F.col("n") * F.log((F.col("mass") + F.col("left") * F.col("shorter")) / F.col("shorter"))
-    judged = rows.groupBy("state").agg(F.first("left").alias("left"), (F.sum(each) + F.first("others") * F.log(F.first("left")) >= gain).alias("stays"))
-    judged = common.durable(judged)
-    p = F.when(F.col("stays"), F.col("mass") + F.col("left") * F.col("shorter")).otherwise(F.col("shorter"))
-    return judged, common.durable(rows.drop("left").join(judged, "state").select("key", "state", "suffix", "mass", "n", p.alias("p")))
-
-
-def tree_table(docs: DataFrame, buckets: int, p_min: float = P_MIN, p_next: float = P_NEXT, gain: float = GAIN) -> tuple[DataFrame, int, int]:
-    """(key, value, left) of the tree, with all tokens and distinct words.
-
-    A word's value is its count, a follower's its mass; left is the share that a state leaves to its suffix, 1 if none.
-    """
-    dealt = docs.mapInArrow(_counting(buckets), "bucket long, size int, prefix binary, suffix binary, n binary")
-    grams = common.durable(dealt.groupBy("bucket").applyInArrow(_counted, "size int, key long, prefix long, suffix long, n long"))
-    words = grams.filter("size = 1").select("key", "n")
-    total, vocabulary = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    many = lambda share: max(LEAST, int(np.ceil(share * total)))
-    counts, shorter = words, words.select("key", ((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).alias("shorter"))
-    states, followers = [], []
-    for order in range(2, LONGEST + 1):
-        now = grams.filter((F.col("size") == order) & (F.col("n") >= many(p_next))).select("key", F.col("prefix").alias("state"), "suffix", "n")
-        whole = counts.filter(F.col("n") >= many(p_min)).select(F.col("key").alias("state"), F.col("n").alias("whole"))
-        judged, rows = _judged(now.join(whole, "state").join(shorter.withColumnRenamed("key", "suffix"), "suffix"), gain)
-        states.append(judged)
-        followers.append(rows)
-        counts, shorter = rows.select("key", "n"), rows.select("key", F.col("p").alias("shorter"))
-    # suffixes of states stay, from the longest down
-    kept, below = [], None
-    for i in reversed(range(len(states))):
-        stays = states[i].filter("stays").select("state", "left")
-        if below is not None:
-            stays = stays.unionByName(states[i].join(below, "state", "left_semi").filter("not stays").select("state", "left"))
-        kept.insert(0, common.durable(stays))
-        if i:
-            below = followers[i - 1].join(kept[0].select(F.col("state").alias("key")), "key", "left_semi").select(F.col("suffix").alias("state")).distinct()
-    tree = None
-    for i in range(LONGEST):
-        values = words.select("key", F.col("n").cast("double").alias("value")) if i == 0 else followers[i - 1].join(kept[i - 1].select("state"), "state", "left_semi").select("key", F.col("mass").alias("value"))
-        if i < len(kept):
-            values = values.join(kept[i].withColumnRenamed("state", "key"), "key", "full" if i else "left").select("key", F.coalesce("value", F.lit(0.0)).alias("value"), F.coalesce("left", F.lit(1.0)).alias("left"))
-        else:
-            values = values.withColumn("left", F.lit(1.0))
-        tree = values if tree is None else tree.unionByName(values)
-    return tree, total, vocabulary
-
-
-_DEALT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("value", pa.binary()), ("left", pa.binary())])
-_DEALT_SQL = "bucket long, chunk long, keys binary, value binary, left binary"
-_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-#: Chunk numbers that mark rows of the tree.
-TREE = -1
-
+def _counted_words(table):
+    """A bucket's answers: the counts of all chunks; and in rows without a chunk its tokens and distinct words, as numbers."""
+    asked = [(c, b, *_unpacked(d)) for c, b, d in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)]
+    keys, of = np.unique(np.concatenate([np.cumsum(k) for _, _, k, _ in asked]), return_inverse=True)
+    n = np.zeros(len(keys), np.uint64)
+    np.add.at(n, of, np.concatenate([x for _, _, _, x in asked]))
+    out, at = [(-1, TOTAL, int(n.sum()), None), (-1, DISTINCT, int((n > 0).sum()), None)], 0
+    for chunk, bucket, k, _ in asked:
+        out.append((chunk, WORDS, bucket, _packed(n[of[at : at + len(k)]])))
+        at += len(k)
+    return pa.Table.from_batches([_batch(out)], _ROWS_SCHEMA)
 
-def _rows_dealt(buckets: int):
-    """The tree's rows to their buckets."""
 
-    def run(it):
-        for keys, values, lefts in common.column_batches(it, "key", "value", "left"):
-            key = keys.to_numpy().view(np.uint64)
-            by = np.argsort(key)
-            key, value, left = key[by], values.to_numpy()[by], lefts.to_numpy()[by]
-            rows = [(k, TREE, _packed(key[a:b]), _packed(value[a:b]), _packed(left[a:b])) for k, a, b in _cuts(key, buckets)]
-            yield _batch(_DEALT, *zip(*rows, strict=True))
+@dataclass
+class Level:
+    """A chunk's contexts of one length: the asked ones, and where they stand in it."""
+
+    #: Tokens that have such a context, and the number of the context before each.
+    at: np.ndarray
+    context: np.ndarray
+    #: Tokens of those that may follow it often enough, and the number of each one's gram.
+    follows: np.ndarray
+    gram: np.ndarray
+    #: Keys of the parts, sorted; the part of each (context, part number), and of each gram.
+    keys: np.ndarray
+    first: np.ndarray
+    parts: np.ndarray
+    part_of: np.ndarray
+    gram_part: np.ndarray
+    #: Grams in order of their parts, by the place of one of their tokens.
+    order: np.ndarray
+    example: np.ndarray
+
+
+class Chunk:
+    """The symbols of a chunk, and what the answers so far say about each of its tokens."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]], scale: float, gain: float):
+        """``rows``: (kind, bucket, data) of the chunk and of the answers to it."""
+        answers: dict[int, list] = {}
+        for kind, bucket, data in rows:
+            if kind == TEXT:
+                self.ids, own = pickle.loads(data)
+            else:
+                answers.setdefault(kind, []).append((bucket, data))
+        answers = {k: [np.concatenate(x) for x in zip(*(_unpacked(d) for _, d in sorted(v)), strict=True)] for k, v in answers.items()}
+        train, self.sizes, every, self.number = _unpacked(own)
+        self.symbols = np.cumsum(every)[self.number]
+        self.train = np.repeat(train, self.sizes)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.room = np.arange(len(self.symbols)) - np.repeat(self.begins, self.sizes)
+        self.count = answers[WORDS][0][self.number].astype(np.float64)
+        self.root, self.gain, self.depth = (self.count + 0.5) / scale, gain, 0
+        self.p = self.root.copy()
+        #: Of the context looked at last: whether it is a state, and how often it occurs with the token after it (-1: not asked).
+        self.state = np.ones(len(self.symbols), bool)
+        self.seen = self.count
+        #: An upper bound, the same for all chunks, of how often the words before each token occur together.
+        self.often = np.r_[0.0, self.count[:-1]]
+        while (depth := self.depth + 1) in answers:
+            self.learn(self.level(depth), *answers[depth])
+            self.depth = depth
+
+    def level(self, depth: int) -> Level:
+        """What to ask about contexts of ``depth`` words; those of fewer have been answered."""
+        before = np.r_[0.0, self.seen[:-1]]  # how often the context occurs: -1 where unknown
+        self.often = np.where(before >= 0, before, self.often)
+        at = np.flatnonzero((self.room >= depth) & self.state & ((before < 0) | (before >= LEAST)))
+        keys, example, context = np.unique(common.rolling(self.symbols, depth)[at - depth], return_index=True, return_inverse=True)
+        parts = (1 + self.often[at[example]] // SPLIT).astype(np.int64)
+        first = np.cumsum(parts) - parts
+        owner = np.repeat(np.arange(len(keys)), parts)
+        part_keys = keys[owner] + (np.arange(len(owner)) - first[owner]).astype(np.uint64) * np.uint64(common.BASE)
+        part_keys = np.where(parts[owner] > 1, common.mixed(part_keys), part_keys)
+        order = np.argsort(part_keys, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        frequent = self.seen[at] >= LEAST
+        follows, owners = at[frequent], context[frequent]
+        grams, example, gram = np.unique(owners << 32 | self.number[follows], return_index=True, return_inverse=True)
+        owners, example = grams >> 32, follows[example]
+        part = rank[first[owners] + (self.symbols[example] >> np.uint64(7)).astype(np.int64) % parts[owners]]
+        by = np.argsort(part, kind="stable")
+        return Level(at, context, follows, gram, part_keys[order], first, parts, rank, part[by], by, example)
+
+    def asks(self, depth: int, buckets: int) -> list[tuple[int, int, bytes]]:
+        """(kind, bucket, data): part keys, training counts, number of grams; symbol, count and probability of each gram."""
+        if self.depth != depth - 1:
+            return []  # no context of one word less
+        v = self.level(depth)
+        n = np.repeat(np.bincount(v.context, self.train[v.at], len(v.first)).astype(np.uint64), v.parts)
+        held = np.empty(len(n), np.uint64)
+        held[v.part_of] = n
+        grams = np.bincount(v.gram, self.train[v.follows], len(v.example)).astype(np.uint64)[v.order]
+        example = v.example[v.order]
+        symbol = (common.mixed(self.symbols[example]) >> np.uint64(64 - int(_FOLLOWER))).view(np.uint8).reshape(-1, 8)[:, :5] if len(example) else np.zeros((0, 5), np.uint8)
+        log = np.maximum(np.rint(np.log(self.p[example]) * _STEP), -32768).astype(np.int16)
+        number = np.bincount(v.gram_part, minlength=len(v.keys)).astype(np.uint32)
+        ends = np.r_[0, np.cumsum(number)]
+        out = []
+        for b, x, y in _cuts(v.keys, buckets):
+            g = slice(ends[x], ends[y])
+            out.append((depth, b, _packed(_steps(v.keys[x:y]), held[x:y], number[x:y], *np.ascontiguousarray(symbol[g].T), grams[g], log[g])))
+        return out
+
+    def learn(self, v: Level, held: np.ndarray, own: np.ndarray, several: np.ndarray, gain: np.ndarray, grams: np.ndarray) -> None:
+        """Take in the answers to ``level``: by part the context's count, the sum and number of frequent followers and their gain."""
+        depth, before = self.depth + 1, np.r_[0.0, self.seen[:-1]]
+        add = lambda x: np.add.reduceat(x[v.part_of].astype(np.float64), v.first)
+        whole, own, several, gain = held[v.part_of[v.first]].astype(np.float64), add(own), add(several), add(gain)
+        left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
+        stays = (several > 0) & (gain + (whole - own) * np.log(left) >= self.gain)
+        n = np.empty(len(grams))
+        n[v.order] = grams
+        seen = np.where((self.room >= depth) & ((before < 0) | (before >= LEAST)), -1.0, 0.0)
+        seen[v.at] = 0
+        seen[v.follows] = n[v.gram]
+        mass = np.where(seen[v.at] >= LEAST, seen[v.at] - DISCOUNT, 0.0) / np.maximum(whole, 1)[v.context]
+        self.p[v.at] = np.where(stays[v.context], mass + left[v.context] * self.p[v.at], self.p[v.at])
+        self.state = np.zeros(len(self.p), bool)
+        self.state[v.at] = stays[v.context]
+        self.seen = seen
+
+    def sums(self) -> tuple[np.ndarray, ...]:
+        """For each text its tokens, known tokens, and log10 of its probability at the root and in the tree."""
+        total = lambda x: np.add.reduceat(x, self.begins)
+        return self.sizes, total((self.count > 0).astype(np.int64)), total(np.log10(self.root)), total(np.log10(self.p))
+
+
+def _of_chunk(table, scale: float, gain: float) -> Chunk:
+    return Chunk(list(zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)), scale, gain)
+
+
+def _asking(depth: int, buckets: int, scale: float, gain: float):
+    def run(key, table):
+        asked = _of_chunk(table, scale, gain).asks(depth, buckets)
+        return pa.Table.from_batches([_batch([(key[0].as_py(), *a) for a in asked])], _ROWS_SCHEMA)
 
     return run
 
 
-def _asking(buckets: int):
-    """Each chunk's distinct grams to the buckets, and the chunk itself (ids, sizes, symbols) by way of one of them."""
+def _answered(table):
+    """A bucket's answers: counts of parts and of grams in the training texts of all chunks, and what the parts gain."""
+    asked = [(c, k, b, *_unpacked(d)) for c, k, b, d in zip(*(table[n].to_pylist() for n in ("chunk", "kind", "bucket", "data")), strict=True)]
+    column = lambda i: np.concatenate([a[i] for a in asked])
+    keys, of = np.unique(np.concatenate([np.cumsum(a[3]) for a in asked]), return_inverse=True)
+    whole = np.bincount(of, column(4), len(keys))
+    follower = np.zeros(len(column(6)), np.uint64)
+    for byte in range(5):
+        follower |= column(6 + byte).astype(np.uint64) << np.uint64(8 * byte)
+    grams, example, gram = np.unique((np.repeat(of, column(5)).astype(np.uint64) << _FOLLOWER) | follower, return_index=True, return_inverse=True)
+    n = np.bincount(gram, column(11), len(grams))
+    often = n >= LEAST
+    part, times = (grams[often] >> _FOLLOWER).astype(np.int64), n[often]
+    own, several = np.bincount(part, times, len(keys)), np.bincount(part, minlength=len(keys))
+    gain = np.bincount(part, times * (np.log((times - DISCOUNT) / whole[part]) - column(12)[example[often]] / _STEP), len(keys))
+    n = np.where(often, n, 0).astype(np.uint64)[gram]
+    by_part = [whole.astype(np.uint64), own.astype(np.uint64), several.astype(np.uint64), gain.astype(np.float32)]
+    out, at, g = [], 0, 0
+    for a in asked:
+        mine = of[at : at + len(a[3])]
+        out.append((a[0], a[1], a[2], _packed(*(x[mine] for x in by_part), n[g : g + len(a[6])])))
+        at, g = at + len(a[3]), g + len(a[6])
+    return pa.Table.from_batches([_batch(out)], _ROWS_SCHEMA)
 
-    def run(it):
-        part = TaskContext.get().partitionId() << 32
-        for no, (ids, parts) in enumerate(_text_chunks(it, WALK_WORDS)):
-            chunk, symbols = part + no, np.concatenate(parts)
-            every, number = np.unique(symbols, return_inverse=True)
-            asked = np.unique(np.concatenate([every, *(k[inside] for k, inside in _grams(symbols)[1:])]))
-            rows = [(k, chunk, _packed(_steps(asked[a:b])), None, None) for k, a, b in _cuts(asked, buckets)]
-            held = pickle.dumps((ids, [len(p) for p in parts], _packed(every), _packed(number.astype(np.uint32))))
-            rows.append((rows[0][0], chunk, None, held, None))
-            yield _batch(_DEALT, *zip(*rows, strict=True))
 
-    return run
+_SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _answered(table: pa.Table) -> pa.Table:
-    """A bucket's answers: of each chunk's grams those that are in the tree."""
-    rows, out = table.to_pylist(), []
-    mine = [r for r in rows if r["chunk"] == TREE]
-    keys, value, left = (np.concatenate([_unpacked(r[c], t) for r in mine]) if mine else np.zeros(0, t) for c, t in (("keys", np.uint64), ("value", np.float64), ("left", np.float64)))
-    by = np.argsort(keys)
-    keys, value, left = keys[by], value[by], left[by]
-    for r in rows:
-        if r["chunk"] == TREE:
-            continue
-        if r["keys"] is None:
-            out.append((r["bucket"], r["chunk"], None, r["value"], None))
-            continue
-        asked = np.cumsum(_unpacked(r["keys"], np.uint64))
-        at = _find(keys, asked)
-        at = at[at >= 0]
-        if len(at):
-            out.append((r["bucket"], r["chunk"], _packed(_steps(keys[at])), _packed(value[at]), _packed(left[at])))
-    return pa.Table.from_batches([_batch(_DEALT, *zip(*out, strict=True))] if out else [], _DEALT)
-
-
-def _scored(scale: float):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        ids, sizes, every, number = pickle.loads(next(r["value"] for r in rows if r["keys"] is None))
-        symbols = _unpacked(every, np.uint64)[_unpacked(number, np.uint32)]
-        mine = [r for r in rows if r["keys"] is not None]
-        keys = np.concatenate([np.cumsum(_unpacked(r["keys"], np.uint64)) for r in mine] or [np.zeros(0, np.uint64)])
-        value, left = (np.concatenate([_unpacked(r[c], np.float64) for r in mine] or [np.zeros(0)]) for c in ("value", "left"))
-        by = np.argsort(keys)
-        keys, value, left = keys[by], np.r_[value[by], 0.0], np.r_[left[by], 1.0]  # the last, under -1, for what is not there
-        p = shares = root = known = None
-        for order, (gram, inside) in enumerate(_grams(symbols), 1):
-            at = np.where(inside, _find(keys, gram), -1)
-            if order == 1:
-                known = at >= 0
-                p = root = (value[at] + 0.5) / scale
-            else:
-                # the gram that begins at i ends at i + order - 1; the state before its last word begins at i, too
-                p = p.copy()
-                p[order - 1 :] = value[at] + np.where(inside, shares[:-1], 1.0) * p[order - 1 :]
-            shares = left[at]
-        begins = np.cumsum(sizes) - sizes
-        total = lambda x: np.add.reduceat(x, begins)
-        return pa.Table.from_batches([_batch(_SCORED, ids, sizes, total(known.astype(np.int64)), total(np.log10(root)), total(np.log10(p)))])
+def _scored(scale: float, gain: float):
+    def run(table):
+        chunk = _of_chunk(table, scale, gain)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((chunk.ids, *chunk.sums()), _SCORED, strict=True)], schema=_SCORED)
 
     return run
 
 
-def score_texts(docs: DataFrame, folds: int = 5, held_out: int = 1, p_min: float = P_MIN, p_next: float = P_NEXT, gain: float = GAIN) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 5, held_out: int = 1, depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; learns from ids outside the fold."""
+    spark = docs.sparkSession
     rows = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(common.partitions(docs.sparkSession), chars // BUCKET_CHARS)
-    tree, total, vocabulary = tree_table(rows.filter(common.crc_remainder("doc_id", folds) != held_out), buckets, p_min, p_next, gain)
-    dealt = tree.mapInArrow(_rows_dealt(buckets), _DEALT_SQL).unionByName(rows.mapInArrow(_asking(buckets), _DEALT_SQL))
-    answers = dealt.groupBy("bucket").applyInArrow(_answered, _DEALT_SQL)
-    found = answers.groupBy("chunk").applyInArrow(_scored(total + 0.5 * (vocabulary + 1)), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(common.partitions(spark), size // BUCKET_BYTES)
+    store = common.Buckets(spark, f"{common.shared_dir(spark)}/scratch/{uuid.uuid4().hex}", _ROWS, "chunk", min(FILES, max(common.partitions(spark), size // FILE_BYTES)))
+
+    def kept(df: DataFrame, part: str) -> None:
+        store.write(df.repartition(store.files, "chunk"), part)
+
+    train = F.coalesce(common.crc_remainder("doc_id", folds) != held_out, F.lit(False))
+    kept(rows.withColumn("train", train).mapInArrow(_chunked, _ROWS), "text")
+    parts = ["text", "words"]
+    with store.read(parts[:1]) as chunks:
+        kept(chunks.mapInArrow(_asked_words(buckets), _ROWS).groupBy("bucket").applyInArrow(_counted_words, _ROWS), "words")
+    sums = spark.read.schema(_ROWS).parquet(store.folder("words")).filter("chunk < 0").groupBy("kind").agg(F.sum("bucket")).collect()
+    total, distinct = (next((n for k, n in sums if k == kind), 0) for kind in (TOTAL, DISTINCT))
+    scale = total + 0.5 * (distinct + 1)
+    for words in range(1, depth + 1):
+        with store.read(parts) as known:
+            asked = known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_asking(words, buckets, scale, gain), _ROWS)
+            kept(asked.groupBy("bucket").applyInArrow(_answered, _ROWS), str(words))
+        parts.append(str(words))
+    with store.read(parts) as known:
+        found = common.durable(known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_scored(scale, gain), "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+    common.remove(spark, store.path)
     return found.select(
         "doc_id",
         F.coalesce(common.crc_remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),

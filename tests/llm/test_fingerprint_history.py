@@ -25,7 +25,7 @@ def removed(df):
 
 
 def files(index):
-    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(index.base.removeprefix("file://")) for f in names}
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(index.store.path.removeprefix("file://")) for f in names}
 
 
 def test_history_is_required(spark, index):
@@ -48,7 +48,7 @@ def test_a_second_try_replaces_its_run(spark, index):
 def test_a_run_that_was_not_finished_does_not_count(spark, index):
     index.add(batch(spark, 0), "a")
     index.match(batch(spark, 1), "b")
-    os.remove(f"{index.base.removeprefix('file://')}/{index.runs()[-1][2]}/_SUCCESS")
+    os.remove(f"{index.store.folder(index.runs()[-1][2]).removeprefix('file://')}/_SUCCESS")
     assert [r[:2] for r in index.runs()] == [(0, 0)]
     with pytest.raises(ValueError):
         substring_dedup.FingerprintIndex(spark, index.path, window=5, buckets=3)
@@ -59,24 +59,23 @@ def test_runs_are_sorted_and_a_batch_writes_its_own_alone(spark, index):
     before = files(index)
     index.match(batch(spark, 2, 3), "b")
     after = files(index)
-    assert before.items() <= after.items() and all("run=000001" in f for f in after.keys() - before.keys())
-    lists, drop = index.table(index.runs())
+    assert before.items() <= after.items() and all("part=000001" in f for f in after.keys() - before.keys())
     seen = []
-    for r in lists.collect():
+    with index.store.read([r[2] for r in index.runs()]) as lists:
+        lists = lists.filter("kind = 0").collect()
+    for r in lists:
         f = substring_dedup._fingerprints(r.fingerprints)
         assert (f[1:] > f[:-1]).all()
         doc, start = substring_dedup._places_of(r.places, substring_dedup._spots(r.spots))
         seen += zip(f.tolist(), doc.tolist(), start.tolist(), strict=True)
-    drop()
     assert len({f for f, _, _ in seen}) == len(seen), "one place a fingerprint in all runs"
     assert sorted((d, s) for _, d, s in seen) == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 2), (2, 0), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2), (3, 3)]
 
 
 def test_the_history_is_not_shuffled(spark, index):
     index.match(batch(spark, 0), "a")
-    lists, drop = index.table(index.runs())
-    plan = lists.groupBy("bucket").applyInArrow(substring_dedup._compact, substring_dedup._RUNS)._jdf.queryExecution().executedPlan().toString()
-    drop()
+    with index.store.read([index.runs()[0][2]]) as lists:
+        plan = lists.groupBy("bucket").applyInArrow(substring_dedup._compact, substring_dedup._RUNS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan
 
 
@@ -85,10 +84,10 @@ def test_a_compaction_that_dies_changes_nothing(spark, tmp_path):
     index.match(batch(spark, 0), "a")
     index.match(batch(spark, 1), "b")
     copy = f"{tmp_path}/copy"
-    shutil.copytree(index.base.removeprefix("file://"), copy)
+    shutil.copytree(index.store.path.removeprefix("file://"), copy)
     index.match(batch(spark, 2), "c")
     assert [r[:2] for r in index.runs()] == [(0, 1), (2, 2)]
-    shutil.copytree(copy, index.base.removeprefix("file://"), dirs_exist_ok=True)  # the old runs, not deleted yet
+    shutil.copytree(copy, index.store.path.removeprefix("file://"), dirs_exist_ok=True)  # the old runs, not deleted yet
     assert [r[:2] for r in index.runs()] == [(0, 1), (2, 2)]
     history = batch(spark, 0, 1, 2)
     assert removed(index.add(batch(spark, 3), "d", history)) == {3: 8}

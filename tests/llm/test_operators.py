@@ -226,7 +226,7 @@ def test_decontamination(spark, docs, rows, empty, benchmark_rows, monkeypatch,
 
 
 def test_suffix_tree(docs, rows, empty):
-    found = suffix_tree_lm.score_texts(docs, p_min=0.002, p_next=0.0005, gain=2.0).collect()
+    found = suffix_tree_lm.score_texts(docs, gain=2.0).collect()
     symbols = lambda t: [*(t.encode().lower().split() if t else []), "end"]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter(w for i, t, _ in rows if i is not None and not held(i) for w in symbols(t))
@@ -242,33 +242,6 @@ def test_suffix_tree(docs, rows, empty):
     assert suffix_tree_lm.score_texts(empty).count() == 0
 
 
-def test_suffix_tree_sums_to_one(docs, rows):
-    """In every state the probabilities of all words, unseen ones together, sum to one; and walking equals looking up."""
-    tree, _ = suffix_tree_lm.learn(docs, 0.002, 0.0005, 2.0)
-    assert len(tree.deep) and (tree.left < 1).any()
-    known = [t for _, t, _ in rows if t]
-    every = np.unique(np.concatenate([suffix_tree_lm.tokens(t.encode()) for t in known]))
-    counts = Counter(int(x) for i, t, _ in rows if i is not None for x in suffix_tree_lm.tokens(t.encode() if t else b""))
-    rest = 1 - sum((counts[int(x)] + 0.5) / tree.scale for x in every)
-    size = len(tree.symbols)
-    for state in [None, *np.flatnonzero(tree.left < 1)[:5], *[(int(k),) for k in tree.deep[:5]]]:
-        total = 0.0
-        for x in every:
-            number = int(tree.numbers(np.array([x]))[0])
-            p = (counts[int(x)] + 0.5) / tree.scale
-            if state is not None:
-                one = int(state) if not isinstance(state, tuple) else int(state[0] % size)
-                at = suffix_tree_lm._find(tree.pairs, np.array([tree.near[one] * size + number if number >= 0 else -1]))[0]
-                p = tree.left[one] * p + (tree.pair_mass[at] if at >= 0 and number >= 0 else 0)
-            if isinstance(state, tuple):
-                deep = int(np.searchsorted(tree.deep, state[0]))
-                at = suffix_tree_lm._find(tree.triples, np.array([deep * size + number if number >= 0 else -1]))[0]
-                p = tree.deep_left[deep] * p + (tree.triple_mass[at] if at >= 0 and number >= 0 else 0)
-            total += p
-        left = 1.0 if state is None else tree.left[int(state)] if not isinstance(state, tuple) else tree.left[int(state[0] % size)] * tree.deep_left[int(np.searchsorted(tree.deep, state[0]))]
-        assert total + left * rest == pytest.approx(1, abs=1e-6)
-
-
 def test_line_dedup(docs, rows, empty):
     found = line_templates.drop_lines(docs, min_texts=10)
     assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
