@@ -152,7 +152,7 @@ class _Chunk:
 
 
 def _run(f: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes, bytes]:
-    """A run's lists: sorted fingerprints, the spot of each among the places, and the places, which are in order."""
+    """A run's lists: sorted fingerprints, the spot of each among the places, and the places."""
     o = np.argsort(f, kind="stable")
     return _pack(f[o].view(np.int64)), _planes(o.astype(np.uint32)), _runs_of(doc, start)
 
@@ -248,14 +248,16 @@ def _merge(key, new, old=None):
 
 def _compact(key, table):
     """A bucket's lists of several runs as one; of a fingerprint in two of them the older run's place stays."""
-    lists = []
-    for _, prints, spots, places in sorted(zip(*(table[c].to_pylist() for c in ("part", "fingerprints", "spots", "places")), strict=True)):
-        lists.append((_fingerprints(prints), *_places_of(places, _spots(spots))))
-    f, doc, start = (np.concatenate(x) for x in zip(*lists, strict=True))
-    o = np.argsort(f, kind="stable")
+    prints, spots, places, base = [], [], [], 0
+    for _, f, s, p in sorted(zip(*(table[c].to_pylist() for c in ("part", "fingerprints", "spots", "places")), strict=True)):
+        prints.append(_fingerprints(f))
+        spots.append(_spots(s) + np.uint32(base))
+        places.append(_unpack(p, 3))
+        base += int(places[-1][2].sum())
+    f, spots = np.concatenate(prints), np.concatenate(spots)
+    o = np.argsort(f, kind="stable")  # merges lists that are sorted already
     o = o[np.r_[True, f[o][1:] != f[o][:-1]]]
-    o = o[np.lexsort((start[o], doc[o]))]
-    return pa.Table.from_batches([_rows([(key[0].as_py(), RUN, *_run(f[o], doc[o], start[o]))])], _RUNS_SCHEMA)
+    return pa.Table.from_batches([_rows([(key[0].as_py(), RUN, _pack(f[o].view(np.int64)), _planes(spots[o]), _pack(*(np.concatenate(x) for x in zip(*places, strict=True))))])], _RUNS_SCHEMA)
 
 
 def _spread(it):
