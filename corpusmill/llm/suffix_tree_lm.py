@@ -88,6 +88,23 @@ def _steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
+def _numbered(x: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in increasing order, a place of each, and the number of each entry's value among them."""
+    if not len(x):
+        return x, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = max(least, len(x).bit_length())
+    if int(x.max()).bit_length() + bits <= 64:  # value and place in one word: sorting is several times as fast
+        both = np.sort(x.astype(np.uint64) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64))
+        order, values = (both & np.uint64((1 << bits) - 1)).view(np.int64), (both >> np.uint64(bits)).astype(x.dtype)
+    else:
+        order = np.argsort(x)
+        values = x[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return values[new], order[new], number
+
+
 def _cuts(sorted_keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of the keys of each bucket, a range of keys, that has any."""
     if not len(sorted_keys):
@@ -106,7 +123,7 @@ def _chunked(it):
     part, no = TaskContext.get().partitionId() << 32, 0
 
     def out(ids, train, parts):
-        every, number = np.unique(np.concatenate(parts), return_inverse=True)
+        every, _, number = _numbered(np.concatenate(parts))
         sizes = np.array([len(p) for p in parts], np.int64)
         return _batch([(part + no, TEXT, 0, pickle.dumps((ids, _packed(np.array(train, bool), sizes, _steps(every), number.astype(np.uint32)))))])
 
@@ -141,9 +158,8 @@ def _asked_words(buckets: int):
 def _counted_words(table):
     """A bucket's answers: the counts of all chunks; and in rows without a chunk its tokens and distinct words, as numbers."""
     asked = [(c, b, *_unpacked(d)) for c, b, d in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)]
-    keys, of = np.unique(np.concatenate([np.cumsum(k) for _, _, k, _ in asked]), return_inverse=True)
-    n = np.zeros(len(keys), np.uint64)
-    np.add.at(n, of, np.concatenate([x for _, _, _, x in asked]))
+    keys, _, of = _numbered(np.concatenate([np.cumsum(k) for _, _, k, _ in asked]))
+    n = np.bincount(of, np.concatenate([x for _, _, _, x in asked]), len(keys)).astype(np.uint64)
     out, at = [(-1, TOTAL, int(n.sum()), None), (-1, DISTINCT, int((n > 0).sum()), None)], 0
     for chunk, bucket, k, _ in asked:
         out.append((chunk, WORDS, bucket, _packed(n[of[at : at + len(k)]])))
@@ -184,8 +200,10 @@ class Chunk:
             else:
                 answers.setdefault(kind, []).append((bucket, data))
         answers = {k: [np.concatenate(x) for x in zip(*(_unpacked(d) for _, d in sorted(v)), strict=True)] for k, v in answers.items()}
-        train, self.sizes, every, self.number = _unpacked(own)
-        self.symbols = np.cumsum(every)[self.number]
+        train, self.sizes, every, number = _unpacked(own)
+        self.symbols, self.number = np.cumsum(every)[number], number.astype(np.int64)
+        #: The number of the context looked at last, which is given out by the chunk; and bits that hold any such number.
+        self.shorter, self.bits = np.zeros(len(number), np.int64), len(number).bit_length()
         self.train = np.repeat(train, self.sizes)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.room = np.arange(len(self.symbols)) - np.repeat(self.begins, self.sizes)
@@ -206,19 +224,20 @@ class Chunk:
         before = np.r_[0.0, self.seen[:-1]]  # how often the context occurs: -1 where unknown
         self.often = np.where(before >= 0, before, self.often)
         at = np.flatnonzero((self.room >= depth) & self.state & ((before < 0) | (before >= LEAST)))
-        keys, example, context = np.unique(common.rolling(self.symbols, depth)[at - depth], return_index=True, return_inverse=True)
+        _, example, context = _numbered(self.shorter[at] << self.bits | self.number[at - depth])
+        self.shorter[at] = context
         parts = (1 + self.often[at[example]] // SPLIT).astype(np.int64)
         first = np.cumsum(parts) - parts
-        owner = np.repeat(np.arange(len(keys)), parts)
-        part_keys = keys[owner] + (np.arange(len(owner)) - first[owner]).astype(np.uint64) * np.uint64(common.BASE)
-        part_keys = np.where(parts[owner] > 1, common.mixed(part_keys), part_keys)
+        owner = np.repeat(np.arange(len(example)), parts)
+        part_keys = common.rolling(self.symbols, depth)[at[example] - depth][owner]
+        part_keys = np.where(parts[owner] > 1, common.mixed(part_keys + (np.arange(len(owner)) - first[owner]).astype(np.uint64) * np.uint64(common.BASE)), part_keys)
         order = np.argsort(part_keys, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         frequent = self.seen[at] >= LEAST
         follows, owners = at[frequent], context[frequent]
-        grams, example, gram = np.unique(owners << 32 | self.number[follows], return_index=True, return_inverse=True)
-        owners, example = grams >> 32, follows[example]
+        grams, example, gram = _numbered(owners << self.bits | self.number[follows])
+        owners, example = grams >> self.bits, follows[example]
         part = rank[first[owners] + (self.symbols[example] >> np.uint64(7)).astype(np.int64) % parts[owners]]
         by = np.argsort(part, kind="stable")
         return Level(at, context, follows, gram, part_keys[order], first, parts, rank, part[by], by, example)
@@ -233,23 +252,30 @@ class Chunk:
         held[v.part_of] = n
         grams = np.bincount(v.gram, self.train[v.follows], len(v.example)).astype(np.uint64)[v.order]
         example = v.example[v.order]
-        symbol = (common.mixed(self.symbols[example]) >> np.uint64(64 - int(_FOLLOWER))).view(np.uint8).reshape(-1, 8)[:, :5] if len(example) else np.zeros((0, 5), np.uint8)
+        follower = self.symbols[example] >> (np.uint64(64) - _FOLLOWER)
         log = np.maximum(np.rint(np.log(self.p[example]) * _STEP), -32768).astype(np.int16)
         number = np.bincount(v.gram_part, minlength=len(v.keys)).astype(np.uint32)
+        split = np.empty(len(n), bool)
+        split[v.part_of] = np.repeat(v.parts > 1, v.parts)
         ends = np.r_[0, np.cumsum(number)]
         out = []
         for b, x, y in _cuts(v.keys, buckets):
             g = slice(ends[x], ends[y])
-            out.append((depth, b, _packed(_steps(v.keys[x:y]), held[x:y], number[x:y], *np.ascontiguousarray(symbol[g].T), grams[g], log[g])))
+            # followers of a part are in order, so that differences need fewer of the five bytes
+            planes = _steps(follower[g]).view(np.uint8).reshape(-1, 8)[:, :5]
+            out.append((depth, b, _packed(_steps(v.keys[x:y]), held[x:y], split[x:y], number[x:y], *np.ascontiguousarray(planes.T), grams[g], log[g])))
         return out
 
     def learn(self, v: Level, held: np.ndarray, own: np.ndarray, several: np.ndarray, gain: np.ndarray, grams: np.ndarray) -> None:
-        """Take in the answers to ``level``: by part the context's count, the sum and number of frequent followers and their gain."""
+        """Take in the answers to ``level``: by part the context's count, the sum and number of frequent followers and their gain.
+
+        Of a context in one part the bucket has made the test: the gain is infinite, or all is zero.
+        """
         depth, before = self.depth + 1, np.r_[0.0, self.seen[:-1]]
         add = lambda x: np.add.reduceat(x[v.part_of].astype(np.float64), v.first)
         whole, own, several, gain = held[v.part_of[v.first]].astype(np.float64), add(own), add(several), add(gain)
         left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
-        stays = (several > 0) & (gain + (whole - own) * np.log(left) >= self.gain)
+        stays = _gained(whole, own, several, gain) >= self.gain
         n = np.empty(len(grams))
         n[v.order] = grams
         seen = np.where((self.room >= depth) & ((before < 0) | (before >= LEAST)), -1.0, 0.0)
@@ -279,28 +305,44 @@ def _asking(depth: int, buckets: int, scale: float, gain: float):
     return run
 
 
-def _answered(table):
+def _gained(whole: np.ndarray, own: np.ndarray, several: np.ndarray, won: np.ndarray) -> np.ndarray:
+    """Gain of contexts over their suffixes: what frequent followers win, less what the others lose; none without such followers."""
+    left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
+    return np.where(several > 0, won + (whole - own) * np.log(left), -np.inf)
+
+
+def _answering(gain: float):
+    return lambda table: _answered(table, gain)
+
+
+def _answered(table, gain):
     """A bucket's answers: counts of parts and of grams in the training texts of all chunks, and what the parts gain."""
-    asked = [(c, k, b, *_unpacked(d)) for c, k, b, d in zip(*(table[n].to_pylist() for n in ("chunk", "kind", "bucket", "data")), strict=True)]
+    rows = list(zip(*(table[n].to_pylist() for n in ("chunk", "kind", "bucket")), strict=True))
+    asked = [_unpacked(d) for d in table["data"].to_pylist()]
     column = lambda i: np.concatenate([a[i] for a in asked])
-    keys, of = np.unique(np.concatenate([np.cumsum(a[3]) for a in asked]), return_inverse=True)
-    whole = np.bincount(of, column(4), len(keys))
-    follower = np.zeros(len(column(6)), np.uint64)
-    for byte in range(5):
-        follower |= column(6 + byte).astype(np.uint64) << np.uint64(8 * byte)
-    grams, example, gram = np.unique((np.repeat(of, column(5)).astype(np.uint64) << _FOLLOWER) | follower, return_index=True, return_inverse=True)
-    n = np.bincount(gram, column(11), len(grams))
+    keys, _, of = _numbered(np.concatenate([np.cumsum(a[0]) for a in asked]))
+    whole = np.bincount(of, column(1), len(keys))
+    split = np.zeros(len(keys), bool)
+    split[of] = column(2)
+    followers = [sum((a[4 + byte].astype(np.uint64) << np.uint64(8 * byte) for byte in range(5)), np.zeros(len(a[4]), np.uint64)) for a in asked]
+    follower = np.concatenate([np.cumsum(f) & ((np.uint64(1) << _FOLLOWER) - np.uint64(1)) for f in followers])
+    grams, example, gram = _numbered((np.repeat(of, column(3)).astype(np.uint64) << _FOLLOWER) | follower)
+    n = np.bincount(gram, column(9), len(grams))
     often = n >= LEAST
     part, times = (grams[often] >> _FOLLOWER).astype(np.int64), n[often]
     own, several = np.bincount(part, times, len(keys)), np.bincount(part, minlength=len(keys))
-    gain = np.bincount(part, times * (np.log((times - DISCOUNT) / whole[part]) - column(12)[example[often]] / _STEP), len(keys))
+    won = np.bincount(part, times * (np.log((times - DISCOUNT) / whole[part]) - column(10)[example[often]] / _STEP), len(keys))
     n = np.where(often, n, 0).astype(np.uint64)[gram]
-    by_part = [whole.astype(np.uint64), own.astype(np.uint64), several.astype(np.uint64), gain.astype(np.float32)]
+    # what a chunk need not know is zero, and takes no room
+    stays = _gained(whole, own, several, won) >= gain
+    told = split | stays
+    by_part = [np.where(told, x, 0).astype(np.uint64) for x in (whole, own, several)]
+    by_part.append(np.where(split, won, np.where(stays, np.inf, 0)).astype(np.float32))
     out, at, g = [], 0, 0
-    for a in asked:
-        mine = of[at : at + len(a[3])]
-        out.append((a[0], a[1], a[2], _packed(*(x[mine] for x in by_part), n[g : g + len(a[6])])))
-        at, g = at + len(a[3]), g + len(a[6])
+    for row, a in zip(rows, asked, strict=True):
+        mine = of[at : at + len(a[0])]
+        out.append((*row, _packed(*(x[mine] for x in by_part), n[g : g + len(a[4])])))
+        at, g = at + len(a[0]), g + len(a[4])
     return pa.Table.from_batches([_batch(out)], _ROWS_SCHEMA)
 
 
@@ -337,7 +379,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out: int = 1, depth: int =
     for words in range(1, depth + 1):
         with store.read(parts) as known:
             asked = known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_asking(words, buckets, scale, gain), _ROWS)
-            kept(asked.groupBy("bucket").applyInArrow(_answered, _ROWS), str(words))
+            kept(asked.groupBy("bucket").applyInArrow(_answering(gain), _ROWS), str(words))
         parts.append(str(words))
     with store.read(parts) as known:
         found = common.durable(known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_scored(scale, gain), "doc_id long, n_tokens long, n_known long, base_score double, score double"))
