@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Odd multiplier of the rolling window hash.
 BASE = 0x9E3779B97F4A7C15 | 2
-#: Bound, in rows of a few dozen bytes, under which a side of a join may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Bound, in bytes of compressed Parquet, under which a side of a join may be broadcast.
+BROADCAST_BYTES = 4_000_000
 #: Rows of one key from which a join deals them into parts.
 HOT_ROWS = 1_000
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -120,15 +120,17 @@ class Buckets:
             self.spark.sql(f"DROP TABLE {name}")
 
 
-def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str) -> DataFrame:
-    """Inner join where a key may hold a large share of the rows of ``many``, a written table; ``few`` has a key once or so.
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join where a key may hold a large share of the rows of ``many``; ``few`` has a key once or so.
 
+    ``counted`` is a written table with the keys of ``many``, which is read for them if it is one itself.
     Keys with more than ``HOT_ROWS`` rows, or one in 100,000 of all if that is more, are dealt by hash of the column
     ``spread`` into parts of about that size, and ``few`` is repeated for each part. There are at most 100,000 such keys,
     so that their list may be broadcast.
     """
-    least = max(HOT_ROWS, many.count() // 100_000)
-    hot = many.groupBy(*on).count().filter(F.col("count") > least).select(*on, F.ceil(F.col("count") / least).cast("int").alias("parts_"))
+    counted = many if counted is None else counted
+    least = max(HOT_ROWS, counted.count() // 100_000)
+    hot = counted.groupBy(*on).count().filter(F.col("count") > least).select(*on, F.ceil(F.col("count") / least).cast("int").alias("parts_"))
     parts = F.coalesce("parts_", F.lit(1))
     hot = durable(hot)
     many = many.join(F.broadcast(hot), on, "left").withColumn("part_", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts_")
@@ -147,14 +149,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows (reads no further than that)."""
-    return df.limit(rows + 1).count() <= rows
+def small(table: DataFrame) -> bool:
+    """Whether a table that ``durable`` wrote may be broadcast, by the bytes of its files."""
+    where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    return where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(where).getLength() <= BROADCAST_BYTES
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint only if its counted size is within the bound; a shuffle join is the other way."""
-    return F.broadcast(df) if small(df, rows) else df
+def maybe_broadcast(table: DataFrame) -> DataFrame:
+    """A table that ``durable`` wrote, with a broadcast hint only if it is small; a shuffle join is the other way."""
+    return F.broadcast(table) if small(table) else table
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

@@ -29,6 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = common.durable(small.select("e.a", "e.b").filter("a != b").distinct())
+        last, edges = edges, common.durable(small.select("e.a", "e.b").filter("a != b").distinct())
+        common.release(last)
     own = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return own.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,7 +1,8 @@
 r"""N-gram Jaccard join with adaptive multi-match prefixes.
 
-A document is its set of distinct ``n``-word shingles. Shingles are ordered by document frequency (a table of the most
-common ones, counted over all documents; others count as rare) and hash. For a threshold t, two sets that link share at
+A document is its set of distinct ``n``-word shingles, counted by their 64-bit hashes. Shingles are ordered by document
+frequency and hash: a table of the most common ones, counted over all documents but for those that a chunk of texts has
+once; others count as rare. The table sets the order alone. For a threshold t, two sets that link share at
 least l shingles of their first ``size - ceil(t size) + l``. Each document takes the l with the least estimated cost: longer
 prefixes read longer lists, but a partner must share l of them, so that at most (sum of the lists) / l partners are left
 to verify. A pair needs the smaller l of the two as shared prefix shingles.
@@ -24,6 +25,8 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,7 +41,6 @@ PERCENT = 80
 #: Bound of the broadcast table of frequencies; it sets the order alone and never what links.
 COMMON = 1_000_000
 MAX_SHARED = 8
-_WEIGHT = (1 << 20) - 1
 _CHUNK_WORDS = 4_000_000
 
 
@@ -146,12 +148,16 @@ class _Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their texts; rows of one id are tried one by one."""
+        pairs = common.durable(pairs.select("a", "b"))
         ids = common.durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         texts = self.docs.filter(F.col("text").isNotNull()).join(common.maybe_broadcast(ids), "doc_id").mapInArrow(common.squeezed, "doc_id long, packed binary")
         texts = common.durable(texts)
         left, right = (texts.select(F.col("doc_id").alias(k), F.col("packed").alias(v)) for k, v in (("a", "left"), ("b", "right")))
-        tried = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_verified(self.n, self.percent), "a long, b long, linked boolean")
-        return tried.filter("linked").select("a", "b").distinct()
+        # b, mostly in one pair, brings its text to a, the hub, whose text moves once for each part of its pairs
+        met = common.salted_join(pairs.join(right, "b"), left, ["a"], "b", pairs)
+        found = common.durable(met.select("a", "b", "left", "right").mapInArrow(_verified(self.n, self.percent), "a long, b long, linked boolean").filter("linked").select("a", "b").distinct())
+        common.release(ids, texts, pairs)
+        return found
 
     def run(self) -> DataFrame:
         counted = self.docs.select("text").mapInArrow(_survey(self.n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
@@ -163,7 +169,7 @@ class _Join:
         own = common.durable(self.docs.mapInArrow(_prefixes(shared, self.n, self.percent), "doc_id long, size int, need int, digest binary, prefix array<long>"))
         copies = own.filter("digest is not null and doc_id is not null")
         classes = copies.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        edges = common.durable(copies.select("digest", F.col("doc_id").alias("a")).join(classes, "digest").filter("a != b").select("a", "b").distinct())
+        edges = common.durable(common.salted_join(copies.select("digest", F.col("doc_id").alias("a")), classes, ["digest"], "a").filter("a != b").select("a", "b").distinct())
 
         entries = own.filter("prefix is not null").select(F.explode("prefix").alias("token"), "doc_id", "size", "need")
         several = entries.groupBy("token").count().filter("count > 1").select("token")
@@ -178,6 +184,7 @@ class _Join:
         stars = lists.filter("doc_id != hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "size", "hub_size", "need", "hub_need").agg(F.sum("weight").alias("shared"))
         stars = common.durable(stars.filter(self.fits("size", "hub_size") & (F.col("shared") >= F.least("need", "hub_need"))).groupBy("a", "b").agg(F.max("shared").alias("shared")))
         nearest = common.durable(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+        common.release(counted, entries)
         group = components(edges.unionByName(self.links(nearest)))
         apart = common.durable(self.apart(stars.select("a", "b"), group).join(nearest, ["a", "b"], "left_anti"))
         group = self.grown(group, apart)
@@ -217,24 +224,25 @@ class _Join:
         members = members.withColumn("open", F.col("component") != F.col("hub_component"))
         # a list with an open member and one component in all is settled
         spread = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("open").alias("any")).filter("any and lo != hi").select("token")
-        # a list as one number, its weight in the low bits; weights beyond them count as enough for any pair
-        key = F.col("token").bitwiseAND(F.lit(~_WEIGHT)).bitwiseOR(F.least("weight", F.lit(_WEIGHT)))
-        members = common.durable(members.join(spread, "token").withColumn("key", key))
+        # only sizes of neighbouring bands can link
+        band = F.floor(F.log(F.col("size")) / F.lit(math.log(100 / self.percent) + 1e-9)).cast("long")
+        members = common.durable(members.join(spread, "token").withColumn("band", band))
         # sets of different components share open lists alone, so these are all that two documents can share
-        own = members.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+        own = members.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("token", "weight"))).alias("keys"))
         members = common.durable(members.drop("weight", "hub_component").join(own, "doc_id"))
-        x, y = members.alias("x"), members.alias("y")
+        x = members.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
+        y = members.alias("y")
         # what two sets share is at most what their prefixes share and what is left of the one whose prefix ends first
         beyond = lambda k: F.ceil(F.col(f"{k}.size") * self.percent / 100) - F.col(f"{k}.need")
         overlap = F.ceil((F.col("x.size") + F.col("y.size")) * self.percent / (100 + self.percent))
         need = F.greatest(F.least("x.need", "y.need").cast("long"), overlap - F.greatest(beyond("x"), beyond("y")))
         both = F.array_intersect("x.keys", "y.keys")
-        shared = F.aggregate(both, F.lit(0).cast("long"), lambda a, k: a + k.bitwiseAND(F.lit(_WEIGHT)))
+        shared = F.aggregate(both, F.lit(0).cast("long"), lambda a, k: a + k["weight"])
         # a pair comes up once, in the first list that both are in, and only with enough in common
         meets = (
-            (F.col("x.token") == F.col("y.token")) & F.col("x.open") & (F.col("x.component") != F.col("y.component"))
+            (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & F.col("x.open") & (F.col("x.component") != F.col("y.component"))
             & (~F.col("y.open") | (F.col("x.doc_id") < F.col("y.doc_id"))) & self.fits("x.size", "y.size")
-            & (F.try_element_at(both, F.lit(1)) == F.col("x.key")) & (shared >= F.least(need, F.lit(_WEIGHT)))
+            & (F.try_element_at(both, F.lit(1))["token"] == F.col("x.token")) & (shared >= need)
         )
         return x.join(y, meets).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 

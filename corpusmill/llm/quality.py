@@ -47,10 +47,14 @@ def features(text: bytes) -> np.ndarray:
     return out ^ (out >> np.uint32(13))
 
 
+def learn_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, settings: ftrl.Settings = SETTINGS) -> ftrl.Model:
+    """Learn from the rows of ``docs`` that ``labels`` marks; ids with crc32 mod ``folds`` = ``held_out`` are not learnt from."""
+    return ftrl.train(docs, labels, "quality", common.crc_remainder("doc_id", folds) != held_out, features, settings)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, settings: ftrl.Settings = SETTINGS, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs``; ids with crc32 mod ``folds`` = ``held_out`` are not learnt from."""
-    model = ftrl.train(docs, labels, "quality", common.crc_remainder("doc_id", folds) != held_out, features, settings)
-    return ftrl.scored(docs, model, features).select(
+    """doc_id, held_out, score, predicted for each row of ``docs``, by a model that learns from the rows not held out."""
+    return ftrl.scored(docs, learn_quality(docs, labels, folds, held_out, settings), features).select(
         "doc_id",
         F.coalesce(common.crc_remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),
         "score",
