@@ -1,18 +1,21 @@
 r"""Line deduplication by a log-template tree, with DataFrame functions only.
 
 Each line falls through a tree of fixed depth: first by its number of tokens, then by its leading ``LEAD`` tokens, where
-tokens with a digit count as a wildcard. In a leaf that occurs in ``MIN_TEXTS`` different texts or more, the template is
-the most frequent token at each place (tokens with a digit as a wildcard); places where lines differ are its variable
-fields. A template with more wildcards than words is none: rows of figures are data. A line that agrees with its leaf's
-template in ``ALIKE`` of 10 places or more is an instance. Where instances recur
-in ``MIN_TEXTS`` different texts, they are dropped, but for those of the document with the smallest id, which keeps the
-wording in the corpus once. Exact copies of a text count once: copies of documents are another operator's matter.
+tokens with a digit count as a wildcard. Leaves that occur in ``MIN_TEXTS`` different texts or more are looked into. There the
+template is the most frequent token at each place (tokens with a digit as a wildcard); places where lines differ are its
+variable fields. A line that agrees with its leaf's template in ``ALIKE`` of 10 places or more is an instance; every other
+wording, with its wildcards, is a template of its own. A template with more wildcards than words is none: rows of figures are data.
+Where instances recur in ``MIN_TEXTS`` different texts, they are dropped, but for those of the document with the smallest
+id, which keeps the wording in the corpus once. The lines that are left of a leaf in which templates were found go
+through this again, ``ROUNDS`` times in all, so that a leaf holds any number of templates. Exact copies of a text count
+once: copies of documents are another operator's matter.
 
 Lines are what ``\n`` parts; tokens are runs of characters other than ``\x20 \x09-\x0D``; lines without tokens always stay.
 
 Edge cases (tested): a null text stays null and has no lines; an empty one stays empty; a null id is no smallest id, and
-its instances are dropped; rows that repeat are all treated alike; of equally frequent tokens the larger by code point
-is the template's; an empty table gives an empty result; further columns are carried along untouched.
+its instances are dropped, unless no instance has an id: then all stay; rows that repeat are all treated alike; of equally
+frequent tokens the larger by code point is the template's; an empty table gives an empty result; further columns are
+carried along untouched.
 """
 
 from __future__ import annotations
@@ -25,12 +28,7 @@ from corpusmill.llm import common
 LEAD = 3
 MIN_TEXTS = 10
 ALIKE = 7
-
-_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, _SPACE), lambda t: t != "")
+ROUNDS = 2
 
 
 def _general(token: Column) -> Column:
@@ -39,39 +37,53 @@ def _general(token: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, mark, line_no, tokens, leaf of each line with tokens."""
-    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("mark"), F.posexplode(F.split(F.col("`text`"), "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("tokens", _tokens("line")).filter(F.size("tokens") > 0)
-    lead = F.array_join(F.transform(F.slice("tokens", 1, LEAD), _general), " ")
+    text = F.col("`text`")
+    for space in "\t\x0b\f\r":  # cuts at one character need no pattern
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("mark"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = rows.withColumn("tokens", F.array_remove(F.split("line", " "), "")).filter(F.size("tokens") > 0)
+    lead = F.concat_ws(" ", *[_general(F.get("tokens", F.lit(k))) for k in range(LEAD)])
     return rows.select("doc_id", "mark", "line_no", "tokens", F.xxhash64(F.size("tokens"), lead).alias("leaf"))
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE) -> DataFrame:
+def _worded(tokens: str) -> Column:
+    return 2 * F.size(F.array_remove(tokens, "<*>")) >= F.size(tokens)
+
+
+def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, mark, line_no of the lines to drop."""
     lines = _lines(docs)
-    seen = lines.select("leaf", "mark").distinct().groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf")
-    common_leaves = common.durable(seen)
-    inside = common.durable(lines.join(common.maybe_broadcast(common_leaves), "leaf").withColumn("tokens", F.transform("tokens", _general)))
-    places = inside.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").count()
-    best = places.groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
-    templates = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("template"))
-    templates = templates.filter(2 * F.size(F.filter("template", lambda x: x != "<*>")) >= F.size("template"))
-    agrees = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
-    instances = inside.join(common.maybe_broadcast(common.durable(templates)), "leaf").filter(10 * agrees >= alike * F.size("tokens")).select("leaf", "doc_id", "mark", "line_no")
-    kept = instances.groupBy("leaf", "mark").agg(F.min("doc_id").alias("first")).groupBy("leaf").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    kept = common.durable(kept.filter(F.col("texts") >= min_texts))
-    dropped = instances.join(common.maybe_broadcast(kept), "leaf").filter(~F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
-    return dropped.select("doc_id", "mark", "line_no")
-
-
-def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE) -> DataFrame:
+    leaves = common.durable(lines.select("leaf", "mark").distinct().groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf"))
+    pool = common.durable(lines.join(common.maybe_broadcast(leaves), "leaf").withColumn("tokens", F.transform("tokens", _general)))
+    dropped = None
+    for _ in range(rounds):
+        places = pool.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").count()
+        best = places.groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
+        templates = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("template"))
+        templates = common.durable(templates.filter(_worded("template")))
+        agrees = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
+        instance = F.col("template").isNotNull() & (10 * agrees >= alike * F.size("tokens"))
+        told = pool.join(common.maybe_broadcast(templates), "leaf", "left").select("leaf", "doc_id", "mark", "line_no", "tokens", F.when(~instance, F.array_join("tokens", " ")).alias("wording"))
+        told = common.durable(told.withColumn("wording", F.when(F.col("wording").isNull(), 0).otherwise(F.xxhash64("wording"))))
+        kept = told.filter((F.col("wording") == 0) | _worded("tokens")).groupBy("leaf", "wording", "mark").agg(F.min("doc_id").alias("first"))
+        kept = kept.groupBy("leaf", "wording").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
+        kept = common.durable(kept.filter(F.col("texts") >= min_texts).drop("texts"))
+        gone = told.join(common.maybe_broadcast(kept), ["leaf", "wording"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "mark", "line_no")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        # where nothing was found, another round would find nothing
+        again = common.durable(kept.select("leaf").distinct())
+        pool = told.join(common.maybe_broadcast(again), "leaf", "left_semi").join(common.maybe_broadcast(kept), ["leaf", "wording"], "left_anti").drop("wording")
+    return dropped
+
+
+def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped besides (columns so named give way)."""
-    dropped = common.durable(recurring_lines(docs, min_texts, alike))
-    few = common.small(dropped)
-    gone = dropped.groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_set("line_no").alias("cut_lines"))
+    dropped = recurring_lines(docs, min_texts, alike, rounds)
+    gone = common.maybe_broadcast(common.durable(dropped.groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_set("line_no").alias("cut_lines"))))
     # by text as well as id: rows that share an id and differ in text are told apart
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # one column: no name can clash
     meets = F.col("row.doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(F.col("row.text")) == F.col("cut_mark"))
-    rows = rows.join(F.broadcast(gone) if few else gone, meets, "left")
+    rows = rows.join(gone, meets, "left")
     lines = F.split(F.col("row.text"), "\n")
     stays = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("cut_lines", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("cut_lines").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
@@ -84,20 +96,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-OP7_SQL = r"""
+def _round_sql(r: int) -> str:
+    """One round over the lines ``i<r>``: which wording each has, which recur, which lines go, and the lines of the next round."""
+    return f"""
+p{r} AS (SELECT leaf, generate_subscripts(tokens, 1) AS place, unnest(tokens) AS token FROM i{r}),
+q{r} AS (SELECT leaf, place, token, count(*) AS n FROM p{r} GROUP BY ALL),
+b{r} AS (SELECT leaf, place, token FROM q{r} QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1),
+t{r} AS (SELECT leaf, list(token ORDER BY place) AS template FROM b{r} GROUP BY leaf HAVING 2 * count(*) FILTER (WHERE token <> '<*>') >= count(*)),
+m{r} AS (SELECT i.*, CASE WHEN t.leaf IS NOT NULL AND 10 * len(list_filter(list_zip(i.tokens, t.template), lambda x: x[1] = x[2])) >= {ALIKE} * len(i.tokens)
+  THEN '' ELSE array_to_string(i.tokens, ' ') END AS wording FROM i{r} i LEFT JOIN t{r} t USING (leaf)),
+f{r} AS (SELECT leaf, wording, min(doc_id) AS first FROM m{r} WHERE wording = '' OR 2 * len(list_filter(tokens, lambda x: x <> '<*>')) >= len(tokens)
+  GROUP BY leaf, wording HAVING count(DISTINCT mark) >= {MIN_TEXTS}),
+x{r} AS (SELECT m.doc_id, m.mark, m.line_no FROM m{r} m JOIN f{r} f USING (leaf, wording) WHERE m.doc_id IS DISTINCT FROM f.first),
+i{r + 1} AS (SELECT m.leaf, m.doc_id, m.mark, m.line_no, m.tokens FROM m{r} m LEFT JOIN f{r} f USING (leaf, wording) WHERE f.leaf IS NULL AND m.leaf IN (SELECT leaf FROM f{r})),"""
+
+
+OP7_SQL = rf"""
 WITH l AS (SELECT doc_id, md5(text) AS mark, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents),
 k AS (SELECT doc_id, mark, line_no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l),
-n AS (SELECT *, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM k WHERE len(tokens) > 0),
-c AS (SELECT leaf FROM n GROUP BY leaf HAVING count(DISTINCT mark) >= 10),
-i AS (SELECT n.* FROM n JOIN c USING (leaf)),
-p AS (SELECT leaf, generate_subscripts(tokens, 1) AS place, unnest(tokens) AS token FROM i),
-q AS (SELECT leaf, place, token, count(*) AS n FROM p GROUP BY ALL),
-b AS (SELECT leaf, place, token FROM q QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY n DESC, token DESC) = 1),
-t AS (SELECT leaf, list(token ORDER BY place) AS template FROM b GROUP BY leaf HAVING 2 * count(*) FILTER (WHERE token <> '<*>') >= count(*)),
-m AS (SELECT i.leaf, i.doc_id, i.mark, i.line_no FROM i JOIN t USING (leaf)
-  WHERE 10 * len(list_filter(list_zip(i.tokens, t.template), lambda x: x[1] = x[2])) >= 7 * len(i.tokens)),
-f AS (SELECT leaf, min(doc_id) AS first FROM m GROUP BY leaf HAVING count(DISTINCT mark) >= 10),
-x AS (SELECT DISTINCT m.doc_id, m.mark, m.line_no FROM m JOIN f USING (leaf) WHERE m.doc_id IS DISTINCT FROM f.first),
+n AS (SELECT *, len(tokens) || ' ' || array_to_string(tokens[1:{LEAD}], ' ') AS leaf FROM k WHERE len(tokens) > 0),
+c AS (SELECT leaf FROM n GROUP BY leaf HAVING count(DISTINCT mark) >= {MIN_TEXTS}),
+i0 AS (SELECT n.leaf, n.doc_id, n.mark, n.line_no, n.tokens FROM n JOIN c USING (leaf)),{"".join(map(_round_sql, range(ROUNDS)))}
+x AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(f"SELECT * FROM x{r}" for r in range(ROUNDS))})),
 r AS (SELECT l.doc_id, l.mark, count(*) AS n_lines, count(x.line_no) AS n_dropped,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE x.line_no IS NULL), '') AS kept
   FROM l LEFT JOIN x ON l.doc_id IS NOT DISTINCT FROM x.doc_id AND l.mark = x.mark AND l.line_no = x.line_no GROUP BY l.doc_id, l.mark)
