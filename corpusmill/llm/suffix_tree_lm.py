@@ -44,7 +44,7 @@ DEPTH = 3
 #: Tokens of a chunk.
 CHUNK_WORDS = 700_000
 #: Bytes of text for each bucket of contexts.
-BUCKET_BYTES = 5_000_000
+BUCKET_BYTES = 10_000_000
 #: Occurrences of a context for each part that it is dealt to.
 SPLIT = 1_000_000
 #: The end of a text as a symbol; no word has it, as hashes of words are shifted by one bit.
@@ -228,19 +228,31 @@ class Chunk:
         self.shorter[at] = context
         parts = (1 + self.often[at[example]] // SPLIT).astype(np.int64)
         first = np.cumsum(parts) - parts
-        owner = np.repeat(np.arange(len(example)), parts)
-        part_keys = common.rolling(self.symbols, depth)[at[example] - depth][owner]
-        part_keys = np.where(parts[owner] > 1, common.mixed(part_keys + (np.arange(len(owner)) - first[owner]).astype(np.uint64) * np.uint64(common.BASE)), part_keys)
-        order = np.argsort(part_keys, kind="stable")
+        part_keys = np.zeros(len(example), np.uint64)
+        for word in range(depth, 0, -1):
+            part_keys = part_keys * np.uint64(common.BASE) + self.symbols[at[example] - word]
+        part_keys = common.mixed(part_keys)
+        split = bool((parts > 1).any())
+        if split:
+            owner = np.repeat(np.arange(len(example)), parts)
+            part_keys = np.where(parts[owner] > 1, common.mixed(part_keys[owner] + (np.arange(len(owner)) - first[owner]).astype(np.uint64)), part_keys[owner])
+        order = np.argsort(part_keys)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         frequent = self.seen[at] >= LEAST
         follows, owners = at[frequent], context[frequent]
         grams, example, gram = _numbered(owners << self.bits | self.number[follows])
         owners, example = grams >> self.bits, follows[example]
-        part = rank[first[owners] + (self.symbols[example] >> np.uint64(7)).astype(np.int64) % parts[owners]]
-        by = np.argsort(part, kind="stable")
-        return Level(at, context, follows, gram, part_keys[order], first, parts, rank, part[by], by, example)
+        if split:
+            part = rank[first[owners] + (self.symbols[example] >> np.uint64(7)).astype(np.int64) % parts[owners]]
+            by = np.argsort(part, kind="stable")
+            part = part[by]
+        else:  # grams are in order of their contexts: only the contexts change places
+            number = np.bincount(owners, minlength=len(order))
+            begins, number = (np.cumsum(number) - number)[order], number[order]
+            part = np.repeat(np.arange(len(order)), number)
+            by = np.arange(len(owners)) + np.repeat(begins - (np.cumsum(number) - number), number)
+        return Level(at, context, follows, gram, part_keys[order], first, parts, rank, part, by, example)
 
     def asks(self, depth: int, buckets: int) -> list[tuple[int, int, bytes]]:
         """(kind, bucket, data): part keys, training counts, number of grams; symbol, count and probability of each gram."""
