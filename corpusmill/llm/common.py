@@ -105,7 +105,8 @@ class Buckets:
         name = f"bucketed_{uuid.uuid4().hex}"
         remove(self.spark, self.folder(part))
         with shuffles_released(self.spark):
-            df.write.bucketBy(self.files, self.key).option("path", self.folder(part)).saveAsTable(name)
+            # their columns are packed already
+            df.write.bucketBy(self.files, self.key).options(compression="none", **{"parquet.enable.dictionary": "false"}).option("path", self.folder(part)).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # the files stay
 
     @contextmanager

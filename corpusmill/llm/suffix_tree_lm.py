@@ -88,17 +88,22 @@ def _steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
-def _numbered(x: np.ndarray, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _order(x: np.ndarray) -> np.ndarray:
+    """Places of the entries, none of them negative, in order of their values."""
+    bits = len(x).bit_length()
+    if not len(x) or int(x.max()).bit_length() + bits > 64:
+        return np.argsort(x)
+    # value and place in one word: sorting words is several times as fast
+    both = np.sort(x.astype(np.uint64) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).view(np.int64)
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values in increasing order, a place of each, and the number of each entry's value among them."""
     if not len(x):
         return x, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = max(least, len(x).bit_length())
-    if int(x.max()).bit_length() + bits <= 64:  # value and place in one word: sorting is several times as fast
-        both = np.sort(x.astype(np.uint64) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64))
-        order, values = (both & np.uint64((1 << bits) - 1)).view(np.int64), (both >> np.uint64(bits)).astype(x.dtype)
-    else:
-        order = np.argsort(x)
-        values = x[order]
+    order = _order(x)
+    values = x[order]
     new = np.r_[True, values[1:] != values[:-1]]
     number = np.empty(len(x), np.int64)
     number[order] = np.cumsum(new) - 1
@@ -174,8 +179,9 @@ class Level:
     #: Tokens that have such a context, and the number of the context before each.
     at: np.ndarray
     context: np.ndarray
-    #: Tokens of those that may follow it often enough, and the number of each one's gram.
+    #: Tokens of those that may follow it often enough, their contexts, and the number of each one's gram.
     follows: np.ndarray
+    after: np.ndarray
     gram: np.ndarray
     #: Keys of the parts, sorted; the part of each (context, part number), and of each gram.
     keys: np.ndarray
@@ -213,20 +219,19 @@ class Chunk:
         #: Of the context looked at last: whether it is a state, and how often it occurs with the token after it (-1: not asked).
         self.state = np.ones(len(self.symbols), bool)
         self.seen = self.count
-        #: An upper bound, the same for all chunks, of how often the words before each token occur together.
-        self.often = np.r_[0.0, self.count[:-1]]
         while (depth := self.depth + 1) in answers:
             self.learn(self.level(depth), *answers[depth])
             self.depth = depth
 
     def level(self, depth: int) -> Level:
         """What to ask about contexts of ``depth`` words; those of fewer have been answered."""
-        before = np.r_[0.0, self.seen[:-1]]  # how often the context occurs: -1 where unknown
-        self.often = np.where(before >= 0, before, self.often)
-        at = np.flatnonzero((self.room >= depth) & self.state & ((before < 0) | (before >= LEAST)))
+        at = np.flatnonzero((self.room >= depth) & self.state)
+        before = self.seen[at - 1]  # how often the context occurs: -1 where unknown
+        asked = (before < 0) | (before >= LEAST)
+        at, before = at[asked], before[asked]
         _, example, context = _numbered(self.shorter[at] << self.bits | self.number[at - depth])
         self.shorter[at] = context
-        parts = (1 + self.often[at[example]] // SPLIT).astype(np.int64)
+        parts = (1 + np.maximum(before[example], 0) // SPLIT).astype(np.int64)
         first = np.cumsum(parts) - parts
         part_keys = np.zeros(len(example), np.uint64)
         for word in range(depth, 0, -1):
@@ -245,14 +250,14 @@ class Chunk:
         owners, example = grams >> self.bits, follows[example]
         if split:
             part = rank[first[owners] + (self.symbols[example] >> np.uint64(7)).astype(np.int64) % parts[owners]]
-            by = np.argsort(part, kind="stable")
+            by = _order(part)
             part = part[by]
         else:  # grams are in order of their contexts: only the contexts change places
             number = np.bincount(owners, minlength=len(order))
             begins, number = (np.cumsum(number) - number)[order], number[order]
             part = np.repeat(np.arange(len(order)), number)
             by = np.arange(len(owners)) + np.repeat(begins - (np.cumsum(number) - number), number)
-        return Level(at, context, follows, gram, part_keys[order], first, parts, rank, part, by, example)
+        return Level(at, context, follows, context[frequent], gram, part_keys[order], first, parts, rank, part, by, example)
 
     def asks(self, depth: int, buckets: int) -> list[tuple[int, int, bytes]]:
         """(kind, bucket, data): part keys, training counts, number of grams; symbol, count and probability of each gram."""
@@ -283,21 +288,26 @@ class Chunk:
 
         Of a context in one part the bucket has made the test: the gain is infinite, or all is zero.
         """
-        depth, before = self.depth + 1, np.r_[0.0, self.seen[:-1]]
         add = lambda x: np.add.reduceat(x[v.part_of].astype(np.float64), v.first)
         whole, own, several, gain = held[v.part_of[v.first]].astype(np.float64), add(own), add(several), add(gain)
         left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
         stays = _gained(whole, own, several, gain) >= self.gain
+        in_state = stays[v.context]
+        at = v.at[in_state]
+        self.p[at] *= left[v.context[in_state]]
         n = np.empty(len(grams))
         n[v.order] = grams
-        seen = np.where((self.room >= depth) & ((before < 0) | (before >= LEAST)), -1.0, 0.0)
-        seen[v.at] = 0
-        seen[v.follows] = n[v.gram]
-        mass = np.where(seen[v.at] >= LEAST, seen[v.at] - DISCOUNT, 0.0) / np.maximum(whole, 1)[v.context]
-        self.p[v.at] = np.where(stays[v.context], mass + left[v.context] * self.p[v.at], self.p[v.at])
+        n = n[v.gram]
+        held_own = (n >= LEAST) & stays[v.after]
+        self.p[v.follows[held_own]] += (n[held_own] - DISCOUNT) / whole[v.after[held_own]]
         self.state = np.zeros(len(self.p), bool)
-        self.state[v.at] = stays[v.context]
-        self.seen = seen
+        self.state[at] = True
+        # what was not asked is unknown, unless the context is known to be rare
+        rare = (self.seen >= 0) & (self.seen < LEAST)
+        self.seen = np.full(len(self.p), -1.0)
+        self.seen[1:][rare[:-1]] = 0
+        self.seen[v.at] = 0
+        self.seen[v.follows] = n
 
     def sums(self) -> tuple[np.ndarray, ...]:
         """For each text its tokens, known tokens, and log10 of its probability at the root and in the tree."""
