@@ -11,6 +11,15 @@ def word_language(word: Column) -> Column:
     return F.when(word.endswith("-nl"), "Dutch").when(word.endswith("-fr"), "Frisian").otherwise("unknown")
 
 
+def language_flags(reference: Column, hypothesis: Column) -> Column:
+    """Struct of both words' languages, whether they agree, and the direction in which Frisian and Dutch were taken for one another."""
+    ref, hyp = word_language(reference), word_language(hypothesis)
+    return F.struct(
+        ref.alias("ref_language"), hyp.alias("hyp_language"), (ref == hyp).alias("match"),
+        ((ref == "Frisian") & (hyp == "Dutch")).alias("frisian2dutch"), ((ref == "Dutch") & (hyp == "Frisian")).alias("dutch2frisian"),
+    )
+
+
 def utterance_language(words: Column) -> Column:
     """mix, Dutch, Frisian or unknown, by the labels that occur."""
     nl, fr = F.exists(words, lambda w: w.endswith("-nl")), F.exists(words, lambda w: w.endswith("-fr"))

@@ -78,3 +78,16 @@ def _spoken(text: pd.Series, language: pd.Series) -> pd.Series:
 def number_words(text: Column, language: Column) -> Column:
     """The number in ``text`` in words, in the language of each row (Dutch or Frisian); null where it can't be read."""
     return F.pandas_udf(_spoken, "string")(text.cast("string"), language)
+
+
+def _mapped(tokens: pd.Series, language: pd.Series) -> pd.Series:
+    def one(found, name):
+        said = {} if found is None else {t: spoken(t, name) for t in found}
+        return {t: w for t, w in said.items() if w is not None}
+
+    return pd.Series([one(t, x) for t, x in zip(tokens, language, strict=True)], dtype=object)
+
+
+def number_map(tokens: Column, language: Column) -> Column:
+    """Each of an array of number tokens with its words; what can't be read is left out. Only the numbers travel to Python."""
+    return F.pandas_udf(_mapped, "map<string,string>")(tokens, language)

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _indel_ratio(a: str, b: str) -> float:
+    """A row of the table of common subsequences is one integer, a bit for each place where it does not grow (Hyyrö)."""
     if not a and not b:
         return 1.0
-    last = [0] * (len(b) + 1)
-    for x in a:
-        row = [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        last = row
-    return 2 * last[-1] / (len(a) + len(b))
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        same = row & places.get(y, 0)
+        row = ((row + same) | (row - same)) & full
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -93,6 +95,14 @@ def word_edits_any(reference: Column, hypothesis: Column) -> Column:
     return F.pandas_udf(_word_distance, "long")(reference, hypothesis)
 
 
+def with_word_edits(df: DataFrame, reference: str, hypothesis: str, name: str = "edits") -> DataFrame:
+    """Rows with the edit distance of two arrays of words: pairs that the alphabet suffices for stay in the JVM, the others
+    alone go to Python (a function of both in one expression would run for every row)."""
+    few = F.size(F.array_union(reference, hypothesis)) <= len(_ALPHABET)
+    near = df.filter(F.coalesce(few, F.lit(True))).withColumn(name, word_edits(F.col(reference), F.col(hypothesis)))
+    return near.unionByName(df.filter(~few).withColumn(name, word_edits_any(F.col(reference), F.col(hypothesis))))
+
+
 def text_edits(reference: Column, hypothesis: Column) -> Column:
     """Edit distance in words of two texts of any length, whose words spaces part."""
     return F.pandas_udf(_text_distance, "long")(reference, hypothesis)

@@ -107,6 +107,12 @@ def correctness(df: DataFrame, truth: str, predicted: str, item: str) -> DataFra
     return df.groupBy(truth, right).agg(F.count("*").alias("n"), F.min(item).alias("first_item"))
 
 
+def correctness_items(df: DataFrame, truth: str, predicted: str, item: str) -> DataFrame:
+    """All items, in order, that were right and wrong in each class: for lexicons, whose classes are small."""
+    right = (F.col(truth) == F.col(predicted)).alias("correct")
+    return df.groupBy(truth, right).agg(F.array_sort(F.collect_list(item)).alias("items"))
+
+
 def error_totals(df: DataFrame, group: str) -> DataFrame:
     """Sums of c, s, i, d and reference words, WER and SER in percent, by group and for all (group null)."""
     errors = F.col("s") + F.col("i") + F.col("d")

@@ -5,7 +5,7 @@ The model is two tables: (label, prior) and (gram, label, logp). Counting, smoot
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.relational import small_side
@@ -32,11 +32,22 @@ def train(df: DataFrame, text: Column, label: str, low: int = 2, high: int = 5)
     totals = counts.groupBy(label).agg(F.sum("n").alias("total")).crossJoin(F.broadcast(v))  # one row of v
     docs = df.groupBy(label).agg(F.count("*").alias("docs"))
     priors = docs.crossJoin(F.broadcast(docs.agg(F.sum("docs").alias("all")))).select(label, F.log(F.col("docs") / F.col("all")).alias("prior"))
-    joined = counts.join(F.broadcast(totals), label)
+    joined = counts.join(small_side(totals), label)
     logp = joined.select("gram", label, F.log((F.col("n") + 1) / (F.col("total") + F.col("v"))).alias("logp"))
     return priors, logp, totals.select(label, F.log(1 / (F.col("total") + F.col("v"))).alias("unseen"))
 
 
+def save(model: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """A model as three Parquet tables in a folder."""
+    for name, table in zip(("priors", "logp", "unseen"), model, strict=True):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A model that ``save`` wrote."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("priors", "logp", "unseen"))
+
+
 def predict(df: DataFrame, key: str, text: Column, model: tuple[DataFrame, DataFrame, DataFrame], label: str, low: int = 2, high: int = 5) -> DataFrame:
     """key, label, score: the likeliest label; grams that no class has seen are left out; of equals the first by name.
 
@@ -47,8 +58,9 @@ def predict(df: DataFrame, key: str, text: Column, model: tuple[DataFrame, DataF
     by_gram = logp.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct(label, "logp"))).alias("seen"))
     counts = df.select(key, F.explode(grams(text, low, high)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
     met = counts.join(small_side(by_gram), "gram")
-    sums = met.crossJoin(F.broadcast(labels)).groupBy(key, label).agg(F.sum(F.col("n") * F.coalesce(F.try_element_at("seen", F.col(label)), F.col("unseen"))).alias("s"))  # a row a class
-    base = df.select(key).distinct().crossJoin(F.broadcast(labels.select(label, "prior")))
+    labels = small_side(labels)
+    sums = met.crossJoin(labels).groupBy(key, label).agg(F.sum(F.col("n") * F.coalesce(F.try_element_at("seen", F.col(label)), F.col("unseen"))).alias("s"))  # a row a class
+    base = df.select(key).distinct().crossJoin(labels.select(label, "prior"))
     scores = base.join(sums, [key, label], "left").select(key, label, (F.col("prior") + F.coalesce("s", F.lit(0.0))).alias("score"))
     best = scores.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(label).alias("l"))).alias("m"))
     return best.select(key, F.col("m.l").alias(label), (-F.col("m.s")).alias("score"))

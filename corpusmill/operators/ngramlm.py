@@ -37,3 +37,46 @@ def perplexity_grid(test: DataFrame, words: Column, base: tuple, other: tuple, w
         rows = rows.withColumn(f"p{i}", p).drop(f"u{i}", f"b{i}", f"floor{i}")
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("lambda"), (F.col("n") * -F.log((1 - x) * F.col("p0") + x * F.col("p1"))).alias("loss")) for x in grid]))
     return rows.select("n", each.alias("x")).groupBy("x.lambda").agg(F.sum("n").alias("n"), F.exp(F.sum("x.loss") / F.sum("n")).alias("perplexity"))
+
+
+def _grams(df: DataFrame, words: Column, order: int) -> DataFrame:
+    """w1 ... w<order>, n: the grams of texts between sentence marks, of which there are order - 1 before; each ends in its word."""
+    marked = F.concat(F.array_repeat(F.lit("<s>"), order - 1), F.filter(words, lambda x: x != ""), F.array(F.lit("</s>")))
+    rows = df.select(marked.alias("w"))  # a column of its own, so that it is built once a row
+    parts = [F.slice("w", F.lit(k + 1), F.size("w") - order + 1) for k in range(order)]
+    names = [f"w{k + 1}" for k in range(order)]
+    zipped = rows.select(*[p.alias(n) for p, n in zip(parts, names, strict=True)])
+    return zipped.select(F.inline(F.arrays_zip(*names))).groupBy(*names).agg(F.count("*").alias("n"))
+
+
+def models(df: DataFrame, words: Column, order: int = 3) -> list[DataFrame]:
+    """For each length up to ``order``: (w1 ..., p), the share of the last word among what follows the others; single words have one added."""
+    single = _grams(df, words, 1)
+    total = single.agg(F.sum("n").alias("total"), F.count("*").alias("v"))
+    out = [single.crossJoin(F.broadcast(total)).select("w1", ((F.col("n") + 1) / (F.col("total") + F.col("v") + 1)).alias("p"))]  # one row of totals
+    for k in range(2, order + 1):
+        grams, before = _grams(df, words, k), [f"w{i}" for i in range(1, k)]
+        out.append(grams.join(grams.groupBy(*before).agg(F.sum("n").alias("all")), before).select(*before, f"w{k}", (F.col("n") / F.col("all")).alias("p")))
+    return out
+
+
+def grid(test: DataFrame, words: Column, base: list[DataFrame], other: list[DataFrame], weights: tuple[float, ...] = (0.5, 0.3, 0.2), lambdas: tuple[float, ...] = GRID) -> DataFrame:
+    """lambda, n, perplexity: p = (1 - lambda) p_base + lambda p_other, each the sum of the models' shares by ``weights``, longest first.
+
+    A word that a model has never seen has the least share of its single words.
+    """
+    order = len(base)
+    names = [f"w{k + 1}" for k in range(order)]
+    rows = _grams(test, words, order)
+    for i, model in enumerate((base, other)):
+        floor = model[0].agg(F.min("p").alias("floor"))
+        p = F.lit(0.0)
+        for k, table in enumerate(model, 1):
+            own = table.toDF(*names[order - k :], "_p")
+            rows = rows.join(own, names[order - k :], "left").withColumnRenamed("_p", f"_p{k}")
+        rows = rows.crossJoin(F.broadcast(floor))  # one row
+        for k, weight in zip(range(order, 0, -1), weights, strict=True):
+            p = p + weight * F.coalesce(f"_p{k}", F.col("floor") if k == 1 else F.lit(0.0))
+        rows = rows.withColumn(f"p{i}", p).drop("floor", *[f"_p{k}" for k in range(1, order + 1)])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("lambda"), (F.col("n") * -F.log((1 - x) * F.col("p0") + x * F.col("p1"))).alias("loss")) for x in lambdas]))
+    return rows.select("n", each.alias("x")).groupBy("x.lambda").agg(F.sum("n").alias("n"), F.exp(F.sum("x.loss") / F.sum("n")).alias("perplexity"))

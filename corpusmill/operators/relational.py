@@ -58,12 +58,12 @@ def absent(new: DataFrame, stored: DataFrame, on: Column | list[str]) -> DataFra
 
 def contains_join(rows: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
     """Rows with each of the ``parts`` that their text contains (a stated list of checked size, against all rows)."""
-    return rows.join(F.broadcast(parts), F.col(text).contains(F.col(part)))
+    return rows.join(small_side(parts), F.col(text).contains(F.col(part)))
 
 
 def contains_rest(rows: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
     """Rows that contain none of the ``parts``."""
-    return rows.join(F.broadcast(parts), F.col(text).contains(F.col(part)), "left_anti")
+    return rows.join(small_side(parts), F.col(text).contains(F.col(part)), "left_anti")
 
 
 def occurrence_join(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
@@ -115,7 +115,14 @@ def unique(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def symmetric_unique(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.subtract(b).union(b.subtract(a))
+    """Distinct rows of exactly one of two tables, in one aggregation."""
+    both = a.withColumn("_side", F.lit(1)).unionAll(b.withColumn("_side", F.lit(2)))
+    return both.groupBy(*a.columns).agg(F.bit_or("_side").alias("_sides")).filter("_sides != 3").drop("_sides")
+
+
+def held_by_one(df: DataFrame, key: str, group: str) -> DataFrame:
+    """Keys that occur in one group alone: of two groups, their symmetric difference in one scan."""
+    return df.groupBy(key).agg(F.min(group).alias("_lo"), F.max(group).alias("_hi")).filter("_lo = _hi").select(key)
 
 
 def either(column: str, *values) -> Column:

@@ -63,17 +63,24 @@ def skip_groups(df: DataFrame, group: str, k: int) -> DataFrame:
 def triplets(df: DataFrame, key: str, speaker: str, n: int, seed: str = "0") -> DataFrame:
     """anchor, positive (same speaker) and negative (another speaker) keys: n triplets drawn by hash.
 
-    The next row of the speaker in hash order is the positive; the negative is the row half a table further on in an order
-    over all rows, or the next one of another speaker after that.
+    The next row of the speaker in hash order is the positive. The negative is the row half a table further on in an order
+    over all rows, or of the rows after that the first of another speaker among 16; where one speaker holds all of these, it
+    is the first row of all that is another speaker's. So an anchor is lost only if there is no other speaker.
     """
     ranked = global_rank(df.select(key, speaker).withColumn("_k", order_key(key, seed)), ["_k", key], "_i").drop("_k").persist()
     own = Window.partitionBy(speaker).orderBy("_i")
     anchors = ranked.withColumn("positive", F.lead(key).over(own)).filter("positive is not null").orderBy("_i").limit(n)
     total = ranked.count()
     tries = anchors.withColumn("_try", F.explode(F.array(*[F.pmod(F.col("_i") + total // 2 + j, F.lit(max(total, 1))) for j in range(16)]))).withColumn("_no", F.pmod(F.col("_try") - F.col("_i") - total // 2, F.lit(max(total, 1))))
-    other = ranked.select(F.col("_i").alias("_try"), F.col(key).alias("negative"), F.col(speaker).alias("_other"))
-    found = tries.join(other, "_try").filter(F.col("_other") != F.col(speaker))
-    return found.groupBy(F.col(key).alias("anchor"), "positive").agg(F.min_by("negative", "_no").alias("negative"))
+    other = ranked.select(F.col("_i").alias("_try"), F.col(key).alias("_found"), F.col(speaker).alias("_other"))
+    near = tries.join(other, "_try").filter(F.col("_other") != F.col(speaker)).groupBy(F.col(key).alias("_anchor")).agg(F.min_by("_found", "_no").alias("_near"))
+    # the first row of all, and the first of another speaker than that one's: one of them suits any anchor
+    first = ranked.agg(F.min(F.struct("_i", key, speaker)).alias("a"))
+    second = ranked.join(F.broadcast(first), F.col(speaker) != F.col(f"a.{speaker}")).agg(F.min(F.struct("_i", key, speaker)).alias("b"))
+    rows = anchors.join(near, F.col(key) == F.col("_anchor"), "left").crossJoin(F.broadcast(first)).crossJoin(F.broadcast(second))  # one row each
+    far = F.when(F.col(f"a.{speaker}") != F.col(speaker), F.col(f"a.{key}")).otherwise(F.col(f"b.{key}"))
+    found = rows.select(F.col(key).alias("anchor"), "positive", F.coalesce("_near", far).alias("negative")).filter("negative is not null")
+    return found
 
 
 def cropped(waves: Column) -> Column:

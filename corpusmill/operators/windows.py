@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,19 +81,28 @@ def islands(df: DataFrame, group: str, order: list[str], active: Column) -> Data
 def threshold_buckets(df: DataFrame, group: str, order: list[str], duration: str, limit: float) -> DataFrame:
     """``bucket`` from 1: durations add up until their sum is over ``limit``, and the next row begins anew.
 
-    A sum that resets is no window function: each group is folded in order as an array.
+    A sum that resets is no window function. Rows are sorted within their group and read once, batch by batch, with the
+    running sum alone in memory, however many rows a group has.
     """
-    items = F.sort_array(F.collect_list(F.struct(*order, F.col(duration).alias("_d"), F.struct(*df.columns).alias("_row"))))
-    start = F.struct(F.lit(1).alias("b"), F.lit(0.0).alias("sum"), F.array().cast(T.ArrayType(T.IntegerType())).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        total = acc["sum"] + x["_d"].cast("double")
-        over = total > limit
-        return F.struct((acc["b"] + over.cast("int")).alias("b"), F.when(over, 0.0).otherwise(total).alias("sum"), F.concat(acc["out"], F.array(acc["b"])).alias("out"))
-
-    folded = df.groupBy(group).agg(items.alias("_items")).withColumn("_b", F.aggregate("_items", start, step, lambda acc: acc["out"]))
-    rows = folded.select(F.explode(F.arrays_zip("_items", "_b")).alias("x"))
-    return rows.select("x._items._row.*", F.col("x._b").alias("bucket"))
+    def run(it):
+        last, total, bucket = None, 0.0, 1
+        for batch in it:
+            out = []
+            for key, d in zip(batch.column("_group").to_pylist(), batch.column("_d").to_pylist(), strict=True):
+                if last is None or key != last[0]:
+                    last, total, bucket = (key,), 0.0, 1
+                out.append(bucket)
+                total += d or 0.0
+                if total > limit:
+                    total, bucket = 0.0, bucket + 1
+            keep = [i for i, f in enumerate(batch.schema) if f.name not in ("_group", "_d")]
+            columns = [batch.column(i) for i in keep] + [pa.array(out, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[i] for i in keep] + ["bucket"])
+
+    rows = df.withColumn("_group", F.col(group)).withColumn("_d", F.col(duration).cast("double"))
+    sorted_rows = rows.repartition("_group").sortWithinPartitions("_group", *order)
+    return sorted_rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("bucket", T.IntegerType())]))
 
 
 def minimum_spans(df: DataFrame, group: str, order: list[str], start: str, end: str, total: Column, least: int = 8000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpusmill.plans import transcript_queries  # noqa: F401  registers its queries beside the others
 from corpusmill.plans.corpus_queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -169,10 +169,17 @@ def integer_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="word string, idx int")
 
 
-def number_table(spark: SparkSession, path: str) -> DataFrame:
-    """``int word`` lines; lines that don't start with a number are left out."""
+def number_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``int word`` lines as number and word, and the lines that don't start with a number or have no word."""
     parts = F.split("line", " +", 2)
-    return lines(spark, path).select(F.element_at(parts, 1).try_cast("long").alias("number"), F.try_element_at(parts, F.lit(2)).alias("word")).filter("number is not null")
+    rows = lines(spark, path).select("line", F.element_at(parts, 1).try_cast("long").alias("number"), F.try_element_at(parts, F.lit(2)).alias("word"))
+    good = F.col("number").isNotNull() & F.col("word").isNotNull()
+    return rows.filter(good).select("number", "word"), rows.filter(~good).select("line")
+
+
+def written_numbers(df: DataFrame, number: str, table: DataFrame, name: str = "word") -> DataFrame:
+    """Each row with the word that a number table has for its number; null if none."""
+    return df.join(table.select(F.col("number").alias("_n"), F.col("word").alias(name)), F.col(number).cast("long") == F.col("_n"), "left").drop("_n")
 
 
 def scores(spark: SparkSession, path: str) -> DataFrame:

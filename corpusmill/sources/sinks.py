@@ -134,3 +134,44 @@ def write_integer_vocabulary(words: DataFrame, path: str, eos: bool = True) -> N
 
 def write_log(df: DataFrame, columns: list[str], path: str) -> None:
     write_lines(df, F.concat_ws("\t", *columns), path)
+
+
+# The variants of the recogniser's files, as (spoken Dutch in training, radio in dev and test, dev and test by language).
+VARIANTS = {"normal": (False, False, False), "cgn": (True, False, False), "fame": (False, True, False), "fame_ls": (False, True, True), "normal_ls": (False, False, True)}
+
+
+def kaldi_variants(df: DataFrame, route: Column, source: str = "source", partition: str = "partition") -> DataFrame:
+    """Each row in each variant and split that it belongs to: ``variant``, ``split``, and ``route`` where the split goes by language, else ''."""
+    from corpusmill.operators.transcripts import split_rows
+
+    out = None
+    for name, (spoken, radio_test, by_language) in VARIANTS.items():
+        for split in ("train", "dev", "test"):
+            rows = split_rows(df, split, source, partition, spoken, radio_test)
+            rows = rows.select("*", F.lit(name).alias("variant"), F.lit(split).alias("split"), (route if by_language and split != "train" else F.lit("")).alias("route"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def write_variants(df: DataFrame, route: Column, folder: str, force: bool = True) -> None:
+    """The four files of each variant, split and route, in folders of these names."""
+    rows = kaldi_variants(df, route).withColumn("place", F.concat_ws("_", "variant", "split", F.nullif("route", F.lit(""))))
+    write_kaldi(rows, folder, "place", force=force)
+
+
+def write_split(df: DataFrame, line: Column, id_line: Column, folder: str, split: str, force: bool = True) -> None:
+    """Three folders a split: the lines that can be used, their id lines, and the id lines of the others."""
+    rows = df.select(split, F.coalesce(line, F.lit("")).alias("_line"), id_line.alias("_id"))
+    write_lines(rows.filter("_line != ''"), F.col("_line"), f"{folder}/used", split, force)
+    write_lines(rows.filter("_line != ''"), F.col("_id"), f"{folder}/id", split, force)
+    write_lines(rows.filter("_line = ''"), F.col("_id"), f"{folder}/not_used", split, force)
+
+
+def insert_with_links(new: DataFrame, links: DataFrame, path: str, links_path: str, key: list[str]) -> None:
+    """Append rows whose key is new, and of a bridge table (key and values) the links of these rows, once each."""
+    spark = new.sparkSession
+    stored = spark.read.schema(new.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], new.schema)
+    fresh = missing_rows(new, stored, key)
+    bridge = links.join(fresh.select(*key).distinct(), key, "left_semi")
+    insert_if_absent(bridge, links_path, links.columns)  # before the rows: a second try then finds them missing still
+    insert_if_absent(new, path, key)

@@ -13,13 +13,16 @@ from corpusmill.sources.sinks import insert_if_absent
 
 
 def _stateful(df: DataFrame, group: str, order: str, duration: str, name: str, step) -> DataFrame:
-    """A running value for each row of a group; the state is (running sum, count)."""
+    """A running value for each row of a group; the state is (running sum, count).
+
+    Rows must come in order from trigger to trigger; those of one group and trigger are held at once and sorted.
+    """
     kinds = dict(df.dtypes)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, number = state.get if state.exists else (0.0, 1)
-        for pdf in frames:
-            pdf = pdf.sort_values(order)
+        # a group's rows of one trigger may come in several frames, in any order: they are sorted together
+        for pdf in [pd.concat(list(frames)).sort_values(order, kind="stable")]:
             out = []
             for d in pdf[duration]:
                 value, total, number = step(float(d), total, number)

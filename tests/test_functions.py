@@ -24,10 +24,16 @@ def value(spark, make, *inputs):
     (lambda c: tx.drop_short_lines(c), "abc\nabcd", "abcd"),
     (lambda c: tx.drop_lines_with(c, ["cet"]), "a cet b\n\nkeep cetera", "keep cetera"),
     (lambda c: tx.drop_words(c, ["www"]), "a www b/c d\ne $x f", "a d\ne f"),
-    (tx.stops_to_lines, "one.  two \n\n three.", "one\ntwo\nthree"),
-    (lambda c: tx.remove_sections(c, "{{", "}}"), "a {{b {{c}} d}} e", "a  e"),
-    (lambda c: tx.remove_sections(c, "{{", "}}"), "a {{b}} c {{d", "a  c "),
-    (lambda c: tx.remove_sections(c, "__", "__"), "a __toc__ b", "a  b"),
+    (tx.stops_to_lines, "one.  two \n\n three.", "one\ntwo\nthree\n"),
+    (lambda c: tx.remove_sections(c, ("{{", "}}")), "a {{b {{c}} d}} e", "a  e"),
+    (lambda c: tx.remove_sections(c, ("{{", "}}")), "a {{b}} c {{d", "a  c {{d"),
+    (lambda c: tx.remove_sections(c, ("__", "__")), "a __toc__ b", "a __toc__ b"),
+    (lambda c: tx.remove_sections(c, ("__", "__")), "__toc__ b", " b"),
+    (lambda c: tx.remove_sections(c, ("{{", "}}"), ("<", ">")), "a {{b <c}} d> e", "a  d> e"),
+    (tx.clean_wiki, "x<ref name=a>cited text</ref> yes there", ""),
+    (tx.clean_wiki, "Dizze tekst<ref name=a>cited text</ref> bliuwt stean. 5= goed neist b.v.d", "dizze tekst bliuwt stean\ngoed neist"),
+    (tx.drop_abbreviations, "Hello end.\nNext b.v.d word here", "Hello end.\nNext word here"),
+    (tx.replace_marks, "5= good 7. x", "5. good 0 x"),
     (tx.replace_marks, "x == y &nbsp 1.", "x .y 0"),
     (tx.stem, "/a/b.c/file.wav", "file"),
     (labels.strip_labels, "wurd-fr en-nl", "wurd en"),

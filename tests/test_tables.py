@@ -34,7 +34,10 @@ def test_readers(spark, tmp_path):
     assert words.first().pron == "d a g" and reject.count() == 1
     assert readers.lexicon(spark, put(tmp_path, "lex2.txt", "dag  d a g\n")).first().pron == "d a g"
     assert {(r.word, r.language) for r in readers.bilingual_words(spark, put(tmp_path, "bi.txt", "dag-nl\ndei-fr\nplain\n")).collect()} == {("dag", "Dutch"), ("dei", "Frisian"), ("plain", None)}
-    assert {r.number: r.word for r in readers.number_table(spark, put(tmp_path, "n.txt", "1 ien\n2 twa\nx y\n")).collect()} == {1: "ien", 2: "twa"}
+    numbers, rejected = readers.number_table(spark, put(tmp_path, "n.txt", "1 ien\n2 twa\nx y\n3\n"))
+    assert {r.number: r.word for r in numbers.collect()} == {1: "ien", 2: "twa"} and {r.line for r in rejected.collect()} == {"x y", "3"}
+    said = readers.written_numbers(spark.createDataFrame([(2,), (7,)], "n int"), "n", numbers).collect()
+    assert {r.n: r.word for r in said} == {2: "twa", 7: None}
     score = readers.scores(spark, put(tmp_path, "s.txt", "a_pk-7 ref a b\na_pk-7 hyp a c\na_pk-7 op C S\na_pk-7 #csid 1 1 0 0\n")).first()
     assert (score.pk, score.ref, score.hyp, score.codes, score.counts) == (7, "a b", "a c", "C S", "1 1 0 0")
     assert {r.word: r.idx for r in readers.word_list(spark, put(tmp_path, "v.txt", "b x\na\nb\n\nc\n")).collect()} == {"b": 0, "a": 1, "c": 2}
