@@ -44,7 +44,7 @@ DEPTH = 3
 #: Tokens of a chunk.
 CHUNK_WORDS = 700_000
 #: Bytes of text for each bucket of contexts.
-BUCKET_BYTES = 10_000_000
+BUCKET_BYTES = 20_000_000
 #: Occurrences of a context for each part that it is dealt to.
 SPLIT = 1_000_000
 #: The end of a text as a symbol; no word has it, as hashes of words are shifted by one bit.
@@ -55,8 +55,9 @@ _FOLLOWER = np.uint64(40)
 
 _ROWS = "chunk long, kind int, bucket long, data binary"
 _ROWS_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary())])
-#: Kinds of rows: a chunk's symbols, its words, and from 1 up contexts of so many words; sums over a bucket's words.
-TEXT, WORDS, TOTAL, DISTINCT = -1, 0, -2, -3
+#: Kinds of rows: a chunk's symbols, its words, and from 1 up contexts of so many words; sums over a bucket's words;
+#: what a chunk keeps for the scores.
+TEXT, WORDS, TOTAL, DISTINCT, KEPT = -1, 0, -2, -3, -4
 #: Files of a table of chunks, at most, and bytes of text for each.
 FILES, FILE_BYTES = 20_000, 32_000_000
 
@@ -71,16 +72,19 @@ def tokens(text: bytes | None) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as planes of bytes, compressed; planes of zeros take no room."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return pickle.dumps([(x.dtype.str, pack(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())) for x in arrays])
+    """Arrays as planes of bytes, compressed together; planes of zeros take no room."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if x.itemsize > 1 else x.tobytes() for x in arrays]
+    return pickle.dumps(([(x.dtype.str, len(x)) for x in arrays], zstandard.ZstdCompressor(level=1).compress(b"".join(planes))))
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
-    out = []
-    for kind, planes in pickle.loads(data):
-        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(planes), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+    kinds, data = pickle.loads(data)
+    data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    for kind, n in kinds:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at)
+        out.append(np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1) if size > 1 else planes.view(kind))
+        at += n * size
     return out
 
 
@@ -208,6 +212,7 @@ class Chunk:
         answers = {k: [np.concatenate(x) for x in zip(*(_unpacked(d) for _, d in sorted(v)), strict=True)] for k, v in answers.items()}
         train, self.sizes, every, number = _unpacked(own)
         self.symbols, self.number = np.cumsum(every)[number], number.astype(np.int64)
+        self.words = len(every)
         #: The number of the context looked at last, which is given out by the chunk; and bits that hold any such number.
         self.shorter, self.bits = np.zeros(len(number), np.int64), len(number).bit_length()
         self.train = np.repeat(train, self.sizes)
@@ -228,14 +233,20 @@ class Chunk:
         at = np.flatnonzero((self.room >= depth) & self.state)
         before = self.seen[at - 1]  # how often the context occurs: -1 where unknown
         asked = (before < 0) | (before >= LEAST)
-        at, before = at[asked], before[asked]
-        _, example, context = _numbered(self.shorter[at] << self.bits | self.number[at - depth])
+        at = at[asked]
+        if depth == 1:  # words have numbers
+            used, last = np.zeros(self.words, bool), np.zeros(self.words, np.int64)
+            used[self.number[at - 1]], last[self.number[at - 1]] = True, at
+            example, context = last[used], (np.cumsum(used) - 1)[self.number[at - 1]]
+        else:
+            _, example, context = _numbered(self.shorter[at] << self.bits | self.number[at - depth])
+            example = at[example]
         self.shorter[at] = context
-        parts = (1 + np.maximum(before[example], 0) // SPLIT).astype(np.int64)
+        parts = (1 + np.maximum(self.seen[example - 1], 0) // SPLIT).astype(np.int64)
         first = np.cumsum(parts) - parts
         part_keys = np.zeros(len(example), np.uint64)
         for word in range(depth, 0, -1):
-            part_keys = part_keys * np.uint64(common.BASE) + self.symbols[at[example] - word]
+            part_keys = part_keys * np.uint64(common.BASE) + self.symbols[example - word]
         part_keys = common.mixed(part_keys)
         split = bool((parts > 1).any())
         if split:
@@ -259,11 +270,15 @@ class Chunk:
             by = np.arange(len(owners)) + np.repeat(begins - (np.cumsum(number) - number), number)
         return Level(at, context, follows, context[frequent], gram, part_keys[order], first, parts, rank, part, by, example)
 
-    def asks(self, depth: int, buckets: int) -> list[tuple[int, int, bytes]]:
-        """(kind, bucket, data): part keys, training counts, number of grams; symbol, count and probability of each gram."""
+    def asks(self, depth: int, buckets: int, last: bool) -> list[tuple[int, int, bytes]]:
+        """(kind, bucket, data): part keys, training counts, number of grams; symbol, count and probability of each gram.
+
+        With the ``last`` length goes what its answers need for the scores.
+        """
         if self.depth != depth - 1:
-            return []  # no context of one word less
+            return [(KEPT, 0, self.kept(None))] if last else []  # no context of one word less
         v = self.level(depth)
+        out = [(KEPT, 0, self.kept(v))] if last else []
         n = np.repeat(np.bincount(v.context, self.train[v.at], len(v.first)).astype(np.uint64), v.parts)
         held = np.empty(len(n), np.uint64)
         held[v.part_of] = n
@@ -275,7 +290,6 @@ class Chunk:
         split = np.empty(len(n), bool)
         split[v.part_of] = np.repeat(v.parts > 1, v.parts)
         ends = np.r_[0, np.cumsum(number)]
-        out = []
         for b, x, y in _cuts(v.keys, buckets):
             g = slice(ends[x], ends[y])
             # followers of a part are in order, so that differences need fewer of the five bytes
@@ -309,19 +323,55 @@ class Chunk:
         self.seen[v.at] = 0
         self.seen[v.follows] = n
 
-    def sums(self) -> tuple[np.ndarray, ...]:
-        """For each text its tokens, known tokens, and log10 of its probability at the root and in the tree."""
+    def kept(self, v: Level | None) -> bytes:
+        """For each text its tokens, known tokens, and log10 of its probability at the root and as far as it is known; and the level, numbered as its answers come."""
         total = lambda x: np.add.reduceat(x, self.begins)
-        return self.sizes, total((self.count > 0).astype(np.int64)), total(np.log10(self.root)), total(np.log10(self.p))
+        sums = [self.sizes, total((self.count > 0).astype(np.int64)), total(np.log10(self.root)), total(np.log10(self.p))]
+        if v is None or not len(v.at):
+            return pickle.dumps((self.ids, _packed(*sums), None))
+        inside, own = np.zeros(len(self.p), bool), np.zeros(len(self.p), bool)
+        inside[v.at], own[v.follows] = True, True
+        place = np.empty(len(v.order), np.uint32)
+        place[v.order] = np.arange(len(place), dtype=np.uint32)
+        split = bool((v.parts > 1).any())
+        context = v.context if split else v.part_of[v.context]
+        level = [np.packbits(inside), np.packbits(own), context.astype(np.uint32), place[v.gram], self.p[v.example[v.order]]]
+        return pickle.dumps((self.ids, _packed(*sums), _packed(*level, *([v.parts.astype(np.uint32), v.part_of.astype(np.uint32)] if split else []))))
+
+
+def _scores(kept: bytes, answers: list[tuple[int, bytes]], least: float) -> tuple:
+    """ids, tokens, known tokens, log10 at the root and in the tree, once the last length's answers are there."""
+    ids, sums, level = pickle.loads(kept)
+    sizes, known, base, score = _unpacked(sums)
+    if level is None:
+        return ids, sizes, known, base, score
+    inside, own_mass, context, gram, before, *split = _unpacked(level)
+    whole, own, several, gain, n = (np.concatenate(x).astype(np.float64) for x in zip(*(_unpacked(d) for _, d in sorted(answers)), strict=True))
+    if split:
+        parts, part_of = split
+        first = np.cumsum(parts) - parts
+        whole, own, several, gain = whole[part_of[first]], *(np.add.reduceat(x[part_of], first) for x in (own, several, gain))
+    left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
+    stays = _gained(whole, own, several, gain) >= least
+    size = int(sizes.sum())
+    at = np.flatnonzero(np.unpackbits(inside, count=size))
+    change = np.where(stays, np.log10(left), 0.0)[context]
+    follows = np.flatnonzero(np.unpackbits(own_mass, count=size)[at])
+    state = context[follows]
+    hit = (n[gram] >= LEAST) & stays[state]
+    state, gram = state[hit], gram[hit]
+    # a gram's probability from the suffix is the same wherever it stands
+    change[follows[hit]] = np.log10(left[state] + (n[gram] - DISCOUNT) / whole[state] / before[gram])
+    return ids, sizes, known, base, score + np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at], change, len(sizes))
 
 
-def _of_chunk(table, scale: float, gain: float) -> Chunk:
-    return Chunk(list(zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)), scale, gain)
+def _rows_of(table) -> list[tuple[int, int, bytes]]:
+    return list(zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True))
 
 
-def _asking(depth: int, buckets: int, scale: float, gain: float):
+def _asking(depth: int, buckets: int, scale: float, gain: float, last: bool):
     def run(key, table):
-        asked = _of_chunk(table, scale, gain).asks(depth, buckets)
+        asked = Chunk(_rows_of(table), scale, gain).asks(depth, buckets, last)
         return pa.Table.from_batches([_batch([(key[0].as_py(), *a) for a in asked])], _ROWS_SCHEMA)
 
     return run
@@ -371,10 +421,11 @@ def _answered(table, gain):
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(scale: float, gain: float):
+def _scored(gain: float):
     def run(table):
-        chunk = _of_chunk(table, scale, gain)
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip((chunk.ids, *chunk.sums()), _SCORED, strict=True)], schema=_SCORED)
+        rows = _rows_of(table)
+        columns = _scores(next(d for k, _, d in rows if k == KEPT), [(b, d) for k, b, d in rows if k != KEPT], gain)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SCORED, strict=True)], schema=_SCORED)
 
     return run
 
@@ -398,13 +449,23 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out: int = 1, depth: int =
     sums = spark.read.schema(_ROWS).parquet(store.folder("words")).filter("chunk < 0").groupBy("kind").agg(F.sum("bucket")).collect()
     total, distinct = (next((n for k, n in sums if k == kind), 0) for kind in (TOTAL, DISTINCT))
     scale = total + 0.5 * (distinct + 1)
+    sql = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     for words in range(1, depth + 1):
+        last = words == depth
         with store.read(parts) as known:
-            asked = known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_asking(words, buckets, scale, gain), _ROWS)
-            kept(asked.groupBy("bucket").applyInArrow(_answering(gain), _ROWS), str(words))
-        parts.append(str(words))
-    with store.read(parts) as known:
-        found = common.durable(known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_scored(scale, gain), "doc_id long, n_tokens long, n_known long, base_score double, score double"))
+            asked = known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_asking(words, buckets, scale, gain, last), _ROWS)
+            if not last:
+                kept(asked.groupBy("bucket").applyInArrow(_answering(gain), _ROWS), str(words))
+                parts.append(str(words))
+            else:  # written where the chunks lie, so that these can go
+                store.write(asked, "asked")
+    for part in parts:
+        common.remove(spark, store.folder(part))
+    with store.read(["asked"]) as asked:
+        kept(asked.filter(F.col("kind") != KEPT).groupBy("bucket").applyInArrow(_answering(gain), _ROWS), "answers")
+    with store.read(["asked", "answers"]) as known:
+        rows = known.filter((F.col("part") == "answers") | (F.col("kind") == KEPT))
+        found = common.durable(rows.groupBy("chunk").applyInArrow(_scored(gain), sql))
     common.remove(spark, store.path)
     return found.select(
         "doc_id",
