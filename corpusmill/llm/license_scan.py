@@ -1,6 +1,8 @@
 r"""License scans by conditional compression.
 
-A candidate block is a run of lines with a cue word, gaps of ``GAP`` lines included. Each block is compressed by zstandard
+A candidate block is a run of lines with a cue word, gaps of ``GAP`` lines included, at most ``BLOCK_LINES`` lines. Cues are
+``CUES`` and, for each template of which a text could keep ``100 - ALLOWED`` percent of the words and still have none of them, as
+many of the template's own rarest words as that takes: so no text that can be confirmed goes without a cue, whatever the templates. Each block is compressed by zstandard
 alone and with each template as a raw dictionary; the templates are ranked by how much smaller the block becomes. In this
 order all are then confirmed by the exact differences in wording, in the block and the lines around it, since lines of a
 license need not have a cue; only those with too few of their words anywhere in that text are passed over, as they can't be
@@ -53,6 +55,26 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+def cues(templates: dict[str, str]) -> str:
+    """A pattern for the words that candidate blocks have: ``CUES``, and what the templates need beyond them."""
+    known = re.compile(CUES)
+    words = {name: wording(text) for name, text in templates.items()}
+    used = Counter(w for own in words.values() for w in set(own))
+    added: list[str] = []
+    for name in sorted(words):
+        own, have = Counter(words[name]), 0
+        for w, n in own.items():
+            have += n if known.search(w) or w in added else 0
+        # more cues than words that may be missing
+        for w in sorted(own, key=lambda w: (used[w], -len(w), w)):
+            if 100 * have > ALLOWED * len(words[name]):
+                break
+            if not known.search(w) and w not in added:
+                added.append(w)
+                have += own[w]
+    return "|".join([CUES, *(rf"\b{re.escape(w)}\b" for w in added)])
+
+
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("first_line", pa.int32()), ("last_line", pa.int32()), ("license", pa.string()), ("rank", pa.int32()), ("saved", pa.float64()),
     ("n_missing", pa.int32()), ("n_other", pa.int32()), ("missing", pa.list_(pa.string())), ("other", pa.list_(pa.string())),
@@ -103,7 +125,7 @@ def _version(template: list[str], i: int) -> bool:
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        self.cue = re.compile(CUES)
+        self.cue = re.compile(cues(templates))
         self.names = sorted(templates)
         self.words = {n: wording(templates[n]) for n in self.names}
         self.counts = {n: Counter(w) for n, w in self.words.items()}
@@ -194,7 +216,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, unco
 
     rows = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     # most texts have no cue: they end here, before Python
-    return rows.filter(F.col("text").rlike(CUES)).mapInArrow(run, _OUT)
+    return rows.filter(F.col("text").rlike(cues(templates))).mapInArrow(run, _OUT)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
