@@ -628,8 +628,9 @@ g AS (SELECT doc_id, lang, held, gram FROM (SELECT doc_id, lang, held, unnest([g
 k AS (SELECT gram, lang, count(*) AS n FROM g WHERE NOT held GROUP BY ALL), v AS (SELECT count(DISTINCT gram) AS v FROM k),
 o AS (SELECT lang, sum(n) AS total FROM k GROUP BY lang), r AS (SELECT lang, ln(count(*)::DOUBLE / sum(count(*)) OVER ()) AS prior FROM t WHERE NOT held GROUP BY lang),
 m AS (SELECT doc_id, gram, count(*) AS n FROM g WHERE held AND gram IN (SELECT gram FROM k) GROUP BY ALL),
-s AS (SELECT t.doc_id, r.lang, any_value(r.prior) + coalesce(sum(m.n * ln((coalesce(k.n, 0) + 1)::DOUBLE / (o.total + v.v))), 0) AS score
-  FROM t CROSS JOIN r JOIN o USING (lang) CROSS JOIN v LEFT JOIN m ON m.doc_id = t.doc_id LEFT JOIN k ON k.gram = m.gram AND k.lang = r.lang WHERE t.held GROUP BY t.doc_id, r.lang)
+l AS (SELECT r.lang, r.prior, o.total + v.v AS size FROM r JOIN o ON o.lang = r.lang CROSS JOIN v),
+s AS (SELECT t.doc_id, l.lang, any_value(l.prior) + coalesce(sum(m.n * ln((coalesce(k.n, 0) + 1)::DOUBLE / l.size)), 0) AS score
+  FROM t CROSS JOIN l LEFT JOIN m ON m.doc_id = t.doc_id LEFT JOIN k ON k.gram = m.gram AND k.lang = l.lang WHERE t.held GROUP BY t.doc_id, l.lang)
 SELECT doc_id, lang, round(score, 2) AS score FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1""")
 def nb_predict(spark: SparkSession, d: str) -> DataFrame:
     """Language of the held-out third; a small fixture is held against a plain naive Bayes, too."""
