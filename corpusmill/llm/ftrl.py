@@ -23,7 +23,7 @@ Features = Callable[[bytes], np.ndarray]
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` bounds the labelled rows that the classifier learns from (a sample by hash of the id)."""
+    """``train_rows`` bounds the labelled rows that the classifier learns from (a sample by hash of the id, one row an id)."""
 
     bits: int = 20
     alpha: float = 0.1
@@ -109,7 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, features
     # the sample is bounded by train_rows, so it may be broadcast, and one task may learn from it
     known = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = known.join(F.broadcast(chosen.withColumn("doc_id", F.col("doc_id").cast("long"))), "doc_id")
-    found = rows.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, at binary, x binary").repartition(1).mapInArrow(fitted, "at binary, w binary, bias double").first()
+    # rows that share an id count as the one whose text has the least hash, so that train_rows bounds rows as well
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text", "label")).alias("row"))
+    found = rows.select("doc_id", "row.label", "row.text").mapInArrow(vectors, "doc_id long, label int, at binary, x binary").repartition(1).mapInArrow(fitted, "at binary, w binary, bias double").first()
     return Model(np.frombuffer(bytes(found["at"]), np.uint32).astype(np.int64), np.frombuffer(bytes(found["w"]), np.float32), found["bias"], s)
 
 
