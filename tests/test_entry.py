@@ -34,6 +34,16 @@ def test_without_the_subpackage(tmp_path):
     assert out.stdout.strip() == "True"
 
 
+def test_without_a_library_of_the_subpackage():
+    """Where a library that only the subpackage needs is missing, the other queries are there."""
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()) == len(__import__('corpusmill.plans.catalog', fromlist=['x']).QUERIES))"
+    core = "import sys; sys.modules['corpusmill.functions.text'] = None; import __spark_entry__"
+    run = lambda c: subprocess.run([sys.executable, "-c", c], cwd=ROOT, env=os.environ | {"PYTHONPATH": str(ROOT)}, capture_output=True, text=True)
+    if (ROOT / "corpusmill/llm").is_dir():
+        assert run(code).stdout.strip() == "True"
+    assert run(core).returncode != 0, "a fault of the library itself is not hidden"
+
+
 def rounded(rows):
     return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
