@@ -101,8 +101,8 @@ def zipped(a: DataFrame, b: DataFrame, a_order: list[str], b_order: list[str]) -
 
 
 def bilingual_split(lexicon: DataFrame, language: str = "language", names: tuple[str, str] = ("Dutch", "Frisian")) -> tuple[DataFrame, DataFrame]:
-    """A lexicon's two languages; entries without one, such as marks, are in both."""
-    return tuple(lexicon.filter((F.col(language) == n) | F.col(language).isNull()) for n in names)
+    """A lexicon's two languages; entries of another language or of none are in neither."""
+    return tuple(lexicon.filter(F.col(language) == n) for n in names)
 
 
 def subtitles(utterances: DataFrame, texts: DataFrame, key: str = "pk") -> tuple[DataFrame, DataFrame]:

@@ -146,7 +146,7 @@ def id_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT word, lang FROM (SELECT DISTINCT word, CASE WHEN lang IN ('en', 'de') THEN lang END AS lang FROM (""" + _WORDS + """) WHERE word <> ''))
-SELECT 'en' AS lexicon, count(*) AS n FROM b WHERE lang = 'en' OR lang IS NULL UNION ALL SELECT 'de', count(*) FROM b WHERE lang = 'de' OR lang IS NULL""")
+SELECT 'en' AS lexicon, count(*) AS n FROM b WHERE lang = 'en' UNION ALL SELECT 'de', count(*) FROM b WHERE lang = 'de'""")
 def bilingual_split(spark: SparkSession, d: str) -> DataFrame:
     own = _words(spark, d, "lang").select("word", F.when(F.col("lang").isin("en", "de"), F.col("lang")).alias("language")).distinct()
     parts = transcripts.bilingual_split(own, names=("en", "de"))

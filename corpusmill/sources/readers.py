@@ -5,6 +5,14 @@ Files are read by Spark's own readers, so any store that Spark reaches will do,
 
 from __future__ import annotations
 
+import html
+import io
+import re
+import wave
+import zipfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,22 +20,13 @@ from pyspark.sql import types as T
 from corpusmill.functions import text as tx
 from corpusmill.functions.brackets import tier
 
+# The columns and fields of the corpus's own formats.
 LABELS = "file_id string, wav string, lang string, start double, end double, text string"
 SPEAKER_COLUMNS = (
     "type,creator,version,update,ID,sex,birthYear,birthPlace,birthRegion,language,firstLang,homeLang,workLang,resPlace,resRegion,"
     "eduPlace,eduRegion,eduSize,education,eduLevel,occupation,occLevel,notes"
 ).split(",")
 MANIFEST = "sentence string, audiofilename string, sampling_rate int, start_time double, end_time double"
-#: The 23 fields of the text fact; absent texts are '', not null.
-TEXT = T.StructType([
-    T.StructField("pk", T.LongType()),
-    *[T.StructField(n, T.StringType()) for n in ("filename", "wav_filename", "filetype", "raw_text", "clean_text", "transcription_meta", "text_without_tags", "main_language", "source", "text_type")],
-    T.StructField("all_languages", T.ArrayType(T.StringType())),
-    T.StructField("multiple_languages", T.BooleanType()), T.StructField("error", T.BooleanType()),
-    *[T.StructField(n, T.StringType()) for n in ("note", "title", "speaker_id", "speaker_gender")],
-    *[T.StructField(n, T.DoubleType()) for n in ("start_time", "end_time", "duration")],
-    T.StructField("file_id", T.StringType()), T.StructField("partition", T.StringType()), T.StructField("n_words_text_without_tags", T.IntegerType()),
-])
 PREFIX = T.StructType([T.StructField("prefix", T.StringType())])
 
 
@@ -99,17 +98,19 @@ def speakers(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("age", tx.age(F.col("birthYear"))).withColumn("gender", tx.sex_name(F.col("sex")))
 
 
-def audio_info(spark: SparkSession, path: str) -> DataFrame:
-    """``id <tab> path,channels,rate,...,seconds=samples,...``: one row a file."""
+def audio_info(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``id <tab> path,channels,rate,...,seconds=samples,...``: one row a file; and lines whose numbers can't be read."""
     parts, own = F.split("line", "\t"), F.split(F.col("body"), ",")
-    rows = lines(spark, path).select(F.element_at(parts, 1).alias("file_id"), F.try_element_at(parts, F.lit(2)).alias("body"))
+    rows = lines(spark, path).select("line", F.element_at(parts, 1).alias("file_id"), F.try_element_at(parts, F.lit(2)).alias("body"))
     item = lambda i: F.try_element_at(own, F.lit(i))
     samples = F.regexp_extract(F.coalesce(item(5), F.lit("")), r"(\d+)\s*samples", 1).try_cast("long")
     samples = F.coalesce(samples, F.element_at(F.split(F.coalesce(item(5), F.lit("")), "="), -1).try_cast("long"))
-    return rows.select(
-        "file_id", item(1).alias("path"), item(2).try_cast("int").alias("channels"), item(3).try_cast("int").alias("sample_rate"), item(4).alias("precision"),
+    found = rows.select(
+        "line", "file_id", item(1).alias("path"), item(2).try_cast("int").alias("channels"), item(3).try_cast("int").alias("sample_rate"), item(4).alias("precision"),
         samples.alias("samples"), item(6).alias("file_size"), item(7).alias("bit_rate"), item(8).alias("encoding"),
     ).withColumn("seconds", F.col("samples") / F.col("sample_rate"))
+    read = F.col("channels").isNotNull() & F.col("sample_rate").isNotNull() & F.col("samples").isNotNull()
+    return found.filter(read).drop("line"), found.filter(~read).select("line")
 
 
 def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -119,16 +120,99 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return df.select("title", "id", F.coalesce("revision.text", F.lit("")).alias("text"))
 
 
-def documents(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("txt", "rtf")) -> DataFrame:
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """All files below a folder: path, name, folder, kind and size; contents are not read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    name = F.element_at(F.split("path", "/"), -1)
+    return df.select("path", name.alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)).alias("kind"), F.col("length").alias("size"), "modificationTime")
+
+
+def folders(spark: SparkSession, path: str) -> DataFrame:
+    """All folders below a folder that have files in them or further below."""
+    root = F.regexp_replace(F.lit(path.rstrip("/")), "^file:/*", "/")
+    below = listed(spark, path).select(F.regexp_replace("folder", "^file:/*", "/").alias("folder")).distinct()
+    parts = F.split(F.substr("folder", F.length(root) + 2), "/")
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(root, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return below.filter(F.col("folder") != root).select(F.explode(every).alias("folder")).distinct()
+
+
+def _paragraphs(contents: pd.Series) -> pd.Series:
+    """Text of word-processor documents: paragraphs of the main part; None where that can't be read."""
+
+    def one(content):
+        try:
+            body = zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml").decode()
+        except (zipfile.BadZipFile, KeyError, UnicodeDecodeError, TypeError):
+            return None
+        paragraphs = re.findall(r"<w:p[ >].*?</w:p>", body, re.DOTALL)
+        return "\n".join(html.unescape("".join(re.findall(r"<w:t(?: [^>]*)?>(.*?)</w:t>", p, re.DOTALL))) for p in paragraphs)
+
+    return pd.Series([one(c) for c in contents], dtype=object)
+
+
+def _recording(contents: pd.Series) -> pd.DataFrame:
+    """Rate and samples, in [-1, 1) and as the mean of the channels, of WAV files; None where one can't be read."""
+    rows = []
+    for content in contents:
+        try:
+            with wave.open(io.BytesIO(content)) as w:
+                rate, width, channels, raw = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
+        except (wave.Error, EOFError, TypeError):
+            rows.append((None, None))
+            continue
+        kind = {1: "u1", 2: "<i2", 4: "<i4"}.get(width)
+        if kind is None:
+            rows.append((None, None))
+            continue
+        x = np.frombuffer(raw, kind).astype(np.float64)
+        x = (x - 128) / 128 if width == 1 else x / float(1 << (8 * width - 1))
+        rows.append((rate, x.reshape(-1, channels).mean(axis=1).tolist()))
+    return pd.DataFrame(rows, columns=["rate", "samples"])
+
+
+def recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """path, rate and mono samples of the WAV files below a folder; and the paths of those that can't be read."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
+    df = df.select("path", F.pandas_udf(_recording, "rate int, samples array<double>")("content").alias("r"))
+    return df.filter("r.rate is not null").select("path", "r.rate", "r.samples"), df.filter("r.rate is null").select("path")
+
+
+def _resampled(waves: pd.Series, rates: pd.Series, wanted: pd.Series) -> pd.Series:
+    """By a windowed sinc: a low pass under the lower of both rates, six zero crossings to each side."""
+
+    def one(x, rate, to):
+        x = np.asarray(x, np.float64)
+        if rate == to or not len(x):
+            return x.tolist()
+        n, cut = int(np.ceil(len(x) * to / rate)), min(1.0, to / rate) * 0.99
+        reach = int(np.ceil(6 / cut))
+        centre = np.arange(n) * rate / to
+        near = np.floor(centre).astype(np.int64)[:, None] + np.arange(-reach, reach + 1)
+        t = (near - centre[:, None]) * cut
+        weight = np.where(np.abs(t) < 6, cut * np.sinc(t) * np.cos(np.clip(t / 6, -1, 1) * np.pi / 2) ** 2, 0.0)
+        inside = (near >= 0) & (near < len(x))
+        return (np.where(inside, x[np.clip(near, 0, len(x) - 1)], 0.0) * weight).sum(axis=1).tolist()
+
+    return pd.Series([None if w is None else one(w, r, t) for w, r, t in zip(waves, rates, wanted, strict=True)])
+
+
+def resampled(wave_: Column, rate: Column, wanted: int) -> Column:
+    """Samples at another rate."""
+    return F.pandas_udf(_resampled, "array<double>")(wave_, rate, F.lit(wanted))
+
+
+def documents(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("txt", "rtf", "docx")) -> DataFrame:
     """Files below a folder: path, kind, text, and an error where the kind can't be read here (the row stays)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     df = df.select("path", kind.alias("kind"), "content")
     raw = F.try_to_binary(F.lit(None).cast("string"))
-    readable = F.col("kind").isin(*kinds)
-    decoded = F.decode(F.when(readable, F.col("content")).otherwise(raw), "UTF-8")
+    plain = F.col("kind").isin(*[k for k in kinds if k != "docx"])
+    decoded = F.decode(F.when(plain, F.col("content")).otherwise(raw), "UTF-8")
+    packed = F.pandas_udf(_paragraphs, "string")(F.when(F.col("kind") == "docx", F.col("content"))) if "docx" in kinds else F.lit(None).cast("string")
     bare = F.regexp_replace(F.regexp_replace(decoded, r"\\par\b ?", "\n"), r"\\[a-z]+-?\d* ?|[{}]", "")
-    return df.select("path", "kind", F.when(F.col("kind") == "rtf", F.btrim(bare)).otherwise(decoded).alias("text"), (~readable).alias("error"))
+    found = df.select("path", "kind", F.when(F.col("kind") == "rtf", F.btrim(bare)).when(F.col("kind") == "docx", packed).otherwise(decoded).alias("text"))
+    return found.withColumn("error", F.col("text").isNull())
 
 
 def path_language(path: Column) -> Column:
@@ -149,6 +233,27 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.regexp_extract("line", r"^(\S*)", 1).alias("word"), F.btrim(F.regexp_replace("line", r"^\S*", "")).alias("pron"))
 
 
+#: Lexicons by name: the file in a folder of lexicons, and the language of its words (None: labelled word by word).
+LEXICONS = {"council": ("council", None), "council_old": ("council_old", None), "fame": ("fame", None), "twente": ("twente", "Dutch"), "frysk": ("frysk", "Frisian")}
+
+
+def named_lexicon(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """word, pron and language of a known lexicon; labels on words and phonemes are taken off, and words without one have none."""
+    if name not in LEXICONS:
+        raise ValueError(f"no lexicon {name!r}: {', '.join(LEXICONS)}")
+    file, language = LEXICONS[name]
+    rows = lexicon(spark, f"{folder}/{file}").filter("word != ''")
+    if language:
+        return rows.withColumn("language", F.lit(language))
+    own = F.when(F.col("word").endswith("-nl"), "Dutch").when(F.col("word").endswith("-fr"), "Frisian")
+    return rows.select(F.regexp_replace("word", "-(nl|fr)$", "").alias("word"), F.regexp_replace("pron", "-(nl|fr)", "").alias("pron"), own.alias("language"))
+
+
+def overlap_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The words that both languages have, from the list ``overlap_wordlist``."""
+    return lines(spark, f"{folder}/overlap_wordlist").select(F.col("line").alias("word")).distinct()
+
+
 def bilingual_words(spark: SparkSession, path: str) -> DataFrame:
     """word and language; only a -nl or -fr at the end is taken off."""
     w = F.regexp_extract("line", r"^(\S*)", 1)
@@ -182,11 +287,12 @@ def written_numbers(df: DataFrame, number: str, table: DataFrame, name: str = "w
     return df.join(table.select(F.col("number").alias("_n"), F.col("word").alias(name)), F.col(number).cast("long") == F.col("_n"), "left").drop("_n")
 
 
-def scores(spark: SparkSession, path: str) -> DataFrame:
-    """Four lines an utterance (ref, hyp, eval, counts) as one row: id, ref, hyp, codes, counts."""
-    rows = lines(spark, path).select(F.regexp_extract("line", r"pk-(\d+)", 1).try_cast("long").alias("pk"), F.regexp_extract("line", r"^\S+\s+(ref|hyp|op|#csid)\b", 1).alias("kind"), F.regexp_replace("line", r"^\S+\s+\S+\s*", "").alias("body"))
-    wide = rows.filter("pk is not null").groupBy("pk").pivot("kind", ["ref", "hyp", "op", "#csid"]).agg(F.first("body", ignorenulls=True))
-    return wide.select("pk", "ref", "hyp", F.col("op").alias("codes"), F.col("`#csid`").alias("counts"))
+def scores(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Four lines an utterance (ref, hyp, eval, counts) as one row: id, ref, hyp, codes, counts; and lines without id or kind."""
+    rows = lines(spark, path).select("line", F.regexp_extract("line", r"pk-(\d+)", 1).try_cast("long").alias("pk"), F.regexp_extract("line", r"^\S+\s+(ref|hyp|op|#csid)\b", 1).alias("kind"), F.regexp_replace("line", r"^\S+\s+\S+\s*", "").alias("body"))
+    read = F.col("pk").isNotNull() & (F.col("kind") != "")
+    wide = rows.filter(read).groupBy("pk").pivot("kind", ["ref", "hyp", "op", "#csid"]).agg(F.first("body", ignorenulls=True))
+    return wide.select("pk", "ref", "hyp", F.col("op").alias("codes"), F.col("`#csid`").alias("counts")), rows.filter(~read).select("line")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

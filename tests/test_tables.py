@@ -28,7 +28,9 @@ def test_readers(spark, tmp_path):
     assert (ok.count(), background.count(), rejected.count()) == (1, 1, 2) and ok.first().gender == "male"
     rows, bad = readers.spoken_tables(spark, put(tmp_path, "t.tsv", "0.0\tN1\thoi\t1.5\nx\tN1\thoi\t1\n"), sample=1)
     assert rows.first().duration == 1.5 and bad.count() == 1
-    info = readers.audio_info(spark, put(tmp_path, "info.txt", "a\tp.wav,2,16000,16-bit,00:01=32000,1M,256k,PCM\n")).first()
+    info, bad = readers.audio_info(spark, put(tmp_path, "info.txt", "a\tp.wav,2,16000,16-bit,00:01=32000,1M,256k,PCM\nb\tq.wav,x,16000\n"))
+    assert [r.line for r in bad.collect()] == ["b\tq.wav,x,16000"]
+    info = info.first()
     assert (info.channels, info.samples, info.seconds) == (2, 32000, 2.0)
     words, reject = readers.pronunciations(spark, put(tmp_path, "lex.txt", "dag\td a g\nlone\n"))
     assert words.first().pron == "d a g" and reject.count() == 1
@@ -38,7 +40,9 @@ def test_readers(spark, tmp_path):
     assert {r.number: r.word for r in numbers.collect()} == {1: "ien", 2: "twa"} and {r.line for r in rejected.collect()} == {"x y", "3"}
     said = readers.written_numbers(spark.createDataFrame([(2,), (7,)], "n int"), "n", numbers).collect()
     assert {r.n: r.word for r in said} == {2: "twa", 7: None}
-    score = readers.scores(spark, put(tmp_path, "s.txt", "a_pk-7 ref a b\na_pk-7 hyp a c\na_pk-7 op C S\na_pk-7 #csid 1 1 0 0\n")).first()
+    score, bad = readers.scores(spark, put(tmp_path, "s.txt", "a_pk-7 ref a b\na_pk-7 hyp a c\na_pk-7 op C S\na_pk-7 #csid 1 1 0 0\nno id here\n"))
+    assert [r.line for r in bad.collect()] == ["no id here"]
+    score = score.first()
     assert (score.pk, score.ref, score.hyp, score.codes, score.counts) == (7, "a b", "a c", "C S", "1 1 0 0")
     assert {r.word: r.idx for r in readers.word_list(spark, put(tmp_path, "v.txt", "b x\na\nb\n\nc\n")).collect()} == {"b": 0, "a": 1, "c": 2}
     found = readers.manifest(spark, put(tmp_path, "m.json", '{"data": [{"sentence": "hoi", "audiofilename": "a.wav", "sampling_rate": 16000, "start_time": 0.0, "end_time": 1.5}]}'))
@@ -199,3 +203,52 @@ def test_streams(spark, tmp_path):
     q = scans.insert_stream(stream, f"file://{tmp_path}/out", ["g"], f"file://{tmp_path}/c2")
     q.awaitTermination(120)
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 2
+
+
+def test_files_lexicons_and_recordings(spark, tmp_path):
+    import io
+    import wave
+    import zipfile
+
+    import numpy as np
+
+    folder = tmp_path / "in"
+    (folder / "a/b").mkdir(parents=True)
+    (folder / "a/b/x.txt").write_text("tekst")
+    (folder / "y.pdf").write_bytes(b"%PDF")
+    with zipfile.ZipFile(folder / "a/z.docx", "w") as z:
+        z.writestr("word/document.xml", "<w:document><w:p><w:r><w:t>Goeie &amp; </w:t></w:r><w:r><w:t xml:space='preserve'>dei</w:t></w:r></w:p><w:p w:x='1'><w:r><w:t>twa</w:t></w:r></w:p></w:document>")
+    (folder / "bad.docx").write_bytes(b"no zip")
+    found = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in readers.documents(spark, str(folder)).collect()}
+    assert found == {"x.txt": ("tekst", False), "y.pdf": (None, True), "z.docx": ("Goeie & dei\ntwa", False), "bad.docx": (None, True)}
+    assert {(r.name, r.kind) for r in readers.listed(spark, str(folder)).collect()} == {("x.txt", "txt"), ("y.pdf", "pdf"), ("z.docx", "docx"), ("bad.docx", "docx")}
+    assert {r.folder.removeprefix(str(folder)) for r in readers.folders(spark, str(folder)).collect()} == {"/a", "/a/b"}
+
+    lexicons = tmp_path / "lex"
+    lexicons.mkdir()
+    (lexicons / "council").write_text("dei-fr d-fr a-nl i-fr\ndag-nl d-nl a-nl x-nl\n<spn> spn\n")
+    (lexicons / "twente").write_text("dag d a x\n")
+    (lexicons / "overlap_wordlist").write_text("de\nen\nde\n")
+    assert {tuple(r) for r in readers.named_lexicon(spark, str(lexicons), "council").collect()} == {("dei", "d a i", "Frisian"), ("dag", "d a x", "Dutch"), ("<spn>", "spn", None)}
+    assert [tuple(r) for r in readers.named_lexicon(spark, str(lexicons), "twente").collect()] == [("dag", "d a x", "Dutch")]
+    assert {r.word for r in readers.overlap_words(spark, str(lexicons)).collect()} == {"de", "en"}
+
+    sounds = tmp_path / "wav"
+    sounds.mkdir()
+    t = np.arange(8000) / 8000
+    left, right = np.sin(2 * np.pi * 200 * t), np.zeros(8000)
+    data = io.BytesIO()
+    with wave.open(data, "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes((np.c_[left, right] * 32000).astype("<i2").tobytes())
+    (sounds / "a.wav").write_bytes(data.getvalue())
+    (sounds / "b.wav").write_bytes(b"RIFF")
+    good, bad = readers.recordings(spark, str(sounds))
+    assert bad.count() == 1
+    row = good.select("rate", "samples", readers.resampled(F.col("samples"), F.col("rate"), 16000).alias("up"), readers.resampled(F.col("samples"), F.col("rate"), 4000).alias("down")).first()
+    assert row.rate == 8000 and np.allclose(row.samples, left * 32000 / 32768 / 2, atol=1e-4)
+    for name, rate in (("up", 16000), ("down", 4000)):
+        wanted = np.sin(2 * np.pi * 200 * np.arange(rate) / rate) * 32000 / 32768 / 2
+        assert np.abs(np.array(getattr(row, name)) - wanted)[100:-100].max() < 5e-3
