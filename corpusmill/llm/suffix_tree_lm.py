@@ -42,9 +42,9 @@ DISCOUNT = 0.75
 #: Words of the longest context that is tried.
 DEPTH = 3
 #: Tokens of a chunk.
-CHUNK_WORDS = 700_000
+CHUNK_WORDS = 500_000
 #: Bytes of text for each bucket of contexts.
-BUCKET_BYTES = 20_000_000
+BUCKET_BYTES = 8_000_000
 #: Occurrences of a context for each part that it is dealt to.
 SPLIT = 1_000_000
 #: The end of a text as a symbol; no word has it, as hashes of words are shifted by one bit.
