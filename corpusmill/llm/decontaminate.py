@@ -16,7 +16,7 @@ are each reported; an empty benchmark hits nothing; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +28,7 @@ from corpusmill.llm import common
 
 WINDOW = 10
 SHINGLE = 3
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 
 #: Words are runs of digits, letters a-z (A-Z lowered) and bytes from 0x80.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -39,23 +39,59 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The windows of one block of items, as arrays of word numbers."""
+    """The windows of one block of items, as arrays: the items' words by number, one after the other, and where windows begin.
 
-    def __init__(self, items: list[tuple[int | None, bytes | None]], window: int):
+    ``items`` may be read once. Of a window that occurs several times the first place stands for all.
+    """
+
+    def __init__(self, items: Iterable[tuple[int | None, bytes | None]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], set] = defaultdict(set)
+        parts, ids = [], []
         for item_id, text in items:
-            own = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                rows[tuple(own[i : i + size])].add(item_id)
-        self.rows = sorted(rows)
-        self.items = [sorted((i for i in rows[r] if i is not None), key=str) for r in self.rows]
-        self.sizes = np.array([len(r) for r in self.rows], np.int64)
-        #: For each shingle length in use: all shingles' keys in order.
-        self.keys = {k: np.unique(np.concatenate([self.shingles(np.array(r), k) for r in self.rows if min(SHINGLE, len(r)) == k])) for k in {min(SHINGLE, len(r)) for r in self.rows}}
-        self.flat = np.concatenate([np.array(r, np.int32) for r in self.rows]) if self.rows else np.zeros(0, np.int32)
-        self.begins = np.cumsum(self.sizes) - self.sizes
+            own = words(text)
+            if own:
+                parts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in own], np.int32))
+                ids.append(item_id)
+        lengths = np.array([len(x) for x in parts], np.int64)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        ends = np.cumsum(lengths)
+        sizes = np.minimum(lengths, window)
+        number = lengths - sizes + 1
+        item = np.repeat(np.arange(len(lengths)), number)
+        begins = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + (ends - lengths)[item]
+        every = np.full((len(begins), window), -1, np.int32)
+        for j in range(window):
+            inside = j < sizes[item]
+            every[inside, j] = self.flat[begins[inside] + j]
+        # equal windows as one: sorted by their words
+        order = np.lexsort(every.T[::-1])
+        every = every[order]
+        new = np.r_[True, (every[1:] != every[:-1]).any(axis=1)] if len(every) else np.zeros(0, bool)
+        row = np.cumsum(new) - 1
+        self.begins, self.sizes = begins[order][new], sizes[item][order][new]
+        #: Ids as strings, sorted, and for each window the numbers of those that have it.
+        self.names = sorted({str(i) for i in ids if i is not None})
+        place = {n: k for k, n in enumerate(self.names)}
+        name = np.array([-1 if i is None else place[str(i)] for i in ids], np.int64)[item[order]] if len(ids) else row
+        pairs = np.unique(row[name >= 0] * max(1, len(self.names)) + name[name >= 0])
+        self.owner = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.owned = np.searchsorted(pairs, np.arange(len(self.begins) + 1) * max(1, len(self.names)))
+        #: For each shingle length in use: all shingles' keys in order, and the number of the one at each place.
+        self.short = np.minimum(self.sizes, SHINGLE)
+        self.keys, self.at = {}, {}
+        for k in np.unique(self.short).tolist():
+            key = self.shingles(self.flat, k)
+            inside = np.zeros(len(key), bool)
+            for j in range(int(self.sizes.max()) - k + 1):
+                own = (self.short == k) & (j + k <= self.sizes)
+                inside[self.begins[own] + j] = True
+            self.keys[k] = np.unique(key[inside])
+            self.at[k] = np.searchsorted(self.keys[k], key).astype(np.int32)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """The ids, sorted, that have any of some windows."""
+        found = {int(n) for w in np.unique(windows).tolist() for n in self.owner[self.owned[w] : self.owned[w + 1]]}
+        return [self.names[n] for n in sorted(found)]
 
     @staticmethod
     def shingles(ids: np.ndarray, k: int) -> np.ndarray:
@@ -85,15 +121,17 @@ class Windows:
         """Choose each window's rarest shingle as its prefix, and index the windows by it."""
         self.index = {}
         for k, keys in self.keys.items():
-            entries = []
-            for w, r in enumerate(self.rows):
-                if min(SHINGLE, len(r)) == k:
-                    number = np.searchsorted(keys, self.shingles(np.array(r), k))
-                    offset = min(range(len(number)), key=lambda i: (counts[k][number[i]], number[i], i))
-                    entries.append((number[offset], w, offset))
-            entries.sort()
-            token, window, offset = (np.array(x, np.int64) for x in zip(*entries, strict=True))
-            self.index[k] = (np.searchsorted(token, np.arange(len(keys) + 1)), window, offset)
+            window = np.flatnonzero(self.short == k)
+            best = np.full(len(window), np.iinfo(np.int64).max)
+            token, offset = np.zeros(len(window), np.int64), np.zeros(len(window), np.int64)
+            for j in range(int(self.sizes[window].max()) - k + 1):
+                inside = np.flatnonzero(j + k <= self.sizes[window])
+                number = self.at[k][self.begins[window[inside]] + j]
+                better = counts[k][number] < best[inside]
+                inside, number = inside[better], number[better]
+                best[inside], token[inside], offset[inside] = counts[k][number], number, j
+            o = np.argsort(token, kind="stable")
+            self.index[k] = (np.searchsorted(token[o], np.arange(len(keys) + 1)), window[o], offset[o])
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, window) of every occurrence."""
@@ -163,7 +201,7 @@ def _joined(shared):
                 own = words(text)
                 start, window = block.hits(block.numbered(own))
                 spans = _united(list(zip(start.tolist(), (start + block.sizes[window]).tolist(), strict=True)))
-                rows.append((len(own), spans, sorted({str(i) for w in np.unique(window).tolist() for i in block.items[w]})))
+                rows.append((len(own), spans, block.items_of(window)))
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], _HITS_SCHEMA.types[k + 1]) for k in range(3)), marks], schema=_MARKED_SCHEMA)
 
     return run
@@ -175,7 +213,7 @@ def _blocks(benchmark: DataFrame, window: int):
     n = int(total // BLOCK_BYTES) + 1
     for b in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield Windows([(r["item_id"], None if r["text"] is None else r["text"].encode()) for r in part.toLocalIterator()], window)
+        yield Windows(((r["item_id"], None if r["text"] is None else r["text"].encode()) for r in part.toLocalIterator()), window)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -188,7 +226,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         shared = spark.sparkContext.broadcast(block)
         counts = {k: np.zeros(len(v), np.int64) for k, v in block.keys.items()}
         # as many rows at most as the block has shingles, which its size bounds
-        for r in known.select("text").mapInArrow(_counted(shared), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n")).toLocalIterator() if block.rows else ():
+        for r in known.select("text").mapInArrow(_counted(shared), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n")).toLocalIterator() if len(block.begins) else ():
             counts[r["k"]][r["shingle"]] = r["n"]
         block.rank(counts)
         found.append(marked.mapInArrow(_joined(spark.sparkContext.broadcast(block)), _MARKED))
