@@ -67,7 +67,7 @@ def triplets(df: DataFrame, key: str, speaker: str, n: int, seed: str = "0") ->
     over all rows, or of the rows after that the first of another speaker among 16; where one speaker holds all of these, it
     is the first row of all that is another speaker's. So an anchor is lost only if there is no other speaker.
     """
-    ranked = global_rank(df.select(key, speaker).withColumn("_k", order_key(key, seed)), ["_k", key], "_i").drop("_k").persist()
+    ranked = global_rank(df.select(key, speaker).withColumn("_k", order_key(key, seed)), ["_k", key], "_i").drop("_k")
     own = Window.partitionBy(speaker).orderBy("_i")
     anchors = ranked.withColumn("positive", F.lead(key).over(own)).filter("positive is not null").orderBy("_i").limit(n)
     total = ranked.count()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpusmill.sources.scratch import checkpointed
+
 
 def global_rank(df: DataFrame, order: list[str], name: str = "rank", start: int = 0) -> DataFrame:
     """Rows numbered from ``start`` in the order given; ties are broken by the whole row's hash.
@@ -25,7 +27,7 @@ def global_rank(df: DataFrame, order: list[str], name: str = "rank", start: int
     """
     keys = [F.col(c) for c in order] + [F.xxhash64(*df.columns)]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_place", 33))
-    placed = placed.persist()  # partition bounds are drawn by sampling: count and number one and the same layout
+    placed = checkpointed(placed)  # partition bounds are drawn by sampling: count and number one and the same layout
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.join(F.broadcast(counts), "_part").withColumn(name, F.col("_place") - F.col("_first") + F.col("_before") + start).drop("_place", "_part", "_first", "_before")

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.operators.relational import small_side
 
 
 def missing_rows(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key is not stored; of rows with one key among the new, one. Null keys are equal."""
-    a, b = new.dropDuplicates(key).alias("a"), stored.select(*key).distinct().alias("b")
-    met = F.lit(True)
-    for k in key:
-        met &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return a.join(b, met, "left_anti")
+    """Rows of ``new`` whose key is not stored; of rows with one key among the new, one. Null keys are equal.
+
+    Of what is stored only the keys that come again are of interest: where the new ones are few they are sent to it, and
+    what is stored is read but not shuffled.
+    """
+    a = new.dropDuplicates(key).alias("a")
+    keys = small_side(a.select(*key)).alias("k")
+    same = lambda x, y: reduce(and_, [F.col(f"{x}.{k}").eqNullSafe(F.col(f"{y}.{k}")) for k in key])
+    b = stored.select(*key).alias("b").join(keys, same("b", "k"), "left_semi").distinct().alias("b")
+    return a.join(b, same("a", "b"), "left_anti")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
