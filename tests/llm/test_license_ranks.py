@@ -39,3 +39,11 @@ def test_a_license_across_the_cut_of_a_long_block():
     lines = ["a license line"] * (license_scan.BLOCK_LINES - 8) + [" ".join(["licensed", *mit[i : i + 10]]) for i in range(0, len(mit), 10)] + ["a license line"] * 90
     found = [r for r in license_scan.Scanner(license_scan.TEMPLATES).scan("\n".join(lines)) if r["license"]]
     assert [(r["license"], r["n_missing"]) for r in found] == [("MIT", 0)]
+
+
+def test_licenses_that_differ_in_a_word():
+    t = license_scan.TEMPLATES
+    scanner = license_scan.Scanner(t)
+    for name in ("GPL-2.0 notice", "GPL-3.0 notice", "LGPL-2.1 notice", "AGPL-3.0 notice", "BSD-2-Clause", "BSD-3-Clause"):
+        found = [r for r in scanner.scan(f"some text\n{t[name]}\nmore text") if r["license"]]
+        assert [(r["license"], r["n_missing"], r["n_other"]) for r in found] == [(name, 0, 0)]
