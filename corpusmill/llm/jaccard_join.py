@@ -25,8 +25,6 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -224,25 +222,24 @@ class _Join:
         members = members.withColumn("open", F.col("component") != F.col("hub_component"))
         # a list with an open member and one component in all is settled
         spread = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("open").alias("any")).filter("any and lo != hi").select("token")
-        # only sizes of neighbouring bands can link
-        band = F.floor(F.log(F.col("size")) / F.lit(math.log(100 / self.percent) + 1e-9)).cast("long")
-        members = common.durable(members.join(spread, "token").withColumn("band", band))
+        members = common.durable(members.join(spread, "token"))
         # sets of different components share open lists alone, so these are all that two documents can share
-        own = members.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("token", "weight"))).alias("keys"))
+        own = members.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("token", "weight"))).alias("lists"))
+        own = own.select("doc_id", F.col("lists.token").alias("tokens"), F.col("lists.weight").cast("array<int>").alias("weights"))
         members = common.durable(members.drop("weight", "hub_component").join(own, "doc_id"))
-        x = members.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
-        y = members.alias("y")
+        x, y = members.alias("x"), members.alias("y")
         # what two sets share is at most what their prefixes share and what is left of the one whose prefix ends first
         beyond = lambda k: F.ceil(F.col(f"{k}.size") * self.percent / 100) - F.col(f"{k}.need")
         overlap = F.ceil((F.col("x.size") + F.col("y.size")) * self.percent / (100 + self.percent))
         need = F.greatest(F.least("x.need", "y.need").cast("long"), overlap - F.greatest(beyond("x"), beyond("y")))
-        both = F.array_intersect("x.keys", "y.keys")
-        shared = F.aggregate(both, F.lit(0).cast("long"), lambda a, k: a + k["weight"])
+        both = F.array_intersect("x.tokens", "y.tokens")
+        weight = F.zip_with("x.weights", F.transform("x.tokens", lambda t: F.array_contains(both, t)), lambda w, there: F.when(there, w).otherwise(0))
+        shared = F.aggregate(weight, F.lit(0).cast("long"), lambda a, w: a + w)
         # a pair comes up once, in the first list that both are in, and only with enough in common
         meets = (
-            (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & F.col("x.open") & (F.col("x.component") != F.col("y.component"))
+            (F.col("x.token") == F.col("y.token")) & F.col("x.open") & (F.col("x.component") != F.col("y.component"))
             & (~F.col("y.open") | (F.col("x.doc_id") < F.col("y.doc_id"))) & self.fits("x.size", "y.size")
-            & (F.try_element_at(both, F.lit(1))["token"] == F.col("x.token")) & (shared >= need)
+            & (F.try_element_at(both, F.lit(1)) == F.col("x.token")) & ((F.size(both) >= need) | (shared >= need))
         )
         return x.join(y, meets).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
