@@ -88,11 +88,11 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH w AS (SELECT doc_id, list_filter(string_split({_NORM}, ' '), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT ws[i] AS word, ws[i + 1] AS next FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w))
-SELECT word, next, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 5""")
+SELECT word, next, count(*) AS n FROM p GROUP BY ALL""")
 def next_word_pairs(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(tx.words(tx.normalise(F.col("text"))), lambda w: w != "")
     pairs = windows.next_word_pairs(_documents(spark, d, "doc_id", "text"), "doc_id", words)
-    return pairs.groupBy("word", "next").agg(F.count("*").alias("n")).filter("n >= 5")
+    return pairs.groupBy("word", "next").agg(F.count("*").alias("n"))
 
 
 # Filters
@@ -614,10 +614,11 @@ def number_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH t AS (SELECT doc_id, lang, string_split(lower(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '') AS t FROM documents),
 c AS (SELECT doc_id, lang, unnest(t) AS ch, generate_subscripts(t, 1) AS i FROM t),
-w AS (SELECT lang, ch || lead(ch, 1) OVER p AS g2, ch || lead(ch, 1) OVER p || lead(ch, 2) OVER p AS g3 FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY i))
-SELECT gram, lang, count(*) AS n FROM (SELECT lang, g2 AS gram FROM w UNION ALL SELECT lang, g3 FROM w) WHERE gram IS NOT NULL GROUP BY ALL""")
+w AS (SELECT lang, ch || lead(ch, 1) OVER p AS g2, ch || lead(ch, 1) OVER p || lead(ch, 2) OVER p AS g3, ch || lead(ch, 1) OVER p || lead(ch, 2) OVER p || lead(ch, 3) OVER p AS g4,
+  ch || lead(ch, 1) OVER p || lead(ch, 2) OVER p || lead(ch, 3) OVER p || lead(ch, 4) OVER p AS g5 FROM c WINDOW p AS (PARTITION BY doc_id ORDER BY i))
+SELECT gram, lang, count(*) AS n FROM (SELECT lang, unnest([g2, g3, g4, g5]) AS gram FROM w) WHERE gram IS NOT NULL GROUP BY ALL""")
 def nb_ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    return langid.gram_counts(_documents(spark, d, "lang", "text"), F.col("text"), "lang", 2, 3)
+    return langid.gram_counts(_documents(spark, d, "lang", "text"), F.col("text"), "lang")
 
 
 @query(rf"""WITH t AS (SELECT doc_id, lang, {_FRACTION.format(seed=9)} < 0.33 AS held, string_split(lower(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '') AS t FROM documents),
