@@ -150,15 +150,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(table: DataFrame) -> bool:
+def small(table: DataFrame, most: int = BROADCAST_BYTES) -> bool:
     """Whether a table that ``durable`` wrote may be broadcast, by the bytes of its files."""
     where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.scratch)
-    return where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(where).getLength() <= BROADCAST_BYTES
+    return where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(where).getLength() <= most
 
 
-def maybe_broadcast(table: DataFrame) -> DataFrame:
+def maybe_broadcast(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """A table that ``durable`` wrote, with a broadcast hint only if it is small; a shuffle join is the other way."""
-    return F.broadcast(table) if small(table) else table
+    return F.broadcast(table) if small(table, most) else table
 
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:

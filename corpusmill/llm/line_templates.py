@@ -29,6 +29,8 @@ LEAD = 3
 MIN_TEXTS = 10
 ALIKE = 7
 ROUNDS = 2
+#: Bound, in bytes of compressed Parquet, under which the places of lines to drop are broadcast; they grow with the documents.
+CUT_BYTES = 500_000
 
 
 def _general(token: Column) -> Column:
@@ -79,7 +81,7 @@ def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = AL
 def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped besides (columns so named give way)."""
     dropped = recurring_lines(docs, min_texts, alike, rounds)
-    gone = common.maybe_broadcast(common.durable(dropped.groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_set("line_no").alias("cut_lines"))))
+    gone = common.maybe_broadcast(common.durable(dropped.groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_set("line_no").alias("cut_lines"))), CUT_BYTES)
     # by text as well as id: rows that share an id and differ in text are told apart
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # one column: no name can clash
     meets = F.col("row.doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(F.col("row.text")) == F.col("cut_mark"))
