@@ -82,12 +82,14 @@ def assign_partition(texts: DataFrame, lines: dict[str, DataFrame], key: list[st
     """``partition`` of each text: that of the first line with its key, looked for in the parts as given, each line used once.
 
     The n-th text of a key, by ``order``, meets the n-th of its lines, by part and ``line_order``: what one pass over the
-    texts that takes matched lines out would give, as texts of one key are alike. Texts without a line have null.
+    texts that takes matched lines out would give, as texts of one key are alike. Texts without a line keep the partition
+    that they have, or null.
     """
     parts = relational.by_priority({name: df.select(*key, *line_order) for name, df in lines.items()}, "partition")
     lined = parts.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy("priority", *line_order))).select(*key, "occurrence", "partition")
     numbered = texts.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    return numbered.join(lined, [*key, "occurrence"], "left").drop("occurrence")
+    found = numbered.withColumnRenamed("partition", "_old").join(lined, [*key, "occurrence"], "left").drop("occurrence")
+    return found.withColumn("partition", F.coalesce("partition", "_old")).drop("_old") if "partition" in texts.columns else found
 
 
 def language_by_id(rows: DataFrame, tagged: DataFrame, key: str, language: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from corpusmill.functions import text as tx
 from corpusmill.functions.brackets import tier
@@ -43,9 +44,20 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """filename, line_no (from 1, in the file's order) and line; each file is read whole by one task."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("filename"), F.posexplode(F.split("value", "\r?\n")).alias("i", "line"))
-    return whole.filter("line != ''").select("filename", (F.col("i") + 1).alias("line_no"), "line")
+    """filename, line_no (from 1, in the file's order) and line of each non-empty line, of files of any size.
+
+    A file is read block by block, in as many tasks; a line's number is its place in the block and the lines of the
+    blocks before.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("value").alias("line"), F.monotonically_increasing_id().alias("_place"),
+    )
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    numbered = rows.filter("line != ''").join(blocks, ["_file", "_block"])
+    return numbered.select("filename", (F.col("_place") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line")
 
 
 def _fields(df: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -44,6 +44,8 @@ def test_partition_assignment_is_one_pass_with_removal(spark):
     made = {n: spark.createDataFrame([(j, k) for j, k in enumerate(v)], "line int, k string") for n, v in lines.items()}
     found = transcripts.assign_partition(spark.createDataFrame(texts, "i int, k string"), made, ["k"], ["i"], ["line"])
     assert {r.i: r.partition for r in found.collect()} == expected
+    again = transcripts.assign_partition(found.withColumn("partition", F.lit("old")), {"test": made["test"]}, ["k"], ["i"], ["line"])
+    assert Counter(r.partition for r in again.collect()) == {"old": 18, "test": 2}
 
 
 def test_subtitles_and_reports(spark):
@@ -224,3 +226,19 @@ def test_wiki_pipeline_on_pages_against_plain_text(spark):
 
     found = pages.withColumn("clean", tx.clean_wiki(F.col("html"))).collect()
     assert len(found) > 20 and all(r.clean == plain(r.html) for r in found)
+
+
+def test_numbered_lines_of_large_files(spark, tmp_path):
+    """Files that are read in several blocks, with empty lines and both line ends."""
+    from corpusmill.sources import readers
+
+    texts = {"a.txt": [f"line {i} " + "x" * (i % 90) if i % 7 else "" for i in range(3000)], "b.txt": ["", "one", "", "two"]}
+    for name, own in texts.items():
+        (tmp_path / name).write_bytes(("\r\n" if name == "b.txt" else "\n").join(own).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        found = readers.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.filename, r.line_no, r.line) for r in found) == sorted((n, i + 1, x) for n, own in texts.items() for i, x in enumerate(own) if x)
