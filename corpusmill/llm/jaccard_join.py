@@ -28,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,6 +138,14 @@ def _verified(n: int, percent: int):
     return run
 
 
+def _squeezed(it):
+    """Texts compressed for a shuffle, with the sides of pairs that they are on."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sides", pa.int32()), ("packed", pa.binary())])
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for ids, sides, texts in common.column_batches(it, "doc_id", "sides", "text"):
+        yield pa.RecordBatch.from_arrays([ids, sides, pa.array([pack(t) for t in common.raw(texts)], pa.binary())], schema=schema)
+
+
 class _Join:
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.docs, self.n, self.percent, self.spark = docs, n, percent, docs.sparkSession
@@ -147,10 +156,11 @@ class _Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their texts; rows of one id are tried one by one."""
         pairs = common.durable(pairs.select("a", "b"))
-        ids = common.durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        texts = self.docs.filter(F.col("text").isNotNull()).join(common.maybe_broadcast(ids), "doc_id").mapInArrow(common.squeezed, "doc_id long, packed binary")
+        sides = pairs.select(F.col("a").alias("doc_id"), F.lit(1).alias("side")).unionAll(pairs.select("b", F.lit(2)))
+        ids = common.durable(sides.groupBy("doc_id").agg(F.bit_or("side").alias("sides")))
+        texts = self.docs.filter(F.col("text").isNotNull()).join(common.maybe_broadcast(ids), "doc_id").mapInArrow(_squeezed, "doc_id long, sides int, packed binary")
         texts = common.durable(texts)
-        left, right = (texts.select(F.col("doc_id").alias(k), F.col("packed").alias(v)) for k, v in (("a", "left"), ("b", "right")))
+        left, right = (texts.filter(F.col("sides").bitwiseAND(F.lit(k)) > 0).select(F.col("doc_id").alias(n), F.col("packed").alias(v)) for k, n, v in ((1, "a", "left"), (2, "b", "right")))
         # b, mostly in one pair, brings its text to a, the hub, whose text moves once for each part of its pairs
         met = common.salted_join(pairs.join(right, "b"), left, ["a"], "b", pairs)
         found = common.durable(met.select("a", "b", "left", "right").mapInArrow(_verified(self.n, self.percent), "a long, b long, linked boolean").filter("linked").select("a", "b").distinct())
@@ -164,14 +174,18 @@ class _Join:
         key, count = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
         order = np.argsort(key)
         shared = self.spark.sparkContext.broadcast((key[order], count[order]))
+        common.release(counted)
         own = common.durable(self.docs.mapInArrow(_prefixes(shared, self.n, self.percent), "doc_id long, size int, need int, digest binary, prefix array<long>"))
         copies = own.filter("digest is not null and doc_id is not null")
         classes = copies.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
         edges = common.durable(common.salted_join(copies.select("digest", F.col("doc_id").alias("a")), classes, ["digest"], "a").filter("a != b").select("a", "b").distinct())
 
-        entries = own.filter("prefix is not null").select(F.explode("prefix").alias("token"), "doc_id", "size", "need")
-        several = entries.groupBy("token").count().filter("count > 1").select("token")
-        entries = common.durable(entries.join(several, "token"))
+        rows = own.filter("prefix is not null").select(F.explode("prefix").alias("token"), "doc_id", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("need").cast("long")).alias("both"))
+        several = rows.groupBy("token").count().filter("count > 1").select("token")
+        entries = rows.join(several, "token").select("token", "doc_id", F.shiftright("both", 32).cast("int").alias("size"), F.col("both").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("need"))
+        entries = common.durable(entries)
+        wide, own = own, common.durable(own.select("doc_id", "size"))
+        common.release(wide)
         # lists that are equal become one: equal in number, smallest member and two sums of hashes
         sums = [F.sum(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 31))).alias(f"s{k}") for k in (1, 2)]
         lists = entries.groupBy("token").agg(F.min(F.struct("doc_id", "size", "need")).alias("hub"), F.count("*").alias("n"), *sums)
@@ -179,10 +193,10 @@ class _Join:
         lists = entries.join(lists.select("token", "hub", "weight"), "token")
         lists = common.durable(lists.select("token", "weight", "doc_id", "size", "need", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.need").alias("hub_need")))
 
+        common.release(entries)
         stars = lists.filter("doc_id != hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "size", "hub_size", "need", "hub_need").agg(F.sum("weight").alias("shared"))
         stars = common.durable(stars.filter(self.fits("size", "hub_size") & (F.col("shared") >= F.least("need", "hub_need"))).groupBy("a", "b").agg(F.max("shared").alias("shared")))
         nearest = common.durable(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
-        common.release(counted, entries)
         group = components(edges.unionByName(self.links(nearest)))
         apart = common.durable(self.apart(stars.select("a", "b"), group).join(nearest, ["a", "b"], "left_anti"))
         group = self.grown(group, apart)
