@@ -70,13 +70,15 @@ def cues(templates: dict[str, str]) -> str:
         for w, n in own.items():
             have += n if known.search(w) or w in added else 0
         # more cues than words that may be missing
-        for w in sorted(own, key=lambda w: (used[w], -len(w), w)):
+        for w in sorted(own, key=lambda w: (len(w) < 3, used[w], -len(w), w)):
             if 100 * have > ALLOWED * len(words[name]):
                 break
             if not known.search(w) and w not in added:
                 added.append(w)
                 have += own[w]
-    return "|".join([CUES, *(rf"\b{re.escape(w)}\b" for w in added)])
+    # by first letter, so that a place in a text is tried once and not once a word
+    letters = [f"{re.escape(c)}(?:{'|'.join(re.escape(w[1:]) for w in sorted(added) if w[0] == c)})" for c in sorted({w[0] for w in added})]
+    return rf"{CUES}|\b(?:{'|'.join(letters)})\b" if letters else CUES
 
 
 _SCHEMA = pa.schema([
@@ -146,7 +148,8 @@ class Scanner:
 
     def possible(self, words: Counter) -> set[str]:
         """Templates of whose words enough are there, in whatever order; no other can be confirmed."""
-        return {n for n in self.names if 100 * sum((self.counts[n] - words).values()) <= ALLOWED * len(self.words[n])}
+        there = words.get
+        return {n for n in self.names if 100 * sum(max(0, k - there(w, 0)) for w, k in self.counts[n].items()) <= ALLOWED * len(self.words[n])}
 
     def confirmed(self, text: str, begin: int, end: int) -> list[dict]:
         """Licenses in the block ``text[begin:end]``, with the characters that each spans."""
