@@ -10,7 +10,7 @@ from corpusmill.plans import catalog
 
 
 def test_language_id_takes_two_to_five(spark, tmp_path):
-    """nb_predict scores with n-grams of 2 to 5 characters."""
+    """nb_predict scores with n-grams of 2 to 5 characters; it gives two places."""
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("abcab " if i % 2 else "bcdcd ") for _ in range(30)), "x" if i % 2 else "y") for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -18,4 +18,4 @@ def test_language_id_takes_two_to_five(spark, tmp_path):
     split = splits.hash_split(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id")
     model = langid.train(split.filter("split = 'train'"), F.col("text"), "lang")
     best = langid.predict(split.filter("split = 'test'"), "doc_id", F.col("text"), model, "lang").collect()
-    assert got and {r.doc_id: (r.lang, pytest.approx(r.score, abs=1e-5)) for r in best} == got
+    assert got and {r.doc_id: (r.lang, pytest.approx(r.score, abs=0.006)) for r in best} == got
