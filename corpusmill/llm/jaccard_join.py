@@ -100,7 +100,7 @@ def prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int)
 
 
 def _prefixes(shared, n: int, percent: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("need", pa.int32()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("need", pa.int32()), ("digest", pa.binary()), ("rare", pa.list_(pa.int64())), ("frequent", pa.list_(pa.int64()))])
     least = next(s for s in range(1, 1000) if needed(s + 1, percent) <= s)  # smaller sets link with equal ones alone
 
     def run(it):
@@ -111,16 +111,36 @@ def _prefixes(shared, n: int, percent: int):
             for doc_id, text in zip(ids.to_pylist(), common.raw(texts), strict=True):
                 own = shingles(text, n)
                 digest = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
-                part, need = None, 0
+                rare, frequent, need = None, None, 0
                 if len(own) >= least and doc_id is not None and digest not in seen:
                     seen.add(digest)  # a copy in the same task needs no prefix: its class is linked as a whole
                     part, need = prefix(own, known, counts, percent)
-                rows.append((doc_id, len(own), need, digest, None if part is None else common.signed(part)))
+                    inside = known[np.minimum(np.searchsorted(known, part), len(known) - 1)] == part if len(known) else np.zeros(len(part), bool)
+                    rare, frequent = common.signed(part[~inside]), common.signed(part[inside])
+                rows.append((doc_id, len(own), need, digest, rare, frequent))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
     return run
 
 
+def _repeated(it):
+    """Of rows in order of their token, those whose token another row has, too."""
+    held, known = None, False  # the last row so far, and whether the one before has its token
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        token = rows["token"].to_numpy()
+        same = token[1:] == token[:-1]
+        before = np.r_[known, same]
+        found = before | np.r_[same, False]
+        found[-1] = False  # its successor is in the next batch
+        yield from rows.filter(pa.array(found)).to_batches()
+        held, known = rows.slice(len(token) - 1), bool(before[-1])
+    if held is not None and known:
+        yield from held.to_batches()
+
+
 def _verified(n: int, percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
 
@@ -175,20 +195,22 @@ class _Join:
         order = np.argsort(key)
         shared = self.spark.sparkContext.broadcast((key[order], count[order]))
         common.release(counted)
-        own = common.durable(self.docs.mapInArrow(_prefixes(shared, self.n, self.percent), "doc_id long, size int, need int, digest binary, prefix array<long>"))
+        own = common.durable(self.docs.mapInArrow(_prefixes(shared, self.n, self.percent), "doc_id long, size int, need int, digest binary, rare array<long>, frequent array<long>"))
         copies = own.filter("digest is not null and doc_id is not null")
         classes = copies.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
         edges = common.durable(common.salted_join(copies.select("digest", F.col("doc_id").alias("a")), classes, ["digest"], "a").filter("a != b").select("a", "b").distinct())
 
-        rows = own.filter("prefix is not null").select(F.explode("prefix").alias("token"), "doc_id", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("need").cast("long")).alias("both"))
-        several = rows.groupBy("token").count().filter("count > 1").select("token")
-        entries = rows.join(several, "token").select("token", "doc_id", F.shiftright("both", 32).cast("int").alias("size"), F.col("both").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("need"))
+        both = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("need").cast("long")).alias("both")
+        rows = {k: own.filter(f"size({k}) > 0").select(F.explode(k).alias("token"), "doc_id", both) for k in ("rare", "frequent")}
+        # shingles of the table are in several documents; of the others, in few documents at most, those that are in one go
+        several = rows["rare"].repartition("token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, doc_id long, both long")
+        entries = several.unionByName(rows["frequent"]).select("token", "doc_id", F.shiftright("both", 32).cast("int").alias("size"), F.col("both").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("need"))
         entries = common.durable(entries)
         wide, own = own, common.durable(own.select("doc_id", "size"))
         common.release(wide)
         # lists that are equal become one: equal in number, smallest member and two sums of hashes
         sums = [F.sum(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 31))).alias(f"s{k}") for k in (1, 2)]
-        lists = entries.groupBy("token").agg(F.min(F.struct("doc_id", "size", "need")).alias("hub"), F.count("*").alias("n"), *sums)
+        lists = entries.groupBy("token").agg(F.min(F.struct("doc_id", "size", "need")).alias("hub"), F.count("*").alias("n"), *sums).filter("n > 1")
         lists = lists.groupBy("hub", "n", "s1", "s2").agg(F.min("token").alias("token"), F.count("*").alias("weight"))
         lists = entries.join(lists.select("token", "hub", "weight"), "token")
         lists = common.durable(lists.select("token", "weight", "doc_id", "size", "need", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.need").alias("hub_need")))
