@@ -173,6 +173,15 @@ class _Join:
     def fits(self, x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
 
+    def needed(self, x: tuple[str, str], y: tuple[str, str]) -> Column:
+        """How many shingles the prefixes of two sets (size, need) that link share at least.
+
+        What the sets share is at most what their prefixes share and what is left of the one whose prefix ends first.
+        """
+        beyond = lambda size, need: F.ceil(F.col(size) * self.percent / 100) - F.col(need)
+        overlap = F.ceil((F.col(x[0]) + F.col(y[0])) * self.percent / (100 + self.percent))
+        return F.greatest(F.least(x[1], y[1]).cast("long"), overlap - F.greatest(beyond(*x), beyond(*y)))
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their texts; rows of one id are tried one by one."""
         pairs = common.durable(pairs.select("a", "b"))
@@ -217,7 +226,8 @@ class _Join:
 
         common.release(entries)
         stars = lists.filter("doc_id != hub").groupBy(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "size", "hub_size", "need", "hub_need").agg(F.sum("weight").alias("shared"))
-        stars = common.durable(stars.filter(self.fits("size", "hub_size") & (F.col("shared") >= F.least("need", "hub_need"))).groupBy("a", "b").agg(F.max("shared").alias("shared")))
+        # counted in the hub's own lists alone; pairs that share more in others come up among the rest
+        stars = common.durable(stars.filter(self.fits("size", "hub_size") & (F.col("shared") >= self.needed(("size", "need"), ("hub_size", "hub_need")))).groupBy("a", "b").agg(F.max("shared").alias("shared")))
         nearest = common.durable(stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
         group = components(edges.unionByName(self.links(nearest)))
         apart = common.durable(self.apart(stars.select("a", "b"), group).join(nearest, ["a", "b"], "left_anti"))
@@ -264,10 +274,7 @@ class _Join:
         own = own.select("doc_id", F.col("lists.token").alias("tokens"), F.col("lists.weight").cast("array<int>").alias("weights"))
         members = common.durable(members.drop("weight", "hub_component").join(own, "doc_id"))
         x, y = members.alias("x"), members.alias("y")
-        # what two sets share is at most what their prefixes share and what is left of the one whose prefix ends first
-        beyond = lambda k: F.ceil(F.col(f"{k}.size") * self.percent / 100) - F.col(f"{k}.need")
-        overlap = F.ceil((F.col("x.size") + F.col("y.size")) * self.percent / (100 + self.percent))
-        need = F.greatest(F.least("x.need", "y.need").cast("long"), overlap - F.greatest(beyond("x"), beyond("y")))
+        need = self.needed(("x.size", "x.need"), ("y.size", "y.need"))
         both = F.array_intersect("x.tokens", "y.tokens")
         weight = F.zip_with("x.weights", F.transform("x.tokens", lambda t: F.array_contains(both, t)), lambda w, there: F.when(there, w).otherwise(0))
         shared = F.aggregate(weight, F.lit(0).cast("long"), lambda a, w: a + w)
