@@ -32,7 +32,7 @@ from corpusmill.llm import common
 
 WINDOW = 20
 #: Words that a map task gathers before it sorts and sends them on.
-CHUNK_WORDS = 750_000
+CHUNK_WORDS = 400_000
 #: Bytes of text for a bucket of an index that is made for one table.
 BUCKET_BYTES = 4_000_000
 #: Files of a run, at most; an index may have more buckets, which then share files.
@@ -114,6 +114,7 @@ class _Chunk:
         ids = np.array(self.ids, np.int64)[order]
         sizes = np.array([len(self.hashes[i]) for i in order])
         h = np.concatenate([self.hashes[i] for i in order])
+        self.hashes = []
         begins = np.cumsum(sizes) - sizes
         f, least = common.rolling(h, w), _least(common.rolling(h, part), w - part + 1)
         owner = np.repeat(np.arange(len(ids)), sizes)
