@@ -18,6 +18,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Odd multiplier of the rolling window hash.
 BASE = 0x9E3779B97F4A7C15 | 2
@@ -139,6 +140,22 @@ def salted_join(many: DataFrame, few: DataFrame, on: list[str], spread: str, cou
     return many.join(few, [*on, "part_"]).drop("part_")
 
 
+def numbered(df: DataFrame, tree: str, order: list[str]) -> DataFrame:
+    """``df`` with n, the rows of its ``tree``, and index, the row's number (from 0) in the tree by ``order``.
+
+    A tree's rows are counted by range partition and numbered within them, so that a tree may hold any share of the rows. A
+    null is a tree.
+    """
+    placed = df.repartitionByRange(partitions(df.sparkSession), tree, *order).sortWithinPartitions(tree, *order)
+    placed = durable(placed.withColumn("place_", F.monotonically_increasing_id()).withColumn("part_", F.shiftright("place_", 33)))
+    # one row a partition and tree in it: as many as there are partitions and trees together
+    begins = placed.groupBy(F.col(tree).alias("tree_"), F.col("part_").alias("its_part_")).agg(F.min("place_").alias("first_"), F.count("*").alias("rows_"))
+    ahead = Window.partitionBy("tree_").orderBy("its_part_").rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.withColumn("ahead_", F.coalesce(F.sum("rows_").over(ahead), F.lit(0))).withColumn("n", F.sum("rows_").over(Window.partitionBy("tree_"))).drop("rows_")
+    found = placed.join(maybe_broadcast(durable(begins)), (F.col("part_") == F.col("its_part_")) & F.col(tree).eqNullSafe(F.col("tree_")))
+    return found.withColumn("index", F.col("place_") - F.col("first_") + F.col("ahead_")).drop("place_", "part_", "its_part_", "tree_", "first_", "ahead_")
+
+
 def _forget(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)

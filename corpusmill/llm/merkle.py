@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusmill.llm import common
 
@@ -177,26 +176,9 @@ def _checked(fanout: int, block: int):
     return run
 
 
-def numbered(df: DataFrame, tree: str, order: list[str], block: int) -> DataFrame:
-    """``df`` with n, the rows of its ``tree``, and block and at, the row's number in the tree by ``order``.
-
-    A tree's rows are counted by range partition and numbered within them, so that a tree may hold any share of the rows.
-    """
-    placed = df.repartitionByRange(common.partitions(df.sparkSession), tree, *order).sortWithinPartitions(tree, *order)
-    placed = common.durable(placed.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33)))
-    ahead = Window.partitionBy(tree).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a partition and tree in it: as many as there are partitions and trees together
-    begins = placed.groupBy(F.col(tree).alias("its_tree"), F.col("part").alias("its_part")).agg(F.min("place").alias("first"), F.count("*").alias("rows"))
-    begins = begins.withColumnsRenamed({"its_tree": tree, "its_part": "part"}).withColumn("ahead", F.coalesce(F.sum("rows").over(ahead), F.lit(0)))
-    begins = begins.withColumn("n", F.sum("rows").over(Window.partitionBy(tree))).withColumnsRenamed({tree: "its_tree", "part": "its_part"}).drop("rows")
-    begins = common.durable(begins)
-    found = placed.join(common.maybe_broadcast(begins), (F.col("part") == F.col("its_part")) & F.col(tree).eqNullSafe(F.col("its_tree")))
-    index = F.col("place") - F.col("first") + F.col("ahead")
-    return _blocked(found, index, block).drop("place", "part", "its_part", "its_tree", "first", "ahead")
-
-
-def _blocked(df: DataFrame, index: Column, block: int) -> DataFrame:
-    return df.withColumn("block", F.floor(index / block).cast("long")).withColumn("at", (index % block).cast("int"))
+def _blocked(nodes: DataFrame, block: int) -> DataFrame:
+    """Nodes numbered by ``index`` with their block and their number ``at`` in it."""
+    return nodes.withColumn("block", F.floor(F.col("index") / block).cast("long")).withColumn("at", (F.col("index") % block).cast("int"))
 
 
 class Manifest:
@@ -215,11 +197,10 @@ class Manifest:
         docs = common.plain(docs, "doc_id", "source", "lang", "n_chars", "text")
         now = F.lit(None).cast("string") if altered is None else F.when(altered.isNotNull(), leaf(docs, altered))
         leaves = docs.select(F.col("lang").alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), leaf(docs).alias("digest"), now.alias("altered"))
-        self.leaves = common.durable(numbered(leaves, "tree", ["doc_id", "digest"], self.block))
+        self.leaves = common.durable(_blocked(common.numbered(leaves, "tree", ["doc_id", "digest"]), self.block).drop("index"))
         self.rounds, roots = self._grown(self.leaves)
         self.subroots = roots.select(F.col("tree").alias("lang"), F.col("digest").alias("subroot"))
-        top = numbered(roots.select(F.lit("").alias("tree"), F.col("tree").alias("lang"), "digest"), "tree", ["lang"], self.block)
-        self.top = common.durable(top)
+        self.top = common.durable(_blocked(common.numbered(roots.select(F.lit("").alias("tree"), F.col("tree").alias("lang"), "digest"), "tree", ["lang"]), self.block))
         self.top_rounds, last = self._grown(self.top)
         found = last.select("digest").first()  # one row
         self.root = found["digest"] if found else None
@@ -231,7 +212,7 @@ class Manifest:
             roots = common.durable(rounds[-1].select("tree", "n", "block", "at", "digest").groupBy("tree", "block").applyInArrow(_block_root(self.fanout, self.block), _NODES))
             if (roots.agg(F.max("n")).first()[0] or 1) == 1:
                 return rounds, roots
-            rounds.append(_blocked(roots, F.col("index"), self.block))
+            rounds.append(_blocked(roots, self.block))
 
     def _met(self, nodes: DataFrame, paths: DataFrame, run, schema: str) -> DataFrame:
         return nodes.groupBy("tree", "block").cogroup(paths.groupBy("tree", "block")).applyInArrow(run, schema)
@@ -242,7 +223,7 @@ class Manifest:
         paths = spark.createDataFrame([("", 0, None, [], [])], _PATHS)
         for nodes in reversed(self.top_rounds):
             paths = self._met(nodes.select("tree", "n", "block", "at", "digest"), paths, run, _PATHS)
-        trees = self.top.select("lang", (F.col("block") * self.block + F.col("at")).alias("index"), F.col("digest").alias("root"))
+        trees = self.top.select("lang", "index", F.col("digest").alias("root"))
         paths = common.durable(paths.join(trees, F.col("block") == F.col("index")).select(F.col("lang").alias("tree"), F.lit(0).cast("long").alias("block"), F.col("root").alias("subroot"), "lefts", "runs"))
         for nodes in reversed(self.rounds[1:]):
             paths = common.durable(self._met(nodes.select("tree", "n", "block", "at", "digest"), paths, run, _PATHS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import decontaminate, jaccard_join, license_scan, line_templates, merkle, mixing, quality, substring_dedup, suffix_tree_lm, topk, toxicity
+from corpusmill.llm import conversation_repair, decontaminate, jaccard_join, license_scan, line_templates, merkle, mixing, quality, substring_dedup, suffix_tree_lm, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8,
     "op9_exact_topk": topk.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_conversation_repair": conversation_repair.op11,
     "op12_merkle_manifest": merkle.op12,
 }
 
@@ -65,5 +66,6 @@ SQL = {
     "op5_benchmark_decontamination": OP5_SQL,
     "op7_line_dedup": line_templates.OP7_SQL,
     "op9_exact_topk": topk.OP9_SQL,
+    "op11_conversation_repair": conversation_repair.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
 }
