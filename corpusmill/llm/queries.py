@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import conversation_repair, decontaminate, jaccard_join, license_scan, line_templates, merkle, mixing, quality, substring_dedup, suffix_tree_lm, topk, toxicity
+from corpusmill.llm import conversation_repair, decontaminate, embedding_dedup, jaccard_join, license_scan, line_templates, merkle, mixing, quality, substring_dedup, suffix_tree_lm, topk, toxicity
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
     "op11_conversation_repair": conversation_repair.op11,
     "op12_merkle_manifest": merkle.op12,
+    "op13_embedding_dedup": embedding_dedup.op13,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,4 +69,5 @@ SQL = {
     "op9_exact_topk": topk.OP9_SQL,
     "op11_conversation_repair": conversation_repair.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_embedding_dedup": embedding_dedup.OP13_SQL,
 }
