@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.functions.similarity import text_edits
+from corpusmill.functions.similarity import text_edits, with_word_edits
+from corpusmill.operators import relational
+
+#: Words from which the distance over bits is the faster one.
+LONG = 64
 
 
 def word_counts(df: DataFrame, words: Column, *by: str) -> DataFrame:
@@ -33,8 +37,8 @@ def inverted_counts(counts: DataFrame) -> DataFrame:
 
 
 def words_by_count(counts: DataFrame) -> DataFrame:
-    """The words of each frequency, sorted: for lexicons, whose groups are small."""
-    return counts.groupBy("n").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    """n, word: the words of each frequency, the rarest first, by name; as rows, for words seen once are half of any vocabulary."""
+    return counts.select("n", "word").sort("n", "word")
 
 
 def char_vocabulary(df: DataFrame, text: Column) -> DataFrame:
@@ -108,9 +112,9 @@ def correctness(df: DataFrame, truth: str, predicted: str, item: str) -> DataFra
 
 
 def correctness_items(df: DataFrame, truth: str, predicted: str, item: str) -> DataFrame:
-    """All items, in order, that were right and wrong in each class: for lexicons, whose classes are small."""
+    """The items that were right and wrong in each class, as rows in order."""
     right = (F.col(truth) == F.col(predicted)).alias("correct")
-    return df.groupBy(truth, right).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return df.select(truth, right, item).sort(truth, "correct", item)
 
 
 def error_totals(df: DataFrame, group: str) -> DataFrame:
@@ -124,10 +128,17 @@ def error_totals(df: DataFrame, group: str) -> DataFrame:
 
 
 def corpus_wer(df: DataFrame, reference: Column, hypothesis: Column) -> DataFrame:
-    """Edits and reference words over all pairs, and their quotient."""
-    words = F.filter(F.split(reference, " +"), lambda w: w != "")
-    few = df.select(F.size(words).alias("n"), text_edits(reference, hypothesis).alias("e"))
-    return few.agg(F.sum("e").alias("edits"), F.sum("n").alias("n_ref")).withColumn("wer", F.col("edits") / F.col("n_ref"))
+    """Edits and reference words over all pairs, and their quotient. A pair with a null has no edits.
+
+    The distance is quadratic in the length: short pairs are compared in the JVM, and those of more than ``LONG`` words by
+    the distance over bits, which takes 64 words at a step.
+    """
+    words = lambda c: F.filter(F.split(c, " +"), lambda w: w != "")
+    pairs = df.select(reference.alias("_r"), hypothesis.alias("_h"), words(reference).alias("r"), words(hypothesis).alias("h"))
+    long = F.coalesce(F.greatest(F.size("r"), F.size("h")) > LONG, F.lit(False))
+    short = with_word_edits(pairs.filter(~long).select("r", "h"), "r", "h", "e").select(F.size("r").alias("n"), "e")
+    both = short.unionByName(pairs.filter(long).select(F.size("r").alias("n"), text_edits(F.col("_r"), F.col("_h")).alias("e")))
+    return both.agg(F.sum("e").alias("edits"), F.sum("n").alias("n_ref")).withColumn("wer", F.col("edits") / F.col("n_ref"))
 
 
 def majority_mapping(df: DataFrame, speaker: str, cluster: str) -> DataFrame:
@@ -150,10 +161,23 @@ def oov(df: DataFrame, vocabulary: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("n").alias("n_words"), F.sum("_out").alias("n_oov")).withColumn("share", F.col("n_oov") / F.col("n_words"))
 
 
-def labelled_words(df: DataFrame, key: str, sentence_no: str, words: Column, sentence_label: str, word_labels: DataFrame, shared: DataFrame) -> DataFrame:
-    """Each sentence's words with labels: the sentence's own for words of both languages (``shared``), else the word's."""
-    rows = df.select(key, sentence_no, sentence_label, F.posexplode(words).alias("pos", "word")).filter("word != ''")
-    rows = rows.join(shared.select("word").distinct().withColumn("_both", F.lit(True)), "word", "left").join(word_labels.select("word", F.col("label").alias("_own")), "word", "left")
-    label = F.when(F.col("_both") | F.col("_own").isNull(), F.col(sentence_label)).otherwise(F.col("_own"))
-    item = F.struct("pos", F.concat_ws("-", "word", label).alias("w"))
-    return rows.groupBy(key, sentence_no).agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["w"]), " ").alias("labelled"))
+def word_labels(words: DataFrame, label: str) -> DataFrame:
+    """word, label (that of most of its rows, of equals the first) and shared (more than one label has it), in one pass."""
+    counts = words.groupBy("word", label).agg(F.count("*").alias("_n"))
+    return counts.groupBy("word").agg(F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("label"), (F.count("*") > 1).alias("shared"))
+
+
+def labelled_words(df: DataFrame, key: str, sentence_no: str, words: Column, sentence_label: str, word_labels: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """Each sentence's words with labels: the sentence's own for words of both languages, else the word's.
+
+    The words of both are those of ``shared``, or those flagged so in ``word_labels``. Labels of checked size go to the
+    words; more of them meet each word once a sentence, its places along, so that frequent words are fewer rows.
+    """
+    own = word_labels if shared is None else word_labels.join(shared.select("word").distinct().withColumn("shared", F.lit(True)), "word", "left")
+    own = own.filter(~F.coalesce("shared", F.lit(False))).select("word", F.col("label").alias("_own"))
+    items = df.select(key, sentence_no, sentence_label, F.posexplode(words).alias("pos", "word")).filter("word != ''")
+    few = own.limit(relational.BROADCAST_ROWS + 1).count() <= relational.BROADCAST_ROWS
+    places = items.withColumn("places", F.array("pos")) if few else items.groupBy(key, sentence_no, sentence_label, "word").agg(F.collect_list("pos").alias("places"))
+    places = places.join(F.broadcast(own) if few else own, "word", "left")
+    item = F.transform("places", lambda p: F.struct(p.alias("pos"), F.concat_ws("-", "word", F.coalesce("_own", sentence_label)).alias("w")))
+    return places.groupBy(key, sentence_no).agg(F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list(item))), lambda x: x["w"]), " ").alias("labelled"))

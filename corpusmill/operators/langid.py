@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.relational import small_side
+from corpusmill.sources.scratch import checkpointed
 
 
 def prepared(text: Column) -> Column:
@@ -27,7 +28,7 @@ def gram_counts(df: DataFrame, text: Column, label: str, low: int = 2, high: int
 
 def train(df: DataFrame, text: Column, label: str, low: int = 2, high: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(label, prior), (gram, label, logp) and (label, unseen): log((c + 1) / (N + V)) with V distinct grams over all."""
-    counts = gram_counts(df, text, label, low, high)
+    counts = checkpointed(gram_counts(df, text, label, low, high))  # read four times
     v = counts.agg(F.countDistinct("gram").alias("v"))
     totals = counts.groupBy(label).agg(F.sum("n").alias("total")).crossJoin(F.broadcast(v))  # one row of v
     docs = df.groupBy(label).agg(F.count("*").alias("docs"))

@@ -122,10 +122,19 @@ def split_durations(df: DataFrame, split: str, duration: str) -> DataFrame:
     return df.groupBy(split).agg(F.count("*").alias("n"), F.sum(duration).alias("seconds")).withColumn("time", tx.hms(F.col("seconds")))
 
 
-def rejected_report(rejected: DataFrame, item: str, joint: str = " &&& ") -> DataFrame:
-    """How many were rejected, how many different ones, and these in order."""
+def rejected_items(rejected: DataFrame, item: str) -> DataFrame:
+    """The different items that were rejected, with their number, in order."""
+    return rejected.groupBy(item).agg(F.count("*").alias("n")).sort(item)
+
+
+def rejected_report(rejected: DataFrame, item: str, joint: str | None = " &&& ") -> DataFrame:
+    """How many were rejected and how many different ones; with ``joint`` also these, in order, as one text.
+
+    That text is one row whatever its length: a report to be read. ``rejected_items`` has them as rows.
+    """
     counts = rejected.groupBy(item).agg(F.count("*").alias("n"))
-    return counts.agg(F.sum("n").alias("n_rejected"), F.count("*").alias("n_distinct"), F.array_join(F.array_sort(F.collect_list(item)), joint).alias("items"))
+    text = [F.array_join(F.array_sort(F.collect_list(item)), joint).alias("items")] if joint is not None else []
+    return counts.agg(F.sum("n").alias("n_rejected"), F.count("*").alias("n_distinct"), *text)
 
 
 def unknown_words(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:

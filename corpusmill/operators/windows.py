@@ -118,9 +118,10 @@ def minimum_spans(df: DataFrame, group: str, order: list[str], start: str, end:
 
 
 def first_seen(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Distinct values of each group in order of first appearance."""
-    items = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    return df.groupBy(group).agg(F.array_distinct(F.transform(items, lambda x: x["_v"])).alias("values"))
+    """Distinct values of each group in order of first appearance; a value's least place is found before values are gathered."""
+    firsts = df.groupBy(group, F.col(value).alias("_v")).agg(F.min(F.struct(*order)).alias("_at"))
+    items = F.sort_array(F.collect_list(F.struct("_at", "_v")))
+    return firsts.groupBy(group).agg(F.transform(items, lambda x: x["_v"]).alias("values"))
 
 
 def numbered_speakers(df: DataFrame, group: str, bucket: str, speaker: str) -> Column:

@@ -17,6 +17,7 @@ from corpusmill.operators import aggregates as ag
 from corpusmill.operators import cluster, langid, ngramlm, relational, splits, windows
 from corpusmill.sources import sinks
 from corpusmill.sources.readers import scan
+from corpusmill.sources.scratch import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -643,11 +644,9 @@ def nb_predict(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def label_words_two_pass(spark: SparkSession, d: str) -> DataFrame:
     """Words labelled by their own majority language, or by the text's where both languages have them."""
-    words = _words(spark, d, "lang")
-    own = ag.mode(words, "word", "lang").select("word", F.col("lang").alias("label"))
-    shared = words.select("word", "lang").distinct().groupBy("word").count().filter("count > 1").select("word")
+    own = checkpointed(ag.word_labels(_words(spark, d, "lang"), "lang"))
     rows = _documents(spark, d, "doc_id", "lang", "text").withColumn("no", F.lit(0))
-    return ag.labelled_words(rows, "doc_id", "no", tx.words(tx.normalise(F.col("text"))), "lang", own, shared).select("doc_id", F.md5(F.col("labelled").cast("binary")).alias("digest"))
+    return ag.labelled_words(rows, "doc_id", "no", tx.words(tx.normalise(F.col("text"))), "lang", own).select("doc_id", F.md5(F.col("labelled").cast("binary")).alias("digest"))
 
 
 @query()

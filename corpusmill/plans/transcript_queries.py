@@ -15,6 +15,7 @@ from corpusmill.operators import langid, ngramlm, relational, transcripts
 from corpusmill.plans.corpus_queries import _LABELLED, _NORM, _WORDS, SQL, _documents, _labelled, _words, query
 from corpusmill.sources import sinks
 from corpusmill.sources.readers import scan
+from corpusmill.sources.scratch import checkpointed
 
 # Selections
 
@@ -164,7 +165,9 @@ def string_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT n, array_to_string(list_sort(list(word)), ' ') AS words FROM (SELECT word, count(*) AS n FROM ({_WORDS}) WHERE word <> '' GROUP BY word) GROUP BY n")
 def words_by_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return ag.words_by_count(_words(spark, d).groupBy("word").agg(F.count("*").alias("n"))).select("n", F.array_join("words", " ").alias("words"))
+    """The words of each frequency as one text, as the report has them; the operator gives rows."""
+    words = ag.words_by_count(_words(spark, d).groupBy("word").agg(F.count("*").alias("n")))
+    return words.groupBy("n").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("words"))
 
 
 @query(f"""WITH v AS (SELECT DISTINCT word FROM ({_WORDS}) WHERE source = 'src0')
@@ -231,7 +234,7 @@ def class_report_with_averages(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT quality, quality = predicted AS correct, array_to_string(list_sort(list(doc_id)), ' ') AS items FROM ({_LABELLED}) GROUP BY ALL")
 def correctness_items(spark: SparkSession, d: str) -> DataFrame:
     found = ag.correctness_items(_labelled(spark, d), "quality", "predicted", "doc_id")
-    return found.select("quality", "correct", F.array_join(F.transform("items", lambda x: x.cast("string")), " ").alias("items"))
+    return found.groupBy("quality", "correct").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("items"))
 
 
 _TWO_PASS = f"""SELECT w.doc_id, w.pos, w.word, w.lang AS truth, CASE WHEN s.n > 1 OR m.lang IS NULL THEN w.lang ELSE m.lang END AS predicted
@@ -242,11 +245,9 @@ LEFT JOIN (SELECT word, count(DISTINCT lang) AS n FROM ({_WORDS}) GROUP BY word)
 
 def _two_pass(spark: SparkSession, d: str) -> DataFrame:
     """truth and predicted arrays of each text: its language, and the labels of its words in two passes."""
-    words = _words(spark, d, "lang")
-    own = ag.mode(words, "word", "lang").select("word", F.col("lang").alias("label"))
-    shared = words.select("word", "lang").distinct().groupBy("word").count().filter("count > 1").select("word")
+    own = checkpointed(ag.word_labels(_words(spark, d, "lang"), "lang"))
     rows = _documents(spark, d, "doc_id", "lang", "text").withColumn("no", F.lit(0))
-    found = ag.labelled_words(rows, "doc_id", "no", tx.words(tx.normalise(F.col("text"))), "lang", own, shared).join(rows.select("doc_id", "lang"), "doc_id")
+    found = ag.labelled_words(rows, "doc_id", "no", tx.words(tx.normalise(F.col("text"))), "lang", own).join(rows.select("doc_id", "lang"), "doc_id")
     labelled = F.split("labelled", " ")
     return found.select("doc_id", F.transform(labelled, lambda _: F.col("lang")).alias("truth"), F.transform(labelled, lambda w: F.regexp_extract(w, "-([^-]*)$", 1)).alias("predicted"))
 

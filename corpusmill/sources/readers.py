@@ -339,9 +339,15 @@ def mono(channels: Column) -> Column:
 
 
 def ground_truth(spark: SparkSession, truth: str, predicted: str) -> DataFrame:
-    """Two files of lines paired by line number: line_no, ref, hyp."""
-    a, b = (numbered_lines(spark, p).select("line_no", F.col("line").alias(n)) for p, n in ((truth, "ref"), (predicted, "hyp")))
-    return a.join(b, "line_no")
+    """Lines of two files, or of the files of equal name in two folders, paired by number: filename, line_no, ref, hyp.
+
+    ``filename`` is that of the truth; two single files are a pair whatever their names.
+    """
+    a = numbered_lines(spark, truth).withColumnRenamed("line", "ref")
+    b = numbered_lines(spark, predicted).withColumnRenamed("line", "hyp")
+    single = all(len(spark.read.format("binaryFile").load(p).select("path").take(2)) == 1 for p in (truth, predicted))
+    paired = a.join(b.drop("filename"), "line_no") if single else a.join(b, ["filename", "line_no"])
+    return paired.select("filename", "line_no", "ref", "hyp")
 
 
 def prefixes(spark: SparkSession, names: list[str]) -> DataFrame:

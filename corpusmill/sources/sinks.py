@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.operators.relational import small_side
+from corpusmill.operators.transcripts import COUNCIL, RADIO, SPOKEN
 
 
 def missing_rows(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
@@ -62,11 +64,17 @@ def write_lines(df: DataFrame, line: Column, path: str, by: str | None = None, f
 
 
 def kaldi_lines(df: DataFrame) -> dict[str, Column]:
-    """Lines of text, wav.scp, segments and utt2spk for rows with utterance_id, text, wav, path, channels, start, end, speaker."""
-    pipe = F.concat(F.lit("sox "), F.col("path"), F.lit(" -t wav - remix 1 |"))
+    """Lines of text, wav.scp, segments and utt2spk for rows with utterance_id, text, wav, path, channels, start, end, speaker.
+
+    Two channels are mixed down, to 16 bits, as the recordings are read. Of rows with a ``source`` only spoken Dutch has two.
+    """
+    mixed = F.col("channels") == 2
+    if "source" in df.columns:
+        mixed &= F.col("source") == SPOKEN
+    pipe = F.concat(F.lit("sox -t wav "), F.col("path"), F.lit(" -b 16 -t wav - remix - |"))
     return {
         "text": F.concat_ws(" ", "utterance_id", "text"),
-        "wav.scp": F.concat_ws(" ", "wav", F.when(F.col("channels") == 2, pipe).otherwise(F.col("path"))),
+        "wav.scp": F.concat_ws(" ", "wav", F.when(mixed, pipe).otherwise(F.col("path"))),
         "segments": F.concat_ws(" ", "utterance_id", "wav", F.col("start").cast("string"), F.col("end").cast("string")),
         "utt2spk": F.concat_ws(" ", "utterance_id", "speaker"),
     }
@@ -76,9 +84,9 @@ def wav_path(source: Column, partition: Column, wav: Column, council: str = "cou
     """Folder rule by source; the radio corpus calls its dev part devel."""
     part = F.when(partition == "dev", "devel").otherwise(partition)
     return (
-        F.when(source == "frisian council transcripts", F.concat(F.lit(council), wav))
-        .when(source == "frisian radio broadcasts", F.concat(F.lit(radio), part, F.lit("/"), wav))
-        .when(source == "cgn", F.concat(F.lit(spoken), wav))
+        F.when(source == COUNCIL, F.concat(F.lit(council), wav))
+        .when(source == RADIO, F.concat(F.lit(radio), part, F.lit("/"), wav))
+        .when(source == SPOKEN, F.concat(F.lit(spoken), wav))
     )
 
 
@@ -105,8 +113,22 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def write_manifest_document(df: DataFrame, path: str) -> None:
-    """One document {"data": [...]}: its records are gathered in one file, so it is for manifests of a machine's size."""
-    df.agg(F.to_json(F.struct(F.collect_list(F.struct(*df.columns)).alias("data"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One document {"data": [...]} in one file, on one line, written as a stream: no more than a batch is in memory.
+
+    A document is one file, so one task writes it; ``write_manifest`` writes as many files as there are partitions.
+    """
+
+    def separated(it):
+        before = ""
+        for batch in it:
+            values = batch.column(0).to_pylist()
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array([before + values[0], *[", " + v for v in values[1:]]], pa.string())], names=["value"])
+                before = ", "
+
+    records = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value")).coalesce(1).mapInArrow(separated, "value string")
+    frame = lambda text: df.sparkSession.createDataFrame([(text,)], "value string")
+    frame('{"data": [').unionAll(records).unionAll(frame("]}")).coalesce(1).write.mode("overwrite").option("lineSep", " ").text(path)
 
 
 def write_vocabulary(df: DataFrame, path: str) -> None:

@@ -75,7 +75,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/dim").count() == 2
     segments = spark.createDataFrame([("u1", "hoi", "w", "p.wav", 2, 0.0, 1.0, "s", "nl"), ("u2", "dei", "w", "p.wav", 2, 1.0, 2.0, "s", "fr")], "utterance_id string, text string, wav string, path string, channels int, start double, end double, speaker string, route string")
     sinks.write_kaldi(segments, f"file://{tmp_path}/kaldi")
-    assert [r.value for r in spark.read.text(f"file://{tmp_path}/kaldi/wav.scp").collect()] == ["w sox p.wav -t wav - remix 1 |"]
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/kaldi/wav.scp").collect()] == ["w sox -t wav p.wav -b 16 -t wav - remix - |"]
     sinks.write_kaldi(segments, f"file://{tmp_path}/routes", by="route")
     assert spark.read.text(f"file://{tmp_path}/routes/text").filter("route = 'nl'").first().value == "u1 hoi"
     sinks.write_integer_vocabulary(spark.createDataFrame([("a", 1), ("b", 5)], "word string, n long"), f"file://{tmp_path}/vocab")
