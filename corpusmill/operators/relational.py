@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpusmill.sources.scratch import checkpointed
+
 #: A dimension or word list may be broadcast up to this many rows, after they are counted.
 BROADCAST_ROWS = 500_000
+#: Bytes of parts that are looked for in one pass; an automaton takes about sixty times as much in each worker.
+PART_BYTES = 2_000_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -56,14 +62,79 @@ def absent(new: DataFrame, stored: DataFrame, on: Column | list[str]) -> DataFra
     return new.join(stored, on, "left_anti")
 
 
-def contains_join(rows: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
-    """Rows with each of the ``parts`` that their text contains (a stated list of checked size, against all rows)."""
-    return rows.join(small_side(parts), F.col(text).contains(F.col(part)))
-
-
-def contains_rest(rows: DataFrame, parts: DataFrame, text: str, part: str) -> DataFrame:
-    """Rows that contain none of the ``parts``."""
-    return rows.join(small_side(parts), F.col(text).contains(F.col(part)), "left_anti")
+def _automaton(parts: list[str]):
+    """An automaton that finds all ``parts`` in one pass over a text."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for i, part in enumerate(parts):
+        found.add_word(part, i)
+    found.make_automaton()
+    return found
+
+
+def _parts_in(shared, column: str, keep: str):
+    """Rows of Arrow batches with each part that their text has (``keep`` = "met"), or the rows without any ("rest")."""
+
+    def run(it):
+        parts = sorted(shared.value)
+        blank = bool(parts) and parts[0] == ""  # an empty part is in every text
+        automaton = _automaton(parts[blank:]) if len(parts) > blank else None
+        for batch in it:
+            rows, found = [], []
+            for i, text in enumerate(batch.column(batch.schema.get_field_index(column)).to_pylist()):
+                numbers = set() if text is None else {n + blank for _, n in automaton.iter(text)} if automaton else set()
+                if blank and text is not None:
+                    numbers.add(0)
+                if keep == "met":
+                    rows += [i] * len(numbers)
+                    found += [parts[n] for n in numbers]
+                elif not numbers:
+                    rows.append(i)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            if keep == "met":
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(found, pa.string())], names=[*taken.schema.names, "_part"])
+            else:
+                yield taken
+
+    return run
+
+
+def _part_blocks(parts: DataFrame, part: str, most: int):
+    """The different parts in lists of about ``most`` bytes at most, one after the other; each is broadcast while it is used."""
+    different = parts.select(F.col(part).alias("_part")).filter("_part is not null").distinct()
+    size = different.agg(F.sum(F.octet_length("_part") + 16)).first()[0] or 0
+    blocks = max(1, -(-size // most))
+    for b in range(blocks):
+        block = different.filter(F.pmod(F.xxhash64("_part"), F.lit(blocks)) == b)
+        shared = parts.sparkSession.sparkContext.broadcast([r["_part"] for r in block.toLocalIterator()])
+        yield shared, blocks
+
+
+def contains_join(rows: DataFrame, parts: DataFrame, text: str, part: str, most: int = PART_BYTES) -> DataFrame:
+    """Rows with each of the ``parts`` that their text contains; null texts and parts meet nothing.
+
+    The parts are made into an automaton, so that a text is read once however many they are. Parts of more than ``most``
+    bytes go in blocks, one pass over the rows each; a block's matches are written before the next one is sent.
+    """
+    schema, out = T.StructType([*rows.schema.fields, T.StructField("_part", T.StringType())]), None
+    for shared, blocks in _part_blocks(parts, part, most):
+        met = rows.mapInArrow(_parts_in(shared, text, "met"), schema)
+        if blocks > 1:
+            met = checkpointed(met)
+            shared.destroy()
+        out = met if out is None else out.unionAll(met)
+    return out.join(small_side(parts), F.col("_part") == parts[part]).drop("_part")
+
+
+def contains_rest(rows: DataFrame, parts: DataFrame, text: str, part: str, most: int = PART_BYTES) -> DataFrame:
+    """Rows that contain none of the ``parts``, found in the same way."""
+    for shared, blocks in _part_blocks(parts, part, most):
+        rows = rows.mapInArrow(_parts_in(shared, text, "rest"), rows.schema)
+        if blocks > 1:
+            rows = checkpointed(rows)
+            shared.destroy()
+    return rows
 
 
 def occurrence_join(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
