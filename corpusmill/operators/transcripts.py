@@ -122,6 +122,12 @@ def split_durations(df: DataFrame, split: str, duration: str) -> DataFrame:
     return df.groupBy(split).agg(F.count("*").alias("n"), F.sum(duration).alias("seconds")).withColumn("time", tx.hms(F.col("seconds")))
 
 
+def sifted(df: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFrame]:
+    """Texts cleaned of foreign lines, bad words and short lines (key, kept), and what was taken out (key, rule, item)."""
+    found = df.select(key, tx.sifted(text).alias("s"))
+    return found.select(key, "s.kept"), found.select(key, F.inline("s.rejected"))
+
+
 def rejected_items(rejected: DataFrame, item: str) -> DataFrame:
     """The different items that were rejected, with their number, in order."""
     return rejected.groupBy(item).agg(F.count("*").alias("n")).sort(item)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import function_queries, transcript_queries  # noqa: F401  they register their queries beside the others
+from corpusmill.plans import file_queries, function_queries, transcript_queries  # noqa: F401  they register their queries beside the others
 from corpusmill.plans.corpus_queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

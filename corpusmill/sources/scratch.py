@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only local sessions without that setting get a temporary one of their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="corpusmill-")).rstrip("/")
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder that does not exist yet, where the driver and all executors can write and read."""
+    return f"{_shared(spark)}/files-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from the shared folder in ``spark.checkpoint.dir``.
 
-    What depends on a layout drawn by sampling stays the same if an executor is lost. Only local sessions without that
-    setting get a temporary folder of their own. The files go with the table's last reference, if Spark is told to clean
-    checkpoints.
+    What depends on a layout drawn by sampling stays the same if an executor is lost. The files go with the table's last
+    reference, if Spark is told to clean checkpoints.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and context.master != "local" and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="corpusmill-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()

@@ -135,5 +135,8 @@ def silence_chunks(df: DataFrame, group: str, time: str, gap: str, late: str = "
 
 
 def insert_stream(df: DataFrame, path: str, key: list[str], checkpoint: str):
-    """A query that appends rows whose key is new; the same batch run twice adds nothing."""
+    """A query that appends rows whose key is new to a plain folder, whose keys each batch reads; the same batch run twice adds nothing.
+
+    ``sources.store.Store.insert_stream`` reads the parts of a batch's own keys alone.
+    """
     return df.writeStream.foreachBatch(lambda batch, _: insert_if_absent(batch, path, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -84,3 +84,14 @@ def test_labels_of_words_in_either_plan(spark, monkeypatch):
     assert [tuple(r) for r in found] == [(1, 0, "b-y a-z b-y e-z c-x")]
     monkeypatch.setattr(relational, "BROADCAST_ROWS", 0)
     assert ag.labelled_words(df, "k", "no", F.col("w"), "l", own).collect() == found
+
+
+def test_what_is_taken_out_is_told(spark):
+    """Kept text is that of the steps one after the other, and each thing taken out stands under the rule that struck it."""
+    text = "de cest la\nyou there\nin htm moai wurd|x\nab\n\nhtm ab\nhtm\nlange rigel"
+    found = spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string")
+    kept, out = transcripts.sifted(found, "k", F.col("t"))
+    plain = tx.drop_short_lines(tx.drop_words(tx.drop_lines_with(F.col("t"), [*tx.LINE_STOPS, *tx.ENGLISH_STOPS]), tx.WORD_STOPS))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, found.select("k", plain).collect()))
+    wanted = [(1, "stop line", "de cest la"), (1, "foreign line", "you there"), (1, "word", "htm"), (1, "word", "wurd|x"), (1, "word", "htm"), (1, "word", "htm"), (1, "short line", "ab"), (1, "short line", "ab")]
+    assert sorted(map(tuple, out.collect())) == sorted(wanted)
