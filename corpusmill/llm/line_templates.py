@@ -6,9 +6,14 @@ template is the most frequent token at each place (tokens with a digit as a wild
 variable fields. A line that agrees with its leaf's template in ``ALIKE`` of 10 places or more is an instance; every other
 wording, with its wildcards, is a template of its own. A template with more wildcards than words is none: rows of figures are data.
 Where instances recur in ``MIN_TEXTS`` different texts, they are dropped, but for those of the document with the smallest
-id, which keeps the wording in the corpus once. The lines that are left of a leaf in which templates were found go
-through this again, ``ROUNDS`` times in all, so that a leaf holds any number of templates. Exact copies of a text count
-once: copies of documents are another operator's matter.
+id, which keeps the wording in the corpus once. The lines that are left of a leaf in which something was found go through
+this again, until nothing is found in any leaf, so that a leaf holds any number of templates; a round takes one template and
+all recurring wordings out of each leaf, and later rounds work on the leaves of several templates alone. Exact copies of a
+text count once: copies of documents are another operator's matter.
+
+Leaves, templates and wordings meet the lines by a broadcast where their tables are small, else by a join that deals hot
+leaves into parts. The numbers of the dropped lines meet the texts in a shuffle, at every size: their number grows with the
+corpus, so no bound could hold for a broadcast.
 
 Lines are what ``\n`` parts; tokens are runs of characters other than ``\x20 \x09-\x0D``; lines without tokens always stay.
 
@@ -28,7 +33,8 @@ from corpusmill.llm import common
 LEAD = 3
 MIN_TEXTS = 10
 ALIKE = 7
-ROUNDS = 2
+#: Rounds that the SQL spells out: more than the leaves of the tables need.
+SQL_ROUNDS = 12
 
 
 def _general(token: Column) -> Column:
@@ -50,36 +56,43 @@ def _worded(tokens: str) -> Column:
     return 2 * F.size(F.array_remove(tokens, "<*>")) >= F.size(tokens)
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE, rounds: int = ROUNDS) -> DataFrame:
+def _met(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Lines with what a written table has for their key, once."""
+    return many.join(F.broadcast(few), on) if common.small(few) else common.salted_join(many, few, on, "mark", many)
+
+
+def recurring_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE) -> DataFrame:
     """doc_id, mark, line_no of the lines to drop."""
     lines = _lines(docs)
     leaves = common.durable(lines.select("leaf", "mark").distinct().groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf"))
-    pool = common.durable(lines.join(common.maybe_broadcast(leaves), "leaf").withColumn("tokens", F.transform("tokens", _general)))
+    pool = common.durable(_met(lines, leaves, ["leaf"]).withColumn("tokens", F.transform("tokens", _general)))
     dropped = None
-    for _ in range(rounds):
+    while dropped is None or not pool.isEmpty():
         places = pool.select("leaf", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").count()
         best = places.groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
         templates = best.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("template"))
-        templates = common.durable(templates.filter(_worded("template")))
+        templates = common.durable(templates.withColumn("template", F.when(_worded("template"), F.col("template"))))  # a row a leaf
         agrees = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
         instance = F.col("template").isNotNull() & (10 * agrees >= alike * F.size("tokens"))
-        told = pool.join(common.maybe_broadcast(templates), "leaf", "left").select("leaf", "doc_id", "mark", "line_no", "tokens", F.when(~instance, F.array_join("tokens", " ")).alias("wording"))
+        told = _met(pool, templates, ["leaf"]).select("leaf", "doc_id", "mark", "line_no", "tokens", F.when(~instance, F.array_join("tokens", " ")).alias("wording"))
         told = common.durable(told.withColumn("wording", F.when(F.col("wording").isNull(), 0).otherwise(F.xxhash64("wording"))))
         kept = told.filter((F.col("wording") == 0) | _worded("tokens")).groupBy("leaf", "wording", "mark").agg(F.min("doc_id").alias("first"))
         kept = kept.groupBy("leaf", "wording").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
         kept = common.durable(kept.filter(F.col("texts") >= min_texts).drop("texts"))
-        gone = told.join(common.maybe_broadcast(kept), ["leaf", "wording"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "mark", "line_no")
+        gone = common.durable(_met(told, kept, ["leaf", "wording"]).filter(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "mark", "line_no"))
         dropped = gone if dropped is None else dropped.unionByName(gone)
         # where nothing was found, another round would find nothing
         again = common.durable(kept.select("leaf").distinct())
-        pool = told.join(common.maybe_broadcast(again), "leaf", "left_semi").join(common.maybe_broadcast(kept), ["leaf", "wording"], "left_anti").drop("wording")
+        left = _met(told, again, ["leaf"]).join(common.maybe_broadcast(kept), ["leaf", "wording"], "left_anti").drop("wording")
+        last, pool = pool, common.durable(left)
+        common.release(last, templates, told, kept, again)
     return dropped
 
 
-def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE, rounds: int = ROUNDS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_texts: int = MIN_TEXTS, alike: int = ALIKE) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and n_lines and n_dropped besides (columns so named give way)."""
-    dropped = recurring_lines(docs, min_texts, alike, rounds)
-    gone = common.maybe_broadcast(common.durable(dropped.groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_set("line_no").alias("cut_lines"))))
+    dropped = recurring_lines(docs, min_texts, alike)
+    gone = dropped.groupBy(F.col("doc_id").alias("cut_id"), F.col("mark").alias("cut_mark")).agg(F.collect_set("line_no").alias("cut_lines")).hint("merge")
     # by text as well as id: rows that share an id and differ in text are told apart
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # one column: no name can clash
     meets = F.col("row.doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (F.xxhash64(F.col("row.text")) == F.col("cut_mark"))
@@ -116,8 +129,8 @@ WITH l AS (SELECT doc_id, md5(text) AS mark, generate_subscripts(string_split(te
 k AS (SELECT doc_id, mark, line_no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l),
 n AS (SELECT *, len(tokens) || ' ' || array_to_string(tokens[1:{LEAD}], ' ') AS leaf FROM k WHERE len(tokens) > 0),
 c AS (SELECT leaf FROM n GROUP BY leaf HAVING count(DISTINCT mark) >= {MIN_TEXTS}),
-i0 AS (SELECT n.leaf, n.doc_id, n.mark, n.line_no, n.tokens FROM n JOIN c USING (leaf)),{"".join(map(_round_sql, range(ROUNDS)))}
-x AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(f"SELECT * FROM x{r}" for r in range(ROUNDS))})),
+i0 AS (SELECT n.leaf, n.doc_id, n.mark, n.line_no, n.tokens FROM n JOIN c USING (leaf)),{"".join(map(_round_sql, range(SQL_ROUNDS)))}
+x AS (SELECT DISTINCT * FROM ({" UNION ALL ".join(f"SELECT * FROM x{r}" for r in range(SQL_ROUNDS))})),
 r AS (SELECT l.doc_id, l.mark, count(*) AS n_lines, count(x.line_no) AS n_dropped,
   coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE x.line_no IS NULL), '') AS kept
   FROM l LEFT JOIN x ON l.doc_id IS NOT DISTINCT FROM x.doc_id AND l.mark = x.mark AND l.line_no = x.line_no GROUP BY l.doc_id, l.mark)
