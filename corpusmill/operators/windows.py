@@ -153,27 +153,33 @@ def _smooth(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(x, reach, mode="reflect") if len(x) > reach else np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def _zero_crossing(waves: pd.Series) -> pd.Series:
+def _framed(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Means of ``size`` entries, ``hop`` apart; one frame, if short, for fewer entries. Sums along the array, not a frame each."""
+    starts = np.arange(0, max(1, len(x) - size + 1), hop)
+    total = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+    ends = np.minimum(starts + size, len(x))
+    return (total[ends] - total[starts]) / (ends - starts)
+
+
+def _zero_crossing(size: int, hop: int):
     def one(wave):
         x = np.asarray(wave, np.float64)
-        crossed = np.abs(np.diff(np.signbit(x).astype(np.int8), prepend=0))
-        rate = np.array([crossed[i : i + 512].mean() for i in range(0, max(1, len(x) - 511), 128)])
-        rate = _smooth(rate, 3.0)
-        return (rate < rate.mean()).tolist()
+        rate = _smooth(_framed(np.abs(np.diff(np.signbit(x).astype(np.int8), prepend=0)), size, hop), 3.0)
+        return (rate < rate.mean() - 1e-9).tolist()  # equal rates are all silence, whatever their rounding
 
-    return pd.Series([None if w is None or len(w) == 0 else one(w) for w in waves])
+    return lambda waves: pd.Series([None if w is None or len(w) == 0 else one(w) for w in waves])
 
 
-def zero_crossing_activity(wave: Column) -> Column:
-    """Whether each frame (512 samples, hop 128) is speech: smoothed zero-crossing rate below its mean."""
-    return F.pandas_udf(_zero_crossing, "array<boolean>")(wave)
+def zero_crossing_activity(wave: Column, size: int = 512, hop: int = 128) -> Column:
+    """Whether each frame (of ``size`` samples, ``hop`` apart) is speech: smoothed zero-crossing rate below its mean."""
+    return F.pandas_udf(_zero_crossing(size, hop), "array<boolean>")(wave)
 
 
-def _sound_spans(waves: pd.Series, rates: pd.Series) -> pd.Series:
+def _sound_spans(hop: int, below: float):
     def one(wave, rate):
-        x, hop = np.asarray(wave, np.float64), 512
+        x = np.asarray(wave, np.float64)
         power = np.array([np.mean(x[i : i + 2 * hop] ** 2) for i in range(0, len(x), hop)])
-        loud = power > power.max() * 10 ** (-30 / 10)
+        loud = power > power.max() * 10 ** (-below / 10)
         edges = np.flatnonzero(np.diff(np.r_[0, loud.astype(np.int8), 0])).reshape(-1, 2) * hop
         spans: list[list[int]] = []
         for a, b in edges.tolist():
@@ -183,12 +189,12 @@ def _sound_spans(waves: pd.Series, rates: pd.Series) -> pd.Series:
                 spans.append([a, min(b, len(x))])
         return [{"start": a, "end": b} for a, b in spans]
 
-    return pd.Series([None if w is None or len(w) == 0 or not np.any(w) else one(w, r) for w, r in zip(waves, rates, strict=True)])
+    return lambda waves, rates: pd.Series([None if w is None or len(w) == 0 or not np.any(w) else one(w, r) for w, r in zip(waves, rates, strict=True)])
 
 
-def sound_spans(wave: Column, rate: Column) -> Column:
-    """Sample spans louder than 30 dB below the peak, apart by 0.2 s of silence or more."""
-    return F.pandas_udf(_sound_spans, "array<struct<start:long,end:long>>")(wave, rate)
+def sound_spans(wave: Column, rate: Column, hop: int = 512, below: float = 30.0) -> Column:
+    """Sample spans louder than ``below`` dB below the peak, apart by 0.2 s of silence or more."""
+    return F.pandas_udf(_sound_spans(hop, below), "array<struct<start:long,end:long>>")(wave, rate)
 
 
 def silence_reference(wave: Column) -> Column:

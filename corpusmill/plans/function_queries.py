@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import brackets, labels
 from corpusmill.functions import text as tx
 from corpusmill.operators import aggregates as ag
-from corpusmill.operators import relational, splits, transcripts
+from corpusmill.operators import relational, splits, transcripts, windows
 from corpusmill.plans.corpus_queries import _NORM, _documents, query
 from corpusmill.sources import readers
 from corpusmill.sources.readers import scan
@@ -186,3 +186,33 @@ def named_speakers(spark: SparkSession, d: str) -> DataFrame:
     groups = _documents(spark, d, "lang").groupBy("lang").agg(F.count("*").alias("n"))
     names = spark.createDataFrame([(n.replace("_", ""),) for n in tx.speaker_names(9, "x")], "speaker string")
     return transcripts.zipped(groups, names, ["lang"], ["speaker"]).select("lang", "n", "speaker")
+
+
+_WAVE = "SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings"
+
+
+@query(f"""WITH w AS ({_WAVE}),
+f AS (SELECT vec_id, x, unnest(range(0, len(x), 4)) AS i FROM w),
+p AS (SELECT vec_id, i, len(x) AS n, list_avg(list_transform(x[i + 1:i + 8], lambda v: v * v)) AS power FROM f),
+l AS (SELECT vec_id, i, n, power > max(power) OVER (PARTITION BY vec_id) / 10 AS loud FROM p),
+s AS (SELECT vec_id, i, n, loud, loud AND NOT coalesce(lag(loud) OVER k, false) AS begins FROM l WINDOW k AS (PARTITION BY vec_id ORDER BY i)),
+r AS (SELECT vec_id, n, sum(begins::INT) OVER (PARTITION BY vec_id ORDER BY i) AS run, i FROM s WHERE loud),
+e AS (SELECT vec_id, any_value(n) AS n, min(i) AS a, max(i) + 4 AS b FROM r GROUP BY vec_id, run)
+SELECT vec_id, count(*) AS n_spans, sum(least(b, n) - a)::BIGINT AS n_samples FROM e GROUP BY vec_id""")
+def loud_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of a vector's samples louder than 10 dB below its loudest frame, frames of eight samples, four apart."""
+    rows = scan(spark, f"{d}/embeddings.parquet", columns=["vec_id", "embedding"])
+    spans = rows.select("vec_id", windows.sound_spans(F.col("embedding"), F.lit(1), 4, 10.0).alias("s"))
+    return spans.select("vec_id", F.size("s").cast("long").alias("n_spans"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_samples"))
+
+
+@query(f"""WITH w AS ({_WAVE}), c AS (SELECT vec_id, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN i = 1 THEN (x[1] < 0)::INT ELSE ((x[i] < 0) <> (x[i - 1] < 0))::INT END) AS c FROM w),
+r AS (SELECT vec_id, list_transform(range(0, len(c) - 7, 2), lambda i: list_sum(c[i + 1:i + 8])::DOUBLE / 8) AS r FROM c),
+k AS (SELECT list_transform(range(-12, 13), lambda j: exp(-0.5::DOUBLE * (j / 3.0::DOUBLE) * (j / 3.0::DOUBLE))) AS k),
+s AS (SELECT vec_id, list_transform(range(len(r)), lambda i: list_sum(list_transform(range(-12, 13), lambda j: k[j + 13] * r[1 + CASE WHEN i + j < 0 THEN -(i + j) WHEN i + j >= len(r) THEN 2 * (len(r) - 1) - (i + j) ELSE i + j END])) / list_sum(k)) AS s FROM r, k)
+SELECT vec_id, len(list_filter(s, lambda v: v < list_avg(s) - 0.000000001::DOUBLE)) AS n_active, len(s) AS n_frames FROM s""")
+def speech_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a vector's samples whose signs change less often than they do on the whole."""
+    rows = scan(spark, f"{d}/embeddings.parquet", columns=["vec_id", "embedding"])
+    active = rows.select("vec_id", windows.zero_crossing_activity(F.col("embedding"), 8, 2).alias("a"))
+    return active.select("vec_id", F.size(F.filter("a", lambda x: x)).cast("long").alias("n_active"), F.size("a").cast("long").alias("n_frames"))
