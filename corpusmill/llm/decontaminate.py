@@ -16,7 +16,7 @@ are each reported; an empty benchmark hits nothing; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -207,31 +207,43 @@ def _joined(shared):
     return run
 
 
-def _blocks(benchmark: DataFrame, window: int):
-    items = common.plain(benchmark, "item_id", "text")
+def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator[Windows]]:
+    """How many blocks the items make, and their windows, block by block. Items that repeat count once."""
+    items = common.plain(benchmark, "item_id", "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
-    for b in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield Windows(((r["item_id"], None if r["text"] is None else r["text"].encode()) for r in part.toLocalIterator()), window)
+
+    def windows() -> Iterator[Windows]:
+        for b in range(n):
+            part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+            yield Windows(((r["item_id"], None if r["text"] is None else r["text"].encode()) for r in part.toLocalIterator()), window)
+
+    return n, windows()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each row of ``docs``: doc_id, n_words, spans of hit words, items (ids as strings, sorted) with a window in it."""
+    """For each row of ``docs``: doc_id, n_words, spans of hit words, items (ids as strings, sorted) with a window in it.
+
+    Of several blocks each one's hits are written before the next one is sent, so that one block is in memory at a time.
+    """
     spark = docs.sparkSession
     known = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     marked = known.withColumn("mark", F.xxhash64("text"))  # tells rows of one id apart where blocks are united
-    found = []
-    for block in _blocks(benchmark, window):
+    found, (n, blocks) = [], _blocks(benchmark, window)
+    for block in blocks:
         shared = spark.sparkContext.broadcast(block)
         counts = {k: np.zeros(len(v), np.int64) for k, v in block.keys.items()}
         # as many rows at most as the block has shingles, which its size bounds
         for r in known.select("text").mapInArrow(_counted(shared), "k int, shingle long, n long").groupBy("k", "shingle").agg(F.sum("n").alias("n")).toLocalIterator() if len(block.begins) else ():
             counts[r["k"]][r["shingle"]] = r["n"]
+        shared.destroy()
         block.rank(counts)
-        found.append(marked.mapInArrow(_joined(spark.sparkContext.broadcast(block)), _MARKED))
-    if len(found) == 1:
-        return found[0].drop("mark")
+        ranked = spark.sparkContext.broadcast(block)
+        hits = marked.mapInArrow(_joined(ranked), _MARKED)
+        if n == 1:
+            return hits.drop("mark")
+        found.append(common.durable(hits))
+        ranked.destroy()
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
