@@ -137,6 +137,23 @@ def contains_rest(rows: DataFrame, parts: DataFrame, text: str, part: str, most:
     return rows
 
 
+def kept_children(parents: DataFrame, children: DataFrame, key: str, child_key: str, ok: Column, least: int = 2) -> DataFrame:
+    """Parents with at least ``least`` accepted children: key, accepted, rejected. A null condition rejects.
+
+    Children are counted before they meet their parents, so that a parent with most of the rows is one row in the join.
+    """
+    good = F.coalesce(ok, F.lit(False))
+    counts = children.groupBy(F.col(child_key).alias("_k")).agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("rejected")).filter(F.col("accepted") >= least)
+    return parents.select(key).join(counts, F.col(key) == F.col("_k")).select(key, "accepted", "rejected")
+
+
+def with_audio(tables: DataFrame, audio: DataFrame, key: str, audio_key: str) -> tuple[DataFrame, DataFrame]:
+    """(tables with the facts of their recording, tables without one): what has no recording is told, not dropped."""
+    facts = audio.dropDuplicates([audio_key]).withColumnRenamed(audio_key, "_k")
+    met = tables.join(small_side(facts), F.col(key) == F.col("_k"), "left")
+    return met.filter("_k is not null").drop("_k"), met.filter("_k is null").select(*[F.col(f"`{c}`") for c in tables.columns])
+
+
 def occurrence_join(left: DataFrame, right: DataFrame, key: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:
     """The n-th row of a key on the left meets the n-th on the right; each row is used once, and nulls are no key."""
     number = lambda df, order: df.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

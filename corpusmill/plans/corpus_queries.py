@@ -175,9 +175,18 @@ def theta_contains_join(spark: SparkSession, d: str) -> DataFrame:
 sum(CASE WHEN o.o_totalprice >= 100000 AND o.o_orderstatus = 'O' THEN 0 ELSE 1 END) AS rejected FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1) WHERE accepted >= 2""")
 def speaker_segment_residual_join(spark: SparkSession, d: str) -> DataFrame:
     orders = scan(spark, f"{d}/orders.parquet", columns=["o_custkey", "o_totalprice", "o_orderstatus"])
-    ok = ((F.col("o_totalprice") >= 100000) & (F.col("o_orderstatus") == "O")).cast("int")
-    met = scan(spark, f"{d}/customer.parquet", columns=["c_custkey"]).join(orders, F.col("c_custkey") == F.col("o_custkey"))
-    return met.groupBy("c_custkey").agg(F.sum(ok).alias("accepted"), F.sum(1 - ok).alias("rejected")).filter("accepted >= 2")
+    ok = (F.col("o_totalprice") >= 100000) & (F.col("o_orderstatus") == "O")
+    return relational.kept_children(scan(spark, f"{d}/customer.parquet", columns=["c_custkey"]), orders, "c_custkey", "o_custkey", ok)
+
+
+@query("""SELECT e.event_id, e.user_id, a.rate, a.rate IS NOT NULL AS has_audio FROM events e LEFT JOIN (SELECT DISTINCT user_id, 8000 * (1 + user_id % 3) AS rate FROM events WHERE user_id % 5 <> 0) a USING (user_id)""")
+def tables_with_audio(spark: SparkSession, d: str) -> DataFrame:
+    """Events as tables and users as recordings, a fifth of which are missing."""
+    rows = scan(spark, f"{d}/events.parquet", columns=["event_id", "user_id"])
+    audio = rows.filter("user_id % 5 != 0").select(F.col("user_id").alias("id"), (8000 * (1 + F.col("user_id") % 3)).alias("rate"))
+    met, missing = relational.with_audio(rows, audio, "user_id", "id")
+    both = met.withColumn("has_audio", F.lit(True)).unionByName(missing.withColumn("has_audio", F.lit(False)), allowMissingColumns=True)
+    return both.select("event_id", "user_id", "rate", "has_audio")
 
 
 @query("SELECT coalesce(l.quality, -1) AS quality, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")

@@ -95,3 +95,12 @@ def test_what_is_taken_out_is_told(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, found.select("k", plain).collect()))
     wanted = [(1, "stop line", "de cest la"), (1, "foreign line", "you there"), (1, "word", "htm"), (1, "word", "wurd|x"), (1, "word", "htm"), (1, "word", "htm"), (1, "short line", "ab"), (1, "short line", "ab")]
     assert sorted(map(tuple, out.collect())) == sorted(wanted)
+
+
+def test_children_that_count(spark):
+    parents = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    children = spark.createDataFrame([(1, 5), (1, 6), (1, None), (2, 5), (2, 1), (9, 7), (9, 8)], "p int, v int")
+    assert [tuple(r) for r in relational.kept_children(parents, children, "k", "p", F.col("v") > 4).collect()] == [(1, 2, 1)]
+    tables, audio = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "f string, n int"), spark.createDataFrame([("a", 16000), ("a", 16000), (None, 1)], "id string, rate int")
+    met, missing = relational.with_audio(tables, audio, "f", "id")
+    assert [tuple(r) for r in met.collect()] == [("a", 1, 16000)] and sorted(r.n for r in missing.collect()) == [2, 3]
