@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from corpusmill.operators.relational import small_side
 from corpusmill.sources.scratch import checkpointed
 
-#: Up to this many rows a group's distances are held as a matrix in one task; rounds bring larger ones down to it.
-MOST_ROWS = 4000
+#: Up to this many rows a group's distances are held as a matrix in one task, in cubic time; rounds bring larger ones down to it.
+MOST_ROWS = 2000
 #: Clusters of a block; a task compares two blocks.
 BLOCK = 2048
 

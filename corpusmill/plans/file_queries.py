@@ -235,3 +235,107 @@ def rejects_by_rule(spark: SparkSession, d: str) -> DataFrame:
     lines = kept.select(F.lit("kept").alias("rule"), F.explode(tx.sentences(F.col("kept"))).alias("item")).filter("item != ''")
     counts = rejected.select("rule", "item").unionAll(lines).groupBy("rule", "item").agg(F.count("*").alias("n"))
     return counts.groupBy("rule").agg(F.sum("n").alias("n_rejected"), F.count("*").alias("n_distinct"), F.min("item").alias("first_item"))
+
+
+@query("""SELECT start, speaker_id, text, "end", "end" - start AS duration, true AS good FROM (SELECT event_id::DOUBLE AS start, 'N' || user_id AS speaker_id, event_type AS text, event_id + 0.5::DOUBLE AS "end" FROM events WHERE event_id % 11 <> 0)
+UNION ALL SELECT NULL, NULL, 'x' || chr(9) || 'N' || user_id || chr(9) || event_type, NULL, NULL, false FROM events WHERE event_id % 11 = 0""")
+def spoken_files(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of spoken tables; those of three fields are kept apart as they are."""
+    rows, at = scan(spark, f"{d}/events.parquet", columns=["event_id", "user_id", "event_type"]), F.col("event_id")
+    line = F.when(at % 11 == 0, F.concat_ws("\t", F.lit("x"), _text("N", F.col("user_id")), "event_type")).otherwise(F.concat_ws("\t", _text(at), _text("N", F.col("user_id")), "event_type", _text(at + F.lit(0.5))))
+    good, bad = readers.spoken_tables(spark, _put(rows, line))
+    good = good.select("start", "speaker_id", "text", "end", "duration", F.lit(True).alias("good"))
+    return good.unionByName(bad.select(F.col("line").alias("text"), F.lit(False).alias("good")), allowMissingColumns=True)
+
+
+@query("SELECT 'p' || p_partkey AS word, p_name AS pron FROM part")
+def run_lexicon_files(spark: SparkSession, d: str) -> DataFrame:
+    """A word up to the first space, its pronunciation after it."""
+    rows = scan(spark, f"{d}/part.parquet", columns=["p_partkey", "p_name"])
+    return readers.lexicon(spark, _put(rows, _text("p", F.col("p_partkey"), "   ", F.col("p_name"))))
+
+
+@query("""SELECT 'council' AS name, 'p' || p_partkey AS word, 'p ' || p_partkey AS pron, CASE p_partkey % 3 WHEN 0 THEN 'Dutch' WHEN 1 THEN 'Frisian' END AS language FROM part
+UNION ALL SELECT 'frysk', 'p' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '-nl' WHEN 1 THEN '-fr' ELSE '' END, 'p' || CASE p_partkey % 3 WHEN 0 THEN '-nl' WHEN 1 THEN '-fr' ELSE '' END || ' ' || p_partkey, 'Frisian' FROM part
+UNION ALL SELECT 'overlap', 'p' || p_partkey, NULL, NULL FROM part WHERE p_partkey % 3 = 2""")
+def named_lexicon_files(spark: SparkSession, d: str) -> DataFrame:
+    """A lexicon labelled word by word, the same file as one of a single language, and the list of words of both."""
+    rows, key, folder = scan(spark, f"{d}/part.parquet", columns=["p_partkey"]), F.col("p_partkey"), new_folder(spark)
+    label = F.when(key % 3 == 0, "-nl").when(key % 3 == 1, "-fr").otherwise("")
+    for name in ("council", "frysk"):
+        sinks.write_lines(rows, _text("p", key, label, " p", label, " ", key), f"{folder}/{name}")
+    sinks.write_lines(rows.filter("p_partkey % 3 = 2"), _text("p", key), f"{folder}/overlap_wordlist")
+    found = [readers.named_lexicon(spark, folder, n).withColumn("name", F.lit(n)) for n in ("council", "frysk")]
+    both = readers.overlap_words(spark, folder).select("word", F.lit("overlap").alias("name"))
+    return found[0].unionByName(found[1]).unionByName(both, allowMissingColumns=True).select("name", "word", "pron", "language")
+
+
+@query("""SELECT 'w' || p_partkey AS word, row_number() OVER (ORDER BY p_partkey) - 1 AS idx FROM part""")
+def word_list_files(spark: SparkSession, d: str) -> DataFrame:
+    """The first word of each line, numbered by its first place; each word stands twice."""
+    rows = scan(spark, f"{d}/part.parquet", columns=["p_partkey"]).select(F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") + 10**9)).alias("at"), "p_partkey")
+    rows = rows.coalesce(1).sortWithinPartitions("at")  # one file, whose order gives the numbers
+    return readers.word_list(spark, _put(rows, _text("w", F.col("p_partkey"), " n", F.col("at"))))
+
+
+@query("""SELECT 'chunk' || (event_id % 9) || '.wav' AS wav, count(*) AS n, min('chunk' || (event_id % 9) || '_speaker_' || lpad((event_id // 9 + 1)::VARCHAR, 4, '0')) AS first, max('chunk' || (event_id % 9) || '_speaker_' || lpad((event_id // 9 + 1)::VARCHAR, 4, '0')) AS last
+FROM events WHERE event_id < 9000 GROUP BY ALL""")
+def chunk_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files for recordings cut into chunks of one speaker each."""
+    at = F.col("event_id")
+    rows = scan(spark, f"{d}/events.parquet", columns=["event_id"]).filter("event_id < 9000")
+    chunks = rows.select(F.floor(at / 9 + 1).cast("int").alias("chunk"), _text("/w/chunk", at % 9, ".wav").alias("path"), at.cast("double").alias("start"), (at + 1).cast("double").alias("end"))
+    folder = new_folder(spark)
+    sinks.kaldi_for_chunks(chunks, folder, force=True)
+    found = spark.read.text(f"{folder}/segments").select(F.split("value", " ").alias("p")).select(F.concat(F.element_at("p", 2), F.lit(".wav")).alias("wav"), F.element_at("p", 1).alias("u"))
+    return found.groupBy("wav").agg(F.count("*").alias("n"), F.min("u").alias("first"), F.max("u").alias("last"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY 'item' || item_id) - 1 || '___item' || item_id || '.txt' AS name, md5(replace(replace(text, chr(13), ''), chr(10), ' ')) AS digest FROM benchmark""")
+def one_file_each(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each item, found again by listing the folder."""
+    plain = F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))
+    folder = new_folder(spark)
+    sinks.write_each(scan(spark, f"{d}/benchmark.parquet").select(_text("item", F.col("item_id")).alias("name"), plain.alias("text")), folder, "name", "text")
+    listed = readers.listed(spark, folder).filter("kind = 'txt'").select(F.regexp_extract("folder", "name=([^/]+)$", 1).alias("name")).distinct()
+    texts = spark.read.text(folder).select("name", F.md5(F.col("value").cast("binary")).alias("digest"))
+    return texts.join(listed, "name")
+
+
+@query("""SELECT 'train' AS split, s_suppkey, s_name FROM supplier WHERE s_suppkey % 10 > 1 UNION ALL SELECT 'validation', s_suppkey, NULL FROM supplier WHERE s_suppkey % 10 = 1""")
+def dataset_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two splits as one table, one without a column of the other, and a column left out."""
+    rows, key, folder = scan(spark, f"{d}/supplier.parquet", columns=["s_suppkey", "s_name", "s_acctbal"]), F.col("s_suppkey"), new_folder(spark)
+    rows.filter(key % 10 > 1).withColumn("split", F.lit("train")).write.parquet(f"{folder}/train")
+    rows.filter(key % 10 == 1).withColumn("split", F.lit("validation")).drop("s_name").write.parquet(f"{folder}/validation")
+    rows.filter(key % 10 == 0).write.parquet(f"{folder}/test")
+    return readers.dataset(spark, folder, "train+validation", ("s_acctbal",)).select("split", "s_suppkey", "s_name")
+
+
+@query("""SELECT c_custkey AS line_no, c_name || chr(9) || c_mktsegment AS line FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS c_custkey, c_name, c_mktsegment FROM customer)""")
+def log_files(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions and truths by tabs, read back as numbered lines."""
+    folder = new_folder(spark)
+    rows = scan(spark, f"{d}/customer.parquet", columns=["c_custkey", "c_name", "c_mktsegment"]).coalesce(1).sortWithinPartitions("c_custkey")
+    sinks.write_log(rows, ["c_name", "c_mktsegment"], folder)
+    return readers.corpus_lines(spark, folder).select("line_no", "line")
+
+
+@query("""SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'all' END AS description FROM nation""")
+def seeded_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """A dimension seeded twice: names that are there keep what they say."""
+    rows, folder = scan(spark, f"{d}/nation.parquet", columns=["n_name", "n_nationkey"]), new_folder(spark)
+    names = lambda df, text: [(r["n_name"], text) for r in df.collect()]  # noqa: E731  a dimension's names
+    sinks.seed_dimension(spark, folder, names(rows.filter("n_nationkey % 2 = 0"), "even"))
+    sinks.seed_dimension(spark, folder, names(rows, "all"))
+    return spark.read.parquet(folder)
+
+
+@query("""SELECT o_orderkey AS k, o_orderstatus AS v FROM (SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) WHERE n >= 1000""")
+def load_from_start(spark: SparkSession, d: str) -> DataFrame:
+    """A load that begins at row 1,000, counted from 0, twice."""
+    rows = scan(spark, f"{d}/orders.parquet", columns=["o_orderkey", "o_orderstatus"]).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    folder = new_folder(spark)
+    for _ in range(2):
+        sinks.insert_if_absent(rows, folder, ["k"], start=1000, order=["k"])
+    return spark.read.parquet(folder)

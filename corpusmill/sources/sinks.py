@@ -132,8 +132,9 @@ def write_manifest_document(df: DataFrame, path: str) -> None:
 
 
 def write_vocabulary(df: DataFrame, path: str) -> None:
-    """char and id rows as one JSON object."""
-    df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("char", "id"))))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """char and id rows, as many as a script has characters, as one JSON object in order of id."""
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("id", "char"))), lambda x: F.struct(x["char"], x["id"]))
+    df.agg(F.to_json(F.map_from_entries(entries)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_lexicon(entries: DataFrame, path: str, language: str | None = None, drop_errors: bool = True) -> None:
