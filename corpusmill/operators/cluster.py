@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusmill.operators.relational import small_side
-from corpusmill.sources.scratch import checkpointed
+from corpusmill.sources.scratch import written
 
 #: Up to this many rows a group's distances are held as a matrix in one task, in cubic time; rounds bring larger ones down to it.
 MOST_ROWS = 2000
@@ -163,7 +163,7 @@ def _nearest(cell: pa.Table) -> pa.Table:
 def _round(clusters: DataFrame, block: int) -> DataFrame:
     """Pairs of clusters that are nearest to each other: lo, hi, d."""
     near = _cells(clusters, block).groupBy("g", "lo", "hi").applyInArrow(_nearest, "node long, d double, tie long, partner long")
-    best = checkpointed(near.groupBy("node").agg(F.min(F.struct("d", "tie", "partner")).alias("best")).select("node", "best.partner", "best.d"))
+    best = written(near.groupBy("node").agg(F.min(F.struct("d", "tie", "partner")).alias("best")).select("node", "best.partner", "best.d"))
     back = best.select(F.col("node").alias("partner"), F.col("partner").alias("node"))
     return best.filter("node < partner").join(back, ["node", "partner"]).select(F.col("node").alias("lo"), F.col("partner").alias("hi"), "d")
 
@@ -171,12 +171,12 @@ def _round(clusters: DataFrame, block: int) -> DataFrame:
 def _merged(clusters: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The clusters after a round, and its merges: g, lo, hi, d and the least key of either part."""
     of = lambda side: clusters.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("g", "size", "centre", "least")])
-    met = checkpointed(pairs.join(of("lo"), "lo").join(of("hi"), "hi"))
+    met = written(pairs.join(of("lo"), "lo").join(of("hi"), "hi"))
     size = F.col("size_lo") + F.col("size_hi")
     middle = F.zip_with("centre_lo", "centre_hi", lambda a, b: (F.col("size_lo") * a + F.col("size_hi") * b) / size)
     made = met.select(F.col("g_lo").alias("g"), F.col("lo").alias("node"), size.alias("size"), middle.alias("centre"), F.least("least_lo", "least_hi").alias("least"))
     gone = met.select(F.explode(F.array("lo", "hi")).alias("node"))
-    return checkpointed(clusters.join(gone, "node", "left_anti").unionByName(made)), met.select(F.col("g_lo").alias("g"), "lo", "hi", "d", "least_lo", "least_hi")
+    return written(clusters.join(gone, "node", "left_anti").unionByName(made)), met.select(F.col("g_lo").alias("g"), "lo", "hi", "d", "least_lo", "least_hi")
 
 
 def cuts(group: pa.Table, kmax: int) -> list[tuple[int, list[int] | None, bool]]:
@@ -263,7 +263,7 @@ def _large(rows: DataFrame, kmax: int, most: int, block: int) -> DataFrame:
     """g, key, cluster for rows (g, key, centre) of groups of more than ``most`` rows."""
     kmax = max(kmax, 3)  # two clusters at least
     points = rows.groupBy("g", "centre").agg(F.min("key").alias("least"), F.count("*").alias("size"))  # equal vectors merge first
-    points = checkpointed(points.withColumn("node", F.monotonically_increasing_id()))
+    points = written(points.withColumn("node", F.monotonically_increasing_id()))
     clusters, merges = points, []
     while True:
         wide = clusters.groupBy("g").count().filter(F.col("count") > most).select("g")
@@ -280,13 +280,13 @@ def _large(rows: DataFrame, kmax: int, most: int, block: int) -> DataFrame:
     for made in merges:
         # the highest merges alone can be undone
         told = told.unionByName(_highest(made, kmax).select("g", F.lit(1).alias("kind"), F.col("hi").alias("node"), *none(size="long", centre="array<double>", least=kind), F.col("lo").alias("into"), "d", "round", "least_lo", "least_hi"))
-    cut = checkpointed(told.groupBy("g").applyInArrow(_cut(kmax), "node long, labels array<int>, undone boolean"))
+    cut = written(told.groupBy("g").applyInArrow(_cut(kmax), "node long, labels array<int>, undone boolean"))
     undone = cut.filter("undone").select(F.col("node").alias("hi"))
     roots = cut.select("node", "labels")
     for made in reversed(merges):  # from the last round back: what was merged into a node has its labels
         step = made.select("lo", "hi").join(small_side(undone), "hi", "left_anti")  # a few rows a group
-        roots = checkpointed(roots.unionByName(step.join(roots.withColumnRenamed("node", "lo"), "lo").select(F.col("hi").alias("node"), "labels")))
-    points = checkpointed(points.join(roots, "node"))
+        roots = written(roots.unionByName(step.join(roots.withColumnRenamed("node", "lo"), "lo").select(F.col("hi").alias("node"), "labels")))
+    points = written(points.join(roots, "node"))
     best = _chosen(points, kmax, block)
     named = points.join(small_side(best), "g").select("g", "centre", F.col("labels")[F.col("choice")].cast("long").alias("cluster"))
     return rows.join(named, ["g", "centre"]).select("g", "key", "cluster")
@@ -305,7 +305,7 @@ def cluster_groups(df: DataFrame, group: str, key: str, vector: str, kmax: int =
     most = MOST_ROWS if most is None else most
     kinds = dict(df.dtypes)
     rows = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("centre"))
-    wide = checkpointed(rows.groupBy("g").count().filter(F.col("count") > most).select("g"))
+    wide = written(rows.groupBy("g").count().filter(F.col("count") > most).select("g"))
     small = rows.join(small_side(wide), "g", "left_anti")  # fewer rows than one in ``most``
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
