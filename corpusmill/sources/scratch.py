@@ -19,8 +19,11 @@ def _shared(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """The path of a folder that does not exist yet, where the driver and all executors can write and read."""
-    return f"{_shared(spark)}/files-{uuid.uuid4().hex}"
+    """The path of a folder that does not exist yet, where the driver and all executors can write and read; it goes when the
+    driver ends."""
+    path = f"{_shared(spark)}/files-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -40,7 +43,6 @@ def written(df: DataFrame) -> DataFrame:
     knows of the plan before it, and in a loop of joins these grow from round to round. The table goes when the driver ends."""
     spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
