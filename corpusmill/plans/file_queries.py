@@ -86,7 +86,7 @@ def lexicon_files(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) AS INTEGER) AS idx FROM (SELECT word, count(*) AS n FROM ({_WORDS}) WHERE lang = 'de' AND regexp_matches(word, '^[a-z]+$') GROUP BY word) UNION ALL SELECT '</s>', 0""")
 def vocabulary_files(spark: SparkSession, d: str) -> DataFrame:
     """Words numbered by falling frequency, with the end of a sentence as 0."""
-    counts = _words(spark, d, "lang").filter((F.col("lang") == "de") & F.col("word").rlike("^[a-z]+$")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = _words(spark, d, "lang").filter((F.col("lang") == "de") & F.col("word").rlike(r"^[a-z]+\z")).groupBy("word").agg(F.count("*").alias("n"))
     folder = new_folder(spark)
     sinks.write_integer_vocabulary(counts, folder)
     return readers.integer_vocabulary(spark, folder)
