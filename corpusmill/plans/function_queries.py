@@ -156,7 +156,7 @@ def wave_sections(spark: SparkSession, d: str) -> DataFrame:
     rows = scan(spark, f"{d}/embeddings.parquet", columns=["vec_id", "embedding"])
     start = (F.col("vec_id") % 8).cast("double") / 16
     part = readers.wave_section(F.col("embedding"), start, start + 1, 16)
-    return rows.select("vec_id", F.array_join(F.transform(part, lambda x: F.floor(x.cast("double") * 1000).cast("string")), " ").alias("section"))
+    return rows.select("vec_id", F.array_join(F.transform(part, lambda x: F.floor(x * F.lit(1000).cast("float")).cast("string")), " ").alias("section"))  # in the samples' own precision
 
 
 @query("""SELECT vec_id, round(5 * stddev_pop(x), 5) AS reference FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY vec_id""")
