@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusmill.functions.similarity import text_edits, with_word_edits
@@ -11,6 +15,8 @@ from corpusmill.operators import relational
 
 #: Words from which the distance over bits is the faster one.
 LONG = 64
+#: Words of the sentences that meet a dictionary together.
+CHUNK_WORDS = 2_000_000
 
 
 def word_counts(df: DataFrame, words: Column, *by: str) -> DataFrame:
@@ -170,14 +176,44 @@ def word_labels(words: DataFrame, label: str) -> DataFrame:
 def labelled_words(df: DataFrame, key: str, sentence_no: str, words: Column, sentence_label: str, word_labels: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     """Each sentence's words with labels: the sentence's own for words of both languages, else the word's.
 
-    The words of both are those of ``shared``, or those flagged so in ``word_labels``. Labels of checked size go to the
-    words; more of them meet each word once a sentence, its places along, so that frequent words are fewer rows.
+    The words of both are those of ``shared``, or those flagged so in ``word_labels``. Sentences are dealt into chunks; a
+    chunk asks for the labels of its different words, and its sentences take them where they lie.
     """
     own = word_labels if shared is None else word_labels.join(shared.select("word").distinct().withColumn("shared", F.lit(True)), "word", "left")
-    own = own.filter(~F.coalesce("shared", F.lit(False))).select("word", F.col("label").alias("_own"))
-    items = df.select(key, sentence_no, sentence_label, F.posexplode(words).alias("pos", "word")).filter("word != ''")
-    few = own.limit(relational.BROADCAST_ROWS + 1).count() <= relational.BROADCAST_ROWS
-    places = items.withColumn("places", F.array("pos")) if few else items.groupBy(key, sentence_no, sentence_label, "word").agg(F.collect_list("pos").alias("places"))
-    places = places.join(F.broadcast(own) if few else own, "word", "left")
-    item = F.transform("places", lambda p: F.struct(p.alias("pos"), F.concat_ws("-", "word", F.coalesce("_own", sentence_label)).alias("w")))
-    return places.groupBy(key, sentence_no).agg(F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list(item))), lambda x: x["w"]), " ").alias("labelled"))
+    own = own.filter(~F.coalesce("shared", F.lit(False))).select("word", F.col("label").cast("string").alias("own"))
+    rows = df.select(F.col(key).alias("key"), F.col(sentence_no).alias("no"), F.col(sentence_label).cast("string").alias("label"), words.alias("words"))
+    n = rows.agg(F.sum(F.size("words"))).first()[0] or 0
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "no"), F.lit(max(n, 0) // CHUNK_WORDS + 1)))
+    asked = rows.groupBy("chunk").applyInArrow(_asked_words, "chunk long, word string")
+    answers = asked.join(relational.small_side(own), "word").select("chunk", "word", "own")
+    kinds = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("no", rows.schema["no"].dataType), T.StructField("labelled", T.StringType())])
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_labelled, kinds).select(F.col("key").alias(key), F.col("no").alias(sentence_no), "labelled")
+
+
+def _asked_words(chunk: pa.Table) -> pa.Table:
+    words = pc.unique(pc.list_flatten(chunk["words"].combine_chunks())).cast(pa.string())
+    return pa.table([pa.repeat(pa.scalar(chunk["chunk"][0].as_py(), pa.int64()), len(words)), words], names=["chunk", "word"])
+
+
+def _labelled(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """The sentences of a chunk; rows of one sentence are put together by the places of their words."""
+    chunk, answers = chunk.combine_chunks(), answers.combine_chunks()
+    words = chunk["words"].combine_chunks()
+    word, row = pc.list_flatten(words).cast(pa.string()), pc.list_parent_indices(words).to_numpy()
+    keep = pc.fill_null(pc.not_equal(word, ""), False)
+    sizes = np.bincount(row, minlength=len(chunk))
+    pos = (np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row])[keep.to_numpy(zero_copy_only=False)]
+    word, row = word.filter(keep), row[keep.to_numpy(zero_copy_only=False)]
+    own = answers["own"].combine_chunks().take(pc.index_in(word, answers["word"].combine_chunks()))
+    label = pc.coalesce(own, chunk["label"].combine_chunks().take(pa.array(row)))
+    item = pc.binary_join_element_wise(word, label, "-", null_handling="skip")
+    sentences: dict = {}
+    of = np.array([sentences.setdefault(repr(x), i) for i, x in enumerate(zip(chunk["key"].to_pylist(), chunk["no"].to_pylist(), strict=True))], np.int64)
+    row = of[row]
+    if len(sentences) < len(of):
+        order = np.array(sorted(range(len(row)), key=lambda i: (row[i], pos[i], item[i].as_py())), np.int64)
+        row, item = row[order], item.take(pa.array(order))
+    sizes = np.bincount(row, minlength=len(chunk))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), item)
+    found = pa.array(np.flatnonzero(sizes))
+    return pa.table([chunk["key"].take(found), chunk["no"].take(found), pc.binary_join(lists, " ").take(found)], names=["key", "no", "labelled"])

@@ -86,6 +86,18 @@ def test_labels_of_words_in_either_plan(spark, monkeypatch):
     assert ag.labelled_words(df, "k", "no", F.col("w"), "l", own).collect() == found
 
 
+def test_labels_by_chunk(spark, monkeypatch):
+    """Sentences in several chunks, with rows of one sentence, nulls and repeats; no word is a row of its own on its way to the labels."""
+    own = spark.createDataFrame([("a", "x", False), ("b", "y", True), ("c", None, False)], "word string, label string, shared boolean")
+    rows = [(i, 0, "z", ["a", "b", "", None, "c", "a"]) for i in range(50)] + [(None, 1, None, ["b", "a"]), (60, 0, "z", None), (7, 0, "w", ["q", "", "b"])]
+    df = spark.createDataFrame(rows, "k int, no int, l string, w array<string>")
+    monkeypatch.setattr(ag, "CHUNK_WORDS", 20)
+    found = ag.labelled_words(df, "k", "no", F.col("w"), "l", own)
+    got = {(r.k, r.no): r.labelled for r in found.collect()}
+    assert len(got) == 51 and got[3, 0] == "a-x b-z c-z a-x" and got[None, 1] == "b a-x" and got[7, 0] == "a-x q-w b-z b-w c-z a-x"
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_what_is_taken_out_is_told(spark):
     """Kept text is that of the steps one after the other, and each thing taken out stands under the rule that struck it."""
     text = "de cest la\nyou there\nin htm moai wurd|x\nab\n\nhtm ab\nhtm\nlange rigel"
