@@ -574,7 +574,11 @@ _THREE = "(SELECT doc_id, list_filter(string_split(lower(regexp_replace(text, '[
 
 
 def _three(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d, "doc_id", "text").select("doc_id", F.filter(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z ]", "")), " "), lambda x: x != "").alias("w")).filter(F.size("w") >= 3)
+    """The words of texts with three or more, up to the third; what stands behind it changes nothing, and only its head is cleaned."""
+    token, gap = "[^ A-Za-z]*+[A-Za-z][^ ]*+", " (?:[^ A-Za-z]*+ )*+"
+    head = F.regexp_extract("text", f"^(?:[^ A-Za-z]*+ )*+{token}(?:{gap}{token}){{2}}", 0)
+    words = F.filter(F.split(F.lower(F.regexp_replace(F.col("head"), "[^A-Za-z ]", "")), " "), lambda x: x != "")
+    return _documents(spark, d, "doc_id", "text").select("doc_id", head.alias("head")).filter("head != ''").select("doc_id", words.alias("w"))
 
 
 @query(f"SELECT doc_id, w[1] || '-fr ' || w[2] || '-nl ' || w[3] || '-fr' AS tagged, w[1] || ' ' || w[2] || ' ' || w[3] AS bare, true AS switched FROM {_THREE} WHERE len(w) >= 3")
