@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +47,38 @@ def _coded(items: Column, vocabulary: Column) -> Column:
     return F.array_join(F.transform(items, lambda w: F.substr(F.lit(_ALPHABET), F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
 
 
-def _edits(x: list[str], y: list[str]) -> int:
-    """Edit distance, exact and in linear memory: a column of the table is two integers of a bit a word (Myers, Hyyrö)."""
+#: So many words ahead an alignment looks for its place again.
+_AHEAD = 8
+
+
+def _aligned(x: list[str], y: list[str]) -> int:
+    """Cost of one alignment, found in one walk: at words that differ either side skips up to where two words in a row agree
+    again, else both go on by one. No less than the edit distance."""
+    m, n, i, j, cost = len(x), len(y), 0, 0, 0
+    while i < m and j < n:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        skip_x = skip_y = 1
+        if not (i + 1 < m and j + 1 < n and x[i + 1] == y[j + 1]):
+            for k in range(1, _AHEAD + 1):
+                if i + k < m and x[i + k] == y[j] and x[i + k + 1 : i + k + 2] == y[j + 1 : j + 2]:
+                    skip_x, skip_y = k, 0
+                    break
+                if j + k < n and x[i] == y[j + k] and x[i + 1 : i + 2] == y[j + k + 1 : j + k + 2]:
+                    skip_x, skip_y = 0, k
+                    break
+        cost += max(skip_x, skip_y)
+        i, j = i + skip_x, j + skip_y
+    return cost + m - i + n - j
+
+
+def _edits(x: list[str], y: list[str], bounds: bool = True) -> int:
+    """Edit distance, exact and in linear memory: a column of the table is two integers of a bit a word (Myers, Hyyrö).
+
+    With ``bounds`` the words that both have bound it from below and an alignment from above; where these meet, the table is
+    not needed.
+    """
     begin, end = 0, 0
     while begin < min(len(x), len(y)) and x[begin] == y[begin]:
         begin += 1
@@ -54,6 +87,10 @@ def _edits(x: list[str], y: list[str]) -> int:
     x, y = x[begin : len(x) - end], y[begin : len(y) - end]
     if not x or not y:
         return len(x) + len(y)
+    if bounds:
+        least = max(len(x), len(y)) - (Counter(x) & Counter(y)).total()
+        if _aligned(x, y) == least:
+            return least
     places: dict[str, int] = {}
     for i, w in enumerate(x):
         places[w] = places.get(w, 0) | 1 << i
@@ -74,11 +111,6 @@ def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _edits(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
-def _text_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    words = lambda s: [w for w in s.split(" ") if w]
-    return pd.Series([None if x is None or y is None else _edits(words(x), words(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
-
-
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of two arrays of words.
 
@@ -103,6 +135,19 @@ def with_word_edits(df: DataFrame, reference: str, hypothesis: str, name: str =
     return near.unionByName(df.filter(~few).withColumn(name, word_edits_any(F.col(reference), F.col(hypothesis))))
 
 
-def text_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance in words of two texts of any length, whose words spaces part."""
-    return F.pandas_udf(_text_distance, "long")(reference, hypothesis)
+def text_edits(long: int):
+    """For ``mapInArrow``: batches of two texts, whose words spaces part, as the sums of their edits and of the first one's
+    words. A pair with a null has no edits; pairs of up to ``long`` words go to the table at once."""
+
+    def run(it):
+        for batch in it:
+            edits, n = [], []
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = ([w for w in t.split(" ") if w] if t is not None else None for t in (a, b))
+                if x is not None:
+                    n.append(len(x))
+                    if y is not None:
+                        edits.append(_edits(x, y, max(len(x), len(y)) > long))
+            yield pa.RecordBatch.from_arrays([pa.array([sum(v) if v else None], pa.int64()) for v in (edits, n)], names=["e", "n"])
+
+    return run
