@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,6 +137,47 @@ def next_word_pairs(df: DataFrame, key: str, words: Column) -> DataFrame:
     return df.select(key, F.posexplode(pairs).alias("pos", "p")).select(key, "pos", "p.word", "p.next").filter("next is not null")
 
 
+#: Words whose pairs are counted at once.
+PAIR_WORDS = 2_000_000
+
+
+def next_word_counts(df: DataFrame, text: Column) -> DataFrame:
+    """word, next, n: how often a word of a text stands before another. Single spaces part words; empty ones are left out.
+
+    Pairs are counted in the task, where words are numbers, before they meet.
+    """
+    counted = df.select(text.alias("text")).mapInArrow(_counted_pairs, "word string, next string, n long")
+    return counted.groupBy("word", "next").agg(F.sum("n").alias("n"))
+
+
+def _counted_pairs(it):
+    held, size = [], 0
+    for batch in it:
+        words = pc.split_pattern(batch.column(0), " ")
+        flat, text = words.flatten(), pc.list_parent_indices(words)
+        there = pc.not_equal(flat, "")
+        held.append((flat.filter(there), text.filter(there).to_numpy()))
+        size += len(held[-1][0])
+        if size >= PAIR_WORDS:
+            yield from _pairs(held)
+            held, size = [], 0
+    if size:
+        yield from _pairs(held)
+
+
+def _pairs(held: list[tuple[pa.Array, np.ndarray]]):
+    """Counts of the pairs in some batches of (words, the text of each)."""
+    coded = pa.chunked_array([words for words, _ in held]).combine_chunks().dictionary_encode()
+    code, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    inside = np.concatenate([np.r_[text[1:] == text[:-1], False] if len(text) else np.zeros(0, bool) for _, text in held])
+    at = np.flatnonzero(inside)
+    pairs, times = np.unique(code[at] * n + code[at + 1], return_counts=True)
+    for i in range(0, len(pairs), 100_000):
+        some = slice(i, i + 100_000)
+        first, then = (coded.dictionary.take(pa.array(x)) for x in (pairs[some] // n, pairs[some] % n))
+        yield pa.RecordBatch.from_arrays([first, then, pa.array(times[some], pa.int64())], names=["word", "next", "n"])
+
+
 def batches(df: DataFrame, position: str, total: int, parts: int) -> DataFrame:
     """``part`` and ``step`` of a token stream dealt into equal parts; the remainder is dropped."""
     size = total // parts

@@ -91,9 +91,7 @@ def context_window(spark: SparkSession, d: str) -> DataFrame:
 p AS (SELECT ws[i] AS word, ws[i + 1] AS next FROM (SELECT ws, unnest(range(1, len(ws))) AS i FROM w))
 SELECT word, next, count(*) AS n FROM p GROUP BY ALL""")
 def next_word_pairs(spark: SparkSession, d: str) -> DataFrame:
-    words = F.filter(tx.words(tx.normalise(F.col("text"))), lambda w: w != "")
-    pairs = windows.next_word_pairs(_documents(spark, d, "doc_id", "text"), "doc_id", words)
-    return pairs.groupBy("word", "next").agg(F.count("*").alias("n"))
+    return windows.next_word_counts(_documents(spark, d, "text"), tx.normalise(F.col("text")))
 
 
 # Filters
