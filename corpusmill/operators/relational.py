@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,8 @@ from corpusmill.sources.scratch import checkpointed
 
 #: A dimension or word list may be broadcast up to this many rows, after they are counted.
 BROADCAST_ROWS = 500_000
+#: A vocabulary of up to so many words is repeated for each partition.
+VOCABULARY_ROWS = 20_000
 #: Bytes of parts that are looked for in one pass; an automaton takes about sixty times as much in each worker.
 PART_BYTES = 2_000_000
 
@@ -219,11 +223,50 @@ def either(column: str, *values) -> Column:
 
 
 def encoded(df: DataFrame, key: str, words: Column, vocabulary: DataFrame, unknown: int) -> DataFrame:
-    """Words as vocabulary numbers in order; those not in it get ``unknown``."""
-    rows = df.select(key, F.posexplode(words).alias("pos", "word"))
-    numbers = rows.join(small_side(vocabulary.select("word", "idx")), "word", "left")
-    item = F.struct("pos", F.coalesce("idx", F.lit(unknown)).alias("idx"))
-    return numbers.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["idx"]).alias("ids"))
+    """Words as vocabulary numbers in order; those not in it get ``unknown``.
+
+    A vocabulary of up to ``VOCABULARY_ROWS`` goes ahead of the rows of each partition, which take their numbers where they
+    lie; with a larger one each word meets its number. Rows of one key are put together by the places of their words.
+    """
+    known = checkpointed(vocabulary.select("word", "idx"))
+    if known.limit(VOCABULARY_ROWS + 1).count() > VOCABULARY_ROWS:
+        rows = df.select(key, F.posexplode(words).alias("pos", "word"))
+        numbers = rows.join(small_side(known), "word", "left")
+        item = F.struct("pos", F.coalesce("idx", F.lit(unknown)).alias("idx"))
+        return numbers.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["idx"]).alias("ids"))
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(key).alias("key"), words.alias("words"))
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part"), F.lit(1).alias("kind"), "key", "words", F.lit(None).cast("int").alias("idx")).filter("size(words) > 0")
+    ahead = spark.range(parts).crossJoin(known.filter("word is not null"))  # parts and numbers are both bounded
+    ahead = ahead.select(F.col("id").alias("part"), F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("key"), F.array("word").alias("words"), F.col("idx").cast("int").alias("idx"))
+    dealt = ahead.unionByName(rows).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    found = dealt.mapInArrow(_numbering(unknown), T.StructType([T.StructField("key", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    placed = F.sort_array(F.flatten(F.transform("all", lambda x: F.transform(x, lambda v, i: F.struct(i.alias("pos"), v.alias("idx"))))))
+    ids = F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.transform(placed, lambda x: x["idx"]))
+    return found.groupBy("key").agg(F.collect_list("ids").alias("all")).select(F.col("key").alias(key), ids.alias("ids"))
+
+
+def _numbering(unknown: int):
+    """Rows' words by the numbers that came before them in the partition."""
+
+    def run(it):
+        words, idx = pa.array([], pa.string()), pa.array([], pa.int32())
+        for batch in it:
+            own = pc.equal(batch["kind"], 0)
+            told, rows = batch.filter(own), batch.filter(pc.invert(own))
+            if len(told):
+                words, idx = pa.concat_arrays([words, told["words"].flatten()]), pa.concat_arrays([idx, told["idx"]])
+                new = pc.equal(pc.index_in(words, words), pa.array(range(len(words)), pa.int32()))
+                words, idx = words.filter(new), idx.filter(new)  # several parts may lie in one partition
+            if len(rows):
+                coded = rows["words"].flatten().dictionary_encode()
+                numbers = pc.fill_null(idx.take(pc.index_in(coded.dictionary, words)), unknown)
+                ids = pc.fill_null(numbers.take(coded.indices), unknown)
+                ends = np.r_[0, np.cumsum(pc.list_value_length(rows["words"]).to_numpy())]
+                yield pa.RecordBatch.from_arrays([rows["key"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=["key", "ids"])
+
+    return run
 
 
 def display_languages(found: Column, main: Column) -> Column:

@@ -17,7 +17,7 @@ from corpusmill.operators import aggregates as ag
 from corpusmill.operators import cluster, langid, ngramlm, relational, splits, windows
 from corpusmill.sources import sinks
 from corpusmill.sources.readers import scan
-from corpusmill.sources.scratch import checkpointed
+from corpusmill.sources.scratch import checkpointed, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -350,9 +350,9 @@ v AS (SELECT word, CAST(row_number() OVER (ORDER BY n DESC, word) AS INTEGER) AS
 SELECT w.doc_id, sum(coalesce(v.idx, 0) * (w.pos % 97))::BIGINT AS mark, count(*) AS n, count(v.idx) AS n_known FROM w LEFT JOIN v ON v.word = w.word GROUP BY w.doc_id""")
 def encode_words(spark: SparkSession, d: str) -> DataFrame:
     """Words as numbers of the 500 most frequent, others 0; a digest of the arrays shows their order."""
-    counts = _words(spark, d).groupBy("word").agg(F.count("*").alias("n"))
-    vocabulary = ag.top_words(counts, 500).select("word", F.col("rank").alias("idx"))
-    ids = relational.encoded(_documents(spark, d, "doc_id", "text"), "doc_id", tx.words(tx.normalise(F.col("text"))), vocabulary, 0)
+    rows = written(_documents(spark, d, "doc_id", "text").withColumn("text", tx.normalise(F.col("text"))))  # read twice
+    vocabulary = ag.top_words(ag.counted_words(rows, F.col("text")), 500).select("word", F.col("rank").alias("idx"))
+    ids = relational.encoded(rows, "doc_id", tx.words(F.col("text")), vocabulary, 0)
     weighted = F.aggregate(F.transform("ids", lambda x, i: x.cast("long") * ((i + 1) % 97)), F.lit(0).cast("long"), lambda a, x: a + x)
     return ids.select("doc_id", weighted.alias("mark"), F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x > 0)).cast("long").alias("n_known"))
 
