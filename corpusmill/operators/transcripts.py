@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusmill.functions import labels, numbers
 from corpusmill.functions import text as tx
 from corpusmill.operators import aggregates, langid, relational
 from corpusmill.operators.windows import global_rank
+from corpusmill.sources.scratch import checkpointed
 
 # Speakers that are no speakers, and the sources by the part they take in training and testing.
 NO_SPEAKER = ("BACKGROUND", "COMMENT")
@@ -202,16 +206,75 @@ def predict_text(df: DataFrame, key: str, text: Column, model: tuple[DataFrame,
     return main.join(grouped, key, "left").withColumn("sentences", F.coalesce("sentences", F.create_map().cast("map<string,array<string>>")))
 
 
+#: Bytes of text that meet the cleaned words together.
+CHUNK_BYTES = 16_000_000
+
+
 def clean_corpus(df: DataFrame, key: str, text: str, language: Column, lexicon: DataFrame) -> DataFrame:
     """``clean`` for each row: numbers in words of the row's language, stops as lines, dashes by the lexicon (word).
 
-    Only words with a dash meet the lexicon, and only number tokens go to Python.
+    White space parts tokens, so that what stands between two spaces is cleaned by itself: each different word once, for all
+    texts. Texts are dealt into chunks; a chunk asks for its different words, and its texts are put together where they lie.
     """
-    dashed = df.select(key, F.explode(tx.dashed_words(F.col(text))).alias("word"))
-    known = dashed.join(lexicon.select("word").distinct(), "word", "left_semi").groupBy(F.col(key).alias("_key")).agg(F.collect_set("word").alias("_known"))
-    rows = df.withColumn("_numbers", numbers.number_map(tx.number_tokens(F.col(text)), language)).join(known, F.col(key) == F.col("_key"), "left")
-    clean = tx.clean_tokens(F.col(text), F.coalesce("_known", F.array().cast("array<string>")), F.col("_numbers"))
-    return rows.withColumn("clean", clean).drop("_numbers", "_key", "_known")
+    rows = df.withColumn("_text", F.col(text)).withColumn("_language", F.coalesce(language.cast("string"), F.lit("")))
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64(key, text), F.lit(size // CHUNK_BYTES + 1)))
+    told = rows.select("_chunk", "_text", "_language")
+    asked = checkpointed(told.groupBy("_chunk").applyInArrow(_asked_words, "chunk long, word string, language string"))
+    words = _clean_words(asked.select("word", "language").distinct(), lexicon)
+    answers = asked.join(words, ["word", "language"]).select("chunk", "word", "language", "clean")
+    kinds = T.StructType([*df.schema.fields, T.StructField("clean", T.StringType())])
+    return rows.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_put_together, kinds)
+
+
+def _clean_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """word, language, clean. Only words with a dash meet the lexicon, and only those with a digit go to Python."""
+    dashed = words.filter(F.col("word").contains("-")).select("word", "language", F.explode(tx.dashed_words(F.col("word"))).alias("token"))
+    known = dashed.join(lexicon.select(F.col("word").alias("token")).distinct(), "token", "left_semi").groupBy("word", "language").agg(F.collect_set("token").alias("known"))
+    digit = F.col("word").rlike("[0-9]")
+    said = words.filter(digit).withColumn("numbers", numbers.number_map(tx.number_tokens(F.col("word")), F.col("language")))
+    rows = said.unionByName(words.filter(~digit).withColumn("numbers", F.lit(None).cast("map<string,string>"))).join(known, ["word", "language"], "left")
+    return rows.select("word", "language", tx.clean_tokens(F.col("word"), F.coalesce("known", F.array().cast("array<string>")), F.col("numbers")).alias("clean"))
+
+
+def _parted(text: str | None) -> list[bytes]:
+    return text.as_buffer().to_pybytes().split() if text.is_valid else []
+
+
+def _plain(word: bytes) -> bool:
+    """Letters from a to z are one token, whose clean form is in lower case."""
+    return word.isalpha() and word.isascii()
+
+
+def _asked_words(chunk: pa.Table) -> pa.Table:
+    """The different words of a chunk, by language."""
+    found: dict[str, set[bytes]] = {}
+    for t, name in zip(chunk["_text"], chunk["_language"].to_pylist(), strict=True):
+        found.setdefault(name, set()).update(_parted(t))
+    asked = [(w.decode(), name) for name, words in found.items() for w in words if not _plain(w)]
+    return pa.table([pa.array([chunk["_chunk"][0].as_py()] * len(asked), pa.int64()), *(pa.array([a[i] for a in asked], pa.string()) for i in range(2))], names=["chunk", "word", "language"])
+
+
+def _put_together(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """The rows of a chunk with their clean texts."""
+    clean: dict[str, dict[bytes, str]] = {}
+    for name, word, form in zip(*(answers[c].to_pylist() for c in ("language", "word", "clean")), strict=True):
+        clean.setdefault(name, {})[word.encode()] = form
+    out = []
+    for t, name in zip(chunk["_text"], chunk["_language"].to_pylist(), strict=True):
+        if not t.is_valid:
+            out.append(None)
+            continue
+        forms, line = clean.setdefault(name, {}), []
+        for w in _parted(t):
+            if (form := forms.get(w)) is None:
+                form = forms[w] = w.decode().lower()  # a plain one
+            if form:
+                line.append(form)
+        line = " ".join(line)
+        out.append(re.sub("\n+", "\n", re.sub(" ?\n ?", "\n", line)) if "\n" in line else line)
+    rows = chunk.drop_columns(["_text", "_language", "_chunk"])
+    return rows.append_column("clean", pa.array(out, pa.string()))
 
 
 def word_flags(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
