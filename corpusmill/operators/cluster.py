@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,10 +115,17 @@ def _cells(rows: DataFrame, block: int) -> DataFrame:
     return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix, without a Python number for each entry."""
+    if column.null_count or len(sizes := pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError("vectors have different lengths")
+    return pc.list_flatten(column).to_numpy().astype(np.float64).reshape(len(column), sizes[0].as_py() if len(sizes) else 0)
+
+
 def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of the rows of the two blocks of a cell, and their vectors about a common middle."""
     own, lo = cell["own"].to_numpy(), cell["lo"][0].as_py()
-    x = np.array(cell["centre"].to_pylist(), np.float64)
+    x = _vectors(cell["centre"])
     x = x - x.mean(axis=0)
     a = np.flatnonzero(own == lo)
     b = np.flatnonzero(own != lo) if cell["hi"][0].as_py() != lo else a
