@@ -11,9 +11,10 @@ at each token from the longest suffix that is a state.
 Sizes: the tree grows with the input, and none of it is broadcast or gathered. Texts are cut into chunks of symbols, which
 are written once. For each length of context a chunk asks the buckets, ranges of the contexts' hashes, about its distinct
 contexts and what follows them, with its own counts; a bucket sums the counts of all chunks, tests its contexts, and answers
-each chunk. Chunks and answers are bucketed alike, so that they meet without a shuffle. A context asks for as many parts as
-it holds ``SPLIT`` occurrences, followers dealt by hash, and no bucket gets a frequent word as a whole: the test is a sum
-over parts.
+each chunk. Chunks and answers are bucketed alike, so that they meet without a shuffle. Groups and buckets exchange one row
+a pair: as the corpus grows, more chunks, ``TOGETHER`` at most, ask as one group, so that rows neither become many nor
+small. A group's chunks are gone through one by one. A context asks for as many parts as it holds ``SPLIT`` occurrences,
+followers dealt by hash, and no bucket gets a frequent word as a whole: the test is a sum over parts.
 
 Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lowered, then one end. Edge cases (tested): a null text is an empty one, its
 only token is the end; a null id is scored and not learnt from; rows that repeat are each scored; without training
@@ -45,6 +46,8 @@ DEPTH = 3
 CHUNK_WORDS = 500_000
 #: Bytes of text for each bucket of contexts.
 BUCKET_BYTES = 8_000_000
+#: Chunks of a group: one for so many bytes of all texts, and so many at most.
+GROUP_BYTES, TOGETHER = 400_000_000, 8
 #: Occurrences of a context for each part that it is dealt to.
 SPLIT = 1_000_000
 #: The end of a text as a symbol; no word has it, as hashes of words are shifted by one bit.
@@ -53,12 +56,12 @@ END = np.uint64(1)
 _STEP = 1024
 _FOLLOWER = np.uint64(40)
 
-_ROWS = "chunk long, kind int, bucket long, data binary"
-_ROWS_SCHEMA = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary())])
-#: Kinds of rows: a chunk's symbols, its words, and from 1 up contexts of so many words; sums over a bucket's words;
-#: what a chunk keeps for the scores.
+_ROWS = "group_id long, kind int, bucket long, data binary"
+_ROWS_SCHEMA = pa.schema([("group_id", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary())])
+#: Kinds of rows: a chunk's symbols, a group's words, and from 1 up contexts of so many words; sums over a bucket's words;
+#: what a chunk keeps for the scores. A chunk's own rows have its number in the group as their bucket.
 TEXT, WORDS, TOTAL, DISTINCT, KEPT = -1, 0, -2, -3, -4
-#: Files of a table of chunks, at most, and bytes of text for each.
+#: Files of a table of groups, at most, and bytes of text for each.
 FILES, FILE_BYTES = 20_000, 32_000_000
 
 
@@ -127,51 +130,93 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ROWS_SCHEMA)], schema=_ROWS_SCHEMA)
 
 
-def _chunked(it):
-    """(doc_id, text, train) as rows of chunks."""
-    part, no = TaskContext.get().partitionId() << 32, 0
+def _chunked(most: int, together: int):
+    """(doc_id, text, train) as rows of chunks of so many tokens, so many chunks a group."""
 
-    def out(ids, train, parts):
+    def out(no, ids, train, parts):
         every, _, number = _numbered(np.concatenate(parts))
         sizes = np.array([len(p) for p in parts], np.int64)
-        return _batch([(part + no, TEXT, 0, pickle.dumps((ids, _packed(np.array(train, bool), sizes, _steps(every), number.astype(np.uint32)))))])
-
-    ids, train, parts, size = [], [], [], 0
-    for some, texts, flags in common.column_batches(it, "doc_id", "text", "train"):
-        for i, text, flag in zip(some.to_pylist(), common.raw(texts), flags.to_pylist(), strict=True):
-            ids.append(i)
-            train.append(flag)
-            parts.append(tokens(text))
-            size += len(parts[-1])
-            if size >= CHUNK_WORDS:
-                yield out(ids, train, parts)
-                ids, train, parts, size, no = [], [], [], 0, no + 1
-    if parts:
-        yield out(ids, train, parts)
+        group, place = divmod(no, together)
+        return _batch([((TaskContext.get().partitionId() << 32) + group, TEXT, place, pickle.dumps((ids, _packed(np.array(train, bool), sizes, _steps(every), number.astype(np.uint32)))))])
+
+    def run(it):
+        no, ids, train, parts, size = 0, [], [], [], 0
+        for some, texts, flags in common.column_batches(it, "doc_id", "text", "train"):
+            for i, text, flag in zip(some.to_pylist(), common.raw(texts), flags.to_pylist(), strict=True):
+                ids.append(i)
+                train.append(flag)
+                parts.append(tokens(text))
+                size += len(parts[-1])
+                if size >= most:
+                    yield out(no, ids, train, parts)
+                    no, ids, train, parts, size = no + 1, [], [], [], 0
+        if parts:
+            yield out(no, ids, train, parts)
+
+    return run
+
+
+class Asked:
+    """What the chunks of a group ask the buckets, one chunk after another."""
+
+    def __init__(self):
+        self.by_bucket: dict[int, list[list[np.ndarray]]] = {}
+
+    def add(self, bucket: int, *arrays: np.ndarray) -> None:
+        self.by_bucket.setdefault(bucket, []).append(arrays)
+
+    def rows(self, kind: int, packed) -> list[tuple[int, int, bytes]]:
+        return [(kind, b, packed(*(x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*self.by_bucket[b], strict=True)))) for b in sorted(self.by_bucket)]
+
+
+class Answers:
+    """The answers to a group, given out to its chunks in the order in which they asked."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        """``rows``: (kind, bucket, data), of any kinds."""
+        self.arrays = {(kind, bucket): _unpacked(data) for kind, bucket, data in rows if kind >= WORDS}
+        self.given: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def take(self, kind: int, cuts: list[tuple[int, int, int]]) -> list[np.ndarray]:
+        """The next so many entries of the arrays by part, and of the last array, from each (bucket, parts, grams)."""
+        out = []
+        for bucket, parts, grams in cuts:
+            *by_part, by_gram = self.arrays[kind, bucket]
+            x, y = self.given.get((kind, bucket), (0, 0))
+            out.append([*(a[x : x + parts] for a in by_part), by_gram[y : y + grams]])
+            self.given[kind, bucket] = x + parts, y + grams
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _texts(rows: list[tuple[int, int, bytes]], kind: int = TEXT) -> list[bytes]:
+    """Data of the chunks of a group, in their order."""
+    return [d for _, d in sorted((b, d) for k, b, d in rows if k == kind)]
 
 
 def _asked_words(buckets: int):
-    """Each chunk's words, with their counts in its training texts, to the buckets."""
+    """A group's words, with their counts in its training texts, to the buckets."""
 
-    def run(it):
-        for chunks, datas in common.column_batches(it, "chunk", "data"):
-            for chunk, data in zip(chunks.to_pylist(), datas.to_pylist(), strict=True):
-                train, sizes, every, number = _unpacked(pickle.loads(data)[1])
-                n = np.bincount(number[np.repeat(train, sizes)], minlength=len(every)).astype(np.uint64)
-                keys = np.cumsum(every)
-                yield _batch([(chunk, WORDS, b, _packed(_steps(keys[x:y]), n[x:y])) for b, x, y in _cuts(keys, buckets)])
+    def run(key, table):
+        asked = Asked()
+        for data in _texts(_rows_of(table)):
+            train, sizes, every, number = _unpacked(pickle.loads(data)[1])
+            n = np.bincount(number[np.repeat(train, sizes)], minlength=len(every)).astype(np.uint64)
+            keys = np.cumsum(every)
+            for b, x, y in _cuts(keys, buckets):
+                asked.add(b, keys[x:y], n[x:y])
+        return pa.Table.from_batches([_batch([(key[0].as_py(), *a) for a in asked.rows(WORDS, lambda keys, n: _packed(_steps(keys), n))])], _ROWS_SCHEMA)
 
     return run
 
 
 def _counted_words(table):
-    """A bucket's answers: the counts of all chunks; and in rows without a chunk its tokens and distinct words, as numbers."""
-    asked = [(c, b, *_unpacked(d)) for c, b, d in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)]
+    """A bucket's answers: the counts of all groups; and in rows without a group its tokens and distinct words, as numbers."""
+    asked = [(c, b, *_unpacked(d)) for c, b, d in zip(table["group_id"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True)]
     keys, _, of = _numbered(np.concatenate([np.cumsum(k) for _, _, k, _ in asked]))
     n = np.bincount(of, np.concatenate([x for _, _, _, x in asked]), len(keys)).astype(np.uint64)
     out, at = [(-1, TOTAL, int(n.sum()), None), (-1, DISTINCT, int((n > 0).sum()), None)], 0
-    for chunk, bucket, k, _ in asked:
-        out.append((chunk, WORDS, bucket, _packed(n[of[at : at + len(k)]])))
+    for group, bucket, k, _ in asked:
+        out.append((group, WORDS, bucket, _packed(n[of[at : at + len(k)]])))
         at += len(k)
     return pa.Table.from_batches([_batch(out)], _ROWS_SCHEMA)
 
@@ -197,20 +242,24 @@ class Level:
     order: np.ndarray
     example: np.ndarray
 
+    def cuts(self, buckets: int) -> list[tuple[int, slice, slice]]:
+        """(bucket, its parts, their grams) for each bucket that is asked."""
+        ends = np.r_[0, np.cumsum(np.bincount(self.gram_part, minlength=len(self.keys)))].tolist()
+        return [(b, slice(x, y), slice(ends[x], ends[y])) for b, x, y in _cuts(self.keys, buckets)]
+
+
+def _lengths(cuts: list[tuple[int, slice, slice]]) -> list[tuple[int, int, int]]:
+    return [(b, p.stop - p.start, g.stop - g.start) for b, p, g in cuts]
+
 
 class Chunk:
     """The symbols of a chunk, and what the answers so far say about each of its tokens."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes]], scale: float, gain: float):
-        """``rows``: (kind, bucket, data) of the chunk and of the answers to it."""
-        answers: dict[int, list] = {}
-        for kind, bucket, data in rows:
-            if kind == TEXT:
-                self.ids, own = pickle.loads(data)
-            else:
-                answers.setdefault(kind, []).append((bucket, data))
-        answers = {k: [np.concatenate(x) for x in zip(*(_unpacked(d) for _, d in sorted(v)), strict=True)] for k, v in answers.items()}
+    def __init__(self, data: bytes, answers: Answers, known: int, buckets: int, split: int, scale: float, gain: float):
+        """``data``: the chunk; ``known``: the length of context up to which there are answers; ``split``: as SPLIT."""
+        self.ids, own = pickle.loads(data)
         train, self.sizes, every, number = _unpacked(own)
+        self.buckets, self.split = buckets, split
         self.symbols, self.number = np.cumsum(every)[number], number.astype(np.int64)
         self.words = len(every)
         #: The number of the context looked at last, which is given out by the chunk; and bits that hold any such number.
@@ -218,14 +267,17 @@ class Chunk:
         self.train = np.repeat(train, self.sizes)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.room = np.arange(len(self.symbols)) - np.repeat(self.begins, self.sizes)
-        self.count = answers[WORDS][0][self.number].astype(np.float64)
+        self.count = answers.take(WORDS, [(b, 0, y - x) for b, x, y in _cuts(np.cumsum(every), buckets)])[0][self.number].astype(np.float64)
         self.root, self.gain, self.depth = (self.count + 0.5) / scale, gain, 0
         self.p = self.root.copy()
         #: Of the context looked at last: whether it is a state, and how often it occurs with the token after it (-1: not asked).
         self.state = np.ones(len(self.symbols), bool)
         self.seen = self.count
-        while (depth := self.depth + 1) in answers:
-            self.learn(self.level(depth), *answers[depth])
+        for depth in range(1, known + 1):
+            v = self.level(depth)
+            if not len(v.at):
+                break  # nor are there longer contexts
+            self.learn(v, *answers.take(depth, _lengths(v.cuts(buckets))))
             self.depth = depth
 
     def level(self, depth: int) -> Level:
@@ -242,7 +294,7 @@ class Chunk:
             _, example, context = _numbered(self.shorter[at] << self.bits | self.number[at - depth])
             example = at[example]
         self.shorter[at] = context
-        parts = (1 + np.maximum(self.seen[example - 1], 0) // SPLIT).astype(np.int64)
+        parts = (1 + np.maximum(self.seen[example - 1], 0) // self.split).astype(np.int64)
         first = np.cumsum(parts) - parts
         part_keys = np.zeros(len(example), np.uint64)
         for word in range(depth, 0, -1):
@@ -270,15 +322,14 @@ class Chunk:
             by = np.arange(len(owners)) + np.repeat(begins - (np.cumsum(number) - number), number)
         return Level(at, context, follows, context[frequent], gram, part_keys[order], first, parts, rank, part, by, example)
 
-    def asks(self, depth: int, buckets: int, last: bool) -> list[tuple[int, int, bytes]]:
-        """(kind, bucket, data): part keys, training counts, number of grams; symbol, count and probability of each gram.
+    def asks(self, depth: int, asked: Asked, last: bool) -> bytes | None:
+        """Part keys, training counts, whether there are more parts, number of grams; symbol, count and probability of each gram, to ``asked``.
 
         With the ``last`` length goes what its answers need for the scores.
         """
         if self.depth != depth - 1:
-            return [(KEPT, 0, self.kept(None))] if last else []  # no context of one word less
+            return self.kept(None) if last else None  # no context of one word less
         v = self.level(depth)
-        out = [(KEPT, 0, self.kept(v))] if last else []
         n = np.repeat(np.bincount(v.context, self.train[v.at], len(v.first)).astype(np.uint64), v.parts)
         held = np.empty(len(n), np.uint64)
         held[v.part_of] = n
@@ -289,13 +340,9 @@ class Chunk:
         number = np.bincount(v.gram_part, minlength=len(v.keys)).astype(np.uint32)
         split = np.empty(len(n), bool)
         split[v.part_of] = np.repeat(v.parts > 1, v.parts)
-        ends = np.r_[0, np.cumsum(number)]
-        for b, x, y in _cuts(v.keys, buckets):
-            g = slice(ends[x], ends[y])
-            # followers of a part are in order, so that differences need fewer of the five bytes
-            planes = _steps(follower[g]).view(np.uint8).reshape(-1, 8)[:, :5]
-            out.append((depth, b, _packed(_steps(v.keys[x:y]), held[x:y], split[x:y], number[x:y], *np.ascontiguousarray(planes.T), grams[g], log[g])))
-        return out
+        for b, p, g in v.cuts(self.buckets):
+            asked.add(b, v.keys[p], held[p], split[p], number[p], follower[g], grams[g], log[g])
+        return self.kept(v) if last else None
 
     def learn(self, v: Level, held: np.ndarray, own: np.ndarray, several: np.ndarray, gain: np.ndarray, grams: np.ndarray) -> None:
         """Take in the answers to ``level``: by part the context's count, the sum and number of frequent followers and their gain.
@@ -328,7 +375,7 @@ class Chunk:
         total = lambda x: np.add.reduceat(x, self.begins)
         sums = [self.sizes, total((self.count > 0).astype(np.int64)), total(np.log10(self.root)), total(np.log10(self.p))]
         if v is None or not len(v.at):
-            return pickle.dumps((self.ids, _packed(*sums), None))
+            return pickle.dumps((self.ids, _packed(*sums), None, None))
         inside, own = np.zeros(len(self.p), bool), np.zeros(len(self.p), bool)
         inside[v.at], own[v.follows] = True, True
         place = np.empty(len(v.order), np.uint32)
@@ -336,19 +383,20 @@ class Chunk:
         split = bool((v.parts > 1).any())
         context = v.context if split else v.part_of[v.context]
         level = [np.packbits(inside), np.packbits(own), context.astype(np.uint32), place[v.gram], self.p[v.example[v.order]]]
-        return pickle.dumps((self.ids, _packed(*sums), _packed(*level, *([v.parts.astype(np.uint32), v.part_of.astype(np.uint32)] if split else []))))
+        return pickle.dumps((self.ids, _packed(*sums), _packed(*level, *([v.parts.astype(np.uint32), v.part_of.astype(np.uint32)] if split else [])), _packed(*np.array(list(zip(*_lengths(v.cuts(self.buckets)), strict=True)), np.int64))))
 
 
-def _scores(kept: bytes, answers: list[tuple[int, bytes]], least: float) -> tuple:
+def _scores(kept: bytes, answers: Answers, depth: int, least: float) -> tuple:
     """ids, tokens, known tokens, log10 at the root and in the tree, once the last length's answers are there."""
-    ids, sums, level = pickle.loads(kept)
+    ids, sums, level, lengths = pickle.loads(kept)
     sizes, known, base, score = _unpacked(sums)
     if level is None:
         return ids, sizes, known, base, score
     inside, own_mass, context, gram, before, *split = _unpacked(level)
-    whole, own, several, gain, n = (np.concatenate(x).astype(np.float64) for x in zip(*(_unpacked(d) for _, d in sorted(answers)), strict=True))
+    cuts = list(zip(*(x.tolist() for x in _unpacked(lengths)), strict=True))
+    whole, own, several, gain, n = (x.astype(np.float64) for x in answers.take(depth, cuts))
     if split:
-        parts, part_of = split
+        parts, part_of = (x.astype(np.int64) for x in split)  # unsigned ones would sum to places that numpy does not take
         first = np.cumsum(parts) - parts
         whole, own, several, gain = whole[part_of[first]], *(np.add.reduceat(x[part_of], first) for x in (own, several, gain))
     left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
@@ -369,10 +417,22 @@ def _rows_of(table) -> list[tuple[int, int, bytes]]:
     return list(zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["data"].to_pylist(), strict=True))
 
 
-def _asking(depth: int, buckets: int, scale: float, gain: float, last: bool):
+def _packed_asks(keys, held, split, number, follower, grams, log) -> bytes:
+    # followers of a part are in order, so that differences need fewer of the five bytes
+    planes = _steps(follower).view(np.uint8).reshape(-1, 8)[:, :5]
+    return _packed(_steps(keys), held, split, number, *np.ascontiguousarray(planes.T), grams, log)
+
+
+def _asking(depth: int, buckets: int, split: int, scale: float, gain: float, last: bool):
     def run(key, table):
-        asked = Chunk(_rows_of(table), scale, gain).asks(depth, buckets, last)
-        return pa.Table.from_batches([_batch([(key[0].as_py(), *a) for a in asked])], _ROWS_SCHEMA)
+        rows, asked, out = _rows_of(table), Asked(), []
+        answers = Answers(rows)
+        for place, data in enumerate(_texts(rows)):
+            kept = Chunk(data, answers, depth - 1, buckets, split, scale, gain).asks(depth, asked, last)
+            if last:
+                out.append((KEPT, place, kept))
+        out += asked.rows(depth, _packed_asks)
+        return pa.Table.from_batches([_batch([(key[0].as_py(), *a) for a in out])], _ROWS_SCHEMA)
 
     return run
 
@@ -388,8 +448,8 @@ def _answering(gain: float):
 
 
 def _answered(table, gain):
-    """A bucket's answers: counts of parts and of grams in the training texts of all chunks, and what the parts gain."""
-    rows = list(zip(*(table[n].to_pylist() for n in ("chunk", "kind", "bucket")), strict=True))
+    """A bucket's answers: counts of parts and of grams in the training texts of all groups, and what the parts gain."""
+    rows = list(zip(*(table[n].to_pylist() for n in ("group_id", "kind", "bucket")), strict=True))
     asked = [_unpacked(d) for d in table["data"].to_pylist()]
     column = lambda i: np.concatenate([a[i] for a in asked])
     keys, _, of = _numbered(np.concatenate([np.cumsum(a[0]) for a in asked]))
@@ -405,7 +465,7 @@ def _answered(table, gain):
     own, several = np.bincount(part, times, len(keys)), np.bincount(part, minlength=len(keys))
     won = np.bincount(part, times * (np.log((times - DISCOUNT) / whole[part]) - column(10)[example[often]] / _STEP), len(keys))
     n = np.where(often, n, 0).astype(np.uint64)[gram]
-    # what a chunk need not know is zero, and takes no room
+    # what a group need not know is zero, and takes no room
     stays = _gained(whole, own, several, won) >= gain
     told = split | stays
     by_part = [np.where(told, x, 0).astype(np.uint64) for x in (whole, own, several)]
@@ -421,11 +481,12 @@ def _answered(table, gain):
 _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(gain: float):
+def _scored(depth: int, gain: float):
     def run(table):
         rows = _rows_of(table)
-        columns = _scores(next(d for k, _, d in rows if k == KEPT), [(b, d) for k, b, d in rows if k != KEPT], gain)
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SCORED, strict=True)], schema=_SCORED)
+        answers = Answers(rows)
+        found = [_scores(kept, answers, depth, gain) for kept in _texts(rows, KEPT)]
+        return pa.concat_tables([pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SCORED, strict=True)], schema=_SCORED) for columns in found])
 
     return run
 
@@ -436,28 +497,28 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out: int = 1, depth: int =
     rows = common.plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(common.partitions(spark), size // BUCKET_BYTES)
-    store = common.Buckets(spark, f"{common.shared_dir(spark)}/scratch/{uuid.uuid4().hex}", _ROWS, "chunk", min(FILES, max(common.partitions(spark), size // FILE_BYTES)))
+    store = common.Buckets(spark, f"{common.shared_dir(spark)}/scratch/{uuid.uuid4().hex}", _ROWS, "group_id", min(FILES, max(common.partitions(spark), size // FILE_BYTES)))
 
     def kept(df: DataFrame, part: str) -> None:
-        store.write(df.repartition(store.files, "chunk"), part)
+        store.write(df.repartition(store.files, "group_id"), part)
 
     train = F.coalesce(common.crc_remainder("doc_id", folds) != held_out, F.lit(False))
-    kept(rows.withColumn("train", train).mapInArrow(_chunked, _ROWS), "text")
+    kept(rows.withColumn("train", train).mapInArrow(_chunked(CHUNK_WORDS, min(TOGETHER, max(1, size // GROUP_BYTES))), _ROWS), "text")
     parts = ["text", "words"]
-    with store.read(parts[:1]) as chunks:
-        kept(chunks.mapInArrow(_asked_words(buckets), _ROWS).groupBy("bucket").applyInArrow(_counted_words, _ROWS), "words")
-    sums = spark.read.schema(_ROWS).parquet(store.folder("words")).filter("chunk < 0").groupBy("kind").agg(F.sum("bucket")).collect()
+    with store.read(parts[:1]) as texts:
+        kept(texts.groupBy("group_id").applyInArrow(_asked_words(buckets), _ROWS).groupBy("bucket").applyInArrow(_counted_words, _ROWS), "words")
+    sums = spark.read.schema(_ROWS).parquet(store.folder("words")).filter(F.col("group_id") < 0).groupBy("kind").agg(F.sum("bucket")).collect()
     total, distinct = (next((n for k, n in sums if k == kind), 0) for kind in (TOTAL, DISTINCT))
     scale = total + 0.5 * (distinct + 1)
     sql = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     for words in range(1, depth + 1):
         last = words == depth
         with store.read(parts) as known:
-            asked = known.filter("chunk >= 0").groupBy("chunk").applyInArrow(_asking(words, buckets, scale, gain, last), _ROWS)
+            asked = known.filter(F.col("group_id") >= 0).groupBy("group_id").applyInArrow(_asking(words, buckets, SPLIT, scale, gain, last), _ROWS)
             if not last:
                 kept(asked.groupBy("bucket").applyInArrow(_answering(gain), _ROWS), str(words))
                 parts.append(str(words))
-            else:  # written where the chunks lie, so that these can go
+            else:  # written where the groups lie, so that these can go
                 store.write(asked, "asked")
     for part in parts:
         common.remove(spark, store.folder(part))
@@ -465,7 +526,7 @@ def score_texts(docs: DataFrame, folds: int = 5, held_out: int = 1, depth: int =
         kept(asked.filter(F.col("kind") != KEPT).groupBy("bucket").applyInArrow(_answering(gain), _ROWS), "answers")
     with store.read(["asked", "answers"]) as known:
         rows = known.filter((F.col("part") == "answers") | (F.col("kind") == KEPT))
-        found = common.durable(rows.groupBy("chunk").applyInArrow(_scored(gain), sql))
+        found = common.durable(rows.groupBy("group_id").applyInArrow(_scored(depth, gain), sql))
     common.remove(spark, store.path)
     return found.select(
         "doc_id",

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import suffix_tree_lm
+from corpusmill.llm import common, suffix_tree_lm
 
 END = "<end>"
 
@@ -80,6 +80,28 @@ def test_same_as_the_plain_model(spark, monkeypatch, words, split, depth):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, round(r.score, 5)) for r in found) == sorted(expected)
 
 
+def test_groups_of_chunks_ask_in_one_row_a_bucket(spark, monkeypatch):
+    """Rows between chunks and buckets do not grow with the product of their numbers; scores are the plain model's, with contexts dealt into parts."""
+    rows = texts(random.Random(7), 200, 150)
+    plain = Plain(rows, 3, 3.0)
+    for name, value in {"CHUNK_WORDS": 300, "SPLIT": 40, "BUCKET_BYTES": 3_000, "GROUP_BYTES": 10, "TOGETHER": 8}.items():
+        monkeypatch.setattr(suffix_tree_lm, name, value, raising=False)
+    answered, write = {}, common.Buckets.write
+
+    def written(self, df, part):
+        write(self, df, part)
+        answered[part] = spark.read.parquet(self.folder(part)).filter("kind >= -1").count()
+
+    monkeypatch.setattr(common.Buckets, "write", written)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_tree_lm.score_texts(docs, gain=3.0).collect()
+    expected = [(str(i), held(i), len(symbols(t)), round(plain.score(t), 5)) for i, t in rows]
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, round(r.score, 5)) for r in found) == sorted(expected)
+    chunks, buckets = answered["text"], sum(len((t or "").encode()) for _, t in rows) // 3_000
+    assert chunks > 25 and buckets > 40
+    assert max(answered["words"], answered["1"], answered["2"]) <= (chunks / 8 + 3) * buckets
+
+
 def test_distributions_sum_to_one():
     plain = Plain(texts(random.Random(5), 120, 100), 3, 3.0)
     for s in plain.states:
