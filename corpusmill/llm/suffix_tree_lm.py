@@ -47,7 +47,7 @@ CHUNK_WORDS = 500_000
 #: Bytes of text for each bucket of contexts.
 BUCKET_BYTES = 8_000_000
 #: Chunks of a group: one for so many bytes of all texts, and so many at most.
-GROUP_BYTES, TOGETHER = 400_000_000, 8
+GROUP_BYTES, TOGETHER = 400_000_000, 4
 #: Occurrences of a context for each part that it is dealt to.
 SPLIT = 1_000_000
 #: The end of a text as a symbol; no word has it, as hashes of words are shifted by one bit.
