@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,8 @@ DISCOUNT = 0.75
 DEPTH = 3
 #: Tokens of a chunk.
 CHUNK_WORDS = 500_000
+#: Bytes of texts that are cut into words at once, and hash each word once, unless one text has more.
+CUT_BYTES = 4_000_000
 #: Bytes of text for each bucket of contexts.
 BUCKET_BYTES = 8_000_000
 #: Chunks of a group: one for so many bytes of all texts, and so many at most.
@@ -65,29 +68,57 @@ TEXT, WORDS, TOTAL, DISTINCT, KEPT = -1, 0, -2, -3, -4
 FILES, FILE_BYTES = 20_000, 32_000_000
 
 
-def tokens(text: bytes | None) -> np.ndarray:
-    """64-bit symbols of the words, then the end."""
-    words = text.lower().split() if text else []
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = common.hashed(words) << np.uint64(1)
-    out[-1] = END
-    return out
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of words of each text, and the words of all, one after another, with A-Z lowered."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string()) if texts.type == pa.binary() else texts))
+    words, ends = split.values, split.offsets.to_numpy()
+    held = pc.binary_length(words).to_numpy() > 0  # white space at either end leaves an empty word
+    if not held.all():
+        words, ends = words.filter(pa.array(held)), np.r_[0, np.cumsum(held)][ends]
+    return np.diff(ends), words
+
+
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of words of each text, 64-bit symbols of the distinct words of all, and for each word the place of its symbol."""
+    sizes, words = words_of(texts)
+    words = words.dictionary_encode()
+    kind = pa.large_binary() if pa.types.is_large_string(words.type.value_type) else pa.binary()
+    return sizes, common.hashed(words.dictionary.cast(kind).to_numpy(zero_copy_only=False)) << np.uint64(1), words.indices.to_numpy()
+
+
+def _planes(x: np.ndarray) -> int:
+    """Bytes of an entry that may differ from zero."""
+    if x.dtype.kind != "u" or not len(x):
+        return x.itemsize
+    return max(1, (int(x.max()).bit_length() + 7) // 8)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as planes of bytes, compressed together; planes of zeros take no room."""
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if x.itemsize > 1 else x.tobytes() for x in arrays]
-    return pickle.dumps(([(x.dtype.str, len(x)) for x in arrays], zstandard.ZstdCompressor(level=1).compress(b"".join(planes))))
+    """Arrays as planes of bytes, compressed together; the highest planes of unsigned numbers are left out where they are zeros."""
+    kinds, planes = [], []
+    for x in arrays:
+        used, bytes_of = _planes(x), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+        kinds.append((x.dtype.str, len(x), used))
+        planes += [np.ascontiguousarray(bytes_of[:, k]) for k in range(used)]
+    return pickle.dumps((kinds, zstandard.ZstdCompressor(level=1).compress(b"".join(planes))))
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
     kinds, data = pickle.loads(data)
     data, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
-    for kind, n in kinds:
+    for kind, n, used in kinds:
         size = np.dtype(kind).itemsize
-        planes = np.frombuffer(data, np.uint8, n * size, at)
-        out.append(np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1) if size > 1 else planes.view(kind))
-        at += n * size
+        planes = np.frombuffer(data, np.uint8, n * used, at).reshape(used, n)
+        if size == 1:
+            out.append(planes[0].view(kind))
+        elif used == 1:
+            out.append(planes[0].astype(kind))
+        else:
+            x = np.zeros((n, size), np.uint8)
+            for k in range(used):
+                x[:, k] = planes[k]
+            out.append(x.view(kind).reshape(-1))
+        at += n * used
     return out
 
 
@@ -95,35 +126,42 @@ def _steps(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=np.uint64(0))
 
 
-def _order(x: np.ndarray) -> np.ndarray:
-    """Places of the entries, none of them negative, in order of their values."""
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries, none of them negative, in order, and the place of each."""
     bits = len(x).bit_length()
     if not len(x) or int(x.max()).bit_length() + bits > 64:
-        return np.argsort(x)
+        order = np.argsort(x)
+        return x[order], order
     # value and place in one word: sorting words is several times as fast
-    both = np.sort(x.astype(np.uint64) << np.uint64(bits) | np.arange(len(x), dtype=np.uint64))
-    return (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    both = x.astype(np.uint64)
+    both <<= np.uint64(bits)
+    both |= np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    order = (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    both >>= np.uint64(bits)
+    return both.astype(x.dtype, copy=False), order
 
 
 def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values in increasing order, a place of each, and the number of each entry's value among them."""
     if not len(x):
         return x, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = _order(x)
-    values = x[order]
-    new = np.r_[True, values[1:] != values[:-1]]
+    values, order = _sorted(x)
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    rank = np.cumsum(new)
+    rank -= 1
     number = np.empty(len(x), np.int64)
-    number[order] = np.cumsum(new) - 1
+    number[order] = rank
     return values[new], order[new], number
 
 
 def _cuts(sorted_keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of the keys of each bucket, a range of keys, that has any."""
-    if not len(sorted_keys):
-        return []
-    of = ((sorted_keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    begins = np.flatnonzero(np.diff(of, prepend=np.uint64(buckets)))
-    return list(zip(of[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(of)], strict=True))
+    least = (((np.arange(1, buckets, dtype=np.uint64) << np.uint64(32)) + np.uint64(buckets - 1)) // np.uint64(buckets)) << np.uint64(32)
+    ends = [0, *np.searchsorted(sorted_keys, least).tolist(), len(sorted_keys)]
+    return [(b, x, y) for b, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -133,29 +171,61 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _chunked(most: int, together: int):
     """(doc_id, text, train) as rows of chunks of so many tokens, so many chunks a group."""
 
-    def out(no, ids, train, parts):
-        every, _, number = _numbered(np.concatenate(parts))
-        sizes = np.array([len(p) for p in parts], np.int64)
+    def out(no, ids, train, sizes, parts):
+        """``parts``: hashes, and for each word the place of its own; the end comes after each text's words."""
+        sizes, hashes, words, had = np.concatenate(sizes), [], [], 0
+        for some, places in parts:
+            used = np.zeros(len(some), bool)
+            used[places] = True
+            hashes.append(some[used])
+            words.append((np.cumsum(used) + (had - 1))[places])
+            had += len(hashes[-1])
+        every, _, of = _numbered(np.r_[*hashes, END])
+        ends = np.cumsum(sizes + 1) - 1
+        number = np.empty(int(sizes.sum()) + len(sizes), np.uint32)
+        inside = np.ones(len(number), bool)
+        inside[ends] = False
+        number[ends], number[inside] = of[-1], of[np.concatenate(words)]
         group, place = divmod(no, together)
-        return _batch([((TaskContext.get().partitionId() << 32) + group, TEXT, place, pickle.dumps((ids, _packed(np.array(train, bool), sizes, _steps(every), number.astype(np.uint32)))))])
+        return _batch([((TaskContext.get().partitionId() << 32) + group, TEXT, place, pickle.dumps((ids, _packed(np.array(train, bool), sizes + 1, _steps(every), number))))])
 
     def run(it):
-        no, ids, train, parts, size = 0, [], [], [], 0
+        no, ids, train, sizes, parts, size = 0, [], [], [], [], 0
         for some, texts, flags in common.column_batches(it, "doc_id", "text", "train"):
-            for i, text, flag in zip(some.to_pylist(), common.raw(texts), flags.to_pylist(), strict=True):
-                ids.append(i)
-                train.append(flag)
-                parts.append(tokens(text))
-                size += len(parts[-1])
-                if size >= most:
-                    yield out(no, ids, train, parts)
-                    no, ids, train, parts, size = no + 1, [], [], [], 0
-        if parts:
-            yield out(no, ids, train, parts)
+            some, flags, texts = some.to_pylist(), flags.to_pylist(), _whole(texts)
+            for begin, end in _runs(texts):
+                n, hashes, places = cut(texts.slice(begin, end - begin))
+                ends, done = np.cumsum(n), 0
+                while done < len(n):
+                    # up to the text with which the chunk is full
+                    before = int(ends[done - 1]) if done else 0
+                    upto = min(len(n), done + 1 + int(np.searchsorted(ends[done:] - before + np.arange(1, len(n) - done + 1), most - size)))
+                    ids += some[begin + done : begin + upto]
+                    train += flags[begin + done : begin + upto]
+                    sizes.append(n[done:upto])
+                    parts.append((hashes, places[before : int(ends[upto - 1])]))
+                    size += int(sizes[-1].sum()) + upto - done
+                    done = upto
+                    if size >= most:
+                        yield out(no, ids, train, sizes, parts)
+                        no, ids, train, sizes, parts, size = no + 1, [], [], [], [], 0
+        if ids:
+            yield out(no, ids, train, sizes, parts)
 
     return run
 
 
+def _whole(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+
+
+def _runs(texts: pa.Array) -> list[tuple[int, int]]:
+    """(begin, end) of consecutive texts that have CUT_BYTES together, or little more than that."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.flatnonzero(np.diff(size // CUT_BYTES, append=-1)) + 1
+    return list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+
+
 class Asked:
     """What the chunks of a group ask the buckets, one chunk after another."""
 
@@ -238,14 +308,18 @@ class Level:
     parts: np.ndarray
     part_of: np.ndarray
     gram_part: np.ndarray
-    #: Grams in order of their parts, by the place of one of their tokens.
+    #: Grams in order of their parts; the place of one of each one's tokens, and its context.
     order: np.ndarray
     example: np.ndarray
+    owner: np.ndarray
+    #: Whether a context has several parts.
+    split: bool
 
     def cuts(self, buckets: int) -> list[tuple[int, slice, slice]]:
         """(bucket, its parts, their grams) for each bucket that is asked."""
-        ends = np.r_[0, np.cumsum(np.bincount(self.gram_part, minlength=len(self.keys)))].tolist()
-        return [(b, slice(x, y), slice(ends[x], ends[y])) for b, x, y in _cuts(self.keys, buckets)]
+        cuts = _cuts(self.keys, buckets)
+        ends = np.searchsorted(self.gram_part, [y for _, _, y in cuts]).tolist()
+        return [(b, slice(x, y), slice(g, h)) for (b, x, y), g, h in zip(cuts, [0, *ends], ends)]
 
 
 def _lengths(cuts: list[tuple[int, slice, slice]]) -> list[tuple[int, int, int]]:
@@ -260,19 +334,17 @@ class Chunk:
         self.ids, own = pickle.loads(data)
         train, self.sizes, every, number = _unpacked(own)
         self.buckets, self.split = buckets, split
-        self.symbols, self.number = np.cumsum(every)[number], number.astype(np.int64)
-        self.words = len(every)
+        self.symbols, self.number = np.cumsum(every), number.astype(np.int64)
         #: The number of the context looked at last, which is given out by the chunk; and bits that hold any such number.
         self.shorter, self.bits = np.zeros(len(number), np.int64), len(number).bit_length()
         self.train = np.repeat(train, self.sizes)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.room = np.arange(len(self.symbols)) - np.repeat(self.begins, self.sizes)
-        self.count = answers.take(WORDS, [(b, 0, y - x) for b, x, y in _cuts(np.cumsum(every), buckets)])[0][self.number].astype(np.float64)
+        self.count = answers.take(WORDS, [(b, 0, y - x) for b, x, y in _cuts(self.symbols, buckets)])[0].astype(np.float64)
         self.root, self.gain, self.depth = (self.count + 0.5) / scale, gain, 0
-        self.p = self.root.copy()
+        self.p = self.root.take(self.number)
         #: Of the context looked at last: whether it is a state, and how often it occurs with the token after it (-1: not asked).
-        self.state = np.ones(len(self.symbols), bool)
-        self.seen = self.count
+        self.state = np.ones(len(number), bool)
+        self.seen = self.count.take(self.number)
         for depth in range(1, known + 1):
             v = self.level(depth)
             if not len(v.at):
@@ -282,45 +354,50 @@ class Chunk:
 
     def level(self, depth: int) -> Level:
         """What to ask about contexts of ``depth`` words; those of fewer have been answered."""
-        at = np.flatnonzero((self.room >= depth) & self.state)
-        before = self.seen[at - 1]  # how often the context occurs: -1 where unknown
-        asked = (before < 0) | (before >= LEAST)
-        at = at[asked]
+        asked = self.state.copy()
+        asked[self.begins[self.sizes >= depth] + depth - 1] = False  # has one word less before it
+        frequent = self.seen >= LEAST
+        asked[1:] &= frequent[:-1] | (self.seen[:-1] < 0)  # how often the context occurs: -1 where unknown
+        at = np.flatnonzero(asked)
         if depth == 1:  # words have numbers
-            used, last = np.zeros(self.words, bool), np.zeros(self.words, np.int64)
-            used[self.number[at - 1]], last[self.number[at - 1]] = True, at
-            example, context = last[used], (np.cumsum(used) - 1)[self.number[at - 1]]
+            before = self.number.take(at - 1)
+            used = np.zeros(len(self.symbols), bool)
+            used[before] = True
+            words = np.flatnonzero(used)
+            context, often = (np.cumsum(used) - 1).take(before), self.count[words]
+            part_keys = self.symbols[words]
         else:
-            _, example, context = _numbered(self.shorter[at] << self.bits | self.number[at - depth])
-            example = at[example]
+            _, example, context = _numbered(self.shorter.take(at) << self.bits | self.number.take(at - depth))
+            example = at.take(example)
+            often, part_keys = self.seen.take(example - 1), np.zeros(len(example), np.uint64)
+            for word in range(depth, 0, -1):
+                part_keys = part_keys * np.uint64(common.BASE) + self.symbols.take(self.number.take(example - word))
         self.shorter[at] = context
-        parts = (1 + np.maximum(self.seen[example - 1], 0) // self.split).astype(np.int64)
-        first = np.cumsum(parts) - parts
-        part_keys = np.zeros(len(example), np.uint64)
-        for word in range(depth, 0, -1):
-            part_keys = part_keys * np.uint64(common.BASE) + self.symbols[example - word]
         part_keys = common.mixed(part_keys)
-        split = bool((parts > 1).any())
+        parts = (1 + np.maximum(often, 0) // self.split).astype(np.int64)
+        first = np.cumsum(parts) - parts
+        split = len(parts) > 0 and int(parts.max()) > 1
         if split:
-            owner = np.repeat(np.arange(len(example)), parts)
+            owner = np.repeat(np.arange(len(parts)), parts)
             part_keys = np.where(parts[owner] > 1, common.mixed(part_keys[owner] + (np.arange(len(owner)) - first[owner]).astype(np.uint64)), part_keys[owner])
         order = np.argsort(part_keys)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        frequent = self.seen[at] >= LEAST
-        follows, owners = at[frequent], context[frequent]
-        grams, example, gram = _numbered(owners << self.bits | self.number[follows])
-        owners, example = grams >> self.bits, follows[example]
+        follows = np.flatnonzero(asked & frequent)
+        after = self.shorter.take(follows)
+        grams, example, gram = _numbered(after << self.bits | self.number.take(follows))
+        owners, example = grams >> self.bits, follows.take(example)
         if split:
-            part = rank[first[owners] + (self.symbols[example] >> np.uint64(7)).astype(np.int64) % parts[owners]]
-            by = _order(part)
-            part = part[by]
+            part = first.take(owners)
+            dealt = np.flatnonzero((parts > 1).take(owners))
+            part[dealt] += (self.symbols[self.number[example[dealt]]] >> np.uint64(7)).astype(np.int64) % parts[owners[dealt]]
+            part, by = _sorted(rank.take(part))
         else:  # grams are in order of their contexts: only the contexts change places
             number = np.bincount(owners, minlength=len(order))
             begins, number = (np.cumsum(number) - number)[order], number[order]
             part = np.repeat(np.arange(len(order)), number)
             by = np.arange(len(owners)) + np.repeat(begins - (np.cumsum(number) - number), number)
-        return Level(at, context, follows, context[frequent], gram, part_keys[order], first, parts, rank, part, by, example)
+        return Level(at, context, follows, after, gram, part_keys[order], first, parts, rank, part, by, example, owners, split)
 
     def asks(self, depth: int, asked: Asked, last: bool) -> bytes | None:
         """Part keys, training counts, whether there are more parts, number of grams; symbol, count and probability of each gram, to ``asked``.
@@ -334,9 +411,9 @@ class Chunk:
         held = np.empty(len(n), np.uint64)
         held[v.part_of] = n
         grams = np.bincount(v.gram, self.train[v.follows], len(v.example)).astype(np.uint64)[v.order]
-        example = v.example[v.order]
-        follower = self.symbols[example] >> (np.uint64(64) - _FOLLOWER)
-        log = np.maximum(np.rint(np.log(self.p[example]) * _STEP), -32768).astype(np.int16)
+        example = v.example.take(v.order)
+        follower = (self.symbols >> (np.uint64(64) - _FOLLOWER)).take(self.number.take(example))
+        log = np.maximum(np.rint(np.log(self.p.take(example)) * _STEP), -32768).astype(np.int16)
         number = np.bincount(v.gram_part, minlength=len(v.keys)).astype(np.uint32)
         split = np.empty(len(n), bool)
         split[v.part_of] = np.repeat(v.parts > 1, v.parts)
@@ -349,41 +426,42 @@ class Chunk:
 
         Of a context in one part the bucket has made the test: the gain is infinite, or all is zero.
         """
-        add = lambda x: np.add.reduceat(x[v.part_of].astype(np.float64), v.first)
-        whole, own, several, gain = held[v.part_of[v.first]].astype(np.float64), add(own), add(several), add(gain)
-        left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
-        stays = _gained(whole, own, several, gain) >= self.gain
-        in_state = stays[v.context]
-        at = v.at[in_state]
-        self.p[at] *= left[v.context[in_state]]
+        if v.split:
+            add = lambda x: np.add.reduceat(x[v.part_of].astype(np.float64), v.first)
+            whole = held[v.part_of[v.first]].astype(np.float64)
+        else:
+            add = lambda x: x.take(v.part_of).astype(np.float64)
+            whole = add(held)
+        own, several, gain = add(own), add(several), add(gain)
+        left = _left(whole, own, several)
+        stays = _gained(whole, own, several, gain, left) >= self.gain
+        self.p[v.at] *= np.where(stays, left, 1.0).take(v.context)
         n = np.empty(len(grams))
         n[v.order] = grams
-        n = n[v.gram]
-        held_own = (n >= LEAST) & stays[v.after]
-        self.p[v.follows[held_own]] += (n[held_own] - DISCOUNT) / whole[v.after[held_own]]
+        mass = np.where((n >= LEAST) & stays.take(v.owner), (n - DISCOUNT) / np.maximum(whole, 1).take(v.owner), 0.0)
+        self.p[v.follows] += mass.take(v.gram)
         self.state = np.zeros(len(self.p), bool)
-        self.state[at] = True
+        self.state[v.at] = stays.take(v.context)
         # what was not asked is unknown, unless the context is known to be rare
         rare = (self.seen >= 0) & (self.seen < LEAST)
         self.seen = np.full(len(self.p), -1.0)
         self.seen[1:][rare[:-1]] = 0
         self.seen[v.at] = 0
-        self.seen[v.follows] = n
+        self.seen[v.follows] = n.take(v.gram)
 
     def kept(self, v: Level | None) -> bytes:
         """For each text its tokens, known tokens, and log10 of its probability at the root and as far as it is known; and the level, numbered as its answers come."""
         total = lambda x: np.add.reduceat(x, self.begins)
-        sums = [self.sizes, total((self.count > 0).astype(np.int64)), total(np.log10(self.root)), total(np.log10(self.p))]
+        sums = [self.sizes, total((self.count > 0).astype(np.int64).take(self.number)), total(np.log10(self.root).take(self.number)), total(np.log10(self.p))]
         if v is None or not len(v.at):
             return pickle.dumps((self.ids, _packed(*sums), None, None))
         inside, own = np.zeros(len(self.p), bool), np.zeros(len(self.p), bool)
         inside[v.at], own[v.follows] = True, True
         place = np.empty(len(v.order), np.uint32)
         place[v.order] = np.arange(len(place), dtype=np.uint32)
-        split = bool((v.parts > 1).any())
-        context = v.context if split else v.part_of[v.context]
-        level = [np.packbits(inside), np.packbits(own), context.astype(np.uint32), place[v.gram], self.p[v.example[v.order]]]
-        return pickle.dumps((self.ids, _packed(*sums), _packed(*level, *([v.parts.astype(np.uint32), v.part_of.astype(np.uint32)] if split else [])), _packed(*np.array(list(zip(*_lengths(v.cuts(self.buckets)), strict=True)), np.int64))))
+        context = v.context if v.split else v.part_of.take(v.context)
+        level = [np.packbits(inside), np.packbits(own), context.astype(np.uint32), place.take(v.gram), self.p.take(v.example.take(v.order))]
+        return pickle.dumps((self.ids, _packed(*sums), _packed(*level, *([v.parts.astype(np.uint32), v.part_of.astype(np.uint32)] if v.split else [])), _packed(*np.array(list(zip(*_lengths(v.cuts(self.buckets)), strict=True)), np.int64))))
 
 
 def _scores(kept: bytes, answers: Answers, depth: int, least: float) -> tuple:
@@ -399,8 +477,8 @@ def _scores(kept: bytes, answers: Answers, depth: int, least: float) -> tuple:
         parts, part_of = (x.astype(np.int64) for x in split)  # unsigned ones would sum to places that numpy does not take
         first = np.cumsum(parts) - parts
         whole, own, several, gain = whole[part_of[first]], *(np.add.reduceat(x[part_of], first) for x in (own, several, gain))
-    left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
-    stays = _gained(whole, own, several, gain) >= least
+    left = _left(whole, own, several)
+    stays = _gained(whole, own, several, gain, left) >= least
     size = int(sizes.sum())
     at = np.flatnonzero(np.unpackbits(inside, count=size))
     change = np.where(stays, np.log10(left), 0.0)[context]
@@ -437,9 +515,13 @@ def _asking(depth: int, buckets: int, split: int, scale: float, gain: float, las
     return run
 
 
-def _gained(whole: np.ndarray, own: np.ndarray, several: np.ndarray, won: np.ndarray) -> np.ndarray:
+def _left(whole: np.ndarray, own: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """The share of contexts' mass that goes to their suffixes."""
+    return np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
+
+
+def _gained(whole: np.ndarray, own: np.ndarray, several: np.ndarray, won: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Gain of contexts over their suffixes: what frequent followers win, less what the others lose; none without such followers."""
-    left = np.where(several > 0, 1 - (own - DISCOUNT * several) / np.maximum(whole, 1), 1.0)
     return np.where(several > 0, won + (whole - own) * np.log(left), -np.inf)
 
 
@@ -466,7 +548,7 @@ def _answered(table, gain):
     won = np.bincount(part, times * (np.log((times - DISCOUNT) / whole[part]) - column(10)[example[often]] / _STEP), len(keys))
     n = np.where(often, n, 0).astype(np.uint64)[gram]
     # what a group need not know is zero, and takes no room
-    stays = _gained(whole, own, several, won) >= gain
+    stays = _gained(whole, own, several, won, _left(whole, own, several)) >= gain
     told = split | stays
     by_part = [np.where(told, x, 0).astype(np.uint64) for x in (whole, own, several)]
     by_part.append(np.where(split, won, np.where(stays, np.inf, 0)).astype(np.float32))
