@@ -8,8 +8,8 @@ hold their own probability, less ``DISCOUNT`` of a count; what is left of the ma
 to the root, where every word has (c + 0.5) / (N + 0.5 (V + 1)). So each state's distribution sums to one. A text is scored
 at each token from the longest suffix that is a state.
 
-Sizes: the tree grows with the input, and none of it is broadcast or gathered. Texts are cut into chunks of symbols, which
-are written once. For each length of context a chunk asks the buckets, ranges of the contexts' hashes, about its distinct
+Sizes: the tree grows with the input, and none of it is broadcast or gathered. Texts are cut into words by Arrow, some
+``CUT_BYTES`` at once, whose different words are hashed once, and put into chunks of symbols, which are written once. For each length of context a chunk asks the buckets, ranges of the contexts' hashes, about its distinct
 contexts and what follows them, with its own counts; a bucket sums the counts of all chunks, tests its contexts, and answers
 each chunk. Chunks and answers are bucketed alike, so that they meet without a shuffle. Groups and buckets exchange one row
 a pair: as the corpus grows, more chunks, ``TOGETHER`` at most, ask as one group, so that rows neither become many nor
@@ -70,7 +70,8 @@ FILES, FILE_BYTES = 20_000, 32_000_000
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """The number of words of each text, and the words of all, one after another, with A-Z lowered."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string()) if texts.type == pa.binary() else texts))
+    kind = {pa.binary(): pa.string(), pa.large_binary(): pa.large_string()}.get(texts.type, texts.type)
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(kind)))  # goes by bytes, valid UTF-8 or not
     words, ends = split.values, split.offsets.to_numpy()
     held = pc.binary_length(words).to_numpy() > 0  # white space at either end leaves an empty word
     if not held.all():
